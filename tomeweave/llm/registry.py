@@ -1,10 +1,12 @@
 """Queries and DuckDB SQL of the training-data operators."""
 
-from tomeweave.llm import queries_quality
+from tomeweave.llm import queries_quality, queries_secrets
 
 QUERIES = {
+    "op9_secret_scan": queries_secrets.op9_secret_scan,
     "op10_quality_rules": queries_quality.op10_quality_rules,
 }
 ORACLE_SQL = {
+    "op9_secret_scan": queries_secrets.SQL,
     "op10_quality_rules": queries_quality.SQL,
 }
