@@ -1,12 +1,14 @@
 """Queries and DuckDB SQL of the training-data operators."""
 
-from tomeweave.llm import queries_quality, queries_secrets
+from tomeweave.llm import queries_mixing, queries_quality, queries_secrets
 
 QUERIES = {
+    "op5_mix_sources": queries_mixing.op5_mix_sources,
     "op9_secret_scan": queries_secrets.op9_secret_scan,
     "op10_quality_rules": queries_quality.op10_quality_rules,
 }
 ORACLE_SQL = {
+    "op5_mix_sources": queries_mixing.SQL,
     "op9_secret_scan": queries_secrets.SQL,
     "op10_quality_rules": queries_quality.SQL,
 }
