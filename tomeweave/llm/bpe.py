@@ -34,8 +34,8 @@ from pyspark.sql import types as T
 
 from tomeweave.llm.common import spare
 
-#: Pieces that a task remembers; beyond, it starts afresh.
-REMEMBERED = 400_000
+#: Pieces, and as many words, in each of a task's two generations of memory.
+REMEMBERED = 100_000
 
 
 def merge_pairs(symbols: list[int], ranks: dict[int, int], made: list[int], base: int) -> list[int]:
@@ -62,39 +62,66 @@ def merge_pairs(symbols: list[int], ranks: dict[int, int], made: list[int], base
         tree[k] = left if left < right else right
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     symbols = symbols.copy()
-
-    def put(k: int, value: int) -> None:
-        k += width
-        tree[k] = value
-        while k > 1:
-            other = tree[k ^ 1]
-            least = value if value < other else other
-            k >>= 1
-            if tree[k] == least:
-                return
-            tree[k] = value = least
-
+    rank_of = ranks.get
     while (top := tree[1]) < none:
         rank, k = divmod(top, n)
         gone = after[k]
-        symbols[k] = made[rank]
+        symbols[k] = new = made[rank]
         symbols[gone] = -1
         then = after[k] = after[gone]
-        if gone < n - 1 and tree[width + gone] != none:
-            put(gone, none)
+        prior = before[k]
+        # Three leaves change: the pairs of the symbol before, of the merged one, and of the one gone.
+        here = width + k
         if then < n:
             before[then] = k
-            rank = ranks.get(symbols[k] * base + symbols[then])
-            put(k, none if rank is None else rank * n + k)
+            rank = rank_of(new * base + symbols[then])
+            tree[here] = none if rank is None else rank * n + k
         else:
-            put(k, none)
-        prior = before[k]
+            tree[here] = none
+        left = here
         if prior >= 0:
-            rank = ranks.get(symbols[prior] * base + symbols[k])
-            put(prior, none if rank is None else rank * n + prior)
+            left = width + prior
+            rank = rank_of(symbols[prior] * base + new)
+            tree[left] = none if rank is None else rank * n + prior
+        right = here
+        if gone < n - 1:
+            right = width + gone
+            tree[right] = none
+        while here > 1:
+            here >>= 1
+            left >>= 1
+            right >>= 1
+            if left != here:
+                x, y = tree[2 * left], tree[2 * left + 1]
+                tree[left] = x if x < y else y
+            if right != here:
+                x, y = tree[2 * right], tree[2 * right + 1]
+                tree[right] = x if x < y else y
+            x, y = tree[2 * here], tree[2 * here + 1]
+            tree[here] = x if x < y else y
     return [x for x in symbols if x >= 0]
 
 
+class Recent:
+    """What was seen last, in two generations of at most ``REMEMBERED`` entries."""
+
+    def __init__(self) -> None:
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= REMEMBERED:
+            self.old = self.young.copy()
+            self.young.clear()  # stays the same dict, whose get() callers hold
+        self.young[key] = value
+
+    def get(self, key):
+        value = self.old.get(key)
+        if value is not None:
+            self.put(key, value)
+        return value
+
+
 class Codec:
     """Encodes and decodes by a tokenizer file's JSON text."""
 
@@ -115,44 +142,65 @@ class Codec:
         self.ranks = {self.vocab[a] * self.base + self.vocab[b]: k for k, (a, b) in enumerate(pairs)}
         self.made = [self.vocab[a + b] for a, b in pairs]
         self.tokens = {v: k for k, v in {**self.vocab, **self.special}.items()}
-        self.seen_words: dict[str, list[int]] = {}
-        self.seen_pieces: dict[bytes, bytes] = {}
-
-    def word(self, word: str) -> list[int]:
-        ids = self.seen_words.get(word)
-        if ids is None:
-            symbols = [*word[:-1], word[-1] + self.suffix]
-            ids = merge_pairs([self.vocab[x] for x in symbols if x in self.vocab], self.ranks, self.made, self.base)
-            if len(self.seen_words) >= REMEMBERED:
-                self.seen_words.clear()
+        self.plain = _plain_pattern(parsed)
+        self.seen_words, self.seen_pieces = Recent(), Recent()
+        self.young_words, self.young_pieces = self.seen_words.young.get, self.seen_pieces.young.get
+
+    def word(self, word: str) -> bytes:
+        packed = self.young_words(word) or self.seen_words.get(word)
+        if packed is None:
+            get = self.vocab.get
+            symbols = [get(x) for x in word[:-1]]
+            symbols.append(get(word[-1] + self.suffix))
+            if None in symbols:
+                symbols = [x for x in symbols if x is not None]
+            packed = pack(merge_pairs(symbols, self.ranks, self.made, self.base))
             if len(word) < 100:
-                self.seen_words[word] = ids
-        return ids
+                self.seen_words.put(word, packed)
+        return packed
 
     def piece(self, piece: bytes) -> bytes:
         """The packed ids of a text without ASCII blanks."""
-        ids: list[int] = []
+        packed = self.seen_pieces.get(piece)
+        if packed is not None:
+            return packed
+        out = []
         for part in self.split.split(piece.decode()) if self.split else [piece.decode()]:
             if part in self.special:
-                ids.append(self.special[part])
+                out.append(pack([self.special[part]]))
+            elif self.plain and part.isascii() and part.isprintable():
+                out += map(self.word, self.plain.findall(part.lower()))
             elif part:
-                for word, _ in self.words(self.normalise(part)):
-                    ids += self.word(word)
-        packed = pack(ids)
-        if len(self.seen_pieces) >= REMEMBERED:
-            self.seen_pieces.clear()
+                out += [self.word(word) for word, _ in self.words(self.normalise(part))]
+        packed = b"".join(out)
         if len(piece) < 100:
-            self.seen_pieces[piece] = packed
+            self.seen_pieces.put(piece, packed)
         return packed
 
     def encode(self, text: str | None) -> bytes:
-        seen, piece = self.seen_pieces.get, self.piece
+        seen, piece = self.young_pieces, self.piece
         return b"".join([seen(x) or piece(x) for x in (text or "").encode().split()])
 
     def decode(self, packed: bytes | None) -> str | None:
         return None if packed is None else " ".join([self.tokens[x] for x in unpack(packed) if x in self.tokens])
 
 
+def _plain_pattern(parsed: dict) -> re.Pattern | None:
+    """The file's word pattern for printable ASCII, where letters and digits need no tables; None if the file's steps are others."""
+    steps = [x["type"] for x in parsed["normalizer"].get("normalizers", [])] if parsed.get("normalizer") else []
+    splits = parsed["pre_tokenizer"].get("pretokenizers", []) if parsed.get("pre_tokenizer") else []
+    if steps != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in splits] != ["Split", "ByteLevel"]:
+        return None
+    split, byte_level = splits
+    if not split["invert"] or split["behavior"] != "Removed" or byte_level["add_prefix_space"] or byte_level["use_regex"]:
+        return None
+    pattern = split["pattern"]["Regex"]
+    if re.search(r"\\p\{(?![LN]\})", pattern):
+        return None
+    inside = lambda x: x[0].replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9")
+    return re.compile(re.sub(r"\[[^\]]*\]", inside, pattern))
+
+
 def pack(ids: list[int]) -> bytes:
     out = array("I", ids)
     if _BIG:
@@ -195,6 +243,23 @@ def encode(docs: DataFrame, path: str, text: str = "text", name: str = "ids") ->
     return docs.withColumn(name, run.asNondeterministic()(F.col(f"`{text}`").cast("string"))), name
 
 
+def round_trip(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> tuple[DataFrame, str, str]:
+    """``docs`` with the packed ids of ``text`` and the text decoded from them, in one pass; also returns the columns' names."""
+    spec, both = share(docs.sparkSession, path), spare(docs, "both")
+    fields = [T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]
+
+    @F.pandas_udf(T.StructType(fields))
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = codec(spec.value)
+        for batch in texts:
+            packed = [own.encode(x) for x in batch]
+            yield pd.DataFrame({"ids": pd.Series(packed, dtype=object), "decoded": pd.Series([own.decode(x) for x in packed], dtype=object)})
+
+    ids, decoded = spare(docs, ids), spare(docs, decoded)
+    rows = docs.withColumn(both, run.asNondeterministic()(F.col(f"`{text}`").cast("string")))
+    return rows.withColumns({ids: F.col(both)["ids"], decoded: F.col(both)["decoded"]}).drop(both), ids, decoded
+
+
 def decode(rows: DataFrame, path: str, ids: str = "ids", name: str = "decoded") -> tuple[DataFrame, str]:
     """``rows`` with the text of the packed ``ids``; also returns that column's name."""
     spec, name = share(rows.sparkSession, path), spare(rows, name)

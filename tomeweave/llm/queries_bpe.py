@@ -21,6 +21,4 @@ def digests(rows: DataFrame, ids: str, decoded: str) -> DataFrame:
 
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(TOKENIZER)
-    encoded, ids = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), path)
-    decoded, text = bpe.decode(encoded.drop("text"), path, ids)
-    return digests(decoded, ids, text)
+    return digests(*bpe.round_trip(documents(spark, sf_dir).select("doc_id", "text"), path))
