@@ -1,10 +1,11 @@
 """Queries and DuckDB SQL of the training-data operators."""
 
-from tomeweave.llm import queries_bpe, queries_language, queries_mixing, queries_near_dup, queries_passages, queries_quality, queries_secrets, queries_topk, queries_urls
+from tomeweave.llm import queries_bpe, queries_language, queries_mixing, queries_near_dup, queries_passages, queries_quality, queries_secrets, queries_tokenfiles, queries_topk, queries_urls
 
 QUERIES = {
     "op1_bpe_round_trip": queries_bpe.op1_bpe_round_trip,
     "op2_near_duplicates": queries_near_dup.op2_near_duplicates,
+    "op3_token_files": queries_tokenfiles.op3_token_files,
     "op4_drop_repeats": queries_passages.op4_drop_repeats,
     "op5_mix_sources": queries_mixing.op5_mix_sources,
     "op6_language_id": queries_language.op6_language_id,
