@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tomeweave.plans import corpus
+from tomeweave.plans import corpus, fusion
 from tomeweave.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "corpus", "flagship"]
+__all__ = ["ORACLE_SQL", "QUERIES", "corpus", "flagship", "fusion"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
