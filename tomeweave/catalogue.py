@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tomeweave.plans import corpus, fusion
+from tomeweave.plans import corpus, fusion, retrieval
 from tomeweave.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "corpus", "flagship", "fusion"]
+__all__ = ["ORACLE_SQL", "QUERIES", "corpus", "flagship", "fusion", "retrieval"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
