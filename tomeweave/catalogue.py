@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tomeweave.plans import corpus, fusion, retrieval
+from tomeweave.plans import corpus, fusion, knowledge, retrieval
 from tomeweave.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "corpus", "flagship", "fusion", "retrieval"]
+__all__ = ["ORACLE_SQL", "QUERIES", "corpus", "flagship", "fusion", "knowledge", "retrieval"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["c2_build_chunks"](spark, sf_dir)
+    return QUERIES["v10_top_k"](spark, sf_dir)

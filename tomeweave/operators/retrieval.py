@@ -214,7 +214,7 @@ def _per_block(
     chunks: DataFrame, questions: DataFrame, index: Index, bm25: Bm25, fit_question: bool, phrases: bool, weights: tuple[float, float, float] | None, k: int | None
 ) -> DataFrame:
     """All scores, or with ``weights`` the k best chunks of every task's batches."""
-    normed = cut(spread(chunks.select("chunk_id", "text"), "chunk_id").join(index.norms(int(fit_question)), "chunk_id", "left").na.fill(0.0, ["norm"]))
+    normed = cut(spread(chunks.select("chunk_id", "text").join(index.norms(int(fit_question)), "chunk_id", "left").na.fill(0.0, ["norm"]), "chunk_id"))
     kind = questions.schema["question_id"].dataType.simpleString()
     out = None
     for block in _blocks(questions, index, bm25, fit_question):
