@@ -9,7 +9,7 @@ below the leading one, by adaptive order-0 counts per length, and the remaining
 Blocks know nothing of each other, so many are coded in step: every variable is an array with a
 lane per block. Bytes do not depend on the number of lanes.
 
-Layout of the result (little-endian): ``TWID``, version, block length, ids, blocks; per block its
+Layout of the result (little-endian): ``TWID``, version, block length, bit lengths, ids, blocks; per block its
 ids, its 16-bit units and the crc32 of its ids; then all blocks' units.
 """
 
@@ -23,12 +23,11 @@ import numpy as np
 MAGIC, VERSION = b"TWID", 1
 BLOCK_IDS = 4096
 #: Lanes coded at once; more blocks go in further groups.
-LANES = 1024
+LANES = 2048
 _SLOTS = 4096
 _LENGTHS = 33
-_SYMBOLS = 2 + _LENGTHS
 _TOP, _UNIT, _LOW32 = 1 << 32, 16, (1 << 32) - 1
-_LIMIT, _STEP = 1 << 13, 32
+_STEP = 32
 
 
 class _Model:
@@ -36,31 +35,27 @@ class _Model:
 
     def __init__(self, lanes: int, symbols: int):
         self.lane = np.arange(lanes)
-        self.guess = [np.zeros(lanes * _SLOTS, np.int64) for _ in range(2)]
+        self.guess = [np.zeros(lanes * _SLOTS, np.uint32) for _ in range(2)]
         self.sure = [np.zeros(lanes * _SLOTS, np.int8) for _ in range(2)]
-        self.mixed = np.ones((lanes * 16, symbols), np.int32)
-        self.order0 = np.ones((lanes, symbols), np.int32)
-        self.high = np.full((lanes * _LENGTHS, 8), 4, np.int32)
+        self.mixed = np.ones((symbols, lanes * 16), np.int32)
+        self.order0 = np.ones((symbols, lanes), np.int32)
+        self.high = np.full((8, lanes * _LENGTHS), 4, np.int32)
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
 
     def look(self, n: int) -> np.ndarray:
-        """Counts of the first decision for the first n lanes."""
+        """Counts of the first decision (by symbol and lane) for the first n lanes."""
         lane, a, b = self.lane[:n], self.last[:n], self.before[:n]
         mix = a * 0x9E3779B1 + b * 0x85EBCA77
         self.at = [lane * _SLOTS + ((mix ^ (mix >> 15)) & (_SLOTS - 1)), lane * _SLOTS + ((a ^ (a >> 12)) & (_SLOTS - 1))]
-        self.guessed = [self.guess[k][self.at[k]] for k in range(2)]
+        self.guessed = [self.guess[k][self.at[k]].astype(np.int64) for k in range(2)]
         self.sureness = [self.sure[k][self.at[k]] for k in range(2)]
         self.row = lane * 16 + self.sureness[0] * 4 + self.sureness[1]
-        return self.mixed[self.row] + self.order0[:n]
+        return self.mixed.take(self.row, axis=1) + self.order0[:, :n]
 
     def learn(self, n: int, symbol: np.ndarray, ids: np.ndarray) -> None:
         lane = self.lane[:n]
-        self.mixed[self.row, symbol] += _STEP
-        self.order0[lane, symbol] += _STEP // 4
-        for counts, rows in ((self.mixed, self.row), (self.order0, lane)):
-            full = counts[rows, symbol] > _LIMIT
-            if full.any():
-                counts[rows[full]] = (counts[rows[full]] >> 1) | 1
+        self.mixed[symbol, self.row] += _STEP
+        self.order0[symbol, lane] += _STEP // 4
         for k in range(2):
             hit = self.guessed[k] == ids
             sure = np.where(hit, np.minimum(self.sureness[k] + 1, 3), self.sureness[k] >> 1)
@@ -71,14 +66,14 @@ class _Model:
         self.last[:n] = ids
 
     def learn_high(self, rows: np.ndarray, bits: np.ndarray) -> None:
-        self.high[rows, bits] += _STEP
-        full = self.high[rows, bits] > _LIMIT
-        if full.any():
-            self.high[rows[full]] = (self.high[rows[full]] >> 1) | 1
+        self.high[bits, rows] += _STEP
 
 
-def _length(ids: np.ndarray) -> np.ndarray:
-    return np.frexp(ids.astype(float))[1].astype(np.int64)
+_SHORT = np.array([k.bit_length() for k in range(1 << 17)], np.int64)
+
+
+def _length(ids: np.ndarray, wide: bool) -> np.ndarray:
+    return np.frexp(ids.astype(float))[1].astype(np.int64) if wide else _SHORT[ids]
 
 
 def _split(length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +86,7 @@ def _split(length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class _Writer:
     def __init__(self, lanes: int, steps: int):
         self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48, np.int64)
-        self.units, self.used = np.zeros((steps * 4 + 8, lanes), np.int32), np.zeros(lanes, np.int64)
+        self.units, self.used = np.zeros((steps * 3 + 8, lanes), np.int32), np.zeros(lanes, np.int64)
 
     def put(self, start, count, total, n: int) -> None:
         r = self.range[:n] // total
@@ -138,40 +133,41 @@ class _Reader:
             self.range[at] <<= _UNIT
 
 
-def _encode_lanes(blocks: list[np.ndarray]) -> list[bytes]:
-    """``blocks`` from the longest to the shortest."""
+def _encode_lanes(blocks: list[np.ndarray], lengths_used: int) -> list[bytes]:
+    """``blocks`` from the longest to the shortest; bit lengths of ids under ``lengths_used``."""
+    wide = lengths_used > 18
     lengths = np.array([len(b) for b in blocks])
     steps = int(lengths[0])
     ids = np.zeros((steps, len(blocks)), np.int64)
     for k, b in enumerate(blocks):
         ids[: len(b), k] = b
-    model, out = _Model(len(blocks), _SYMBOLS), _Writer(len(blocks), steps)
+    model, out = _Model(len(blocks), 2 + lengths_used), _Writer(len(blocks), steps)
     for step in range(steps):
         n = int((lengths > step).sum()) if lengths[-1] <= step else len(blocks)
         now, lane = ids[step, :n], model.lane[:n]
         counts = model.look(n)
-        length = _length(now)
+        length = _length(now, wide)
         miss1 = model.guessed[0] != now
         miss = miss1 & (model.guessed[1] != now)
         symbol = np.where(miss, 2 + length, np.where(miss1, 1, 0))
-        sums = counts.cumsum(axis=1)
-        end, own = sums[lane, symbol], counts[lane, symbol]
-        out.put(end - own, own, sums[:, -1], n)
+        sums = counts.cumsum(axis=0, dtype=np.int32)
+        end, own = sums[symbol, lane], counts[symbol, lane]
+        out.put(end - own, own, sums[-1], n)
         high_bits, low_bits = _split(length)
         below = now - ((1 << length) >> 1)
         high = below >> low_bits
         rows = lane * _LENGTHS + length
-        coded = model.high[rows]
-        sums = coded.cumsum(axis=1)
-        end, own = sums[lane, high], coded[lane, high]
+        coded = model.high.take(rows, axis=1)
+        sums = coded.cumsum(axis=0, dtype=np.int32)
+        end, own = sums[high, lane], coded[high, lane]
         asks = miss & (high_bits > 0)
-        out.put(np.where(asks, end - own, 0), np.where(asks, own, 1), np.where(asks, sums[:, -1], 1), n)
+        out.put(np.where(asks, end - own, 0), np.where(asks, own, 1), np.where(asks, sums[-1], 1), n)
         at = np.flatnonzero(asks)
         model.learn_high(rows[at], high[at])
         rest = np.where(miss, low_bits, 0)
         value = np.where(miss, below & ((1 << low_bits) - 1), 0)
-        more = rest > 14
-        if more.any():  # ids of over 18 bits
+        more = rest > 14 if wide else rest
+        if wide and more.any():  # ids of over 18 bits
             _wide(out, value, rest, more, n)
             rest = np.where(more, 14, rest)
             value = value & ((1 << rest) - 1)
@@ -185,36 +181,37 @@ def _wide(out: _Writer, value: np.ndarray, rest: np.ndarray, more: np.ndarray, n
     out.put(np.where(more, value >> 14, 0), np.ones(n, np.int64), np.where(more, 1 << np.maximum(rest - 14, 0), 1), n)
 
 
-def _decode_lanes(parts: list[bytes], lengths: np.ndarray) -> list[np.ndarray]:
+def _decode_lanes(parts: list[bytes], lengths: np.ndarray, lengths_used: int) -> list[np.ndarray]:
+    wide = lengths_used > 18
     steps = int(lengths[0])
     ids = np.zeros((steps, len(parts)), np.int64)
-    model, source = _Model(len(parts), _SYMBOLS), _Reader(parts)
+    model, source = _Model(len(parts), 2 + lengths_used), _Reader(parts)
     for step in range(steps):
         n = int((lengths > step).sum()) if lengths[-1] <= step else len(parts)
         lane = model.lane[:n]
         counts = model.look(n)
-        sums = counts.cumsum(axis=1)
-        value = source.value(sums[:, -1], n)
-        symbol = (sums <= value[:, None]).sum(axis=1)
-        own = counts[lane, symbol]
-        source.take(sums[lane, symbol] - own, own, n)
+        sums = counts.cumsum(axis=0, dtype=np.int32)
+        value = source.value(sums[-1], n)
+        symbol = (sums <= value).sum(axis=0)
+        own = counts[symbol, lane]
+        source.take(sums[symbol, lane] - own, own, n)
         miss = symbol >= 2
         length = np.where(miss, symbol - 2, 0)
         high_bits, low_bits = _split(length)
         rows = lane * _LENGTHS + length
-        coded = model.high[rows]
-        sums = coded.cumsum(axis=1)
+        coded = model.high.take(rows, axis=1)
+        sums = coded.cumsum(axis=0, dtype=np.int32)
         asks = miss & (high_bits > 0)
-        value = source.value(np.where(asks, sums[:, -1], 1), n)
-        high = np.where(asks, (sums <= value[:, None]).sum(axis=1), 0)
-        own = coded[lane, high]
-        source.take(np.where(asks, sums[lane, high] - own, 0), np.where(asks, own, 1), n)
+        value = source.value(np.where(asks, sums[-1], 1), n)
+        high = np.where(asks, (sums <= value).sum(axis=0), 0)
+        own = coded[high, lane]
+        source.take(np.where(asks, sums[high, lane] - own, 0), np.where(asks, own, 1), n)
         at = np.flatnonzero(asks)
         model.learn_high(rows[at], high[at])
         rest = np.where(miss, low_bits, 0)
-        upper = np.zeros(n, np.int64)
-        more = rest > 14
-        if more.any():
+        upper = 0
+        more = rest > 14 if wide else rest
+        if wide and more.any():
             upper = source.value(np.where(more, 1 << np.maximum(rest - 14, 0), 1), n)
             source.take(upper, np.ones(n, np.int64), n)
             rest = np.where(more, 14, rest)
@@ -232,25 +229,26 @@ def compress(ids: np.ndarray, block: int = BLOCK_IDS) -> bytes:
     ids = np.ascontiguousarray(ids, "<u4")
     blocks = [ids[k : k + block] for k in range(0, len(ids), block)]
     parts: list[bytes] = []
+    used = int(ids.max(initial=0)).bit_length() + 1
     for k in range(0, len(blocks), LANES):
-        parts += _encode_lanes(blocks[k : k + LANES])  # only the last block may be shorter
+        parts += _encode_lanes(blocks[k : k + LANES], used)  # only the last block may be shorter
     heads = [struct.pack("<III", len(b), len(p) // 2, zlib.crc32(b.tobytes())) for b, p in zip(blocks, parts, strict=True)]
-    return b"".join([MAGIC, struct.pack("<IIQI", VERSION, block, len(ids), len(blocks)), *heads, *parts])
+    return b"".join([MAGIC, struct.pack("<IIIQI", VERSION, block, used, len(ids), len(blocks)), *heads, *parts])
 
 
 def expand(data: bytes) -> np.ndarray:
     """The ids; raises ValueError where a checksum does not hold."""
     if data[:4] != MAGIC:
         raise ValueError("these are no coded ids")
-    version, _, n, count = struct.unpack_from("<IIQI", data, 4)
+    version, _, used, n, count = struct.unpack_from("<IIIQI", data, 4)
     if version != VERSION:
         raise ValueError(f"unknown version {version}")
-    heads = np.frombuffer(data, "<u4", 3 * count, 24).reshape(-1, 3).astype(np.int64)
-    begins = 24 + 12 * count + 2 * np.concatenate([[0], heads[:, 1].cumsum()])
+    heads = np.frombuffer(data, "<u4", 3 * count, 28).reshape(-1, 3).astype(np.int64)
+    begins = 28 + 12 * count + 2 * np.concatenate([[0], heads[:, 1].cumsum()])
     parts = [data[a:b] for a, b in zip(begins, begins[1:])]  # noqa: B905
     out: list[np.ndarray] = []
     for k in range(0, count, LANES):
-        out += _decode_lanes(parts[k : k + LANES], heads[k : k + LANES, 0])
+        out += _decode_lanes(parts[k : k + LANES], heads[k : k + LANES, 0], used)
     for k, x in enumerate(out):
         if zlib.crc32(x.tobytes()) != heads[k, 2]:
             raise ValueError(f"block {k} is damaged")

@@ -28,7 +28,7 @@ from tomeweave.llm import rangecoder
 from tomeweave.llm.bpe import Recent, share
 from tomeweave.llm.common import small
 
-SEGMENT_IDS = 4_000_000
+SEGMENT_IDS = 8_000_000
 SEGMENTS = "part int, segment int, n_ids long, doc_ids array<long>, lengths array<long>, data binary"
 
 
