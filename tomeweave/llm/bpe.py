@@ -99,10 +99,15 @@ class Recent:
 
     def put(self, key, value) -> None:
         if len(self.young) >= REMEMBERED:
-            self.old = self.young.copy()
+            self.old.clear()
+            self.old.update(self.young)
             self.young.clear()  # stays the same dict, whose get() callers hold
         self.young[key] = value
 
+    def clear(self) -> None:
+        self.young.clear()
+        self.old.clear()
+
     def get(self, key):
         value = self.old.get(key)
         if value is not None:
@@ -134,6 +139,11 @@ class Codec:
         self.seen_words, self.seen_pieces = Recent(), Recent()
         self.young_words, self.young_pieces = self.seen_words.young.get, self.seen_pieces.young.get
 
+    def forget(self) -> None:
+        """At a task's end: its process stays, for tasks of other kinds."""
+        self.seen_words.clear()
+        self.seen_pieces.clear()
+
     def word(self, word: str) -> bytes:
         packed = self.young_words(word) or self.seen_words.get(word)
         if packed is None:
@@ -227,6 +237,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", name: str = "ids") ->
         own = codec(spec.value)
         for batch in texts:
             yield pd.Series([own.encode(x) for x in batch], index=batch.index, dtype=object)
+        own.forget()
 
     return docs.withColumn(name, run.asNondeterministic()(F.col(f"`{text}`").cast("string"))), name
 
@@ -242,6 +253,7 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", ids: str = "ids",
         for batch in texts:
             packed = [own.encode(x) for x in batch]
             yield pd.DataFrame({"ids": pd.Series(packed, dtype=object), "decoded": pd.Series([own.decode(x) for x in packed], dtype=object)})
+        own.forget()
 
     ids, decoded = spare(docs, ids), spare(docs, decoded)
     rows = docs.withColumn(both, run.asNondeterministic()(F.col(f"`{text}`").cast("string")))

@@ -155,6 +155,7 @@ def predict(docs: DataFrame, samples: tuple[tuple[str, str], ...], text: str = "
         own = model(shared.value)
         for batch in texts:
             yield pd.DataFrame([own.predict(x) for x in batch], columns=["lang", "score"])
+        own.seen.clear()
 
     return docs.withColumn(name, run.asNondeterministic()(F.col(f"`{text}`").cast("string"))), name
 

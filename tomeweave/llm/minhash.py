@@ -19,7 +19,7 @@ _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19
 #: Elements whose permutations are held at once.
 _CHUNK = 8192
 #: Words that a task remembers; beyond, it starts afresh.
-_REMEMBERED = 400_000
+_REMEMBERED = 200_000
 _seen: dict[bytes, int] = {}
 
 
@@ -29,6 +29,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def forget() -> None:
+    """At a task's end: its process stays, for tasks of other kinds."""
+    _seen.clear()
+
+
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the ``words``-word shingles; the whole sequence where it is shorter; none without words.
 

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from tomeweave.llm.common import cut, small, spare
 from tomeweave.llm.components import Forest, components
-from tomeweave.llm.minhash import REGISTERS, WORDS, overlap, shingles, signature
+from tomeweave.llm.minhash import REGISTERS, WORDS, forget, overlap, shingles, signature
 
 #: A link needs 100 * intersection >= PERCENT * union.
 PERCENT = 85
@@ -62,6 +62,7 @@ def _sketch(with_set: bool):
                     data, row = None, (0, None, None)
                 rows.append((*row, data) if with_set else row)
             yield pd.DataFrame(rows, columns=[f.name for f in fields]).astype({"n": "int64"})
+        forget()
 
     return run.asNondeterministic()
 

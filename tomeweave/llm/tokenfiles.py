@@ -92,6 +92,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, text: str
                     ids, doc_ids, lengths, held = [], [], [], 0
         if doc_ids:
             yield emit()
+        own.seen.clear()
 
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("d"), F.col(f"`{text}`").cast("string").alias("t"))
     order = [F.col("d").asc_nulls_first(), F.xxhash64("t"), F.col("t")]
