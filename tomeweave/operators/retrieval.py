@@ -24,7 +24,7 @@ from tomeweave.operators.chunks import RetrievalConfig
 from tomeweave.operators.lineage import cut
 
 #: Questions whose vectors are held by a task at once.
-QUESTION_BLOCK = 128
+QUESTION_BLOCK = 512
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
@@ -67,6 +67,17 @@ class Index:
         return self.weights(extra).groupBy(self.key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
 
 
+class PreparedIndex(Index):
+    """An index whose norms are kept; they hold for one kind of fit (with the question or without)."""
+
+    def __init__(self, index: Index, norms: DataFrame):
+        super().__init__(index.n, index.df, index.counts, index.key, index.analyzer)
+        object.__setattr__(self, "kept", norms)
+
+    def norms(self, extra: int = 0) -> DataFrame:
+        return self.kept
+
+
 def build_index(rows: DataFrame, key: str, analyzer: str, text: str = "text") -> Index:
     counts = gram_counts(rows, key, analyzer, text)
     return Index(rows.count(), cut(counts.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))), counts, key, analyzer)
@@ -115,49 +126,73 @@ def query_terms(question: Column) -> Column:
     return F.slice(F.transform(F.array_sort(ranked), lambda x: x["x"]), 1, 8)
 
 
-def phrase_score(terms: list[str], text: str) -> float:
-    total = 0.0
-    for term in terms:
-        count = text.count(term)
-        if count:
-            total += min(1.0, 0.55 + 0.18 * count + 0.03 * min(len(term), 8))
-    return min(total, 1.0)
+def phrase_part(term: str, count: int) -> float:
+    return min(1.0, 0.55 + 0.18 * count + 0.03 * min(len(term), 8))
+
+
+class _Sparse:
+    """Rows by gram, columns by question; only the entries that are not zero."""
+
+    def __init__(self, rows: list[np.ndarray], columns: list[np.ndarray], values: list[np.ndarray], n_rows: int, n_columns: int):
+        row, self.n = np.concatenate([np.empty(0, np.int64), *rows]).astype(np.int64), n_columns
+        order = np.argsort(row, kind="stable")
+        self.column, self.value = np.concatenate([np.empty(0, np.int64), *columns]).astype(np.int64)[order], np.concatenate([np.empty(0), *values])[order]
+        self.begin = np.concatenate([[0], np.bincount(row, minlength=n_rows).cumsum()])
+
+    def weighted(self, rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The sum of the rows, each times its weight."""
+        begin = self.begin[rows]
+        length = self.begin[rows + 1] - begin
+        at = np.repeat(begin - length.cumsum() + length, length) + np.arange(length.sum())
+        return np.bincount(self.column[at], weights=self.value[at] * np.repeat(weights, length), minlength=self.n)
+
+
+#: A term's first characters, by which its chunks are found.
+_HEAD = 4
 
 
 @dataclass
 class _Block:
-    """One block of questions as dense vectors over its own vocabularies."""
+    """One block of questions as sparse vectors over its own vocabularies."""
 
     ids: list
     terms: list[list[str]]
     grams: dict[str, int]
-    gram_idf: np.ndarray
-    vectors: np.ndarray
-    fitted: np.ndarray | None
+    vectors: _Sparse
+    fitted: _Sparse | None
     words: dict[str, int]
-    word_weights: np.ndarray
+    word_weights: _Sparse
     mean_length: float
 
+    def __post_init__(self) -> None:
+        self.heads: dict[int, list[tuple[int, str]]] = {}
+        for q, terms in enumerate(self.terms):
+            for term in terms:
+                if (at := self.grams.get(term.lower()[:_HEAD])) is not None:  # else no chunk has the term
+                    self.heads.setdefault(at, []).append((q, term))
+
     def scores(self, text: str, norm: float, analyzer: str, phrases: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Cosine, BM25 and phrase score of one chunk for every question."""
         own = Counter(c for g in ANALYZERS[analyzer](text) if (c := self.grams.get(g)) is not None)
-        cols, tf = np.fromiter(own.keys(), np.int64, len(own)), np.fromiter(own.values(), float, len(own))
-        dot = tf @ self.vectors[cols] if len(cols) else np.zeros(len(self.ids))
+        rows, tf = np.fromiter(own.keys(), np.int64, len(own)), np.fromiter(own.values(), float, len(own))
+        dot = self.vectors.weighted(rows, tf)
         if self.fitted is None:
             length = np.full(len(self.ids), norm)
         else:  # the question is part of what the idf was fitted on
-            square = norm * norm + ((tf * tf) @ self.fitted[cols] if len(cols) else 0.0)
-            length = np.sqrt(np.maximum(square, 0))
+            length = np.sqrt(np.maximum(norm * norm + self.fitted.weighted(rows, tf * tf), 0))
         cosine = np.divide(dot, length, out=np.zeros(len(self.ids)), where=length > 0)
-        return cosine, self.bm25(text), np.array([phrase_score(t, text) for t in self.terms]) if phrases else np.zeros(len(self.ids))
+        phrase = np.zeros(len(self.ids))
+        for at in own if phrases else ():
+            for q, term in self.heads.get(at, ()):
+                if count := text.count(term):
+                    phrase[q] += phrase_part(term, count)
+        return cosine, self.bm25(text), np.minimum(phrase, 1.0)
 
     def bm25(self, text: str) -> np.ndarray:
         found = tokens(text)
         own = Counter(c for g in found if (c := self.words.get(g)) is not None)
-        cols, tf = np.fromiter(own.keys(), np.int64, len(own)), np.fromiter(own.values(), float, len(own))
-        if not len(cols):
-            return np.zeros(len(self.ids))
-        return (tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(found) / self.mean_length))) @ self.word_weights[cols]
+        rows, tf = np.fromiter(own.keys(), np.int64, len(own)), np.fromiter(own.values(), float, len(own))
+        return self.word_weights.weighted(rows, tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(found) / self.mean_length)))
 
 
 def _blocks(questions: DataFrame, index: Index, bm25: Bm25, fit_question: bool) -> Iterator[_Block]:
@@ -179,30 +214,34 @@ def _blocks(questions: DataFrame, index: Index, bm25: Bm25, fit_question: bool)
                 return {}
             return {r["gram"]: r["df"] for r in df.join(F.broadcast(spark.createDataFrame(names)), "gram").collect()}  # the block's grams
 
-        gram_df, word_df = frequencies(counts, index.df), frequencies(words, bm25.df)
+        # Terms lose stopwords inside, so their heads need not be grams of the question.
+        heads = Counter(t.lower()[:_HEAD] for r in asked for t in r["terms"])
+        gram_df, word_df = frequencies([*counts, heads], index.df), frequencies(words, bm25.df)
         grams = {g: k for k, g in enumerate(gram_df)}
         df = np.array(list(gram_df.values()), float)
         total = index.n + fit_question
         plain = np.log((1 + total) / (1 + df)) + 1
-        vectors, fitted = np.zeros((len(grams), len(asked))), np.zeros((len(grams), len(asked))) if fit_question else None
-        for q, own in enumerate(counts):
-            cols = np.array([grams[g] for g in own if g in grams], np.int64)
+        rows, values, more = [], [], []
+        for own in counts:
+            at = np.array([grams[g] for g in own if g in grams], np.int64)
             tf = np.array([n for g, n in own.items() if g in grams], float)
-            idf = np.log((1 + total) / (2 + df[cols])) + 1 if fit_question else plain[cols]
+            idf = np.log((1 + total) / (2 + df[at])) + 1 if fit_question else plain[at]
             square = float(((tf * idf) ** 2).sum())
             if fit_question:
                 alone = np.array([n for g, n in own.items() if g not in grams], float)
                 square += float(((alone * (math.log((1 + total) / 2) + 1)) ** 2).sum())
-                fitted[cols, q] = idf**2 - plain[cols] ** 2
-            if square > 0:
-                vectors[cols, q] = tf * idf * idf / math.sqrt(square)
+            rows.append(at)
+            values.append(tf * idf * idf / math.sqrt(square) if square > 0 else np.zeros(len(at)))
+            more.append(idf**2 - plain[at] ** 2)
+        columns = [np.full(len(at), q) for q, at in enumerate(rows)]
         names = {g: k for k, g in enumerate(word_df)}
-        weights = np.zeros((len(names), len(asked)))
-        for q, own in enumerate(words):
-            for g, count in own.items():
-                if g in names:
-                    weights[names[g], q] = count * bm25.idf(word_df[g])
-        yield _Block([r["question_id"] for r in asked], [list(r["terms"]) for r in asked], grams, plain, vectors, fitted, names, weights, bm25.mean_length or 1.0)
+        word_rows = [np.array([names[g] for g in own if g in names], np.int64) for own in words]
+        weights = [np.array([count * bm25.idf(word_df[g]) for g, count in own.items() if g in names], float) for own in words]
+        yield _Block(
+            [r["question_id"] for r in asked], [list(r["terms"]) for r in asked], grams, _Sparse(rows, columns, values, len(grams), len(asked)),
+            _Sparse(rows, columns, more, len(grams), len(asked)) if fit_question else None, names,
+            _Sparse(word_rows, [np.full(len(x), q) for q, x in enumerate(word_rows)], weights, len(names), len(asked)), bm25.mean_length or 1.0,
+        )
 
 
 def all_scores(chunks: DataFrame, questions: DataFrame, index: Index, bm25: Bm25, fit_question: bool = False, phrases: bool = True) -> DataFrame:
