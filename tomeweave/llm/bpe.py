@@ -32,10 +32,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tomeweave.llm.common import spare
+from tomeweave.llm.common import slices, spare
 
 #: Pieces, and as many words, in each of a task's two generations of memory.
-REMEMBERED = 140_000
+REMEMBERED = 120_000
 
 
 #: Children of a node of the segment tree; the least of so few is found faster than by halving.
@@ -236,7 +236,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", name: str = "ids") ->
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = codec(spec.value)
         for batch in texts:
-            yield pd.Series([own.encode(x) for x in batch], index=batch.index, dtype=object)
+            for part in slices(batch):
+                yield pd.Series([own.encode(x) for x in part], dtype=object)
         own.forget()
 
     return docs.withColumn(name, run.asNondeterministic()(F.col(f"`{text}`").cast("string"))), name
@@ -251,8 +252,9 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", ids: str = "ids",
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = codec(spec.value)
         for batch in texts:
-            packed = [own.encode(x) for x in batch]
-            yield pd.DataFrame({"ids": pd.Series(packed, dtype=object), "decoded": pd.Series([own.decode(x) for x in packed], dtype=object)})
+            for part in slices(batch):
+                packed = [own.encode(x) for x in part]
+                yield pd.DataFrame({"ids": pd.Series(packed, dtype=object), "decoded": pd.Series([own.decode(x) for x in packed], dtype=object)})
         own.forget()
 
     ids, decoded = spare(docs, ids), spare(docs, decoded)
@@ -268,6 +270,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", name: str = "decoded")
     def run(packed: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = codec(spec.value)
         for batch in packed:
-            yield pd.Series([own.decode(x) for x in batch], index=batch.index, dtype=object)
+            for part in slices(batch):
+                yield pd.Series([own.decode(x) for x in part], dtype=object)
 
     return rows.withColumn(name, run.asNondeterministic()(F.col(f"`{ids}`"))), name

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,3 +52,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     ready(spark)
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+#: Texts whose results a task holds at once.
+SLICE = 500
+
+
+def slices(batch: pd.Series) -> Iterator[pd.Series]:
+    """A batch in small parts, so that what is made of it leaves a task part by part."""
+    for begin in range(0, len(batch), SLICE):
+        yield batch.iloc[begin : begin + SLICE]

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tomeweave.llm.automaton import Automaton, Node, compile_rules, mirrored, parse
-from tomeweave.llm.common import spare
+from tomeweave.llm.common import slices, spare
 
 
 @dataclass(frozen=True)
@@ -153,7 +153,8 @@ def _spans(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 @F.pandas_udf(T.StringType())
 def _masked(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:
-        yield pd.Series([masked(x, scan(x)) for x in batch], index=batch.index, dtype=object)
+        for part in slices(batch):
+            yield pd.Series([masked(x, scan(x)) for x in part], dtype=object)
 
 
 _spans = _spans.asNondeterministic()  # evaluated once, also below a filter
