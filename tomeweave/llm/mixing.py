@@ -25,6 +25,8 @@ from tomeweave.llm.common import WORD, spare
 
 #: Hexadecimal digits of the key that name a range: 65,536 ranges in each source.
 RANGE_DIGITS = 4
+#: Digits of the larger ranges, of which a source has 256.
+COARSE_DIGITS = 2
 WEIGHTS = (1, 2, 3)
 MOST_EPOCHS = 3
 
@@ -86,8 +88,15 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     targets = source_targets(sums).select(
         F.col("source").alias("t_source"), "source_size", "target", F.floor("target").cast("long").alias("budget")
     )
-    up_to = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranges.withColumn("offset", F.coalesce(F.sum("range_size").over(up_to), F.lit(0))).join(targets, F.col("source").eqNullSafe(F.col("t_source")))
+    # Ranges are summed in two steps, so that no task holds all ranges of a large source.
+    coarse = ranges.withColumn("coarse", F.substring("range", 1, COARSE_DIGITS))
+    tops = coarse.groupBy("source", "coarse").agg(F.sum("range_size").alias("coarse_size"))
+    top = Window.partitionBy("source").orderBy("coarse").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select(F.col("source").alias("c_source"), F.col("coarse").alias("c_coarse"), F.coalesce(F.sum("coarse_size").over(top), F.lit(0)).alias("coarse_offset"))
+    tops = tops.join(targets, F.col("c_source").eqNullSafe(F.col("t_source")))
+    fine = Window.partitionBy("source", "coarse").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    placed = coarse.withColumn("fine_offset", F.coalesce(F.sum("range_size").over(fine), F.lit(0)))
+    offsets = placed.join(tops, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("coarse") == F.col("c_coarse"))).withColumn("offset", F.col("coarse_offset") + F.col("fine_offset"))
     offsets = offsets.select(
         F.col("source").alias(names["at_source"]), F.col("range").alias(names["at_range"]), *(F.col(x).alias(names[x]) for x in ("source_size", "target", "offset", "budget"))
     )
