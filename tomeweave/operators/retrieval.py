@@ -29,9 +29,13 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
 def spread(rows: DataFrame, key: str) -> DataFrame:
-    """``rows`` over all cores: chunks come from few files, and one long document makes many of them."""
+    """``rows`` over all cores, at most four parts each: chunks come from few files, and one long document makes many of them.
+
+    What follows reads its rows in batches, so large parts need no more memory than small ones.
+    """
     spark = rows.sparkSession
-    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), F.xxhash64(key))
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(max(cores, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * cores)), F.xxhash64(key))
 
 
 def gram_counts(rows: DataFrame, key: str, analyzer: str, text: str = "text") -> DataFrame:

@@ -177,7 +177,7 @@ def g6_applies_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def g8_infer_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = _nodes(spark, sf_dir)
-    return R.infer_relations(R._pairs(nodes, ["book_id", "chapter_id"])).select("source", "target", "relation_type", "description")
+    return R.infer_relations(R.pairs_within(nodes, ["book_id", "chapter_id"])).select("source", "target", "relation_type", "description")
 
 
 @query()
