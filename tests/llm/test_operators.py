@@ -216,6 +216,21 @@ def test_keep_one(docs, empty):
     assert near_dup.keep_one(empty).count() == 0
 
 
+def test_keep_one_tells_rows_of_one_id_apart(spark):
+    def near(seed):
+        words = text_of(seed).split()
+        words[60] = "changed"
+        return " ".join(words)
+
+    copies = [(1, text_of(1)), (None, near(1)), (2, text_of(2)), (3, near(2)), (3, text_of(4))]  # copies under a null or repeated id
+    ties = [(None, text_of(5)), (None, near(5)), (7, text_of(6)), (7, near(6)), (8, text_of(8)), (8, text_of(8))]
+    own = [(None, text_of(3)), (None, None), (None, None), (3, "")]
+    left = [(d["doc_id"], d["text"]) for d in near_dup.keep_one(spark.createDataFrame(copies + ties + own, "doc_id long, text string")).collect()]
+    assert Counter(left) >= Counter(own + [(1, text_of(1)), (2, text_of(2)), (3, text_of(4)), (8, text_of(8))])
+    assert sum(x in ties[:2] for x in left) == sum(x in ties[2:4] for x in left) == 1
+    assert len(left) == 10
+
+
 def test_superminhash_estimates_jaccard():
     a, b = np.arange(1, 2001, dtype=np.uint64), np.arange(301, 2301, dtype=np.uint64)
     mix = lambda x: minhash._mixed(x)

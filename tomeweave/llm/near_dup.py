@@ -16,7 +16,7 @@ one component.
 Defined cases: null or wordless texts have an empty set, link with nothing and are
 kept; repeated rows have equal sets, so they share their component; a null id never
 becomes a component's id unless all ids of the component are null (then the id
-is null and the row is kept); an empty table gives an empty result.
+is null and ``kept`` is true of all its rows, as it goes by id; ``keep_one`` leaves one); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -169,29 +169,39 @@ def _grouped(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataFr
         united = components(cut(first.unionByName(second)))
 
     in_class = classes.select("node", "first").join(united, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = in_class.join(in_class.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("node", "component_id", "root")
+    least = F.min(F.struct(F.col("first").isNull().alias("no_id"), "first", "node"))["node"]
+    named = in_class.join(in_class.groupBy("root").agg(F.min("first").alias("component_id"), least.alias("keeper")), "root").select("node", "component_id", "keeper")
     joined = sketched.select("doc_id", "n", "node").join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    result = joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "root")
-    return result.drop("root"), result
+    result = joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "node", "keeper")
+    return result.drop("node", "keeper"), result
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with one row of each group: that of the least id (one of them where it repeats). Rows without words stay.
+    """``docs`` with one row of each group: of the least id (null last), of the least digest where that id repeats. Rows without words stay.
 
-    What leaves is found on ids alone; the texts are not shuffled where the dropped ids are few enough to broadcast.
+    What leaves is found on ids and digests alone. An id whose rows all leave is dropped by id, and only the texts of
+    ids with rows of both kinds are digested again, to be told apart by (id, digest); equal rows are one.
     """
     rows = _grouped(docs, text, doc_id)[1]
-    leaving = rows.filter("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    leaving = small(leaving, BROADCAST_IDS)
-    left = docs.join(leaving, F.col(f"`{doc_id}`").eqNullSafe(leaving["gone"]), "left_anti")
-    # An id that repeats: its rows are told apart by text, and equal rows are one.
-    again = cut(rows.filter("kept and n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("again")))
-    if again.isEmpty():
+    stays = F.col("node").isNull() | (F.col("node") == F.col("keeper")) & F.col("kept")
+    pairs = cut(rows.groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("n"), F.first(stays).alias("stays")))
+    by_id = pairs.groupBy("doc_id").agg(F.max("stays").alias("some"), F.min(F.col("stays") & (F.col("node").isNull() | (F.col("n") == 1))).alias("all"))
+    own = F.col(f"`{doc_id}`")
+    gone = small(by_id.filter("not some").select(F.col("doc_id").alias("gone")), BROADCAST_IDS)
+    left = docs.join(gone, own.eqNullSafe(gone["gone"]), "left_anti")
+    mixed = cut(by_id.filter("some and not all").select(F.col("doc_id").alias("mixed")))
+    if mixed.isEmpty():
         return left
-    again = small(again, BROADCAST_IDS)
-    several = left.join(again, F.col(f"`{doc_id}`").eqNullSafe(again["again"]), "left_semi")
+    staying = pairs.filter("stays and node is not null").join(mixed, F.col("doc_id").eqNullSafe(F.col("mixed")), "left_semi")
+    staying = small(staying.select(F.col("doc_id").alias("staying_id"), F.col("node").alias("staying_digest"), "n"), BROADCAST_IDS)
+    mixed = small(mixed, BROADCAST_IDS)
     node = spare(docs, "node")
-    chosen = several.withColumn(node, _sketch(False)(F.col(f"`{text}`").cast("string"))["node"])
-    worded = chosen.filter(F.col(node).isNotNull()).dropDuplicates([doc_id, node]).drop(node)
-    return left.join(again, F.col(f"`{doc_id}`").eqNullSafe(again["again"]), "left_anti").unionByName(worded).unionByName(chosen.filter(F.col(node).isNull()).drop(node))
+    several = left.join(mixed, own.eqNullSafe(mixed["mixed"]), "left_semi").withColumn(node, _sketch(False)(F.col(f"`{text}`").cast("string"))["node"])
+    this = own.eqNullSafe(staying["staying_id"]) & (F.col(node) == staying["staying_digest"])
+    once = several.join(staying.filter("n = 1"), this, "left_semi")
+    repeated = several.join(staying.filter("n > 1"), this, "left_semi").dropDuplicates([doc_id, node])
+    out = left.join(mixed, own.eqNullSafe(mixed["mixed"]), "left_anti")
+    for part in (once, repeated, several.filter(F.col(node).isNull())):
+        out = out.unionByName(part.drop(node))
+    return out
