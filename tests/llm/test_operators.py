@@ -350,6 +350,13 @@ def test_suffix_automaton_parses_greedily():
         assert language.SuffixAutomaton(train).phrases(text) == count
 
 
+def test_language_sample_takes_each_text_once(spark):
+    texts = [text_of(k, 20) for k in range(5)]
+    rows = spark.createDataFrame([(x, "en") for x in texts], "text string, lang string").crossJoin(spark.range(300)).drop("id")
+    assert [name for name, _ in language.sample(rows)] == ["en"]
+    assert sorted(language.sample(rows)[0][1].split()) == sorted(" ".join(texts).split())
+
+
 def test_language_frames(spark, docs, empty):
     r = random.Random(7)
     say = lambda words: " ".join(r.choice(words) for _ in range(60))

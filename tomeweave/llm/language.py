@@ -7,7 +7,7 @@ letter, estimates the cross entropy (Ziv and Merhav 1993). The language that nee
 fewest wins.
 
 The automata are fitted on a bounded sample: of each language at most ``SAMPLE_DOCS``
-labelled documents (the least by a hash of the text), up to ``SAMPLE_CHARS`` characters. Predictions read
+distinct labelled texts (the least by a hash of the text), up to ``SAMPLE_CHARS`` characters. Predictions read
 whole texts. The score is the margin to the next language, from 0 to 1.
 
 Defined cases: a null text, one without letters, or no labelled text at all gives ``und`` and
@@ -130,14 +130,15 @@ def sample(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple
     """(language, text) by name: at most SAMPLE_DOCS texts of each language and SAMPLE_CHARS characters of them go to the driver."""
     rows = labelled.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
     rows = rows.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(1 << 40)))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    # Copies share their hash, so distinct texts are counted and ranked, not rows.
+    counts = {r["lang"]: r["count"] for r in rows.select("lang", F.xxhash64("text")).distinct().groupBy("lang").count().collect()}
     if not counts:
         return ()
     # A share of each language that surely holds enough is found without a sort; only those few are ranked.
     share = F.lit(None).cast("double")
     for name, n in counts.items():
         share = F.when(F.col("lang") == name, F.lit(min(1.0, 4 * SAMPLE_DOCS / n))).otherwise(share)
-    few = rows.filter(F.col("h") < share * float(1 << 40))
+    few = rows.filter(F.col("h") < share * float(1 << 40)).distinct()
     first = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("rank") <= SAMPLE_DOCS)
     held = first.select("lang", "rank", F.substring("text", 1, SAMPLE_CHARS).alias("text")).orderBy("lang", "rank").collect()
     texts: dict[str, str] = {}
