@@ -156,6 +156,31 @@ def test_evaluation(spark):
     assert questions.choose_best(worse).first()["config_name"] == "b"
 
 
+def test_choose_best_evaluates_the_whole_grid(spark, monkeypatch):
+    from tomeweave.plans import knowledge as plan
+
+    seen, built, indexed = [], [], []
+
+    def evaluate(chunks, asked, c, name, index, bm25):
+        seen.append((c, built[-1] == (c.chunk_size, c.overlap), index == c.analyzer))
+        recall = 0.9 if name == "chunk1200_ov60_char_2_5_base" else 0.5
+        return spark.createDataFrame([(name, recall, 0.1, 0.1, 0.1)], "config_name string, recall_at_5 double, citation_accuracy double, answer_accuracy double, mrr double")
+
+    def build(pages, c):
+        built.append((c.chunk_size, c.overlap))
+        return pages
+
+    monkeypatch.setattr(plan, "_expected", lambda *_: None)
+    monkeypatch.setattr(plan, "chapters", lambda *_: spark.range(1))
+    monkeypatch.setattr(plan, "build_chunks", build)
+    monkeypatch.setattr(plan, "build_bm25", lambda chunks: None)
+    monkeypatch.setattr(plan, "build_index", lambda chunks, key, analyzer: indexed.append(analyzer) or analyzer)
+    monkeypatch.setattr(plan.B, "evaluate", evaluate)
+    assert plan.b15_choose_best(spark, "").first()["config_name"] == "chunk1200_ov60_char_2_5_base"
+    assert {c for c, _, _ in seen} == set(plan.B.grid()) and len(seen) == 48 and all(a and b for _, a, b in seen)
+    assert len(built) == 12 and len(indexed) == 24
+
+
 def test_grams():
     assert grams.char_ngrams("Ab  c", 2, 3) == ["ab", "b ", " c", "ab ", "b c"]
     assert grams.char_wb_ngrams("a bc", 2, 4) == [" a", "a ", " a ", " b", "bc", "c ", " bc", "bc ", " bc "]

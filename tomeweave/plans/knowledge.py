@@ -11,6 +11,7 @@ from tomeweave.operators import questions as B
 from tomeweave.operators import relations as R
 from tomeweave.operators import terms as K
 from tomeweave.operators.chunks import build_chunks
+from tomeweave.operators.lineage import cut
 from tomeweave.operators.retrieval import build_bm25, build_index, retrieve
 from tomeweave.plans.retrieval import CONFIG, answers_sql, corpus, corpus_sql, questions, ranked_sql
 from tomeweave.plans.tables import chapters, chapters_sql, cjk_sql, projected, projected_sql, strip_sql, table
@@ -311,15 +312,19 @@ def b14_context_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def b15_choose_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The grid's rows over one chunking: both analyzers with and without the rerank; each pair shares an index."""
-    asked, out = _expected(spark, sf_dir), None
-    configs = [c for c in B.grid() if (c.chunk_size, c.overlap) == (800, 80)]
-    chunks = build_chunks(chapters(spark, sf_dir), configs[0]).persist()
-    bm25 = build_bm25(chunks)
-    for analyzer in ("char_wb_2_4", "char_2_5"):
-        index = build_index(chunks, "chunk_id", analyzer)
-        for c in configs:
-            if c.analyzer == analyzer:
-                row = B.evaluate(chunks, asked, c, f"chunk800_ov80_{analyzer}_{'phrase' if c.phrase_rerank else 'base'}", index, bm25)
-                out = row if out is None else out.unionByName(row)
+    """The best row of the whole grid. A chunking is built once, an index once per analyzer; each chunking's rows go to the shared folder."""
+    asked, pages, out = _expected(spark, sf_dir), chapters(spark, sf_dir), None
+    for size, overlap in dict.fromkeys((c.chunk_size, c.overlap) for c in B.grid()):
+        configs = [c for c in B.grid() if (c.chunk_size, c.overlap) == (size, overlap)]
+        chunks, rows = build_chunks(pages, configs[0]).persist(), None
+        bm25 = build_bm25(chunks)
+        for analyzer in dict.fromkeys(c.analyzer for c in configs):
+            index = build_index(chunks, "chunk_id", analyzer)
+            for c in configs:
+                if c.analyzer == analyzer:
+                    row = B.evaluate(chunks, asked, c, f"chunk{size}_ov{overlap}_{analyzer}_{'phrase' if c.phrase_rerank else 'base'}", index, bm25)
+                    rows = row if rows is None else rows.unionByName(row)
+        rows = cut(rows)
+        chunks.unpersist()
+        out = rows if out is None else out.unionByName(rows)
     return B.choose_best(out)
