@@ -111,6 +111,28 @@ def test_similar_pairs_equal_brute_force(spark):
     assert {(x["a"], x["b"]) for x in simjoin.similar_pairs(nodes).collect()} == want
 
 
+def test_copies_meet_once_and_cluster_as_if_listed(spark, monkeypatch):
+    r, seen, pairs = random.Random(5), [], simjoin._pairs
+    names = [" ".join(r.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(2)) for _ in range(60)] + ["hot copy"] * 40
+    r.shuffle(names)
+    nodes = spark.createDataFrame([(k, k, f"b{r.randrange(3)}", x, "") for k, x in enumerate(names)], "node_id long, node_ord long, book_id string, name string, definition string")
+
+    def count(own, first, threshold):
+        found = pairs(own, first, threshold)
+        seen.append((first.count(), found.count()))
+        return found
+
+    monkeypatch.setattr(simjoin, "_pairs", count)
+    found = {x["node_id"]: x["leader_id"] for x in simjoin.clusters(nodes).collect()}
+    listed = simjoin.similar_pairs(nodes)
+    assert found == {x["node_id"]: x["leader_id"] for x in simjoin.leader_clusters(nodes, listed).collect()}
+    books = {x["node_id"]: x["book_id"] for x in nodes.collect()}
+    hot = [k for k, x in enumerate(names) if x == "hot copy"]
+    got = {(x["a"], x["b"]) for x in listed.collect()}
+    assert {(a, b) for a in hot for b in hot if a < b and books[a] != books[b]} <= got and all(a < b for a, b in got)
+    assert all(n <= 3 * 17 and m < len(got) / 4 for n, m in seen)
+
+
 @pytest.mark.parametrize("chars", [50, 400, 100_000])
 def test_trim_equals_the_plain_loop(spark, chars):
     r = random.Random(chars)

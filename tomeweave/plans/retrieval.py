@@ -260,5 +260,4 @@ def i3_similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def i4_leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = name_nodes(spark, sf_dir)
-    return J.leader_clusters(nodes, J.similar_pairs(nodes))
+    return J.clusters(name_nodes(spark, sf_dir))
