@@ -133,6 +133,19 @@ def test_copies_meet_once_and_cluster_as_if_listed(spark, monkeypatch):
     assert all(n <= 3 * 17 and m < len(got) / 4 for n, m in seen)
 
 
+def test_integration_queries_group_similar_singletons(spark, monkeypatch):
+    from tomeweave.plans import fusion
+
+    names = [("a", "Cell membrane"), ("b", "cell membrane"), ("a", "liver protein synthesis"), ("b", "liver protein syntheses"), ("a", "thermodynamics")]
+    rows = [(f"n{k}", k, name, f"{name} text", "", book, book, "c", 1, "x", 0.5) for k, (book, name) in enumerate(names)]
+    schema = "node_id string, node_ord long, name string, definition string, source_text string, book_id string, book_title string, chapter string, page int, category string, quality_score double"
+    monkeypatch.setattr(fusion, "nodes", lambda *_: spark.createDataFrame(rows, schema))
+    mapped = {x["node_id"]: x["integrated_id"] for x in fusion.i7_node_map(spark, "").collect()}
+    assert mapped["n0"] == mapped["n1"] != mapped["n2"] == mapped["n3"] and mapped["n4"] == "n4"
+    decided = sorted((x["action"], x["n_affected"]) for x in fusion.i6_decisions(spark, "").collect())
+    assert decided == [("keep", 1), ("merge", 2), ("merge", 2)]
+
+
 @pytest.mark.parametrize("chars", [50, 400, 100_000])
 def test_trim_equals_the_plain_loop(spark, chars):
     r = random.Random(chars)

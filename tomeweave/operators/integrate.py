@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tomeweave import lexicon
 from tomeweave.functions.text import merge_key
+from tomeweave.operators.simjoin import clusters
 
 TARGET_RATIO = 0.3
 CHARS_PER_KEPT = 40
@@ -30,6 +31,13 @@ def with_clusters(grouped: DataFrame, leaders: DataFrame) -> DataFrame:
     return joined.join(joined.groupBy("group_key").agg(F.count(F.lit(1)).alias("group_size")), "group_key")
 
 
+def similar_groups(nodes: DataFrame) -> DataFrame:
+    """Groups by exact name; the singletons left are clustered by similar name and definition."""
+    grouped = exact_name_groups(nodes)
+    single = grouped.filter("group_size = 1").drop("group_key", "group_size")
+    return grouped if single.isEmpty() else with_clusters(grouped, clusters(single))
+
+
 def _first_longest(value: str, length: Column) -> Column:
     return F.max_by(value, F.struct(length, -F.col("node_ord")))
 

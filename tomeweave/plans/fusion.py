@@ -122,7 +122,7 @@ def i1_exact_name_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.exact_name_groups(nodes(spark, sf_dir))
+    return I.similar_groups(nodes(spark, sf_dir))
 
 
 _MERGED = f"""
