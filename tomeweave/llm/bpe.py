@@ -1,19 +1,22 @@
-"""BPE encoding and decoding with a segment tree over adjacent pair ranks.
+"""BPE encoding and decoding with segment trees over adjacent pair ranks.
 
 The vocabulary is that of a public tokenizer file (a parameter); nothing is
 trained. A word's symbols stand in a linked list; a segment tree holds, for each
 symbol, the rank of its pair with the next one. The root is the leftmost pair of
 the lowest rank. A merge changes three leaves, each in logarithmic time, and
-merging ends when no leaf holds a rank.
+merging ends when no leaf holds a rank. The words that a slice of texts has and its task does not know
+are merged together: each has a tree of its own (a row), and a step takes every row's root. Words of
+more than ``ROW_SYMBOLS`` symbols have their trees to themselves.
 
 The file's own normaliser and word splitter (they define what a word is) come from
 the tokenizers library; merging, ids and decoding are done here. Blanks never join
 or normalise with what surrounds them, so texts are handled piece by piece between
-ASCII blanks, and each task remembers the pieces it has seen, up to a bound.
+ASCII blanks (this holds for a file whose words never reach over a blank; others are refused),
+and each task remembers the pieces it has seen, up to a bound.
 
 Defined cases: a null text counts as empty and encodes to no ids; an empty list
 decodes to the empty string; a null list decodes to null; words of any length are
-merged whole; strings of special tokens become their ids; added columns give way
+merged whole; strings of special tokens become their ids; unknown ids decode to nothing; added columns give way
 to columns of the input with the same name. Ids are packed as little-endian
 unsigned 32-bit integers in a binary column.
 """
@@ -26,6 +29,7 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -37,13 +41,107 @@ from tomeweave.llm.common import slices, spare
 #: Pieces, and as many words, in each of a task's two generations of memory.
 REMEMBERED = 120_000
 
-
-#: Children of a node of the segment tree; the least of so few is found faster than by halving.
-FAN = 16
+#: Letters beyond which a piece or word is not remembered after its slice.
+LONG_PIECE = 100
+#: Symbols of a row at most, and rows merged together.
+ROW_SYMBOLS, ROWS = 64, 8192
+
+
+class Pairs:
+    """Ranks of pairs of symbols in an open-addressing table, for many pairs at once."""
+
+    NONE = np.int32(2**31 - 1)
+
+    def __init__(self, pairs: dict[int, int]):
+        self.bits = max(4, (4 * len(pairs)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.ranks = np.full(1 << self.bits, self.NONE, np.int32)
+        slots = self._slots(np.fromiter(pairs, np.int64, len(pairs))).tolist()
+        for (key, rank), slot in zip(pairs.items(), slots, strict=True):
+            while self.keys[slot] >= 0:
+                slot = (slot + 1) & ((1 << self.bits) - 1)
+            self.keys[slot], self.ranks[slot] = key, rank
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """A rank for each key; NONE where the pair never merges."""
+        slot = self._slots(keys)
+        there = self.keys.take(slot)
+        out = self.ranks.take(slot)
+        again = np.flatnonzero((there != keys) & (there >= 0))
+        out[there != keys] = self.NONE
+        while len(again):
+            slot[again] = (slot[again] + 1) & ((1 << self.bits) - 1)
+            there = self.keys.take(slot[again])
+            hit = there == keys[again]
+            out[again[hit]] = self.ranks.take(slot[again[hit]])
+            again = again[~hit & (there >= 0)]
+        return out
+
+
+def merge_rows(symbols: np.ndarray, pairs: Pairs, made: np.ndarray, base: int) -> np.ndarray:
+    """Merges every row of ``symbols`` (a power of two wide, ended by the number ``base - 1``, that no pair has) until no pair is left.
+
+    A node of a row's tree holds rank * width + place, so its root is the leftmost of the lowest rank. Gone symbols become -1.
+    """
+    n, width = symbols.shape
+    shift, end = width.bit_length() - 1, base - 1
+    none = np.int64(Pairs.NONE) << shift
+    # One more column stands for "no symbol" on either side.
+    flat = np.full((n, width + 1), end, np.int64)
+    flat[:, :width] = symbols
+    place = np.arange(width)
+    tree = np.empty((n, 2 * width), np.int64)
+    tree[:, 0] = none
+    ranks = pairs.find((flat[:, :-1] * base + flat[:, 1:]).ravel()).reshape(n, width).astype(np.int64)
+    tree[:, width:] = np.where(ranks == Pairs.NONE, none, (ranks << shift) + place)
+    level = width
+    while level > 1:
+        half = level // 2
+        tree[:, half:level] = np.minimum(tree[:, level : 2 * level : 2], tree[:, level + 1 : 2 * level : 2])
+        level = half
+    after, before = np.empty((n, width + 1), np.int64), np.empty((n, width + 1), np.int64)
+    after[:, :width], before[:, 1:] = place + 1, place
+    after[:, width], before[:, 0] = width, width
+    flat, tree, after, before = flat.ravel(), tree.ravel(), after.ravel(), before.ravel()
+    rows = np.arange(n)
+    while True:
+        top = tree.take(rows * (2 * width) + 1)
+        going = top < none
+        if not going.all():
+            rows, top = rows[going], top[going]
+        if not len(rows):
+            break
+        at, node = rows * (width + 1), rows * (2 * width)
+        k, new = top & (width - 1), made.take(top >> shift)
+        gone = after.take(at + k)
+        then, prior = after.take(at + gone), before.take(at + k)
+        flat[at + k], flat[at + gone] = new, -1
+        after[at + k], before[at + then] = then, k
+        before[at] = np.where(k == 0, width, before[at])
+        flat[at + width] = end
+        right = pairs.find(new * base + flat.take(at + then)).astype(np.int64)
+        left = pairs.find(flat.take(at + prior) * base + new).astype(np.int64)
+        # Three leaves change: the pairs of the merged symbol, of the one before, and of the one gone.
+        tree[node + width + gone] = none
+        tree[node + width + k] = np.where(right == Pairs.NONE, none, (right << shift) + k)
+        first = prior == width
+        prior = np.where(first, k, prior)
+        tree[node + width + prior] = np.where(first, tree.take(node + width + k), np.where(left == Pairs.NONE, none, (left << shift) + prior))
+        for leaf in (gone, k, prior):
+            up = (leaf + width) >> 1
+            while up[0]:
+                below = node + 2 * up
+                tree[node + up] = np.minimum(tree.take(below), tree.take(below + 1))
+                up = up >> 1
+    out = flat.reshape(n, width + 1)[:, :width]
+    return np.where(out == end, -1, out)
 
 
 def merge_pairs(symbols: list[int], ranks: dict[int, int], made: list[int], base: int) -> list[int]:
-    """Merges the leftmost pair of the lowest rank until none is left.
+    """The same for one word of any length: merges the leftmost pair of the lowest rank until none is left.
 
     ``ranks`` maps left * base + right to the pair's rank, ``made`` a rank to the merged symbol.
     """
@@ -51,74 +149,72 @@ def merge_pairs(symbols: list[int], ranks: dict[int, int], made: list[int], base
     if n < 2:
         return symbols
     rank_of, none = ranks.get, len(made) * n
-    found = [rank_of(a * base + b) for a, b in zip(symbols, symbols[1:])]  # noqa: B905
-    # A leaf's value orders by rank and then by place, so the root is the leftmost of the lowest.
-    leaves = [none if r is None else r * n + k for k, r in enumerate(found)]
-    levels = [leaves]
-    while len(levels[-1]) > FAN:
-        below = levels[-1]
-        levels.append([min(below[k : k + FAN]) for k in range(0, len(below), FAN)])
-    root = levels[-1]
-    if min(root) == none:
-        return symbols
+    width = 1 << (n - 1).bit_length()
+    tree = [none] * (2 * width)
+    for k, (a, b) in enumerate(zip(symbols, symbols[1:])):  # noqa: B905
+        if (rank := rank_of(a * base + b)) is not None:
+            tree[width + k] = rank * n + k
+    for k in range(width - 1, 0, -1):
+        tree[k] = min(tree[2 * k], tree[2 * k + 1])
+
+    def put(k: int, rank: int | None) -> None:
+        node = width + k
+        tree[node] = none if rank is None else rank * n + k
+        while node > 1:
+            node >>= 1
+            least = min(tree[2 * node], tree[2 * node + 1])
+            if tree[node] == least:
+                break
+            tree[node] = least
+
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     symbols = symbols.copy()
-    while (top := min(root)) < none:
+    while (top := tree[1]) < none:
         rank, k = divmod(top, n)
         gone = after[k]
         symbols[k] = new = made[rank]
         symbols[gone] = -1
         then = after[k] = after[gone]
         prior = before[k]
-        # Three leaves change: the pairs of the merged symbol, of the one before, and of the one gone.
-        leaves[k] = none
+        put(gone, None)
         if then < n:
             before[then] = k
-            rank = rank_of(new * base + symbols[then])
-            if rank is not None:
-                leaves[k] = rank * n + k
-            leaves[gone] = none
+            put(k, rank_of(new * base + symbols[then]))
+        else:
+            put(k, None)
         if prior >= 0:
-            rank = rank_of(symbols[prior] * base + new)
-            leaves[prior] = none if rank is None else rank * n + prior
-        if root is not leaves:
-            changed = {k, gone, max(prior, 0)}
-            for below, level in zip(levels, levels[1:]):  # noqa: B905
-                changed = {x // FAN for x in changed if x < len(below)}
-                for x in changed:
-                    level[x] = min(below[x * FAN : x * FAN + FAN])
+            put(prior, rank_of(symbols[prior] * base + new))
     return [x for x in symbols if x >= 0]
 
 
 class Recent:
-    """What was seen last, in two generations of at most ``REMEMBERED`` entries."""
+    """What was seen last, in two generations; the young one is filled beyond ``most`` by one slice at most."""
 
-    def __init__(self) -> None:
+    def __init__(self, most: int) -> None:
+        self.most = most
         self.young: dict = {}
         self.old: dict = {}
 
-    def put(self, key, value) -> None:
-        if len(self.young) >= REMEMBERED:
-            self.old.clear()
-            self.old.update(self.young)
-            self.young.clear()  # stays the same dict, whose get() callers hold
-        self.young[key] = value
+    def turn(self) -> None:
+        """Before a slice: a full generation grows old."""
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
 
-    def clear(self) -> None:
-        self.young.clear()
-        self.old.clear()
+    def missing(self, wanted: set) -> list:
+        """Takes what is known of ``wanted`` into the young generation and returns the rest."""
+        new = wanted - self.young.keys()
+        known = new & self.old.keys()
+        self.young.update({x: self.old[x] for x in known})
+        return list(new - known)
 
-    def get(self, key):
-        value = self.old.get(key)
-        if value is not None:
-            self.put(key, value)
-        return value
+    def clear(self) -> None:
+        self.young, self.old = {}, {}
 
 
 class Codec:
     """Encodes and decodes by a tokenizer file's JSON text."""
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         library, parsed = Tokenizer.from_str(spec), json.loads(spec)
@@ -130,57 +226,152 @@ class Codec:
         self.vocab, self.suffix = model["vocab"], model.get("end_of_word_suffix") or ""
         self.special = {x["content"]: x["id"] for x in parsed["added_tokens"]}
         self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.base = max([*self.vocab.values(), *self.special.values()]) + 1
+        plain = lambda x: [word for word, _ in self.words(self.normalise(x))]
+        if any(plain(a + blank + b) != plain(a) + plain(b) for blank in " \t\n" for a, b in (("a", "b"), ("1", "2"), ("!", "?"), ("a.", "b"), ("a", "."))):
+            raise ValueError("this tokenizer file's words may reach over a blank")
+        last = max([*self.vocab.values(), *self.special.values()])
+        self.base = last + 2  # the number last + 1 is no symbol
         pairs = [x.split(" ") if isinstance(x, str) else x for x in model["merges"]]
         self.ranks = {self.vocab[a] * self.base + self.vocab[b]: k for k, (a, b) in enumerate(pairs)}
         self.made = [self.vocab[a + b] for a, b in pairs]
-        self.tokens = {v: k for k, v in {**self.vocab, **self.special}.items()}
+        self.pairs, self.made_row = Pairs(self.ranks), np.array(self.made, np.int64)
+        single = [x for x in self.vocab if len(x) == 1]
+        self.inner = np.full(max(map(ord, single)) + 2, -1, np.int64)  # the last entry: letters that the vocabulary lacks
+        self.final = self.inner.copy()
+        for x in single:
+            self.inner[ord(x)] = self.vocab[x]
+            self.final[ord(x)] = self.vocab.get(x + self.suffix, -1)
+        names = {v: k for k, v in {**self.vocab, **self.special}.items()}
+        self.tokens = [names.get(k) for k in range(last + 1)]
         self.plain = _plain_pattern(parsed)
-        self.seen_words, self.seen_pieces = Recent(), Recent()
-        self.young_words, self.young_pieces = self.seen_words.young.get, self.seen_pieces.young.get
+        self.plain_or_break = re.compile(self.plain.pattern + "|\n") if self.plain else None
+        self.seen_words, self.seen_pieces = Recent(remembered), Recent(remembered)
 
     def forget(self) -> None:
         """At a task's end: its process stays, for tasks of other kinds."""
         self.seen_words.clear()
         self.seen_pieces.clear()
 
-    def word(self, word: str) -> bytes:
-        packed = self.young_words(word) or self.seen_words.get(word)
-        if packed is None:
-            get = self.vocab.get
-            symbols = [get(x) for x in word[:-1]]
-            symbols.append(get(word[-1] + self.suffix))
-            if None in symbols:
-                symbols = [x for x in symbols if x is not None]
-            packed = pack(merge_pairs(symbols, self.ranks, self.made, self.base))
-            if len(word) < 100:
-                self.seen_words.put(word, packed)
-        return packed
-
-    def piece(self, piece: bytes) -> bytes:
-        """The packed ids of a text without ASCII blanks."""
-        packed = self.seen_pieces.get(piece)
-        if packed is not None:
-            return packed
+    def merged(self, words: list[str]) -> list[bytes]:
+        """The packed ids of words that are not empty."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        letters = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+        letters = np.minimum(letters, len(self.inner) - 1).astype(np.int64)
+        symbols, ends = self.inner.take(letters), lengths.cumsum() - 1
+        symbols[ends] = self.final.take(letters[ends])
+        known = symbols >= 0
+        if not known.all():
+            lengths = np.add.reduceat(known.astype(np.int64), np.concatenate([[0], ends[:-1] + 1]))
+            symbols = symbols[known]
+        begins = np.concatenate([[0], lengths.cumsum()])
+        out: list[bytes] = [b""] * len(words)
+        least, width = 0, 4
+        while width <= ROW_SYMBOLS:
+            chosen = np.flatnonzero((lengths > least) & (lengths <= width))
+            for part in range(0, len(chosen), ROWS):
+                mine = chosen[part : part + ROWS]
+                own, place = lengths[mine], np.arange(width)
+                inside = place < own[:, None]
+                rows = np.full((len(mine), width), self.base - 1, np.int64)
+                rows[inside] = symbols[np.repeat(begins[mine] - own.cumsum() + own, own) + np.arange(own.sum())]
+                rows = merge_rows(rows, self.pairs, self.made_row, self.base)
+                left = rows >= 0
+                data, stops = rows[left].astype("<u4").tobytes(), (4 * left.sum(axis=1).cumsum()).tolist()
+                start = 0
+                for word, stop in zip(mine.tolist(), stops, strict=True):
+                    out[word] = data[start:stop]
+                    start = stop
+            least, width = width, width * 2
+        for word in np.flatnonzero(lengths > least).tolist():
+            out[word] = pack(merge_pairs(symbols[begins[word] : begins[word + 1]].tolist(), self.ranks, self.made, self.base))
+        return out
+
+    def words_of(self, piece: str) -> list[str]:
+        """The words of a text without ASCII blanks, as the file splits it; special tokens are words."""
         out = []
-        for part in self.split.split(piece.decode()) if self.split else [piece.decode()]:
+        for part in self.split.split(piece) if self.split else [piece]:
             if part in self.special:
-                out.append(pack([self.special[part]]))
-            elif self.plain and part.isascii() and part.isprintable():
-                out += map(self.word, self.plain.findall(part.lower()))
+                out.append(part)
             elif part:
-                out += [self.word(word) for word, _ in self.words(self.normalise(part))]
-        packed = b"".join(out)
-        if len(piece) < 100:
-            self.seen_pieces.put(piece, packed)
-        return packed
+                out += [word for word, _ in self.words(self.normalise(part))]
+        return out
+
+    def _plain_words(self, pieces: list[str]) -> list[list[str]]:
+        """The same for pieces of printable ASCII without special tokens, by the file's pattern, in one go."""
+        out: list[list[str]] = [[]]
+        for word in self.plain_or_break.findall("\n".join(pieces).lower()):
+            if word == "\n":
+                out.append([])
+            else:
+                out[-1].append(word)
+        return out
+
+    def _other_words(self, pieces: list[str]) -> list[list[str]]:
+        """The same for other pieces without special tokens, by the library in one go; piece by piece where blanks of other kinds blur the ends."""
+        each = self.normalise(" ".join(pieces)).split(" ")
+        if len(each) != len(pieces):
+            return [self.words_of(x) for x in pieces]
+        out, end, at = [[] for _ in pieces], len(each[0]), 0
+        for word, (start, _) in self.words(" ".join(each)):
+            while start >= end:
+                at += 1
+                end += 1 + len(each[at])
+            out[at].append(word)
+        return out
+
+    def resolve(self, unknown: list[bytes]) -> dict[bytes, bytes]:
+        """The packed ids of pieces."""
+        text = [x.decode() for x in unknown]
+        plain, other, slow = [], [], []
+        for k, x in enumerate(text):
+            if self.split and self.split.search(x):
+                slow.append(k)
+            elif self.plain and x.isascii() and x.isprintable():
+                plain.append(k)
+            else:
+                other.append(k)
+        parts: list[list[str]] = [[]] * len(text)
+        for chosen, split in ((plain, self._plain_words), (other, self._other_words), (slow, lambda own: [self.words_of(x) for x in own])):
+            if chosen:
+                for k, words in zip(chosen, split([text[k] for k in chosen]), strict=True):
+                    parts[k] = words
+        self.seen_words.turn()
+        fresh = self.seen_words.missing({word for words in parts for word in words})
+        known = self.seen_words.young
+        if fresh:
+            known.update(zip(fresh, self.merged(fresh), strict=True))
+        specials = {word: pack([self.special[word]]) for k in slow for word in parts[k] if word in self.special}
+        known.update(specials)
+        found = {x: known[words[0]] if len(words) == 1 else b"".join([known[word] for word in words]) for x, words in zip(unknown, parts, strict=True)}
+        for word in [*specials, *(word for word in fresh if len(word) > LONG_PIECE)]:
+            known.pop(word, None)
+        return found
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The packed ids of texts, which share the merging of words that are new."""
+        self.seen_pieces.turn()
+        pieces = [(x or "").encode().split() for x in texts]
+        unknown = self.seen_pieces.missing(set().union(*pieces))
+        known = self.seen_pieces.young
+        if unknown:
+            known.update(self.resolve(unknown))
+        out = [b"".join(map(known.__getitem__, own)) for own in pieces]
+        for piece in unknown:
+            if len(piece) > LONG_PIECE:
+                del known[piece]
+        return out
 
     def encode(self, text: str | None) -> bytes:
-        seen, piece = self.young_pieces, self.piece
-        return b"".join([seen(x) or piece(x) for x in (text or "").encode().split()])
+        return self.encode_all([text])[0]
 
     def decode(self, packed: bytes | None) -> str | None:
-        return None if packed is None else " ".join([self.tokens[x] for x in unpack(packed) if x in self.tokens])
+        if packed is None:
+            return None
+        ids = unpack(packed)
+        try:
+            return " ".join(map(self.tokens.__getitem__, ids))
+        except (IndexError, TypeError):  # ids that the vocabulary lacks
+            return " ".join([self.tokens[x] for x in ids if x < len(self.tokens) and self.tokens[x] is not None])
 
 
 def _plain_pattern(parsed: dict) -> re.Pattern | None:
@@ -218,8 +409,8 @@ _BIG = array("H", [1]).tobytes() == b"\x00\x01"
 
 
 @lru_cache(maxsize=2)
-def codec(spec: str) -> Codec:
-    return Codec(spec)
+def codec(spec: str, remembered: int = REMEMBERED) -> Codec:
+    return Codec(spec, remembered)
 
 
 def share(spark: SparkSession, path: str) -> Broadcast:
@@ -228,32 +419,32 @@ def share(spark: SparkSession, path: str) -> Broadcast:
         return spark.sparkContext.broadcast(file.read())
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", name: str = "ids") -> tuple[DataFrame, str]:
+def encode(docs: DataFrame, path: str, text: str = "text", name: str = "ids", remembered: int = REMEMBERED) -> tuple[DataFrame, str]:
     """``docs`` with the packed ids of ``text``; also returns that column's name."""
     spec, name = share(docs.sparkSession, path), spare(docs, name)
 
     @F.pandas_udf(T.BinaryType())
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = codec(spec.value)
+        own = codec(spec.value, remembered)
         for batch in texts:
             for part in slices(batch):
-                yield pd.Series([own.encode(x) for x in part], dtype=object)
+                yield pd.Series(own.encode_all(part.tolist()), dtype=object)
         own.forget()
 
     return docs.withColumn(name, run.asNondeterministic()(F.col(f"`{text}`").cast("string"))), name
 
 
-def round_trip(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> tuple[DataFrame, str, str]:
+def round_trip(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", remembered: int = REMEMBERED) -> tuple[DataFrame, str, str]:
     """``docs`` with the packed ids of ``text`` and the text decoded from them, in one pass; also returns the columns' names."""
     spec, both = share(docs.sparkSession, path), spare(docs, "both")
     fields = [T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]
 
     @F.pandas_udf(T.StructType(fields))
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = codec(spec.value)
+        own = codec(spec.value, remembered)
         for batch in texts:
             for part in slices(batch):
-                packed = [own.encode(x) for x in part]
+                packed = own.encode_all(part.tolist())
                 yield pd.DataFrame({"ids": pd.Series(packed, dtype=object), "decoded": pd.Series([own.decode(x) for x in packed], dtype=object)})
         own.forget()
 
