@@ -1,16 +1,19 @@
 """Adaptive context-mixing range coder for token ids, in blocks that are reset and checked one by one.
 
-An id is coded in up to three decisions. The first, of an adaptive mixed distribution, says
-whether the order-2 prediction (the id that last followed the two ids before) is right,
-or the order-1 prediction, or else the id's bit length. The distribution adds the counts
-of the context (how sure either prediction is) to those of order 0. Without a hit follow the three bits
-below the leading one, by adaptive order-0 counts per length, and the remaining bits as they are.
-
-Blocks know nothing of each other, so many are coded in step: every variable is an array with a
-lane per block. Bytes do not depend on the number of lanes.
-
-Layout of the result (little-endian): ``TWID``, version, block length, bit lengths, ids, blocks; per block its
-ids, its 16-bit units and the crc32 of its ids; then all blocks' units.
+Three orders predict an id. Order 2 names one id, the last that followed the two ids before, with a
+confidence (how often it has followed without fail). Order 1 gives each id that has followed the id
+before its share of those counts, order 0 each id of the block so far its share of all. An id that none
+of them knows is written as it is. The orders are mixed by weights: in each class of confidence (order
+2's, and how often order 1's context has been seen) they are the shares of the ids that the orders
+were the first to know, highest order first, with the shares of like classes as a prior. Weight and prediction give the interval that is coded.
+
+The model learns in rounds: what it knows is counted anew whenever the block has doubled. Between
+rounds it stands still, so an id's interval does not wait for the ids beside it, and a round is parted into lanes
+that are coded in step, each array with one entry a lane. A lane begins without context. All
+arithmetic is on whole numbers, so files read alike everywhere.
+
+Layout of the result (little-endian): ``TWID``, version, block length, ids, blocks; per block its ids, its lanes, the bits
+of an unknown id, the length of its code in 16-bit units and the crc32 of its ids; then for each block the units of every lane and the lanes' units.
 """
 
 from __future__ import annotations
@@ -20,236 +23,351 @@ import zlib
 
 import numpy as np
 
-MAGIC, VERSION = b"TWID", 1
-BLOCK_IDS = 4096
-#: Lanes coded at once; more blocks go in further groups.
-LANES = 2048
-_SLOTS = 4096
-_LENGTHS = 33
-_TOP, _UNIT, _LOW32 = 1 << 32, 16, (1 << 32) - 1
-_STEP = 32
+MAGIC, VERSION = b"TWID", 2
+BLOCK_IDS = 1 << 21
+#: Ids of the first round; lanes at most, and the ids that a lane has at least before there are more.
+FIRST, LANES, LANE_IDS = 512, 2048, 64
+_UNIT, _REST = 16, 46
+_LEAST, _MASK = 1 << _REST, (1 << _REST) - 1
+_WEIGHT_BITS, _PRIOR = 12, 16
+_CONTEXTS, _PLACES = 1 << 17, 1 << 18
+_SURE = 15
+#: Order 2 is asked in a class only where at least one in this many of its predictions came true.
+_WORTH = 8
+
+
+def _bit_length(x: np.ndarray) -> np.ndarray:
+    return np.frexp(x.astype(float))[1]
+
+
+def _places(last: np.ndarray, before: np.ndarray) -> np.ndarray:
+    return ((last * 0x9E3779B1 + before * 0x85EBCA77) >> 7) & (_PLACES - 1)
+
+
+def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of equal values begin, and their lengths."""
+    begin = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.empty(0, np.int64)
+    return begin, np.diff(np.append(begin, len(ordered)))
 
 
 class _Model:
-    """What all lanes have seen of their blocks."""
-
-    def __init__(self, lanes: int, symbols: int):
-        self.lane = np.arange(lanes)
-        self.guess = [np.zeros(lanes * _SLOTS, np.uint32) for _ in range(2)]
-        self.sure = [np.zeros(lanes * _SLOTS, np.int8) for _ in range(2)]
-        self.mixed = np.ones((symbols, lanes * 16), np.int32)
-        self.order0 = np.ones((symbols, lanes), np.int32)
-        self.high = np.full((8, lanes * _LENGTHS), 4, np.int32)
-        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-
-    def look(self, n: int) -> np.ndarray:
-        """Counts of the first decision (by symbol and lane) for the first n lanes."""
-        lane, a, b = self.lane[:n], self.last[:n], self.before[:n]
-        mix = a * 0x9E3779B1 + b * 0x85EBCA77
-        self.at = [lane * _SLOTS + ((mix ^ (mix >> 15)) & (_SLOTS - 1)), lane * _SLOTS + ((a ^ (a >> 12)) & (_SLOTS - 1))]
-        self.guessed = [self.guess[k][self.at[k]].astype(np.int64) for k in range(2)]
-        self.sureness = [self.sure[k][self.at[k]] for k in range(2)]
-        self.row = lane * 16 + self.sureness[0] * 4 + self.sureness[1]
-        return self.mixed.take(self.row, axis=1) + self.order0[:, :n]
-
-    def learn(self, n: int, symbol: np.ndarray, ids: np.ndarray) -> None:
-        lane = self.lane[:n]
-        self.mixed[symbol, self.row] += _STEP
-        self.order0[symbol, lane] += _STEP // 4
-        for k in range(2):
-            hit = self.guessed[k] == ids
-            sure = np.where(hit, np.minimum(self.sureness[k] + 1, 3), self.sureness[k] >> 1)
-            new = sure == 0
-            self.guess[k][self.at[k]] = np.where(new, ids, self.guessed[k])
-            self.sure[k][self.at[k]] = np.where(new, 1, sure)
-        self.before[:n] = self.last[:n]
-        self.last[:n] = ids
-
-    def learn_high(self, rows: np.ndarray, bits: np.ndarray) -> None:
-        self.high[bits, rows] += _STEP
-
-
-_SHORT = np.array([k.bit_length() for k in range(1 << 17)], np.int64)
-
-
-def _length(ids: np.ndarray, wide: bool) -> np.ndarray:
-    return np.frexp(ids.astype(float))[1].astype(np.int64) if wide else _SHORT[ids]
-
-
-def _split(length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bits of the second and the third decision of an id of that bit length."""
-    below = np.maximum(length - 1, 0)
-    high = np.minimum(below, 3)
-    return high, below - high
+    """What a block's ids so far say of the next ones. Kinds: 0 to 2 for orders 2 to 0, 3 for none."""
+
+    def __init__(self, bits: int):
+        self.bits, self.known = bits, 0
+        self.guess, self.conf = np.zeros(_PLACES, np.int64), np.zeros(_PLACES, np.int8)
+        self.worth = np.zeros((16, 16, 4), np.int64)  # by confidence and order-1 class: ids by the order that knew them
+        self.learn(np.empty(0, np.int64))
+
+    def learn(self, ids: np.ndarray) -> None:
+        """A round's end: ``ids`` are all of the block so far."""
+        n, new = len(ids), len(ids) - self.known
+        last, before = np.concatenate([[0], ids[:-1]]), np.concatenate([[0, 0], ids[:-2]])[:n]
+        if new:
+            at, now = _places(last[self.known : n], before[self.known :]), ids[self.known :]
+            old = self.guess.copy()
+            self.guess[at] = now  # of equal places the last one stays
+            seen = np.bincount(at, minlength=_PLACES)
+            wrong = np.bincount(at[self.guess[at] != now], minlength=_PLACES)
+            conf = np.where(wrong > 0, 1, np.minimum(np.where(old == self.guess, self.conf, 0) + seen, _SURE))
+            self.conf = np.where(seen > 0, conf, self.conf).astype(np.int8)
+        self.known = n
+        context = last[:n] & (_CONTEXTS - 1)
+        keys = np.sort((context << self.bits) | ids)
+        begin, count = _runs(keys)
+        self.pairs = keys[begin]
+        plain = np.sort(ids)
+        begin0, count0 = _runs(plain)
+        self.singles = plain[begin0]
+        self.n_pairs = len(self.pairs)
+        # Slots: order 1 by context and id, then order 0 by id, then one for what needs none.
+        both = np.concatenate([count, count0, [1]])
+        self.pair_at = np.repeat(np.arange(len(both), dtype=np.int32), both)
+        self.id_of = np.concatenate([self.pairs & ((1 << self.bits) - 1), self.singles, [0]])
+        self.start_of = np.concatenate([begin, begin0 + n, [2 * n]])
+        self.count_of = both
+        self.followed = np.bincount(context, minlength=_CONTEXTS)
+        self.first_slot = self.followed.cumsum() - self.followed
+        self.context_class = np.minimum(_bit_length(self.followed), 15).astype(np.int64)
+        self.total = np.array([1, 0, max(n, 1), 1 << min(self.bits, 16)], np.int64)
+        self.base = np.array([2 * n, 0, n, 0], np.int64)
+        self._weigh()
+
+    def _weigh(self) -> None:
+        # The prior: order 2's worth at this confidence in any context, and what the others share at this order-1 class or the one below.
+        sure = self.worth.sum(axis=1)
+        sure = ((sure[:, 0] * 8 + 1) << 10) // (sure.sum(axis=1) * 8 + 4)
+        rest = self.worth.sum(axis=0)[:, 1:]
+        rest = rest * 4 + np.roll(rest, 1, axis=0) + 1
+        prior = np.empty_like(self.worth)
+        prior[:, :, 0] = sure[:, None] + 1
+        prior[:, :, 1:] = ((1 << 10) - sure)[:, None, None] * rest // rest.sum(axis=1, keepdims=True) + 1
+        mixed = self.worth * (1024 // _PRIOR) + prior
+        own = self.worth.sum(axis=2)
+        mixed[:, :, 0] = np.where(self.worth[:, :, 0] * _WORTH >= own, mixed[:, :, 0], 0)
+        mixed[0, :, 0] = 0  # no guess
+        mixed[:, 0, 1] = 0  # no successors
+        if not self.known:
+            mixed[:, :, :3] = 0
+        room = (1 << _WEIGHT_BITS) - 4
+        scaled = np.where(mixed > 0, 1 + mixed * room // mixed.sum(axis=2, keepdims=True), 0)
+        scaled[:, :, 3] += (1 << _WEIGHT_BITS) - scaled.sum(axis=2)
+        self.weight = scaled.reshape(-1, 4)
+        self.weight_start = self.weight.cumsum(axis=1) - self.weight
+
+    def find_pairs(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key among the pairs, or -1. Keys are asked in order, each with its number in its low bits where they have room."""
+        if not self.n_pairs:
+            return np.full(len(keys), -1)
+        room = len(keys).bit_length()
+        if self.bits + 17 + room < 64:
+            packed = np.sort((keys << room) | np.arange(len(keys)))
+            asked, number = packed >> room, packed & ((1 << room) - 1)
+        else:
+            number = np.argsort(keys)
+            asked = keys[number]
+        at = np.minimum(np.searchsorted(self.pairs, asked), self.n_pairs - 1)
+        out = np.empty(len(keys), np.int64)
+        out[number] = np.where(self.pairs.take(at) == asked, at, -1)
+        return out
+
+    def find_singles(self, ids: np.ndarray) -> np.ndarray:
+        if not len(self.singles):
+            return np.full(len(ids), -1)
+        if self.bits <= 20:
+            table = np.full(1 << self.bits, -1)
+            table[self.singles] = np.arange(len(self.singles))
+            return table.take(ids)
+        at = np.minimum(np.searchsorted(self.singles, ids), len(self.singles) - 1)
+        return np.where(self.singles.take(at) == ids, at, -1)
+
+    def look(self, last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Order 1's context, order 2's guess and the class of confidence."""
+        place, context = _places(last, before), last & (_CONTEXTS - 1)
+        return context, self.guess.take(place), self.conf.take(place) * np.int64(16) + self.context_class.take(context)
+
+    def count(self, classes: np.ndarray, first: np.ndarray) -> None:
+        self.worth += np.bincount(classes * 4 + first, minlength=1024).reshape(16, 16, 4)
+
+    def intervals(self, ids: np.ndarray, last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Per id the start and size of its order's weight, the order's total, and the id's start and count in it; what the ids say is counted."""
+        context, guess, classes = self.look(last, before)
+        pair, single = self.find_pairs((context << self.bits) | ids), self.find_singles(ids)
+        right = (classes >= 16) & (guess == ids)
+        lower = np.where(pair >= 0, 1, np.where(single >= 0, 2, 3))
+        kind = np.where(right & (self.weight[:, 0] > 0).take(classes), 0, lower)
+        entry = np.where(kind == 1, pair, self.n_pairs + single)
+        total, base = self.total.take(kind), self.base.take(kind)
+        first = np.flatnonzero(kind == 1)
+        total[first], base[first] = self.followed.take(context[first]), self.first_slot.take(context[first])
+        plain = kind == 3
+        entry[plain | (kind == 0)] = len(self.id_of) - 1
+        start, count = self.start_of.take(entry) - base, self.count_of.take(entry)
+        start[plain], count[plain] = ids[plain] >> max(self.bits - 16, 0), 1
+        at = classes * 4 + kind
+        out = self.weight_start.ravel().take(at), self.weight.ravel().take(at), total, start, count, plain
+        self.count(classes, np.where(right, 0, lower))
+        return out
+
+
+def _rounds(n: int):
+    """(begin, end, steps, lanes) of a block's rounds; every lane has ``steps`` ids, the last one the rest."""
+    begin, end = 0, min(FIRST, n)
+    while begin < n:
+        steps = -(-(end - begin) // min(LANES, max(1, (end - begin) // LANE_IDS)))
+        yield begin, end, steps, -(-(end - begin) // steps)
+        begin, end = end, min(2 * end, n)
+
+
+def _grid(values: np.ndarray, steps: int, lanes: int, fill: int) -> np.ndarray:
+    """A round's values by step and lane."""
+    out = np.full(steps * lanes, fill, np.int64)
+    out[: len(values)] = values
+    return np.ascontiguousarray(out.reshape(lanes, steps).T)
 
 
 class _Writer:
-    def __init__(self, lanes: int, steps: int):
-        self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48, np.int64)
-        self.units, self.used = np.zeros((steps * 3 + 8, lanes), np.int32), np.zeros(lanes, np.int64)
-
-    def put(self, start, count, total, n: int) -> None:
-        r = self.range[:n] // total
-        self.low[:n] += r * start
-        self.range[:n] = r = r * count
-        at = np.flatnonzero(r < _TOP)
-        if len(at):
-            self.units[self.used[at], at] = self.low[at] >> 32
-            self.used[at] += 1
-            self.low[at] = (self.low[at] & _LOW32) << _UNIT
-            self.range[at] <<= _UNIT
-
-    def done(self) -> list[bytes]:
-        lanes = np.arange(len(self.low))
-        for shift, mask in ((32, -1), (16, 0xFFFF), (0, 0xFFFF)):
-            self.units[self.used, lanes] = (self.low >> shift) & mask
-            self.used += 1
-        for k in range(int(self.used.max()) - 1, 0, -1):  # carries
-            self.units[k - 1] += self.units[k] >> _UNIT
-        flat = np.ascontiguousarray((self.units & 0xFFFF).astype("<u2").T)
-        return [row[:n].tobytes() for row, n in zip(flat, self.used, strict=True)]
+    def __init__(self, lanes: int, most: int):
+        self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, 1 << (_REST + _UNIT), np.int64)
+        self.most, self.units = most, np.zeros(lanes * most, np.int32)
+        self.at = np.arange(lanes) * most
+
+    def _renew(self, lanes: np.ndarray) -> None:
+        while len(lanes):
+            low = self.low[lanes]
+            self.units[self.at[lanes]] = low >> _REST
+            self.at[lanes] += 1
+            self.low[lanes] = (low & _MASK) << _UNIT
+            wide = self.range[lanes] << _UNIT
+            self.range[lanes] = wide
+            lanes = lanes[wide < _LEAST]
+
+    def put(self, n: int, weight_start, weight, total, start, count) -> None:
+        part = self.range[:n] >> _WEIGHT_BITS
+        low = self.low[:n]
+        low += part * weight_start
+        part *= weight
+        part //= total
+        low += part * start
+        part *= count
+        self.range[:n] = part
+        self._renew(np.flatnonzero(part < _LEAST))
+
+    def put_bits(self, lanes: np.ndarray, value: np.ndarray, bits: int) -> None:
+        part = self.range[lanes] >> bits
+        self.low[lanes] += part * value
+        self.range[lanes] = part
+        self._renew(lanes[part < _LEAST])
+
+    def done(self) -> tuple[np.ndarray, np.ndarray]:
+        """Units of each lane, and all lanes' units; the two last ones name a part of the interval, whatever follows them."""
+        half = _REST - _UNIT
+        value = (self.low + (1 << half) - 1) >> half
+        self.units[self.at], self.units[self.at + 1] = value >> _UNIT, value & 0xFFFF
+        used = self.at + 2 - np.arange(len(self.at)) * self.most
+        rows = self.units.reshape(len(used), self.most)
+        for k in range(int(used.max()) - 1, 0, -1):  # carries
+            rows[:, k - 1] += rows[:, k] >> _UNIT
+        inside = np.arange(self.most) < used[:, None]
+        return used, (rows[inside] & 0xFFFF).astype("<u2")
+
+
+def _encode_block(ids: np.ndarray, bits: int) -> tuple[int, np.ndarray, np.ndarray]:
+    n, rounds = len(ids), list(_rounds(len(ids)))
+    lanes = max(r[3] for r in rounds)
+    model, out = _Model(bits), _Writer(lanes, 3 * sum(r[2] for r in rounds) + 4)
+    last, before = np.concatenate([[0], ids[:-1]]), np.concatenate([[0, 0], ids[:-2]])[:n]
+    for begin, end, steps, used in rounds:
+        place = np.arange(end - begin) % steps
+        a, b = np.where(place > 0, last[begin:end], 0), np.where(place > 1, before[begin:end], 0)
+        *found, plain = model.intervals(ids[begin:end], a, b)
+        grids = [_grid(x, steps, used, fill) for x, fill in zip(found, (0, 1, 1, 0, 1), strict=True)]
+        short = used * steps - (end - begin)  # steps that the last lane does not have
+        low_bits = max(bits - 16, 0)
+        raw = _grid(np.where(plain, ids[begin:end] & ((1 << low_bits) - 1), -1), steps, used, -1) if low_bits and plain.any() else None
+        for step in range(steps):
+            m = used - 1 if step >= steps - short else used
+            out.put(m, *(g[step, :m] for g in grids))
+            if raw is not None and len(at := np.flatnonzero(raw[step, :m] >= 0)):
+                out.put_bits(at, raw[step, at], low_bits)
+        if end < n:
+            model.learn(ids[:end])
+    return lanes, *out.done()
 
 
 class _Reader:
-    def __init__(self, parts: list[bytes]):
-        most = max(len(x) // 2 for x in parts) + 4
-        self.units = np.zeros((most, len(parts)), np.int64)
-        for k, x in enumerate(parts):
-            self.units[: len(x) // 2, k] = np.frombuffer(x, "<u2")
-        self.code = (self.units[0] << 32) | (self.units[1] << 16) | self.units[2]
-        self.range, self.used = np.full(len(parts), 1 << 48, np.int64), np.full(len(parts), 3, np.int64)
-
-    def value(self, total, n: int) -> np.ndarray:
-        self.r = self.range[:n] // total
-        return np.minimum(self.code[:n] // self.r, total - 1)
-
-    def take(self, start, count, n: int) -> None:
-        self.code[:n] -= self.r * start
-        self.range[:n] = r = self.r * count
-        at = np.flatnonzero(r < _TOP)
-        if len(at):
-            self.code[at] = (self.code[at] << _UNIT) | self.units[self.used[at], at]
-            self.used[at] += 1
-            self.range[at] <<= _UNIT
-
-
-def _encode_lanes(blocks: list[np.ndarray], lengths_used: int) -> list[bytes]:
-    """``blocks`` from the longest to the shortest; bit lengths of ids under ``lengths_used``."""
-    wide = lengths_used > 18
-    lengths = np.array([len(b) for b in blocks])
-    steps = int(lengths[0])
-    ids = np.zeros((steps, len(blocks)), np.int64)
-    for k, b in enumerate(blocks):
-        ids[: len(b), k] = b
-    model, out = _Model(len(blocks), 2 + lengths_used), _Writer(len(blocks), steps)
-    for step in range(steps):
-        n = int((lengths > step).sum()) if lengths[-1] <= step else len(blocks)
-        now, lane = ids[step, :n], model.lane[:n]
-        counts = model.look(n)
-        length = _length(now, wide)
-        miss1 = model.guessed[0] != now
-        miss = miss1 & (model.guessed[1] != now)
-        symbol = np.where(miss, 2 + length, np.where(miss1, 1, 0))
-        sums = counts.cumsum(axis=0, dtype=np.int32)
-        end, own = sums[symbol, lane], counts[symbol, lane]
-        out.put(end - own, own, sums[-1], n)
-        high_bits, low_bits = _split(length)
-        below = now - ((1 << length) >> 1)
-        high = below >> low_bits
-        rows = lane * _LENGTHS + length
-        coded = model.high.take(rows, axis=1)
-        sums = coded.cumsum(axis=0, dtype=np.int32)
-        end, own = sums[high, lane], coded[high, lane]
-        asks = miss & (high_bits > 0)
-        out.put(np.where(asks, end - own, 0), np.where(asks, own, 1), np.where(asks, sums[-1], 1), n)
-        at = np.flatnonzero(asks)
-        model.learn_high(rows[at], high[at])
-        rest = np.where(miss, low_bits, 0)
-        value = np.where(miss, below & ((1 << low_bits) - 1), 0)
-        more = rest > 14 if wide else rest
-        if wide and more.any():  # ids of over 18 bits
-            _wide(out, value, rest, more, n)
-            rest = np.where(more, 14, rest)
-            value = value & ((1 << rest) - 1)
-        out.put(value, np.ones(n, np.int64), 1 << rest, n)
-        model.learn(n, symbol, now)
-    return out.done()
-
-
-def _wide(out: _Writer, value: np.ndarray, rest: np.ndarray, more: np.ndarray, n: int) -> None:
-    """The bits above the lowest 14."""
-    out.put(np.where(more, value >> 14, 0), np.ones(n, np.int64), np.where(more, 1 << np.maximum(rest - 14, 0), 1), n)
-
-
-def _decode_lanes(parts: list[bytes], lengths: np.ndarray, lengths_used: int) -> list[np.ndarray]:
-    wide = lengths_used > 18
-    steps = int(lengths[0])
-    ids = np.zeros((steps, len(parts)), np.int64)
-    model, source = _Model(len(parts), 2 + lengths_used), _Reader(parts)
-    for step in range(steps):
-        n = int((lengths > step).sum()) if lengths[-1] <= step else len(parts)
-        lane = model.lane[:n]
-        counts = model.look(n)
-        sums = counts.cumsum(axis=0, dtype=np.int32)
-        value = source.value(sums[-1], n)
-        symbol = (sums <= value).sum(axis=0)
-        own = counts[symbol, lane]
-        source.take(sums[symbol, lane] - own, own, n)
-        miss = symbol >= 2
-        length = np.where(miss, symbol - 2, 0)
-        high_bits, low_bits = _split(length)
-        rows = lane * _LENGTHS + length
-        coded = model.high.take(rows, axis=1)
-        sums = coded.cumsum(axis=0, dtype=np.int32)
-        asks = miss & (high_bits > 0)
-        value = source.value(np.where(asks, sums[-1], 1), n)
-        high = np.where(asks, (sums <= value).sum(axis=0), 0)
-        own = coded[high, lane]
-        source.take(np.where(asks, sums[high, lane] - own, 0), np.where(asks, own, 1), n)
-        at = np.flatnonzero(asks)
-        model.learn_high(rows[at], high[at])
-        rest = np.where(miss, low_bits, 0)
-        upper = 0
-        more = rest > 14 if wide else rest
-        if wide and more.any():
-            upper = source.value(np.where(more, 1 << np.maximum(rest - 14, 0), 1), n)
-            source.take(upper, np.ones(n, np.int64), n)
-            rest = np.where(more, 14, rest)
-        low = source.value(1 << rest, n)
-        source.take(low, np.ones(n, np.int64), n)
-        found = ((1 << length) >> 1) + (high << low_bits) + (upper << 14) + low
-        now = np.where(symbol == 0, model.guessed[0], np.where(symbol == 1, model.guessed[1], found))
-        ids[step, :n] = now
-        model.learn(n, symbol, now)
-    return [ids[: lengths[k], k].astype("<u4") for k in range(len(parts))]
+    def __init__(self, used: np.ndarray, units: np.ndarray):
+        stream = np.concatenate([units, np.zeros(8, "<u2")]).astype(np.int64)
+        begin = used.cumsum() - used
+        self.code = (stream[begin] << _REST) | (stream[begin + 1] << 30) | (stream[begin + 2] << 14) | (stream[begin + 3] >> 2)
+        self.stream = ((stream[:-1] & 3) << 14) | (stream[1:] >> 2)
+        self.at, self.range = begin + 3, np.full(len(used), 1 << (_REST + _UNIT), np.int64)
+
+    def renew(self, lanes: np.ndarray) -> None:
+        last = len(self.stream) - 1
+        while len(lanes):
+            at = self.at[lanes]
+            self.code[lanes] = (self.code[lanes] << _UNIT) | self.stream.take(np.minimum(at, last))
+            self.at[lanes] = at + 1
+            wide = self.range[lanes] << _UNIT
+            self.range[lanes] = wide
+            lanes = lanes[wide < _LEAST]
+
+    def bits(self, lanes: np.ndarray, bits: int) -> np.ndarray:
+        part = self.range[lanes] >> bits
+        value = np.minimum(self.code[lanes] // part, (1 << bits) - 1)
+        self.code[lanes] -= part * value
+        self.range[lanes] = part
+        self.renew(lanes[part < _LEAST])
+        return value
+
+
+def _decode_block(n: int, bits: int, used_units: np.ndarray, units: np.ndarray) -> np.ndarray:
+    ids, model, source = np.empty(n, np.int64), _Model(bits), _Reader(used_units, units)
+    low_bits = max(bits - 16, 0)
+    for begin, end, steps, used in _rounds(n):
+        found, classes = np.zeros((steps, used), np.int64), np.zeros((steps, used), np.int64)
+        right = np.zeros((steps, used), bool)
+        kinds = np.full((steps, used), 3, np.int64)
+        short = used * steps - (end - begin)
+        a = b = np.zeros(used, np.int64)
+        weight, weight_start = model.weight.ravel(), model.weight_start.ravel()
+        ends = [np.ascontiguousarray(model.weight_start[:, k]) for k in (1, 2, 3)]
+        for step in range(steps):
+            m = used - 1 if step >= steps - short else used
+            if m < len(a):
+                a, b = a[:m], b[:m]
+            context, guess, own = model.look(a, b)
+            part = source.range[:m] >> _WEIGHT_BITS
+            code = source.code[:m]
+            value = code // part
+            kind = (value >= ends[0].take(own)).astype(np.int64)
+            kind += value >= ends[1].take(own)
+            kind += value >= ends[2].take(own)
+            at = own * 4 + kind
+            code -= part * weight_start.take(at)
+            part *= weight.take(at)
+            first = kind == 1
+            total = np.where(first, model.followed.take(context), model.total.take(kind))
+            base = np.where(first, model.first_slot.take(context), model.base.take(kind))
+            part //= total
+            value = np.minimum(code // part, total - 1)
+            plain = np.flatnonzero(kind == 3)
+            slot = base + value
+            if len(plain):
+                slot[plain] = model.base[0]
+            entry = model.pair_at.take(slot)
+            start, count = model.start_of.take(entry) - base, model.count_of.take(entry)
+            now = np.where(kind == 0, guess, model.id_of.take(entry))
+            if len(plain):
+                start[plain], count[plain], now[plain] = value[plain], 1, value[plain] << low_bits
+            code -= part * start
+            part *= count
+            source.range[:m] = part
+            source.renew(np.flatnonzero(part < _LEAST))
+            if low_bits and len(plain):
+                now[plain] |= source.bits(plain, low_bits)
+            found[step, :m], classes[step, :m], kinds[step, :m], right[step, :m] = now, own, kind, (own >= 16) & (guess == now)
+            a, b = now, a
+        flat = lambda x: x.T.ravel()[: end - begin]
+        ids[begin:end] = flat(found)
+        if end < n:
+            model.count(flat(classes), np.where(flat(right), 0, flat(kinds)))
+            model.learn(ids[:end])
+    return ids.astype("<u4")
 
 
 def compress(ids: np.ndarray, block: int = BLOCK_IDS) -> bytes:
     """Ids of up to 32 bits to the layout above."""
     ids = np.ascontiguousarray(ids, "<u4")
-    blocks = [ids[k : k + block] for k in range(0, len(ids), block)]
-    parts: list[bytes] = []
-    used = int(ids.max(initial=0)).bit_length() + 1
-    for k in range(0, len(blocks), LANES):
-        parts += _encode_lanes(blocks[k : k + LANES], used)  # only the last block may be shorter
-    heads = [struct.pack("<III", len(b), len(p) // 2, zlib.crc32(b.tobytes())) for b, p in zip(blocks, parts, strict=True)]
-    return b"".join([MAGIC, struct.pack("<IIIQI", VERSION, block, used, len(ids), len(blocks)), *heads, *parts])
+    heads, bodies = [], []
+    for k in range(0, len(ids), block):
+        own = ids[k : k + block]
+        bits = max(1, int(own.max()).bit_length())
+        lanes, used, units = _encode_block(own.astype(np.int64), bits)
+        heads.append(struct.pack("<IIIII", len(own), lanes, bits, len(units), zlib.crc32(own.tobytes())))
+        bodies += [used.astype("<u4").tobytes(), units.tobytes()]
+    return b"".join([MAGIC, struct.pack("<IIQI", VERSION, block, len(ids), len(heads)), *heads, *bodies])
 
 
 def expand(data: bytes) -> np.ndarray:
     """The ids; raises ValueError where a checksum does not hold."""
     if data[:4] != MAGIC:
         raise ValueError("these are no coded ids")
-    version, _, used, n, count = struct.unpack_from("<IIIQI", data, 4)
+    version, _, n, count = struct.unpack_from("<IIQI", data, 4)
     if version != VERSION:
         raise ValueError(f"unknown version {version}")
-    heads = np.frombuffer(data, "<u4", 3 * count, 28).reshape(-1, 3).astype(np.int64)
-    begins = 28 + 12 * count + 2 * np.concatenate([[0], heads[:, 1].cumsum()])
-    parts = [data[a:b] for a, b in zip(begins, begins[1:])]  # noqa: B905
-    out: list[np.ndarray] = []
-    for k in range(0, count, LANES):
-        out += _decode_lanes(parts[k : k + LANES], heads[k : k + LANES, 0], used)
-    for k, x in enumerate(out):
-        if zlib.crc32(x.tobytes()) != heads[k, 2]:
+    at, out = 24 + 20 * count, []
+    for k in range(count):
+        own, lanes, bits, length, crc = struct.unpack_from("<IIIII", data, 24 + 20 * k)
+        used = np.frombuffer(data, "<u4", lanes, at).astype(np.int64)
+        units = np.frombuffer(data, "<u2", length, at + 4 * lanes)
+        at += 4 * lanes + 2 * length
+        try:
+            ids = _decode_block(own, bits, used, units)
+        except (IndexError, ZeroDivisionError):
+            ids = np.empty(0, "<u4")
+        if zlib.crc32(ids.tobytes()) != crc or int(used.sum()) != length:
             raise ValueError(f"block {k} is damaged")
+        out.append(ids)
     return np.concatenate(out) if out else np.empty(0, "<u4")

@@ -1,15 +1,15 @@
 """Token-id files: all ids of a corpus in ascending order of doc_id, range-coded.
 
 ``write`` sorts the documents over many tasks by range of doc_id; each task encodes its range
-in order and emits segments: whole documents, up to about ``SEGMENT_IDS`` ids (a longer document is
+in order and emits segments: whole documents, up to ``SEGMENT_IDS`` ids (a longer document is
 a segment alone), coded by ``rangecoder`` in independent, checksummed blocks. The files are Parquet tables of
 segments, so any store that Spark reaches will do. ``read`` gives every segment its
 place by a prefix sum over ranges and over a range's segments, and decodes the segments independently.
 
 Ids come from the tokenizers library. Blanks part its words, so it is asked once for each distinct piece
-between ASCII blanks that a task has not seen lately.
+between ASCII blanks that a task has not seen lately, for many at a time; a token's offset tells its piece.
 
-Defined cases: a null or empty text has only the end id; a null id comes first; rows of equal id are
+Defined cases: ids of documents are whole numbers (others are cast to them, and a cast that fails raises); a null or empty text has only the end id; a null id comes first; rows of equal id are
 ordered by text (and equal rows are equal in the file, too); an empty table gives an empty file set.
 """
 
@@ -25,15 +25,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tomeweave.llm import rangecoder
-from tomeweave.llm.bpe import Recent, share
-from tomeweave.llm.common import small
+from tomeweave.llm.bpe import LONG_PIECE, Recent, share
+from tomeweave.llm.common import slices, small
 
 SEGMENT_IDS = 8_000_000
+#: Pieces in each of a task's two generations of memory.
+REMEMBERED = 250_000
 SEGMENTS = "part int, segment int, n_ids long, doc_ids array<long>, lengths array<long>, data binary"
 
 
 class LibraryEncoder:
-    """Packed ids by the tokenizers library, piece by piece between blanks."""
+    """Packed ids by the tokenizers library, which is asked for many new pieces at a time, blanks between them."""
+
+    ASKED = 1000
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
@@ -41,21 +45,33 @@ class LibraryEncoder:
         self.library = Tokenizer.from_str(spec)
         self.library.no_truncation()
         self.library.no_padding()
-        self.seen = Recent()
-
-    def encode(self, text: str | None) -> bytes:
-        pieces, get = (text or "").encode().split(), self.seen.young.get
-        unknown = list({x for x in pieces if get(x) is None and self.seen.get(x) is None})
-        fresh = {}
-        if unknown:
-            for x, found in zip(unknown, self.library.encode_batch([x.decode() for x in unknown], add_special_tokens=False), strict=True):
-                fresh[x] = np.array(found.ids, "<u4").tobytes()
-            packed = b"".join([got if (got := get(x)) is not None else fresh[x] if x in fresh else self.seen.get(x) or b"" for x in pieces])
-            for x, ids in fresh.items():
-                if len(x) < 100:
-                    self.seen.put(x, ids)
-            return packed
-        return b"".join([got if (got := get(x)) is not None else self.seen.get(x) for x in pieces])
+        self.seen = Recent(REMEMBERED)
+
+    def resolve(self, unknown: list[bytes]) -> dict[bytes, bytes]:
+        found = {}
+        for begin in range(0, len(unknown), self.ASKED):
+            part = unknown[begin : begin + self.ASKED]
+            texts = [x.decode() for x in part]
+            got = self.library.encode(" ".join(texts), add_special_tokens=False)
+            ends = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+            cuts = np.searchsorted(np.array([start for start, _ in got.offsets], np.int64), ends.cumsum()).tolist()
+            data, at = np.array(got.ids, "<u4").tobytes(), 0
+            for piece, cut in zip(part, cuts, strict=True):
+                found[piece] = data[4 * at : 4 * cut]
+                at = cut
+        return found
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        self.seen.turn()
+        pieces = [(x or "").encode().split() for x in texts]
+        unknown = self.seen.missing(set().union(*pieces))
+        known = self.seen.young
+        known.update(self.resolve(unknown))
+        out = [b"".join(map(known.__getitem__, own)) for own in pieces]
+        for piece in unknown:
+            if len(piece) > LONG_PIECE:
+                del known[piece]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -80,16 +96,17 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, text: str
             return pd.DataFrame([{"part": part, "segment": segment, "n_ids": held, "doc_ids": doc_ids, "lengths": lengths, "data": data}])
 
         for batch in batches:
-            for d, x in zip(batch["d"], batch["t"], strict=True):
-                packed = own.encode(x) + end
-                ids.append(packed)
-                doc_ids.append(None if pd.isna(d) else int(d))
-                lengths.append(len(packed) // 4)
-                held += lengths[-1]
-                if held >= SEGMENT_IDS:
-                    yield emit()
-                    segment += 1
-                    ids, doc_ids, lengths, held = [], [], [], 0
+            for texts in slices(batch["t"]):
+                for d, packed in zip(batch["d"].loc[texts.index], own.encode_all(texts.tolist()), strict=True):
+                    n = len(packed) // 4 + 1
+                    if doc_ids and held + n > SEGMENT_IDS:
+                        yield emit()
+                        segment += 1
+                        ids, doc_ids, lengths, held = [], [], [], 0
+                    ids += (packed, end)
+                    doc_ids.append(None if pd.isna(d) else int(d))
+                    lengths.append(n)
+                    held += n
         if doc_ids:
             yield emit()
         own.seen.clear()
