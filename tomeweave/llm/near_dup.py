@@ -1,14 +1,14 @@
 """Near-duplicate documents: SuperMinHash, banding, verification on full sets, union-find grouping.
 
 Copies with equal shingle sets form one class first. A class has one row from then on:
-a digest of its set, 128 SuperMinHash registers and 32 bands of 4. A pair at a Jaccard
-similarity of 0.85 shares no band with probability 6e-11.
+a digest of its set, 128 SuperMinHash registers and 25 bands of 5. A pair at a Jaccard
+similarity of 0.85 shares no band with probability 4e-7, one at 0.5 shares one with 0.55.
 
 Pairs of a bucket are never listed. Each bucket's hub is its member with the most bucket
 mates over all its bands (in a group of edited copies: the text closest to all). The
 classes that share a bucket under one hub are a cluster, dealt to blocks of bounded size, each with
 the hub. A block compares registers (pairs under 80 equal ones of 128 cannot reach 0.85;
-the probability to lose one is 2e-10), checks the rest on full sets and unites as it goes.
+the probability to lose one is 2e-10; the three registers beyond the bands count here too), checks the rest on full sets and unites as it goes.
 Clusters of several blocks are finished by tiles: members that did not join their hub's
 component, against all blocks. So every pair of a bucket is either compared or already in
 one component.
@@ -36,7 +36,7 @@ from tomeweave.llm.minhash import REGISTERS, WORDS, forget, overlap, shingles, s
 
 #: A link needs 100 * intersection >= PERCENT * union.
 PERCENT = 85
-BANDS = 32
+BANDS = 25
 LEAST_EQUAL = 80
 #: Bounds of a block: classes and elements of their sets (one larger set is a block's worth alone).
 BLOCK_CLASSES, BLOCK_ELEMENTS = 400, 400_000
@@ -140,6 +140,8 @@ def _grouped(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataFr
     hubs = members.join(scores, "node").groupBy("bucket").agg(F.max(F.struct("score", "node"))["node"].alias("hub"))
     clusters = cut(members.join(hubs, "bucket").select("hub", "node", "n").distinct())
     dealt = cut(clusters.groupBy("hub").agg(_blocks_of(F.sum("n"), F.count(F.lit(1))).alias("blocks")))
+    # Few hubs have several blocks; only they are joined, so that no task gets a hub as a whole.
+    several = small(dealt.filter("blocks > 1"))
 
     # Sets of the classes that have a bucket mate, made again from one text of each.
     wanted = clusters.select("node").distinct()
@@ -148,7 +150,7 @@ def _grouped(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataFr
     sets = texts.select(_sketch(True)("text").alias("s")).select("s.*").join(wanted, "node", "left_semi")
     sets = cut(sets.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "registers", "elements"))))
 
-    placed = clusters.join(dealt, "hub").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = clusters.join(several, "hub", "left").na.fill(1, ["blocks"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     inside = placed.filter("node <> hub").select("hub", "block", "node", F.lit(1).alias("side"))
     centre = dealt.select("hub", _numbers(F.col("blocks")).alias("block"), F.col("hub").alias("node"), F.lit(0).alias("side"))
     first = cut(inside.unionByName(centre).join(sets, "node").groupBy("hub", "block").applyInPandas(_block, LINKS))
@@ -160,9 +162,9 @@ def _grouped(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataFr
         label = united.select("node", "root")
         named = large.join(label, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
         centres = named.filter("node = hub").select("hub", F.col("label").alias("hub_label"))
-        named = cut(named.join(centres, "hub"))
+        named = cut(named.join(small(centres), "hub"))
         asking = named.filter("label <> hub_label")
-        counts = asking.groupBy("hub").agg(_blocks_of(F.sum("n"), F.count(F.lit(1))).alias("asks"))
+        counts = small(asking.groupBy("hub").agg(_blocks_of(F.sum("n"), F.count(F.lit(1))).alias("asks")))
         rows = asking.join(counts, "hub").select("hub", F.pmod(F.xxhash64("node"), F.col("asks")).cast("int").alias("ask"), _numbers(F.col("blocks")).alias("block"), "node", "label", F.lit(1).alias("side"))
         asked = named.join(counts, "hub").select("hub", _numbers(F.col("asks")).alias("ask"), "block", "node", "label", F.lit(2).alias("side"))
         second = rows.unionByName(asked).join(sets, "node").groupBy("hub", "ask", "block").applyInPandas(_tile, LINKS)
