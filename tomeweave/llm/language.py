@@ -1,37 +1,46 @@
 """Language identification by cross-parsing.
 
-A suffix automaton holds the labelled text of each language. A text is parsed word by word
-(between blanks, in lower case) into the longest phrases that occur in a language's
+A suffix automaton holds the labelled text of each language. A whole text (in lower case, its letters only, with one blank
+between words) is parsed into the longest phrases that occur in a language's
 text; the number of phrases, times the logarithm of the language's text length, per
 letter, estimates the cross entropy (Ziv and Merhav 1993). The language that needs
 fewest wins.
 
-The automata are fitted on a bounded sample: of each language at most ``SAMPLE_DOCS``
-distinct labelled texts (the least by a hash of the text), up to ``SAMPLE_CHARS`` characters. Predictions read
+The automata are fitted on a bounded sample of labelled rows: of each language the distinct texts of the least
+hashes, ``SAMPLE_DOCS`` at most, as long as they have ``SAMPLE_CHARS`` characters together; texts are taken whole, and a text
+that would pass that bound is left out (a language that has only longer ones has its shortest). Predictions read
 whole texts. The score is the margin to the next language, from 0 to 1.
 
 Defined cases: a null text, one without letters, or no labelled text at all gives ``und`` and
 score 0; with one language only, the score is 1; of equal languages the first by name wins; repeated rows are
-predicted one by one; added columns give way to columns of the input with the same name.
+predicted one by one and are one text of the sample; added columns give way to columns of the input with the same name.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tomeweave.llm.common import spare
+from tomeweave.llm.bpe import Pairs
+from tomeweave.llm.common import small, spare
 
 SAMPLE_DOCS, SAMPLE_CHARS = 200, 40_000
-#: Pieces between blanks whose phrase counts a task remembers; beyond, it starts afresh.
-REMEMBERED = 250_000
+#: Texts that are parsed in step.
+LANES = 4000
+#: Moves up to which a table holds them all, by state and letter; beyond (large alphabets), they are hashed.
+FULL_MOVES = 1 << 25
 UNKNOWN = "und"
+#: What parts the texts of a language in a sample.
+BETWEEN = "\x1e"
+_NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
 class SuffixAutomaton:
@@ -80,45 +89,121 @@ class SuffixAutomaton:
         return count + (state != 0)
 
 
-def words(text: str) -> list[str]:
-    return "".join([c if c.isalpha() else " " for c in text.lower()]).split()
+def plain(text: str | None) -> str:
+    """Letters in lower case, a blank between words and at either end; empty without letters."""
+    words = _NO_LETTERS.sub(" ", (text or "").lower()).strip()
+    return f" {words} " if words else ""
 
 
 class Model:
-    """Phrase counts are held in one whole number, 40 bits for each language and for the letters."""
+    """The automata of all languages in one table of moves. A batch of texts is parsed in step, a lane for each text, by all languages at once."""
 
-    BITS = 40
+    #: Texts that are parsed on one by one once no more are left of a batch.
+    FEW = 24
 
     def __init__(self, samples: tuple[tuple[str, str], ...]):
+        # No phrase reaches over a line break, as plain texts have none.
+        samples = tuple((name, "\n".join(map(plain, texts.split(BETWEEN)))) for name, texts in samples)
         self.names = [name for name, _ in samples]
-        texts = [" " + " ".join(words(text)) + " " for _, text in samples]
-        self.automata = [SuffixAutomaton(x) for x in texts]
-        self.weights = [math.log2(max(2, len(x))) for x in texts]
-        self.seen: dict[bytes, int] = {}
-
-    def counts(self, piece: bytes) -> int:
-        found = words(piece.decode())
-        total = sum(map(len, found))
-        for automaton in reversed(self.automata):
-            total = (total << self.BITS) + sum(automaton.phrases(f" {w} ") for w in found)
-        if len(self.seen) >= REMEMBERED:
-            self.seen.clear()
-        if len(piece) < 100:
-            self.seen[piece] = total
-        return total
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        get, counts, total = self.seen.get, self.counts, 0
-        for piece in (text or "").encode().split():
-            got = get(piece)
-            total += counts(piece) if got is None else got
-        mask, letters = (1 << self.BITS) - 1, total >> self.BITS * len(self.names)
-        if not letters or not self.names:
-            return UNKNOWN, 0.0
-        rates = sorted(((total >> self.BITS * k & mask) * self.weights[k] / letters, name) for k, name in enumerate(self.names))
-        if len(rates) == 1:
-            return rates[0][1], 1.0
-        return rates[0][1], 1 - rates[0][0] / rates[1][0] if rates[1][0] else 0.0
+        self.weights = np.array([math.log2(max(2, len(text))) for _, text in samples])
+        letters = sorted(set("".join(text for _, text in samples)))
+        self.codes = np.zeros(0x110000, np.int32)
+        for k, c in enumerate(letters):
+            self.codes[ord(c)] = k + 1
+        self.width = len(letters) + 1
+        self.moves: dict[int, int] = {}
+        self.begins = np.zeros((len(samples), 1), np.int64)
+        self.first = np.full((len(samples), self.width), -1, np.int64)
+        begin = 0
+        for k, (_, text) in enumerate(samples):
+            own = SuffixAutomaton(text).moves
+            for state, moves in enumerate(own):
+                for c, to in moves.items():
+                    self.moves[(begin + state) * self.width + int(self.codes[ord(c)])] = begin + to
+            self.begins[k] = begin
+            for c, to in own[0].items():
+                self.first[k, self.codes[ord(c)]] = begin + to
+            begin += len(own)
+        self.full = self._filled(begin) if begin * self.width <= FULL_MOVES else None
+        self.table = Pairs(self.moves) if self.full is None else None
+
+    def _filled(self, states: int) -> np.ndarray:
+        """By state and letter: four times the next state, and the phrases that the step ends."""
+        lost = np.where(self.first < 0, self.begins, self.first) * 4 + 1 + (self.first < 0)
+        out = np.repeat(lost, np.diff(np.append(self.begins[:, 0], states)), axis=0).astype(np.int32)
+        for begin, row in zip(self.begins[:, 0], lost, strict=True):
+            out[begin] = row - (row & 3) + 1
+        out = out.ravel()
+        out[np.fromiter(self.moves.keys(), np.int64, len(self.moves))] = np.fromiter(self.moves.values(), np.int64, len(self.moves)) * 4
+        return out
+
+    def phrases(self, texts: list[str]) -> np.ndarray:
+        """Phrases by language and plain text."""
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        letters = self.codes.take(np.frombuffer("".join(texts).encode("utf-32-le"), "<u4"))
+        order = np.argsort(-lengths, kind="stable")
+        begins, left = (lengths.cumsum() - lengths)[order], lengths[order]
+        state = np.repeat(self.begins, len(texts), axis=1)
+        count = np.zeros(state.shape, np.int64)
+        step, lanes = 0, len(texts)
+        while True:
+            while lanes and left[lanes - 1] <= step:
+                lanes -= 1
+            if lanes <= self.FEW:
+                break
+            c, own = letters.take(begins[:lanes] + step), state[:, :lanes]
+            if self.full is not None:
+                to = self.full.take(own * self.width + c)
+                count[:, :lanes] += to & 3
+                state[:, :lanes] = to >> 2
+                step += 1
+                continue
+            to = self.table.find((own * self.width + c).ravel()).reshape(own.shape).astype(np.int64)
+            missing = to == Pairs.NONE
+            first = self.first.take(c, axis=1)
+            unknown = first < 0
+            count[:, :lanes] += missing
+            count[:, :lanes] += missing & unknown & (own != self.begins)  # the letter is a phrase of its own
+            state[:, :lanes] = np.where(missing, np.where(unknown, self.begins, first), to)
+            step += 1
+        for lane in range(lanes):
+            rest = letters[begins[lane] + step : begins[lane] + left[lane]].tolist()
+            for k in range(len(self.names)):
+                state[k, lane], more = self._rest(rest, int(state[k, lane]), int(self.begins[k, 0]), self.first[k].tolist())
+                count[k, lane] += more
+        count += state != self.begins
+        out = np.empty_like(count)
+        out[:, order] = count
+        return out
+
+    def _rest(self, letters: list[int], state: int, begin: int, first: list[int]) -> tuple[int, int]:
+        get, width, count = self.moves.get, self.width, 0
+        for c in letters:
+            to = get(state * width + c)
+            if to is None:
+                count += 1
+                to = first[c]
+                if to < 0:
+                    count += state != begin
+                    to = begin
+            state = to
+        return state, count
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        own = [plain(x) for x in texts]
+        if not self.names:
+            return [(UNKNOWN, 0.0)] * len(own)
+        letters = np.array([len(x) - x.count(" ") for x in own])
+        rates = self.phrases(own) * self.weights[:, None] / np.maximum(letters, 1)
+        out = []
+        for k, n in enumerate(letters):
+            if not n:
+                out.append((UNKNOWN, 0.0))
+                continue
+            ranked = sorted(zip(rates[:, k].tolist(), self.names, strict=True))
+            score = 1.0 if len(ranked) == 1 else 1 - ranked[0][0] / ranked[1][0] if ranked[1][0] else 0.0
+            out.append((ranked[0][1], score))
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -127,24 +212,28 @@ def model(samples: tuple[tuple[str, str], ...]) -> Model:
 
 
 def sample(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[tuple[str, str], ...]:
-    """(language, text) by name: at most SAMPLE_DOCS texts of each language and SAMPLE_CHARS characters of them go to the driver."""
+    """(language, its texts) by name. Only hashes and lengths are ranked; at most SAMPLE_DOCS of them for each language, and then the texts of the bound, go to the driver."""
     rows = labelled.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    rows = rows.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(1 << 40)))
-    # Copies share their hash, so distinct texts are counted and ranked, not rows.
-    counts = {r["lang"]: r["count"] for r in rows.select("lang", F.xxhash64("text")).distinct().groupBy("lang").count().collect()}
-    if not counts:
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    # Copies share their hash: one row for each distinct text, counted within tasks first.
+    texts = rows.groupBy("lang", "h").agg(F.min(F.length("text")).alias("n"))
+    fits = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    ranked = texts.filter(F.col("n") <= SAMPLE_CHARS).withColumn("rank", fits).filter(F.col("rank") <= SAMPLE_DOCS)
+    chosen: dict[str, tuple[int, list[int]]] = {}
+    for r in ranked.orderBy("lang", "rank").collect():
+        held, own = chosen.get(r["lang"], (0, []))
+        if held + r["n"] <= SAMPLE_CHARS:
+            chosen[r["lang"]] = held + r["n"], [*own, r["h"]]
+    shortest = texts.groupBy("lang").agg(F.min(F.struct("n", "h")).alias("s")).collect()
+    wanted = [(name, h) for name, (_, own) in chosen.items() for h in own] + [(r["lang"], r["s"]["h"]) for r in shortest if r["lang"] not in chosen]
+    if not wanted:
         return ()
-    # A share of each language that surely holds enough is found without a sort; only those few are ranked.
-    share = F.lit(None).cast("double")
-    for name, n in counts.items():
-        share = F.when(F.col("lang") == name, F.lit(min(1.0, 4 * SAMPLE_DOCS / n))).otherwise(share)
-    few = rows.filter(F.col("h") < share * float(1 << 40)).distinct()
-    first = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("rank") <= SAMPLE_DOCS)
-    held = first.select("lang", "rank", F.substring("text", 1, SAMPLE_CHARS).alias("text")).orderBy("lang", "rank").collect()
-    texts: dict[str, str] = {}
-    for r in held:
-        texts[r["lang"]] = (texts.get(r["lang"], "") + " " + r["text"])[:SAMPLE_CHARS]
-    return tuple(sorted(texts.items()))
+    named = small(labelled.sparkSession.createDataFrame(wanted, "lang string, h long"))
+    taken = rows.join(named, ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.min("text").alias("text")).orderBy("lang", "h").collect()
+    joined: dict[str, list[str]] = {}
+    for r in taken:
+        joined.setdefault(r["lang"], []).append(r["text"])
+    return tuple(sorted((name, BETWEEN.join(own)) for name, own in joined.items()))
 
 
 def predict(docs: DataFrame, samples: tuple[tuple[str, str], ...], text: str = "text", name: str = "language") -> tuple[DataFrame, str]:
@@ -155,8 +244,8 @@ def predict(docs: DataFrame, samples: tuple[tuple[str, str], ...], text: str = "
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = model(shared.value)
         for batch in texts:
-            yield pd.DataFrame([own.predict(x) for x in batch], columns=["lang", "score"])
-        own.seen.clear()
+            for begin in range(0, len(batch), LANES):
+                yield pd.DataFrame(own.predict(batch.iloc[begin : begin + LANES].tolist()), columns=["lang", "score"])
 
     return docs.withColumn(name, run.asNondeterministic()(F.col(f"`{text}`").cast("string"))), name
 
