@@ -1,18 +1,21 @@
 """Substring dedup by hashing normalised units of text.
 
-A unit is a sentence of a line (lines and sentence ends part it), lower-cased and with
-its blanks collapsed; units of fewer than eight words are taken together with the ones that follow
-until there are eight, from every unit on, so passages are found wherever they stand in a
-line or paragraph. Digests are grouped over all documents; the occurrence in the
-document of the least id (in it, the first) stays and all others are removed. Kept texts come with the
-removed spans as offsets into the original.
+A unit is a paragraph (blank lines part them), a line or a sentence of a line, lower-cased and with
+its blanks collapsed; units of fewer than ``UNIT_WORDS`` words are taken together with the ones that follow
+until there are as many, from every unit on, so passages are found wherever they stand in a
+text. Digests are grouped over all documents; the occurrence in the first document (in it, the first one) stays and all
+others are removed, where a run of them has ``RUN_WORDS`` words at least: a short line that many texts share is
+no passage. Kept texts come with the removed spans as offsets into the original.
+
+Documents rank by id (null last), then by the digest of their text. Rows of one id and one text are numbered
+(they are checkpointed for it, and are few in most tables); all but one of them are repeats as a whole.
 
 Three passes read the texts: digests are counted, then repeats are matched, then texts are
-cut. Only digests and ids are shuffled by digest, pre-aggregated, with one row per document
-and digest however often it repeats there.
+cut. Only digests and keys of documents are shuffled by digest, pre-aggregated, with one row per document
+and digest however often it repeats there. A digest that very many documents share is one key of that join: AQE parts it.
 
 Defined cases: a null text stays null and has no units; texts under eight words have
-none; rows of equal id count as one document; a null id ranks last; an empty table
+none; ids may be of any type that orders; an empty table
 gives an empty result; added columns give way to columns of the input with the same name.
 """
 
@@ -23,24 +26,24 @@ from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tomeweave.llm.common import spare
+from tomeweave.llm.common import cut, small, spare
 
-UNIT_WORDS = 8
-_BETWEEN = re.compile(r"\s*\n\s*|(?<=[.!?])\s+")
-_LAST = 2**63 - 1
+UNIT_WORDS, RUN_WORDS = 8, 16
+#: What parts the units of each kind.
+KINDS = {"paragraph": re.compile(r"\s*\n\s*\n\s*"), "line": re.compile(r"\s*\n\s*"), "sentence": re.compile(r"\s*\n\s*|(?<=[.!?])\s+")}
 Digest = tuple[int, int]
 
 
-def units(text: str | None, words: int = UNIT_WORDS) -> list[tuple[Digest, int, int]]:
+def units(text: str | None, words: int = UNIT_WORDS, kind: str = "sentence") -> list[tuple[Digest, int, int]]:
     """(digest, start, end) of every unit, in code points, by start."""
     if not text:
         return []
     pieces, at = [], 0
-    for gap in _BETWEEN.finditer(text):
+    for gap in KINDS[kind].finditer(text):
         pieces.append((at, gap.start()))
         at = gap.end()
     pieces.append((at, len(text)))
@@ -59,19 +62,17 @@ def units(text: str | None, words: int = UNIT_WORDS) -> list[tuple[Digest, int,
     return found
 
 
-def repeats(text: str | None, elsewhere: set[Digest]) -> list[tuple[int, int]]:
-    """Spans to remove: units that stand ``elsewhere`` or earlier in the text; touching ones are one span."""
+def repeats(text: str | None, elsewhere: set[Digest], kind: str = "sentence", least: int = RUN_WORDS, whole: bool = False) -> list[tuple[int, int]]:
+    """Spans to remove: units that stand ``elsewhere`` or earlier in the text (all, if it repeats as a ``whole``); touching ones are one span, of ``least`` words or more."""
     seen, spans = set(), []
-    for digest, start, end in units(text):
-        if digest in elsewhere or digest in seen:
-            if spans and not text[spans[-1][1] : start].strip():
-                spans[-1] = (spans[-1][0], max(end, spans[-1][1]))
-            elif spans and start <= spans[-1][1]:
+    for digest, start, end in units(text, kind=kind):
+        if whole or digest in elsewhere or digest in seen:
+            if spans and (start <= spans[-1][1] or not text[spans[-1][1] : start].strip()):
                 spans[-1] = (spans[-1][0], max(end, spans[-1][1]))
             else:
                 spans.append((start, end))
         seen.add(digest)
-    return spans
+    return [(s, e) for s, e in spans if len(text[s:e].split()) >= least]
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
@@ -85,32 +86,61 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 _DIGESTS = T.ArrayType(T.StructType([T.StructField("h", T.LongType()), T.StructField("l", T.LongType())]))
 
 
-@F.pandas_udf(_DIGESTS)
-def _digests(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in texts:
-        yield pd.Series([[{"h": h, "l": low} for h, low in {d for d, _, _ in units(x)}] for x in batch], index=batch.index, dtype=object)
+_SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+
+
+def _digests(kind: str):
+    @F.pandas_udf(_DIGESTS)
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series([[{"h": h, "l": low} for h, low in {d for d, _, _ in units(x, kind=kind)}] for x in batch], index=batch.index, dtype=object)
+
+    return run.asNondeterministic()
+
+
+def _cut(kind: str, least: int):
+    @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("spans", _SPANS)]))
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, gone, again in batches:
+            rows = []
+            for text, digests, whole in zip(texts, gone, again, strict=True):
+                spans = repeats(text, {(x["h"], x["l"]) for x in digests} if digests is not None else set(), kind, least, bool(whole))
+                rows.append((without(text, spans) if spans else text, [{"start": s, "end": e} for s, e in spans]))
+            yield pd.DataFrame(rows, columns=["text", "spans"])
+
+    return run.asNondeterministic()
 
 
-@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))]))
-def _cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for texts, gone in batches:
-        rows = []
-        for text, digests in zip(texts, gone, strict=True):
-            spans = repeats(text, {(x["h"], x["l"]) for x in digests} if digests is not None else set())
-            rows.append((without(text, spans) if spans else text, [{"start": s, "end": e} for s, e in spans]))
-        yield pd.DataFrame(rows, columns=["text", "spans"])
+def _numbered(docs: DataFrame, key: Column, again: str) -> DataFrame:
+    """``docs`` with a flag ``again``: of rows with one key, it is false for one only."""
+    of, row, first = spare(docs, "key_of"), spare(docs, "row_of"), spare(docs, "first_row")
+    several = cut(docs.groupBy(key.alias(of)).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(of))
+    if several.isEmpty():
+        return docs.withColumn(again, F.lit(False))
+    several = small(several)
+    keyed = docs.withColumn(of, key)
+    once = keyed.join(several, of, "left_anti").withColumn(again, F.lit(False))
+    copies = cut(keyed.join(several, of, "left_semi").withColumn(row, F.monotonically_increasing_id()))
+    firsts = small(copies.groupBy(of).agg(F.min(row).alias(row)).select(row, F.lit(True).alias(first)))
+    flagged = copies.join(firsts, row, "left").withColumn(again, F.col(first).isNull())
+    return once.drop(of).unionByName(flagged.drop(of, row, first))
 
 
-def drop_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", kept: str = "kept_text", removed: str = "removed") -> tuple[DataFrame, str, str]:
+def drop_repeats(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", kept: str = "kept_text", removed: str = "removed", kind: str = "sentence", least: int = RUN_WORDS
+) -> tuple[DataFrame, str, str]:
     """``docs`` with the kept text and an array of removed (start, end); also returns the two columns' names."""
     kept, removed = spare(docs, kept), spare(docs, removed)
-    key = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(_LAST))
-    body = F.col(f"`{text}`").cast("string")
-    found = docs.select(key.alias("id"), F.explode(_digests.asNondeterministic()(body)).alias("u")).select("id", "u.h", "u.l")
-    several = found.groupBy("h", "l").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("last > first").select("h", "l", "first")
-    gone = found.join(several, ["h", "l"]).filter("id > first").groupBy("id").agg(F.collect_set(F.struct("h", "l")).alias("gone"))
-    at, id_ = spare(docs, "gone"), spare(docs, "id")
-    joined = docs.join(gone.select(F.col("id").alias(id_), F.col("gone").alias(at)), key == F.col(id_), "left")
+    body, own = F.col(f"`{text}`").cast("string"), F.col(f"`{doc_id}`")
+    key = F.struct(own.isNull().alias("none"), own.alias("id"), F.xxhash64(body).alias("x"))
+    found = docs.select(key.alias("key"), F.explode(_digests(kind)(body)).alias("u")).select("key", "u.h", "u.l")
+    several = found.groupBy("h", "l").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("last > first").select("h", "l", "first")
+    gone = found.join(several, ["h", "l"]).filter("key > first").groupBy("key").agg(F.collect_set(F.struct("h", "l")).alias("gone"))
+    again = spare(docs, "again")
+    rows = _numbered(docs, key, again)
+    at, none, id_, x = (spare(rows, name) for name in ("gone", "none_of", "id_of", "x_of"))
+    gone = gone.select(F.col("key.none").alias(none), F.col("key.id").alias(id_), F.col("key.x").alias(x), F.col("gone").alias(at))
+    joined = rows.join(gone, (F.xxhash64(body) == F.col(x)) & own.eqNullSafe(F.col(id_)), "left")
     both = spare(docs, "cut")
-    result = joined.withColumn(both, _cut.asNondeterministic()(body, F.col(at))).withColumns({kept: F.col(both)["text"], removed: F.col(both)["spans"]})
-    return result.drop(both, at, id_), kept, removed
+    result = joined.withColumn(both, _cut(kind, least)(body, F.col(at), F.col(again))).withColumns({kept: F.col(both)["text"], removed: F.col(both)["spans"]})
+    return result.drop(both, at, none, id_, x, again), kept, removed
