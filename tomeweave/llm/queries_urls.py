@@ -11,21 +11,27 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", *(F.col(names[x]).alias(x) for x in ("host", "path", "rule", "verdict", "template")))
 
 
+#: Levels that the SQL spells out; the given tables have fewer.
+LEVELS = 8
+
+
 def _level(k: int) -> str:
-    """One level of the tree: from ``t{k-1}`` to ``t{k}``."""
+    """One level of the tree: from ``t{k-1}`` to ``t{k}``; shapes that end above stay as they are."""
     return f"""
-c{k} AS (SELECT host, template, s{k}, sum(n) AS n, sum(m) AS m, sum(b) AS b FROM t{k - 1} WHERE s{k} IS NOT NULL GROUP BY ALL),
+r{k} AS (SELECT *, shape[{k}] AS s FROM t{k - 1} WHERE len(shape) >= {k}),
+c{k} AS (SELECT host, template, s, sum(n) AS n, sum(m) AS m, sum(b) AS b FROM r{k} GROUP BY ALL),
 p{k} AS (SELECT host, template, count(*) AS k, sum(n) AS n, sum(m) AS m, sum(b) AS b FROM c{k} GROUP BY ALL),
 e{k} AS (
-  SELECT c.host, c.template, c.s{k}, CASE WHEN c.m > 0 AND NOT (p.k > 20 AND p.n < 5 * p.k)
-    AND pow(c.b::DOUBLE * p.m::DOUBLE - p.b::DOUBLE * c.m::DOUBLE, 2.0) > 4.0 * p.b::DOUBLE * (p.m::DOUBLE - p.b::DOUBLE) * c.m::DOUBLE THEN '/' || c.s{k} ELSE '/*' END AS step
+  SELECT c.host, c.template, c.s, CASE WHEN c.m > 0 AND NOT (p.k > 20 AND p.n < 5 * p.k)
+    AND pow(c.b::DOUBLE * p.m::DOUBLE - p.b::DOUBLE * c.m::DOUBLE, 2.0) > 4.0 * p.b::DOUBLE * (p.m::DOUBLE - p.b::DOUBLE) * c.m::DOUBLE THEN '/' || c.s ELSE '/*' END AS step
   FROM c{k} c JOIN p{k} p ON c.host = p.host AND c.template = p.template
 ),
 u{k} AS (
-  SELECT t.* EXCLUDE (template), t.template || coalesce(e.step, '') AS template FROM t{k - 1} t LEFT JOIN e{k} e ON t.host = e.host AND t.template = e.template AND t.s{k} = e.s{k}
+  SELECT r.host, r.shape, r.n, r.b, r.m, r.template || e.step AS template, r.share FROM r{k} r JOIN e{k} e ON r.host = e.host AND r.template = e.template AND r.s = e.s
 ),
 t{k} AS (
   SELECT * EXCLUDE (share), (sum(b) OVER w + 4.0::DOUBLE * min(share) OVER w) / (sum(m) OVER w + 4.0::DOUBLE) AS share FROM u{k} WINDOW w AS (PARTITION BY host, template)
+  UNION ALL SELECT * FROM t{k - 1} WHERE len(shape) < {k}
 )"""
 
 
@@ -44,14 +50,14 @@ WITH a AS (
 ), l AS (
   SELECT *, {_rules("name")} AS rule, {_rules("verdict")} AS label, string_split(regexp_replace(regexp_replace(path, '^/', ''), '[0-9]+', '#', 'g'), '/') AS seg FROM b
 ), s AS (
-  SELECT * EXCLUDE (seg), CASE WHEN path <> '' THEN seg[1] END AS s1, CASE WHEN path <> '' THEN seg[2] END AS s2, CASE WHEN path <> '' THEN seg[3] END AS s3, len(seg) > 3 AS deeper FROM l
+  SELECT * EXCLUDE (seg), CASE WHEN path <> '' THEN seg ELSE []::VARCHAR[] END AS shape FROM l
 ), shapes AS (
-  SELECT host, s1, s2, s3, deeper, count(*) AS n, count(*) FILTER (label = 'block') AS b, count(label) AS m FROM s GROUP BY ALL
+  SELECT host, shape, count(*) AS n, count(*) FILTER (label = 'block') AS b, count(label) AS m FROM s GROUP BY ALL
 ), total AS (
   SELECT coalesce(sum(b), 0)::DOUBLE / greatest(coalesce(sum(m), 0), 1)::DOUBLE AS share FROM shapes
 ), t0 AS (
   SELECT shapes.*, '' AS template, (sum(b) OVER (PARTITION BY host) + 4.0::DOUBLE * share) / (sum(m) OVER (PARTITION BY host) + 4.0::DOUBLE) AS share FROM shapes, total
-), {", ".join(map(_level, range(1, urls.LEVELS + 1)))}
+), {", ".join(map(_level, range(1, LEVELS + 1)))}
 SELECT page_id, s.host AS host, path, rule, coalesce(label, CASE WHEN share >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict, template
-FROM s JOIN t3 ON s.host = t3.host AND s.s1 IS NOT DISTINCT FROM t3.s1 AND s.s2 IS NOT DISTINCT FROM t3.s2 AND s.s3 IS NOT DISTINCT FROM t3.s3 AND s.deeper = t3.deeper
+FROM s JOIN t{LEVELS} t ON s.host = t.host AND s.shape = t.shape
 """
