@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -26,9 +25,9 @@ def spare(df: DataFrame, name: str) -> str:
 
 
 def ready(spark: SparkSession) -> None:
-    """Makes checkpoint() usable: the cluster's folder, or one of our own where none is named."""
+    """Makes checkpoint() usable: the cluster's folder; where none is named, one in the warehouse, which all machines share too."""
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tomeweave-"))
+        spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints")
 
 
 def cut(df: DataFrame) -> DataFrame:
