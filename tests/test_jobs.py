@@ -1,6 +1,7 @@
 """Jobs on small literal tables, and properties that hold for any input."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,6 +65,50 @@ def test_chunks_rejoin_to_the_text(spark):
         split_text(F.lit("x"), 10, 10)
 
 
+def test_a_long_text_is_split_in_linear_time(spark):
+    frame = spark.createDataFrame([("some words and more\n" * 50_000,)], "x string").cache()
+    frame.select(F.size(split_text(F.col("x"), 50, 10))).collect()
+    began = time.perf_counter()
+    n = frame.select(F.size(split_text(F.col("x"), 500, 100)).alias("n")).first()["n"]
+    assert n == 2500 and time.perf_counter() - began < 2
+
+
+def test_enriched_edges_equal_their_sql(spark, tmp_path):
+    import duckdb
+
+    from tomeweave.plans import knowledge as plan
+
+    parts = ["the ere and sh", "thesh and that, er for on", "tion with ere ing", "re and there is ing ent", "ea st er, and in ing"]
+    r = random.Random(9)
+    rows = [(k, ". ".join(r.choice(parts) for _ in range(12)), "en", f"s{k % 2}", 1) for k in range(14)] + [(20, None, None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = plan.g12_enriched_in_documents(spark, str(tmp_path))
+    names = ["book_id", "source", "target", "relation_type", "description"]
+    want = con.execute(f"SELECT {', '.join(names)} FROM ({plan.G12_SQL})").fetchall()
+    assert sorted(map(tuple, got.select(*names).collect())) == sorted(want) and want
+
+
+def test_the_whole_integration_merges_keeps_and_removes(spark):
+    names = [("a", "Cell membrane"), ("b", "cell membrane"), ("a", "liver protein synthesis"), ("b", "liver protein syntheses"), ("a", "thermodynamics"), ("b", "optics")]
+    rows = [(f"n{k}", k, name, f"{name} text", "", book, book, "c", 1, "x", 0.5) for k, (book, name) in enumerate(names)]
+    nodes = spark.createDataFrame(rows, "node_id string, node_ord long, name string, definition string, source_text string, book_id string, book_title string, chapter string, page int, category string, quality_score double")
+    edges = spark.createDataFrame([("n0", "n4", "contains", 1), ("n1", "n4", "contains", 2), ("n0", "n1", "parallel", 3), ("n2", "n5", "applies_to", 4)], "source string, target string, relation_type string, edge_ord long")
+    every = I.run_integration(nodes, edges, 10_000)
+    assert sorted((d["action"], d["n_affected"]) for d in every.decisions.collect()) == [("keep", 1), ("keep", 1), ("merge", 2), ("merge", 2)]
+    assert every.edges.count() == 2 and every.stats.first()["merge_count"] == 2
+    few = I.run_integration(nodes, edges, 200)
+    kept = {r["node_id"] for r in few.nodes.collect()}
+    assert few.decisions.filter("action = 'remove'").count() == 4 - len(kept) > 0
+    assert all(e["source"] in kept and e["target"] in kept for e in few.edges.collect())
+    left = files.remove_book({"nodes": nodes, "edges": edges}, "b")
+    assert [(e["source"], e["target"]) for e in left["edges"].collect()] == [("n0", "n4")]
+    again = I.run_integration(left["nodes"], left["edges"], 10_000)
+    assert {d["action"] for d in again.decisions.collect()} == {"keep"} and again.nodes.count() == 3
+    assert I.run_integration(nodes.limit(0), edges.limit(0), 0).nodes.count() == 0
+
+
 def node(k, name, source, chapter="c", method="term_annotation", book="b"):
     return (f"n{k}", book, chapter, name, name + "的定义。", source, "核心概念", chapter, method, k)
 

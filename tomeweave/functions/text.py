@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tomeweave import lexicon
+
 CJK = r"\x{4e00}-\x{9fff}"
 #: Where str.splitlines() breaks lines.
 LINE_BREAKS = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]"
@@ -68,6 +70,15 @@ def normalize_graph_text(c: Column) -> Column:
     return strip(F.regexp_replace(c, r"\n{3,}", "\n\n"))
 
 
+def looks_like_noise_source(c: Column) -> Column:
+    """Tables, figures, headings and references: what no definition is taken from."""
+    x = F.regexp_replace(c, r"(?U)\s+", "")
+    noise = x.rlike("|".join(lexicon.NOISE_MARKERS))
+    for pattern in lexicon.NOISE_PATTERNS:
+        noise = noise | x.rlike("(?U)" + pattern)
+    return noise
+
+
 def clean_answer_text(c: Column) -> Column:
     return strip(join_cjk(c))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,14 +33,23 @@ class RetrievalConfig:
         return (self.tfidf_weight, self.bm25_weight, phrase) if total <= 0 else (self.tfidf_weight / total, self.bm25_weight / total, phrase / total)
 
 
+def _windows(size: int, step: int):
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        cut = lambda x: [x[k : k + size] for k in range(0, max(len(x) - size + step, 1), step)] if x else []
+        return pd.Series([None if x is None else cut(x) for x in texts], dtype=object)
+
+    return run
+
+
 def split_text(c: Column, size: int, overlap: int) -> Column:
-    """Array of windows of ``size`` characters, each beginning ``overlap`` before the last one's end; the last ends with the text."""
+    """Array of windows of ``size`` characters, each beginning ``overlap`` before the last one's end; the last ends with the text.
+
+    Blanks are trimmed by built-in functions; the windows are slices made in one pass over a text, in Arrow batches.
+    """
     if not 0 <= overlap < size:
         raise ValueError("an overlap must be smaller than its chunk")
-    c, step = strip(F.regexp_replace(c, r"\n{3,}", "\n\n")), size - overlap
-    n = F.length(c)
-    count = F.when(n <= size, F.lit(1)).otherwise(F.ceil((n - size) / step).cast("int") + 1)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(c, i * step + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    return _windows(size, size - overlap)(strip(F.regexp_replace(c, r"\n{3,}", "\n\n")))
 
 
 def build_chunks(chapters: DataFrame, config: RetrievalConfig) -> DataFrame:

@@ -6,11 +6,14 @@ hold a large share of all nodes. Members are rows of the node map, and group tex
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tomeweave import lexicon
 from tomeweave.functions.text import merge_key
+from tomeweave.operators.lineage import cut
 from tomeweave.operators.simjoin import clusters
 
 TARGET_RATIO = 0.3
@@ -177,6 +180,29 @@ def remove_decisions(removed: DataFrame) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class Integration:
+    """What the whole job leaves; ``node_map`` still knows the nodes that were trimmed."""
+
+    nodes: DataFrame
+    edges: DataFrame
+    decisions: DataFrame
+    node_map: DataFrame
+    stats: DataFrame
+
+
+def run_integration(nodes: DataFrame, edges: DataFrame, original_chars: int, ratio: float = TARGET_RATIO) -> Integration:
+    """Groups by name, clusters of similar singletons, merged nodes, decisions, remapped edges; then trimming where the texts are still too long."""
+    grouped = cut(similar_groups(nodes))
+    merged, mapping = cut(merge_nodes(grouped)), node_map(grouped)
+    decided, links = decisions(merged), cut(remap_edges(edges, mapping))
+    kept, removed = trim_to_compression(merged, original_chars, ratio)
+    if not removed.isEmpty():
+        decided = decided.unionByName(remove_decisions(removed))
+        links = surviving_edges(links, kept)
+    return Integration(kept, links, decided, mapping, stats(nodes, edges, kept, links, decided, original_chars))
+
+
 def apply_feedback(decided: DataFrame, nodes: DataFrame, messages: DataFrame) -> DataFrame:
     """Decisions after teachers' messages (msg_ord, message): one that names a decision's result node overrides it.
 

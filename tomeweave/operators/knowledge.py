@@ -18,7 +18,12 @@ def with_graph_text(chapters: DataFrame) -> DataFrame:
 
 def chapter_nodes(chapters: DataFrame) -> DataFrame:
     """The ten best candidates of each chapter (book_id, chapter_id, chapter_ord, title, page_start, content) as nodes."""
-    best = K.rank_candidates(K.dedupe_candidates(K.chapter_candidates(with_graph_text(chapters))))
+    return nodes_of(K.chapter_candidates(with_graph_text(chapters)), chapters)
+
+
+def nodes_of(found: DataFrame, chapters: DataFrame) -> DataFrame:
+    """Candidates to nodes: each name of a chapter once, the ten best of them."""
+    best = K.rank_candidates(K.dedupe_candidates(found))
     joined = best.join(chapters.select("book_id", "chapter_id", "chapter_ord", "title", "page_start"), ["book_id", "chapter_id"])
     stock = F.concat("name", F.lit(" 是 "), "title", F.lit(" 中反复出现的核心知识点。"))
     text = F.substring("source_text", 1, 220)

@@ -9,10 +9,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tomeweave import lexicon as L
+from tomeweave.functions.text import strip
 
 METHODS = ("frequency_term", "heading", "term_annotation", "definition_sentence")
 MOST_FREQUENT, PER_CHAPTER = 32, 10
@@ -58,6 +59,33 @@ def score_name(name: str, warnings: int) -> float:
     return score - 0.22 * bool(re.search(r"\d", name)) - 0.08 * warnings
 
 
+def trimmed_to_suffix(c: Column) -> Column:
+    """trim_to_known_suffix as a column."""
+    ends = F.array(*(F.when(F.instr(c, s) > 0, F.instr(c, s) + len(s) - 1) for s in L.CONCEPT_SUFFIXES))
+    best = F.coalesce(F.array_max(ends), F.lit(0))
+    return F.when((best >= 2) & (best < F.length(c)), F.substring(c, 1, best)).otherwise(c)
+
+
+def name_score(c: Column, warnings: Column) -> Column:
+    """score_name as a column, to three places."""
+    known = c.rlike(f"(?:{'|'.join(L.CONCEPT_SUFFIXES)})\\z")
+    part = lambda holds, points: F.when(holds, points).otherwise(0.0)
+    score = F.lit(0.58) + part(known, 0.18) + part(c.isin(*sorted(L.SHORT_CONCEPTS)), 0.12) + part(F.length(c).between(3, 8), 0.08)
+    return F.round(score - part(c.rlike(r"(?U)\d"), 0.22) - warnings * 0.08, 3)
+
+
+def first_sentence_with(c: Column, word: Column) -> Column:
+    """source_sentence as a column."""
+    sentences = F.transform(F.filter(F.split(c, "[。！？\n]"), lambda s: F.contains(s, word)), strip)
+    return F.coalesce(F.get(F.filter(sentences, lambda s: F.length(s) > 8), 0), F.lit(""))
+
+
+def suffix_counts(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, raw, n): the runs that end with a known suffix, twice or more in a text."""
+    runs = F.regexp_extract_all(F.col(text), F.lit(_SUFFIX_RUN.pattern), 1)
+    return rows.select(key, F.explode(runs).alias("raw")).groupBy(key, "raw").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
+
+
 def _rejected(name: str) -> bool:
     """Before loose endings are cut."""
     known = name.endswith(L.CONCEPT_SUFFIXES)

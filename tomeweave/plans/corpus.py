@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,9 +12,11 @@ from tomeweave.functions import text as T
 from tomeweave.functions.text import CJK
 from tomeweave.operators import chapters as P
 from tomeweave.operators.chunks import RetrievalConfig, build_chunks, index_status, split_text
+from tomeweave.operators.lineage import shared_folder
 from tomeweave.plans.tables import LINES_SQL, chapters, chapters_sql, cjk_sql, lines, projected, projected_sql, strip_sql, table
 from tomeweave.registry import query
 from tomeweave.sources import files as S
+from tomeweave.streaming.intake import append_chunks, arriving
 
 # Files -------------------------------------------------------------------------------------------
 
@@ -46,12 +50,46 @@ def s4_file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.infer_title(url).alias("title"), T.safe_filename(url).alias("safe_name"))
 
 
+@query(f"SELECT doc_id FROM documents WHERE coalesce({strip_sql('text')}, '') <> ''")
+def s3_completed_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.completed(S.isolate_failures(table(spark, sf_dir, "documents"), "text")).select("doc_id")
+
+
 @query(f"SELECT book_id, chapter_id, length(content) AS char_count FROM ({chapters_sql()}) WHERE book_id <> 'src0'")
 def s8_remove_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = S.remove_book({"chapters": chapters(spark, sf_dir)}, "src0")["chapters"]
     return left.select("book_id", "chapter_id", F.length("content").cast("long").alias("char_count"))
 
 
+def _written(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT '.txt' AS suffix, sha1(coalesce(text, '') || chr(10)) AS digest, count(*) AS n FROM documents GROUP BY ALL")
+def s1_read_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document is written as a text file of its own and read again."""
+    path = _written(spark, "corpus")
+    table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("value")).write.partitionBy("doc_id").text(path)
+    return S.read_corpus(spark, path).groupBy("suffix", F.sha1("text").alias("digest")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT 'chapters' AS name, book_id, chapter_id, length(content) AS n FROM ({chapters_sql()}) UNION ALL SELECT 'items', '', item_id::VARCHAR, length(text) FROM benchmark")
+def s5_write_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _written(spark, "tables")
+    S.write_tables({"chapters": chapters(spark, sf_dir), "items": table(spark, sf_dir, "benchmark")}, path)
+    again = S.read_tables(spark, path, ["chapters", "items"])
+    own = again["chapters"].select(F.lit("chapters").alias("name"), "book_id", "chapter_id", F.length("content").cast("long").alias("n"))
+    return own.unionByName(again["items"].select(F.lit("items").alias("name"), F.lit("").alias("book_id"), F.col("item_id").cast("string").alias("chapter_id"), F.length("text").cast("long").alias("n")))
+
+
+@query("SELECT source AS book_id, count(*) AS n_chapters, sum(length(coalesce(text, '')))::BIGINT AS n_chars FROM documents GROUP BY source")
+def s6_write_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _written(spark, "metrics")
+    own = chapters(spark, sf_dir).groupBy("book_id").agg(F.count(F.lit(1)).alias("n_chapters"), F.sum(F.length("content").cast("long")).alias("n_chars"))
+    S.write_metrics(own, path)
+    return spark.read.schema("book_id string, n_chapters long, n_chars long").json(path)
+
+
 # Cleaning ----------------------------------------------------------------------------------------
 
 _PDF_LINE = cjk_sql(r"regexp_replace(" + strip_sql(r"regexp_replace(translate(%s, chr(8194) || chr(8195) || chr(8202), '   '), '\s+', ' ', 'g')") + r", '([A-Za-z])-\s+([A-Za-z])', '\1\2', 'g')")
@@ -140,11 +178,7 @@ def _noise_sql(c: str) -> str:
 @query(rf"SELECT doc_id, i::INTEGER AS line_no, {_noise_sql('x')} AS is_noise FROM (SELECT doc_id, i, regexp_replace(line, '\s+', '', 'g') AS x FROM (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS i FROM (SELECT doc_id, string_split({_ZH}, '。') AS l FROM documents)))")
 def t9_noise_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(projected(F.coalesce("text", F.lit(""))), "。")).alias("line_no", "line"))
-    x = F.regexp_replace("line", r"(?U)\s+", "")
-    noise = x.rlike("|".join(lexicon.NOISE_MARKERS))
-    for pattern in lexicon.NOISE_PATTERNS:
-        noise = noise | x.rlike("(?U)" + pattern)
-    return rows.select("doc_id", "line_no", noise.alias("is_noise"))
+    return rows.select("doc_id", "line_no", T.looks_like_noise_source(F.col("line")).alias("is_noise"))
 
 
 @query(r"""
@@ -286,3 +320,14 @@ def c2_build_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT count(DISTINCT book_id) AS book_count, count(*) AS chunk_count FROM ({chunks_sql(500, 100, chapters_sql())})")
 def c3_index_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index_status(build_chunks(chapters(spark, sf_dir), RetrievalConfig()))
+
+
+@query(f"SELECT chunk_id, book_id, text FROM ({chunks_sql(500, 100, chapters_sql())})")
+def s7_incremental_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters arrive in two writes; a run after each one chunks what is new."""
+    arrived, target, seen = _written(spark, "arrived"), _written(spark, "chunks"), _written(spark, "stream")
+    pages = chapters(spark, sf_dir)
+    for late in (False, True):
+        pages.filter((F.pmod(F.xxhash64("chapter_id"), F.lit(2)) == 1) == F.lit(late)).write.mode("append").parquet(arrived)
+        append_chunks(arriving(spark, arrived, pages.schema), target, seen, RetrievalConfig()).awaitTermination()
+    return spark.read.parquet(target).select("chunk_id", "book_id", "text")

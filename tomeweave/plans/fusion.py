@@ -10,7 +10,10 @@ from tomeweave.functions.text import normalize_name
 from tomeweave.operators import graph_stats as G
 from tomeweave.operators import integrate as I
 from tomeweave.operators import report as R
+from tomeweave.operators.knowledge import book_nodes
+from tomeweave.plans.retrieval import index_sql
 from tomeweave.plans.tables import projected, projected_sql, table
+from tomeweave.sources.files import remove_book
 from tomeweave.registry import query
 
 _RELATION = ("prerequisite", "contains", "applies_to", "parallel")
@@ -19,8 +22,10 @@ _RELATION = ("prerequisite", "contains", "applies_to", "parallel")
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     method = F.element_at(F.array(*map(F.lit, ("definition_sentence", "term_annotation", "heading", "frequency_term"))), F.col("p_size") % 4 + 1)
+    # One part in 25 has a name of its own: these are the nodes that only similar ones can join.
+    name = F.when(F.col("p_partkey") % 25 == 0, F.concat("p_name", F.lit(" n"), F.col("p_partkey").cast("string"))).otherwise(F.col("p_name"))
     return p.select(
-        F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node_id"), F.col("p_partkey").alias("node_ord"), F.col("p_name").alias("name"),
+        F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node_id"), F.col("p_partkey").alias("node_ord"), name.alias("name"),
         F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("definition"), F.repeat("p_type", F.col("p_size") % 3).alias("source_text"),
         F.col("p_brand").alias("book_id"), F.col("p_brand").alias("book_title"), F.col("p_type").alias("chapter"), F.col("p_size").alias("page"), F.lit("核心概念").alias("category"),
         (F.lit(0.5) + (F.col("p_size") % 50) / F.lit(100.0)).alias("quality_score"), method.alias("extraction_method"),
@@ -28,9 +33,9 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-NODES = """SELECT 'p' || p_partkey AS node_id, p_partkey AS node_ord, p_name AS name, p_name || ' ' || p_type || ' ' || p_brand AS definition, repeat(p_type, p_size % 3) AS source_text, p_brand AS book_id, p_brand AS book_title,
+NODES = """SELECT *, regexp_replace(lower(name), '[^\\p{L}\\p{N}]+', '', 'g') AS k FROM (SELECT 'p' || p_partkey AS node_id, p_partkey AS node_ord, CASE WHEN p_partkey % 25 = 0 THEN p_name || ' n' || p_partkey ELSE p_name END AS name, p_name || ' ' || p_type || ' ' || p_brand AS definition, repeat(p_type, p_size % 3) AS source_text, p_brand AS book_id, p_brand AS book_title,
   p_type AS chapter, p_size AS page, '核心概念' AS category, 0.5::DOUBLE + (p_size % 50) / 100.0::DOUBLE AS quality_score,
-  ['definition_sentence', 'term_annotation', 'heading', 'frequency_term'][p_size % 4 + 1] AS extraction_method, CASE WHEN p_size % 10 = 0 THEN 1 ELSE 0 END AS warnings, regexp_replace(lower(p_name), '[^\\p{L}\\p{N}]+', '', 'g') AS k FROM part"""
+  ['definition_sentence', 'term_annotation', 'heading', 'frequency_term'][p_size % 4 + 1] AS extraction_method, CASE WHEN p_size % 10 = 0 THEN 1 ELSE 0 END AS warnings FROM part)"""
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +52,7 @@ EDGES = "SELECT 'p' || l_partkey AS source, 'p' || l_suppkey AS target, ['prereq
 
 @query(f"SELECT book_id, regexp_replace(lower(name), '[^\\p{{L}}\\p{{N}}_]+', '', 'g') AS name_key, min(node_ord) AS node_ord FROM ({NODES}) GROUP BY ALL")
 def g2_book_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nodes(spark, sf_dir).groupBy("book_id", normalize_name(F.col("name")).alias("name_key")).agg(F.min("node_ord").alias("node_ord"))
+    return book_nodes(nodes(spark, sf_dir)).select("book_id", normalize_name(F.col("name")).alias("name_key"), "node_ord")
 
 
 _PAIRS = f"""SELECT doc_id, i::INTEGER AS pair_no, l[i + 1] AS parent, l[i + 2] AS child FROM (SELECT doc_id, l, unnest(range(len(l) - 1)) AS i FROM (SELECT doc_id, regexp_split_to_array({projected_sql("coalesce(text, '')")}, '[。，]') AS l FROM documents))"""
@@ -126,21 +131,36 @@ def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _MERGED = f"""
-n AS ({NODES}), s AS (SELECT k, list_sort(list(DISTINCT book_title))[1:4] AS titles FROM n GROUP BY k),
+RECURSIVE n0 AS MATERIALIZED ({NODES}), sg AS MATERIALIZED (SELECT node_id, book_id, row_number() OVER (ORDER BY node_ord) AS i, name || ' ' || definition AS text FROM n0 WHERE k IN (SELECT k FROM n0 GROUP BY k HAVING count(*) = 1)),
+u AS MATERIALIZED (WITH {index_sql("SELECT * FROM sg", "char_wb_2_4", "i")} SELECT i, gram, w / norm AS weight FROM w JOIN norm USING (i)),
+nb AS MATERIALIZED (SELECT y.i AS i, list(x.i) AS l FROM (SELECT a.i AS a, b.i AS b FROM u a JOIN u b ON a.gram = b.gram AND a.i < b.i GROUP BY ALL HAVING sum(a.weight * b.weight) >= 0.62::DOUBLE) JOIN sg x ON x.i = a JOIN sg y ON y.i = b WHERE x.book_id <> y.book_id GROUP BY y.i),
+ld(i, leaders) AS (
+  SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT ld.i + 1, CASE WHEN list_has_any(leaders, coalesce(l, []::BIGINT[])) THEN leaders ELSE list_append(leaders, ld.i + 1) END FROM ld LEFT JOIN nb ON nb.i = ld.i + 1 WHERE ld.i < (SELECT count(*) FROM sg)
+), ls AS MATERIALIZED (SELECT leaders FROM ld ORDER BY i DESC LIMIT 1),
+cl AS MATERIALIZED (SELECT sg.node_id, 'leader:' || le.node_id AS k FROM sg LEFT JOIN nb USING (i), ls JOIN sg le ON le.i = CASE WHEN list_contains(leaders, sg.i) THEN sg.i ELSE list_min(list_intersect(l, leaders)) END),
+n AS MATERIALIZED (SELECT n0.* EXCLUDE (k), coalesce(cl.k, n0.k) AS k FROM n0 LEFT JOIN cl USING (node_id)), s AS (SELECT k, list_sort(list(DISTINCT book_title))[1:4] AS titles FROM n GROUP BY k),
 b AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY length(definition) + length(source_text) DESC, node_ord) AS rb, row_number() OVER (PARTITION BY k ORDER BY length(definition) DESC, node_ord) AS rd FROM n),
-m AS (
-  SELECT k, count(*) AS frequency, min(node_ord) AS node_ord, 'merged_' || substr(sha1(k), 1, 10) AS node_id, max(name) FILTER (rb = 1) AS name, max(definition) FILTER (rd = 1) || '（整合来源：' || array_to_string(any_value(titles), '；') || '）' AS definition,
+m AS MATERIALIZED (
+  SELECT k, count(*) AS frequency, min(b.node_ord) AS node_ord, CASE WHEN count(*) > 1 THEN 'merged_' || substr(sha1(k), 1, 10) ELSE max(b.node_id) END AS node_id, max(name) FILTER (rb = 1) AS name,
+    max(definition) FILTER (rd = 1) || CASE WHEN count(*) > 1 THEN '（整合来源：' || array_to_string(any_value(titles), '；') || '）' ELSE '' END AS definition,
     max(source_text) FILTER (rb = 1) AS source_text, max(book_title) FILTER (rb = 1) AS book_title, max(chapter) FILTER (rb = 1) AS chapter, max(page) FILTER (rb = 1) AS page FROM b JOIN s USING (k) GROUP BY k
 ), d AS (
-  SELECT 'merge_' || substr(sha1(k), 1, 8) AS decision_id, 'merge' AS action, node_id AS result_node, frequency AS n_affected, frequency || ' 本/处教材知识点语义相近，保留“' || book_title || '”中更完整的表述。' AS reason,
-    least(0.96::DOUBLE, 0.72::DOUBLE + 0.04::DOUBLE * frequency) AS confidence, 'active' AS status, node_ord AS decision_ord FROM m
-), map AS (SELECT n.node_id, m.node_id AS integrated_id FROM n JOIN m USING (k)),
-e AS (
+  SELECT CASE WHEN frequency > 1 THEN 'merge_' ELSE 'keep_' END || substr(sha1(k), 1, 8) AS decision_id, CASE WHEN frequency > 1 THEN 'merge' ELSE 'keep' END AS action, node_id AS result_node, frequency AS n_affected,
+    CASE WHEN frequency > 1 THEN frequency || ' 本/处教材知识点语义相近，保留“' || book_title || '”中更完整的表述。' ELSE '“' || name || '”未发现高置信重复知识点，保留以维持教学完整性。' END AS reason,
+    CASE WHEN frequency > 1 THEN least(0.96::DOUBLE, 0.72::DOUBLE + 0.04::DOUBLE * frequency) ELSE 0.7::DOUBLE END AS confidence, 'active' AS status, node_ord AS decision_ord FROM m
+), map AS MATERIALIZED (SELECT n.node_id, m.node_id AS integrated_id FROM n JOIN m USING (k)),
+e AS MATERIALIZED (
   SELECT a.integrated_id AS source, z.integrated_id AS target, relation_type, min(edge_ord) AS edge_ord FROM ({EDGES}) x JOIN map a ON a.node_id = x.source JOIN map z ON z.node_id = x.target
   WHERE a.integrated_id <> z.integrated_id GROUP BY ALL
 )"""
 
 
+@query(f"WITH {_MERGED} SELECT node_id, k AS group_key FROM n")
+def i4_groups_of_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups by name, and clusters of similar singletons."""
+    return _grouped(spark, sf_dir).select("node_id", "group_key")
+
+
 @query(f"WITH {_MERGED} SELECT node_id, frequency, name, definition, source_text, book_title FROM m")
 def i5_merge_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.merge_nodes(_grouped(spark, sf_dir)).select("node_id", "frequency", "name", "definition", "source_text", "book_title")
@@ -174,7 +194,7 @@ def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STATS = f"""WITH {_MERGED}, c AS (SELECT sum(length(text))::BIGINT AS original_chars FROM documents), st AS (
   SELECT original_chars, (SELECT sum(length(definition))::BIGINT FROM m) AS integrated_chars, round((SELECT sum(length(definition)) FROM m)::DOUBLE / original_chars::DOUBLE, 4) AS compression_ratio,
     (SELECT count(*) FROM n) AS original_nodes, (SELECT count(*) FROM m) AS integrated_nodes, (SELECT count(*) FROM lineitem) AS original_edges, (SELECT count(*) FROM e) AS integrated_edges,
-    (SELECT count(*) FROM d) AS merge_count, 0::BIGINT AS keep_count, 0::BIGINT AS remove_count FROM c)"""
+    (SELECT count(*) FROM d WHERE action = 'merge') AS merge_count, (SELECT count(*) FROM d WHERE action = 'keep') AS keep_count, (SELECT count(*) FROM d WHERE action = 'remove') AS remove_count FROM c)"""
 
 
 @query(f"{_STATS} SELECT * FROM st")
@@ -182,6 +202,40 @@ def i9_integration_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stats(spark, sf_dir)
 
 
+#: The whole job with five characters for a node, so that nodes have to leave.
+_ALL_STEPS = f"""WITH {_MERGED}, tg AS (SELECT sum(length(definition))::BIGINT AS total, count(*) AS c, floor(5 * (SELECT count(*) FROM n) * 0.3::DOUBLE)::BIGINT AS target FROM m),
+pl AS (SELECT *, row_number() OVER w - 1 AS place, coalesce(sum(length(definition)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM m WINDOW w AS (ORDER BY frequency, length(definition), node_ord)),
+lv AS (SELECT pl.*, total > target AND place < tg.c - greatest(1, least(tg.c, target // 40)) AND total - before > target AS leaves FROM pl, tg),
+x AS (SELECT * FROM d UNION ALL SELECT 'remove_' || substr(sha1(node_id), 1, 8), 'remove', NULL, 1, '为满足 30% 压缩比，删除低频知识点“' || name || '”的冗余摘要；原始来源仍可通过 RAG 检索。', 0.68::DOUBLE, 'active', node_ord FROM lv WHERE leaves),
+ke AS (SELECT * FROM e WHERE source IN (SELECT node_id FROM lv WHERE NOT leaves) AND target IN (SELECT node_id FROM lv WHERE NOT leaves))"""
+
+
+def _whole(spark: SparkSession, sf_dir: str) -> I.Integration:
+    own = nodes(spark, sf_dir)
+    return I.run_integration(own, edges(spark, sf_dir), 5 * own.count())
+
+
+@query(f"{_ALL_STEPS} SELECT decision_id, action, result_node, n_affected FROM x")
+def i9_integration_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All decisions of the whole job: merge, keep and remove."""
+    return _whole(spark, sf_dir).decisions.select("decision_id", "action", "result_node", "n_affected")
+
+
+@query(f"{_ALL_STEPS} SELECT * FROM ke")
+def i8_edges_after_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _whole(spark, sf_dir).edges
+
+
+_LESS = _MERGED.replace(f"n0 AS MATERIALIZED ({NODES})", f"n0 AS MATERIALIZED (SELECT * FROM ({NODES}) WHERE book_id <> 'Brand#11')")
+
+
+@query(f"WITH {_LESS} SELECT node_id, integrated_id FROM map")
+def s8_reintegrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without one book, what is left is integrated again."""
+    left = remove_book({"nodes": nodes(spark, sf_dir), "edges": edges(spark, sf_dir)}, "Brand#11")
+    return I.run_integration(left["nodes"], left["edges"], _document_chars(spark, sf_dir)).node_map
+
+
 def _long_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes with definitions of many lengths and frequencies of one to five."""
     own = nodes(spark, sf_dir)
@@ -285,7 +339,7 @@ def _examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_MERGED}, f AS (SELECT * FROM d ORDER BY decision_ord LIMIT 5),
+WITH {_MERGED}, f AS (SELECT * FROM d WHERE action = 'merge' ORDER BY decision_ord LIMIT 5),
 a AS (SELECT f.decision_id, n.name || '（' || n.book_title || '，' || n.chapter || '，第 ' || n.page || ' 页）' AS text, row_number() OVER (PARTITION BY f.decision_id ORDER BY n.node_ord) AS nth FROM f JOIN map ON integrated_id = result_node JOIN n USING (node_id))
 SELECT decision_id, action, (SELECT string_agg(text, '；' ORDER BY nth) FROM a WHERE a.decision_id = f.decision_id AND nth <= 4) AS affected,
   m.name || '（' || m.book_title || '，' || m.chapter || '，第 ' || m.page || ' 页）' AS result, confidence FROM f JOIN m ON m.node_id = f.result_node

@@ -43,8 +43,7 @@ SELECT doc_id, pos, CASE WHEN best >= 2 AND best < length(piece) THEN substring(
 FROM (SELECT *, coalesce(list_max([strpos(piece, s) + length(s) - 1 for s in [{_SUFFIXES}] if strpos(piece, s) > 0]), 0) AS best FROM ({_PIECES}))
 """)
 def k2_trim_to_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trim = F.udf(K.trim_to_known_suffix, "string", useArrow=True)
-    return _terms(spark, sf_dir).select("doc_id", "pos", trim("piece").alias("trimmed"))
+    return _terms(spark, sf_dir).select("doc_id", "pos", K.trimmed_to_suffix(F.col("piece")).alias("trimmed"))
 
 
 @query()
@@ -65,8 +64,7 @@ SELECT doc_id, pos, round(0.58::DOUBLE + CASE WHEN regexp_matches(piece, '({"|".
   + CASE WHEN length(piece) BETWEEN 3 AND 8 THEN 0.08 ELSE 0 END::DOUBLE - CASE WHEN regexp_matches(piece, '[0-9]') THEN 0.22 ELSE 0 END::DOUBLE, 3) AS score FROM ({_PIECES})
 """)
 def k4_score_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    score = F.udf(lambda x: K.score_name(x, 0), "double", useArrow=True)
-    return _terms(spark, sf_dir).select("doc_id", "pos", F.round(score("piece"), 3).alias("score"))
+    return _terms(spark, sf_dir).select("doc_id", "pos", K.name_score(F.col("piece"), F.lit(0)).alias("score"))
 
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,8 +97,8 @@ def k8_frequency_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, raw, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({_ZH}, '[一-鿿]{{1,10}}(?:{'|'.join(L.CONCEPT_SUFFIXES)})')) AS raw FROM documents) GROUP BY ALL HAVING count(*) >= 2")
 def k8_suffix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = F.regexp_extract_all(projected(F.coalesce("text", F.lit(""))), F.lit(f"[一-鿿]{{1,10}}(?:{'|'.join(L.CONCEPT_SUFFIXES)})"), 0)
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(runs).alias("raw")).groupBy("doc_id", "raw").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
+    text = table(spark, sf_dir, "documents").select("doc_id", projected(F.coalesce("text", F.lit(""))).alias("x"))
+    return K.suffix_counts(text, "doc_id", "x")
 
 
 @query()
@@ -113,6 +111,37 @@ def k10_rank_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.rank_candidates(K.dedupe_candidates(_found(spark, sf_dir))).select("chapter_id", F.col("rank").cast("long").alias("rank"), "name", "method")
 
 
+#: Parts as candidates: a brand is a book, a type a chapter; a name comes up often in a chapter.
+_PART_CANDIDATES = """SELECT p_brand AS book_id, substring(p_type, 1, 4) AS chapter_id, p_partkey AS cand_ord, p_name AS name, repeat(p_type, p_size % 3) AS source_text,
+  ['frequency_term', 'heading', 'term_annotation', 'definition_sentence'][p_size % 4 + 1] AS method, p_size % 4 + 1 AS place, 0.5::DOUBLE + (p_size % 7) / 20.0::DOUBLE AS quality FROM part"""
+
+
+def _part_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    method = F.element_at(F.array(*map(F.lit, K.METHODS)), F.col("p_size") % 4 + 1)
+    return table(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("book_id"), F.substring("p_type", 1, 4).alias("chapter_id"), F.col("p_partkey").alias("cand_ord"), F.col("p_name").alias("name"), F.repeat("p_type", F.col("p_size") % 3).alias("source_text"),
+        method.alias("method"), (F.lit(0.5) + (F.col("p_size") % 7) / F.lit(20.0)).alias("quality"), F.array().cast("array<string>").alias("warnings"),
+    )
+
+
+_DEDUPED = f"""c AS ({_PART_CANDIDATES}), b AS (SELECT *, row_number() OVER (PARTITION BY book_id, chapter_id, name ORDER BY quality DESC, cand_ord) AS nth, min(cand_ord) OVER (PARTITION BY book_id, chapter_id, name) AS first FROM c),
+d AS (SELECT book_id, chapter_id, name, first AS cand_ord, source_text, method, place, quality FROM b WHERE nth = 1)"""
+
+
+@query(f"WITH {_DEDUPED} SELECT book_id, chapter_id, name, cand_ord, source_text, method, round(quality, 6) AS quality FROM d")
+def k9_dedupe_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.dedupe_candidates(_part_candidates(spark, sf_dir)).drop("warnings").withColumn("quality", F.round("quality", 6))
+
+
+_RANKED_PARTS = f"{_DEDUPED}, r AS (SELECT *, row_number() OVER (PARTITION BY book_id, chapter_id ORDER BY quality DESC, place DESC, length(source_text) DESC, cand_ord) AS rank FROM d), k AS (SELECT * FROM r WHERE rank <= 10)"
+
+
+@query(f"WITH {_RANKED_PARTS} SELECT book_id, chapter_id, rank, name, method FROM k")
+def k10_rank_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = K.rank_candidates(K.dedupe_candidates(_part_candidates(spark, sf_dir)))
+    return ranked.select("book_id", "chapter_id", F.col("rank").cast("long").alias("rank"), "name", "method")
+
+
 @query()
 def k11_sentence_around(spark: SparkSession, sf_dir: str) -> DataFrame:
     around = F.udf(lambda x: K.sentence_around(x, k, k + 3) if (k := x.find("红细胞")) >= 0 else None, "string", useArrow=True)
@@ -121,8 +150,7 @@ def k11_sentence_around(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, coalesce([{strip_sql('s')} for s in string_split_regex(x, '[。！？\\n]') if contains(s, '红细胞') AND length({strip_sql('s')}) > 8][1], '') AS sentence FROM (SELECT doc_id, {_ZH} AS x FROM documents)")
 def k12_source_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    find = F.udf(lambda x: K.source_sentence(x, "红细胞"), "string", useArrow=True)
-    return table(spark, sf_dir, "documents").select("doc_id", find(projected(F.coalesce("text", F.lit("")))).alias("sentence"))
+    return table(spark, sf_dir, "documents").select("doc_id", K.first_sentence_with(projected(F.coalesce("text", F.lit(""))), F.lit("红细胞")).alias("sentence"))
 
 
 @query()
@@ -142,6 +170,17 @@ def g1_chapter_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nodes(spark, sf_dir).select("node_id", "book_id", "name", "definition", "page", "extraction_method", F.round("quality_score", 6).alias("quality_score"))
 
 
+@query(f"""WITH {_RANKED_PARTS}, t AS (SELECT p_brand AS book_id, substring(p_type, 1, 4) AS chapter_id, min(p_partkey) AS chapter_ord, min(p_type) AS title, min(p_size)::BIGINT AS page FROM part GROUP BY ALL)
+SELECT 'node_' || substr(sha1(book_id || ':' || chapter_id || ':' || name), 1, 10) AS node_id, book_id, name, CASE WHEN source_text = '' THEN name || ' 是 ' || title || ' 中反复出现的核心知识点。' ELSE substring(source_text, 1, 220) END AS definition,
+  title AS chapter, page, method AS extraction_method, round(quality, 6) AS quality_score, chapter_ord * 16 + rank AS node_ord FROM k JOIN t USING (book_id, chapter_id)""")
+def g1_nodes_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("book_id"), F.substring("p_type", 1, 4).alias("chapter_id")).agg(
+        F.min("p_partkey").alias("chapter_ord"), F.min("p_type").alias("title"), F.min("p_size").cast("long").alias("page_start")
+    )
+    nodes = G.nodes_of(_part_candidates(spark, sf_dir), pages)
+    return nodes.select("node_id", "book_id", "name", "definition", "chapter", "page", "extraction_method", F.round("quality_score", 6).alias("quality_score"), "node_ord")
+
+
 _EVIDENCE = f"SELECT doc_id, x, regexp_extract(x, '[一-鿿]{{1,3}}神经', 0) AS a, regexp_extract(x, '[一-鿿]{{1,3}}激素', 0) AS b FROM (SELECT doc_id, {_ZH} AS x FROM documents)"
 
 
@@ -175,6 +214,81 @@ def g6_applies_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _evidence(spark, sf_dir).select("doc_id", R.applies_evidence(F.col("a"), F.col("b"), F.col("x")).alias("holds"))
 
 
+#: Up to three names of the first lines of a document are nodes of its chapter.
+_ENDS = ("神经", "激素", "系统")
+_TRIO = f"""SELECT source AS book_id, 'ch_' || doc_id AS chapter_id, 'd' || doc_id || '_' || ord AS node_id, doc_id * 16 + ord AS node_ord, name, CASE WHEN doc_id % 3 = 0 THEN 'heading' ELSE 'frequency_term' END AS method, x AS src
+FROM (SELECT *, unnest([{", ".join(f"regexp_extract(x, '[一-鿿]{{1,3}}{e}', 0)" for e in _ENDS)}]) AS name, unnest([1, 2, 3]) AS ord FROM (SELECT doc_id, coalesce(source, '') AS source, substring({_ZH}, 1, 300) AS x FROM documents)) WHERE name <> ''"""
+
+
+def _trio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.substring(projected(F.coalesce("text", F.lit(""))), 1, 300).alias("x"))
+    names = F.array(*(F.regexp_extract("x", f"[一-鿿]{{1,3}}{e}", 0) for e in _ENDS))
+    each = rows.select("*", F.posexplode(names).alias("k", "name")).filter("name <> ''").withColumn("ord", F.col("k") + 1)
+    return each.select(
+        F.col("source").alias("book_id"), F.concat(F.lit("ch_"), F.col("doc_id").cast("string")).alias("chapter_id"), F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("_"), F.col("ord").cast("string")).alias("node_id"),
+        (F.col("doc_id") * 16 + F.col("ord")).alias("node_ord"), "name", F.lit("").alias("definition"), F.col("x").alias("source_text"), F.lit("核心概念").alias("category"),
+        F.concat(F.lit("ch_"), F.col("doc_id").cast("string")).alias("chapter"), F.when(F.col("doc_id") % 3 == 0, "heading").otherwise("frequency_term").alias("extraction_method"),
+    )
+
+
+def _inferred_sql(group: str, nodes: str) -> str:
+    """CTEs up to ``inf`` (book_id, chapter_id, i, j, source, target, relation_type, description) of the pairs within a group of ``nodes``."""
+    swap = lambda c: c.replace("(a <>", "(@ <>").replace("length(a) < length(b)", "length(b) < length(a)").replace("regexp_matches(a,", "regexp_matches(b,").replace("@", "b").replace("<> b", "<> a", 1)
+    learn = _LEARN.replace("regexp_escape(b)", "#").replace("regexp_escape(a)", "regexp_escape(b)").replace("#", "regexp_escape(a)")
+    ends = " AND ".join(f"regexp_matches({x}, '({'|'.join(L.CONCEPT_SUFFIXES)})$')" for x in "ab")
+    joined = f"{_between_sql('a', L.AND_WORDS, 'b')} OR {_between_sql('b', L.AND_WORDS, 'a')}".replace("regexp_matches(x,", "regexp_matches(shared,")
+    both = lambda t: f"contains({t}, a) AND contains({t}, b)"
+    return f"""pr AS (SELECT l.book_id, l.chapter_id, l.node_ord AS i, r.node_ord AS j, l.node_id AS li, r.node_id AS ri, l.name AS a, r.name AS b, l.chapter_id = r.chapter_id AS same, l.method = 'heading' AND r.method = 'heading' AS heads,
+  l.name || '。' || l.src || '。' || r.name || '。' || r.src AS x, l.src || chr(10) || r.src AS shared FROM {nodes} l JOIN {nodes} r ON l.{group} = r.{group} AND l.book_id = r.book_id AND l.node_ord < r.node_ord),
+ru AS (SELECT *, CASE WHEN {_between_sql('a', L.CONTAINS_WORDS, 'b')} OR {_between_sql('b', L.PART_WORDS, 'a')} OR {_HIERARCHY} THEN 0
+  WHEN {_between_sql('b', L.CONTAINS_WORDS, 'a')} OR {_between_sql('a', L.PART_WORDS, 'b')} OR {swap(_HIERARCHY)} THEN 1
+  WHEN {_LEARN} OR {_between_sql('a', L.BASIS_WORDS, 'b')} THEN 2 WHEN {learn} OR {_between_sql('b', L.BASIS_WORDS, 'a')} THEN 3
+  WHEN {_between_sql('a', L.APPLIES_WORDS, 'b')} OR {_between_sql('b', L.RELIES_WORDS, 'a')} THEN 4 WHEN {_between_sql('b', L.APPLIES_WORDS, 'a')} OR {_between_sql('a', L.RELIES_WORDS, 'b')} THEN 5
+  WHEN same AND (({both('shared')} AND ({joined})) OR heads OR ({ends} AND right(a, 1) = right(b, 1))) THEN 6 END AS rule FROM pr),
+di AS (SELECT *, rule IN (1, 3, 5) AS back FROM ru WHERE rule IS NOT NULL),
+inf AS (SELECT book_id, chapter_id, i, j, CASE WHEN back THEN ri ELSE li END AS source, CASE WHEN back THEN li ELSE ri END AS target, ['contains', 'prerequisite', 'applies_to', 'parallel'][rule // 2 + 1] AS relation_type,
+  CASE rule // 2 WHEN 0 THEN s || ' 包含或统摄 ' || t || '。' WHEN 1 THEN '理解 ' || t || ' 之前需要掌握 ' || s || '。' WHEN 2 THEN s || ' 可应用于 ' || t || '。' ELSE s || ' 与 ' || t || ' 是同层级相关知识点。' END AS description
+  FROM (SELECT *, CASE WHEN back THEN b ELSE a END AS s, CASE WHEN back THEN a ELSE b END AS t FROM di))"""
+
+
+_CHAPTER_EDGES = f"""n AS MATERIALIZED ({_TRIO}), {_inferred_sql("chapter_id", "n")}"""
+
+
+@query(f"WITH {_CHAPTER_EDGES} SELECT source, target, relation_type, description FROM inf")
+def g8_relations_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.infer_relations(R.pairs_within(_trio(spark, sf_dir), ["book_id", "chapter_id"])).select("source", "target", "relation_type", "description")
+
+
+@query(f"WITH {_CHAPTER_EDGES} SELECT source, target, description FROM inf WHERE relation_type = 'parallel'")
+def g7_parallel_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.chapter_edges(_trio(spark, sf_dir)).filter("relation_type = 'parallel'").select("source", "target", "description")
+
+
+_EDGES = f"{_CHAPTER_EDGES}, ed AS MATERIALIZED (SELECT book_id, source, target, relation_type, description, i * 16 + j - i AS edge_ord FROM inf)"
+
+
+@query(f"WITH {_EDGES} SELECT * FROM ed")
+def g9_edges_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.chapter_edges(_trio(spark, sf_dir))
+
+
+#: Equal on whole tables, but minutes slow there (patterns that differ by row); a test holds the query to it on few documents.
+G12_SQL = f"""
+WITH {_EDGES}, co AS (SELECT book_id, count(DISTINCT relation_type) AS kinds, count(*) FILTER (relation_type = 'parallel') AS parallel, count(*) AS m FROM ed GROUP BY book_id),
+fine AS (SELECT book_id FROM co WHERE kinds >= 3 AND parallel <= greatest(8.0::DOUBLE, m * 0.85::DOUBLE)),
+ld AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY node_ord) AS k FROM n WHERE book_id NOT IN (SELECT book_id FROM fine)) WHERE k <= 80),
+more AS (SELECT * FROM (WITH {_inferred_sql("book_id", "ld")} SELECT * FROM inf) f WHERE relation_type <> 'parallel' AND NOT EXISTS (SELECT 1 FROM ed WHERE ed.source = f.source AND ed.target = f.target AND ed.relation_type = f.relation_type))
+SELECT book_id, source, target, relation_type, description FROM ed
+UNION ALL SELECT book_id, source, target, relation_type, description FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY i, j) AS nth FROM more) WHERE nth <= 24
+"""
+
+
+@query()
+def g12_enriched_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = _trio(spark, sf_dir)
+    return R.enrich_relations(nodes, R.chapter_edges(nodes)).select("book_id", "source", "target", "relation_type", "description")
+
+
 @query()
 def g8_infer_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = _nodes(spark, sf_dir)
@@ -310,6 +424,23 @@ def b14_context_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.context_tokens(ranked.join(chunks.select("chunk_id", "text"), "chunk_id"), asked)
 
 
+@query("""
+SELECT 'chunk' || size || '_ov' || ov || '_' || an || '_' || CASE WHEN ph THEN 'phrase' ELSE 'base' END AS config_name, size::INTEGER AS chunk_size, ov::INTEGER AS overlap, 5 AS top_k, an AS analyzer, round(CASE WHEN ph THEN 0.48 ELSE 0.6 END::DOUBLE, 9) AS tfidf_weight,
+  round(CASE WHEN ph THEN 0.27 ELSE 0.4 END::DOUBLE, 9) AS bm25_weight, round(CASE WHEN ph THEN 0.25 ELSE 0 END::DOUBLE, 9) AS phrase_weight, ph AS phrase_rerank, count(DISTINCT d.doc_id) AS n_documents, sum(greatest(0, ceil((length(x) - ov) / (size - ov)::DOUBLE)))::BIGINT AS n_steps
+FROM unnest([300, 500, 800, 1200]) a(size), unnest([60, 80, 100]) b(ov), unnest(['char_wb_2_4', 'char_2_5']) c(an), unnest([false, true]) e(ph), (SELECT doc_id, coalesce(text, '') AS x FROM documents) d GROUP BY ALL
+""")
+def b11_config_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid, with the steps that each chunking takes over the documents."""
+    sizes = chapters(spark, sf_dir).select(F.length("content").alias("n"))
+    grid = B.config_grid(spark)
+    ways = grid.select("chunk_size", "overlap").distinct()
+    steps = sizes.join(F.broadcast(ways)).groupBy("chunk_size", "overlap").agg(  # twelve rows
+        F.count(F.lit(1)).alias("n_documents"), F.sum(F.greatest(F.lit(0), F.ceil((F.col("n") - F.col("overlap")) / (F.col("chunk_size") - F.col("overlap"))))).cast("long").alias("n_steps")
+    )
+    rounded = {c: F.round(c, 9) for c in ("tfidf_weight", "bm25_weight", "phrase_weight")}
+    return grid.drop("min_score").withColumns(rounded).join(steps, ["chunk_size", "overlap"])
+
+
 @query()
 def b15_choose_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best row of the whole grid. A chunking is built once, an index once per analyzer; each chunking's rows go to the shared folder."""

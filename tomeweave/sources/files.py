@@ -61,5 +61,10 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
 
 
 def remove_book(tables: dict[str, DataFrame], book_id: str) -> dict[str, DataFrame]:
-    """The tables without a book's rows; what was integrated from it has to be integrated again."""
-    return {name: table.filter(F.col("book_id") != book_id) if "book_id" in table.columns else table for name, table in tables.items()}
+    """The tables without a book: its rows, and the edges of its ``nodes``. What was integrated from it is integrated again from these (``run_integration``)."""
+    left = {name: table.filter(F.col("book_id") != book_id) if "book_id" in table.columns else table for name, table in tables.items()}
+    if "nodes" in left and "edges" in left and "book_id" not in left["edges"].columns:
+        ids = left["nodes"].select("node_id")
+        for end in ("source", "target"):
+            left["edges"] = left["edges"].join(ids.withColumnRenamed("node_id", end), end, "left_semi")
+    return left
