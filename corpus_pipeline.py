@@ -15,6 +15,10 @@ from tomeweave.llm.common import documents, shared_path
 from tomeweave.llm.queries_bpe import TOKENIZER
 
 
+#: Pieces that a task remembers here: less than alone, as its process has run the other stages before.
+REMEMBERED = 50_000
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the default policy."""
     return quality.apply_policy(docs)
@@ -38,7 +42,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document its ids (packed, little-endian, 32 bits), their number, and the digest of the text decoded from them."""
-    rows, ids, decoded = bpe.round_trip(docs, public_tokenizers.path(TOKENIZER))
+    rows, ids, decoded = bpe.round_trip(docs, public_tokenizers.path(TOKENIZER), remembered=REMEMBERED)
     tokens = (F.octet_length(ids) / 4).cast("long").alias("n_tokens")
     return rows.select("doc_id", "lang", "source", tokens, F.col(ids).alias("ids"), F.sha2(F.col(decoded).cast("binary"), 256).alias("decoded_sha256"))
 
