@@ -44,7 +44,9 @@ REMEMBERED = 120_000
 #: Letters beyond which a piece or word is not remembered after its slice.
 LONG_PIECE = 100
 #: Symbols of a row at most, and rows merged together.
-ROW_SYMBOLS, ROWS = 64, 8192
+ROW_SYMBOLS, ROWS = 64, 2048
+#: Letters of the texts that are handled together.
+TOGETHER = 300_000
 
 
 class Pairs:
@@ -348,9 +350,20 @@ class Codec:
         return found
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """The packed ids of texts, which share the merging of words that are new."""
+        """The packed ids of texts."""
+        out, group, held = [], [], 0
+        for text in texts:
+            group.append(text or "")
+            held += len(group[-1])
+            if held >= TOGETHER:
+                out += self._encoded(group)
+                group, held = [], 0
+        return out + self._encoded(group)
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        """The same for a group, which shares the merging of words that are new."""
         self.seen_pieces.turn()
-        pieces = [(x or "").encode().split() for x in texts]
+        pieces = [x.encode().split() for x in texts]
         unknown = self.seen_pieces.missing(set().union(*pieces))
         known = self.seen_pieces.young
         if unknown:

@@ -19,7 +19,7 @@ _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19
 #: Elements whose permutations are held at once.
 _CHUNK = 8192
 #: Words that a task remembers; beyond, it starts afresh.
-_REMEMBERED = 200_000
+_REMEMBERED = 100_000
 _seen: dict[bytes, int] = {}
 
 
