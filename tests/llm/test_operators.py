@@ -298,6 +298,17 @@ def test_repeats_match_a_plain_loop(spark, docs, empty):
     assert passages.drop_repeats(empty)[0].count() == 0 and passages.drop_repeats(docs)[0].count() == docs.count()
 
 
+def test_rows_of_one_id_are_told_apart(spark):
+    passage = " ".join(f"w{k}" for k in range(30)) + "."
+    rows = [(7, passage), (7, passage), (None, "Own words stand before it, nine of them here. " + passage), (None, passage), (None, passage), (3, "of " + passage), (8, "Short line."), (9, "Short line.")]
+    got, kept, removed = passages.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    whole = [(r["doc_id"], r[kept]) for r in got.collect() if passage in (r[kept] or "")]
+    assert sorted(whole, key=str) == sorted([(3, "of " + passage), (7, passage)], key=str) and got.count() == len(rows)
+    assert all(not r[removed] for r in got.collect() if r["doc_id"] in (8, 9))
+    texts = spark.createDataFrame([("b", passage), ("a", passage)], "doc_id string, text string")
+    assert {r["doc_id"]: r[kept] for r in passages.drop_repeats(texts)[0].collect()} == {"a": passage, "b": ""}
+
+
 # Mixing -------------------------------------------------------------------------------------------
 
 
@@ -371,6 +382,26 @@ def test_language_frames(spark, docs, empty):
     assert {r[0]["lang"] for r in language.predict(rows, ())[0].select(at).collect()} == {"und"}
 
 
+def test_lanes_parse_as_the_automaton_does(monkeypatch):
+    r = random.Random(11)
+    texts = ["".join(r.choice("abcd ") for _ in range(r.randint(0, 60))) for _ in range(60)] + ["abcd " * 3000]
+    for most in (language.FULL_MOVES, 0):
+        monkeypatch.setattr(language, "FULL_MOVES", most)
+        samples = tuple((str(k), "".join(r.choice("abc ") for _ in range(60))) for k in range(3))
+        found = language.Model(samples).phrases(texts)
+        for k, (_, own) in enumerate(samples):
+            automaton = language.SuffixAutomaton(language.plain(own))
+            assert found[k].tolist() == [automaton.phrases(x) for x in texts]
+
+
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    out = language.held_out(F.col("doc_id"))
+    rows, at = language.predict(docs.filter(out).select("doc_id", "text", "lang"), language.sample(docs.filter(~out)))
+    found = [(r["lang"], r[at]["lang"]) for r in rows.collect() if r["lang"] and r["text"]]
+    assert len(found) > 30 and sum(a == b for a, b in found) >= 0.97 * len(found)
+
+
 # Search -------------------------------------------------------------------------------------------
 
 
@@ -414,5 +445,14 @@ def test_url_templates_learn_from_labels(spark):
     assert verdicts["http://x.com/other/3"] == "block" and verdicts["http://y.com/zz/1"] == "allow"
 
 
+def test_deep_paths_branch_and_end(spark):
+    rows = [f"http://x.com/a/b/c/d/{k % 2}e/x{k % 3}" for k in range(60)] + ["http://x.com/" + "/".join("s" * 2000)]
+    rules = (urls.Rule("block", "x.com", "/a/b/c/d/0e/"), urls.Rule("allow", "x.com", "/a/b/c/d/1e/x0"))
+    got, names = urls.judge(spark.createDataFrame([(x,) for x in rows], "url string"), rules=rules)
+    found = {r["url"]: r for r in got.collect()}
+    assert len(found[rows[-1]][names["template"]].split("/")) == 2001 and got.count() == len(rows)
+    assert found["http://x.com/a/b/c/d/0e/x1"][names["verdict"]] == "block" and found["http://x.com/a/b/c/d/1e/x0"][names["verdict"]] == "allow"
+
+
 def test_hashes_are_stable():
     assert hashlib.sha256(minhash.shingles("A b c d e f").tobytes()).hexdigest() == hashlib.sha256(minhash.shingles("a B  c\td e\nf").tobytes()).hexdigest()
