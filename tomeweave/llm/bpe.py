@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tomeweave.llm.common import slices, spare
+from tomeweave.llm.common import release, slices, spare
 
 #: Pieces, and as many words, in each of a task's two generations of memory.
 REMEMBERED = 120_000
@@ -443,6 +443,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", name: str = "ids", re
             for part in slices(batch):
                 yield pd.Series(own.encode_all(part.tolist()), dtype=object)
         own.forget()
+        release()
 
     return docs.withColumn(name, run.asNondeterministic()(F.col(f"`{text}`").cast("string"))), name
 
@@ -460,6 +461,7 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", ids: str = "ids",
                 packed = own.encode_all(part.tolist())
                 yield pd.DataFrame({"ids": pd.Series(packed, dtype=object), "decoded": pd.Series([own.decode(x) for x in packed], dtype=object)})
         own.forget()
+        release()
 
     ids, decoded = spare(docs, ids), spare(docs, decoded)
     rows = docs.withColumn(both, run.asNondeterministic()(F.col(f"`{text}`").cast("string")))

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tomeweave.llm.common import cut, small, spare
+from tomeweave.llm.common import cut, release, slices, small, spare
 from tomeweave.llm.components import Forest, components
 from tomeweave.llm.minhash import REGISTERS, WORDS, forget, overlap, shingles, signature
 
@@ -50,7 +50,7 @@ def _sketch(with_set: bool):
 
     @F.pandas_udf(T.StructType(fields))
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in texts:
+        for batch in (part for whole in texts for part in slices(whole)):
             rows = []
             for text in batch:
                 found = shingles(text, WORDS)
@@ -63,6 +63,7 @@ def _sketch(with_set: bool):
                 rows.append((*row, data) if with_set else row)
             yield pd.DataFrame(rows, columns=[f.name for f in fields]).astype({"n": "int64"})
         forget()
+        release()
 
     return run.asNondeterministic()
 

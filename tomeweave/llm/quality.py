@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tomeweave.llm.common import spare
+from tomeweave.llm.common import release, spare
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -90,6 +90,7 @@ def measure_text(text: str | None) -> tuple[int, ...]:
 def _measure(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in texts:
         yield pd.DataFrame([measure_text(x) for x in batch], columns=list(MEASURES)).astype("int64")
+    release()
 
 
 _measure = _measure.asNondeterministic()  # evaluated once, also below a filter

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tomeweave.llm.automaton import Automaton, Node, compile_rules, mirrored, parse
-from tomeweave.llm.common import slices, spare
+from tomeweave.llm.common import release, slices, spare
 
 
 @dataclass(frozen=True)
@@ -155,6 +155,7 @@ def _masked(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:
         for part in slices(batch):
             yield pd.Series([masked(x, scan(x)) for x in part], dtype=object)
+    release()
 
 
 _spans = _spans.asNondeterministic()  # evaluated once, also below a filter

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tomeweave.llm import rangecoder
 from tomeweave.llm.bpe import LONG_PIECE, Recent, share
-from tomeweave.llm.common import slices, small
+from tomeweave.llm.common import release, slices, small
 
 SEGMENT_IDS = 8_000_000
 #: Pieces in each of a task's two generations of memory.
@@ -110,6 +110,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, text: str
         if doc_ids:
             yield emit()
         own.seen.clear()
+        release()
 
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("d"), F.col(f"`{text}`").cast("string").alias("t"))
     order = [F.col("d").asc_nulls_first(), F.xxhash64("t"), F.col("t")]
