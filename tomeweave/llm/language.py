@@ -33,6 +33,8 @@ from tomeweave.llm.bpe import Pairs
 from tomeweave.llm.common import small, spare
 
 SAMPLE_DOCS, SAMPLE_CHARS = 200, 40_000
+#: Parts in which the texts of a language are ranked.
+SHARES = 32
 #: Texts that are parsed in step.
 LANES = 4000
 #: Moves up to which a table holds them all, by state and letter; beyond (large alphabets), they are hashed.
@@ -217,8 +219,10 @@ def sample(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple
     rows = rows.withColumn("h", F.xxhash64("text"))
     # Copies share their hash: one row for each distinct text, counted within tasks first.
     texts = rows.groupBy("lang", "h").agg(F.min(F.length("text")).alias("n"))
-    fits = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    ranked = texts.filter(F.col("n") <= SAMPLE_CHARS).withColumn("rank", fits).filter(F.col("rank") <= SAMPLE_DOCS)
+    # The least of each share first: a language may hold most rows, and the least of all are among them.
+    ranked = texts.filter(F.col("n") <= SAMPLE_CHARS).withColumn("share", F.pmod(F.xxhash64("h"), F.lit(SHARES)))
+    for keys in (["lang", "share"], ["lang"]):
+        ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("h"))).filter(F.col("rank") <= SAMPLE_DOCS)
     chosen: dict[str, tuple[int, list[int]]] = {}
     for r in ranked.orderBy("lang", "rank").collect():
         held, own = chosen.get(r["lang"], (0, []))
