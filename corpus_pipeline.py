@@ -2,6 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
 read again as the next stage's ``docs``. All but the last return the columns of ``documents``.
+Stages share the executors' Python processes, so each bounds its batches of texts by bytes.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomeweave.llm import bpe, mixing, near_dup, quality, secrets
-from tomeweave.llm.common import documents, shared_path
+from tomeweave.llm.common import bound_batches, documents, shared_path
 from tomeweave.llm.queries_bpe import TOKENIZER
 
 
@@ -21,16 +22,19 @@ REMEMBERED = 50_000
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the default policy."""
+    bound_batches(spark)
     return quality.apply_policy(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, of the least id, of each group of near-duplicates."""
+    bound_batches(spark)
     return near_dup.keep_one(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets masked; ``n_chars`` follows the text."""
+    bound_batches(spark)
     masked = secrets.mask_secrets(docs)
     return masked.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else masked
 
@@ -42,6 +46,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document its ids (packed, little-endian, 32 bits), their number, and the digest of the text decoded from them."""
+    bound_batches(spark)
     rows, ids, decoded = bpe.round_trip(docs, public_tokenizers.path(TOKENIZER), remembered=REMEMBERED)
     tokens = (F.octet_length(ids) / 4).cast("long").alias("n_tokens")
     return rows.select("doc_id", "lang", "source", tokens, F.col(ids).alias("ids"), F.sha2(F.col(decoded).cast("binary"), 256).alias("decoded_sha256"))

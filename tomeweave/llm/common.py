@@ -63,6 +63,16 @@ def release() -> None:
         trim(0)
 
 
+#: The session's bound on the bytes of a batch that Spark hands to a Python worker, and the one that `bound_batches` sets.
+BATCH_BYTES, MOST_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 * 1024 * 1024
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds batches of texts by bytes, not only by rows, unless the session has a bound of its own. Each process of a stage then holds a few MB of texts, however long they are."""
+    if BATCH_BYTES not in spark.conf.getAll:
+        spark.conf.set(BATCH_BYTES, MOST_BYTES)
+
+
 #: Texts whose results a task holds at once.
 SLICE = 500
 
