@@ -4,13 +4,15 @@ import hashlib
 import re
 from collections import Counter
 
+import pandas as pd
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.llm.test_operators import brute_components, brute_measures, text_of
-from tomeweave.llm import secrets
+from tomeweave.llm import common, secrets
 
 
 @pytest.fixture(scope="module")
@@ -60,3 +62,21 @@ def test_stages_and_run(spark, sf_dir):
 def test_pipeline_of_an_empty_table(spark, sf_dir, tmp_path):
     spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_batches_are_bounded_unless_the_session_says_otherwise(spark):
+    spark.conf.unset(common.BATCH_BYTES)
+    common.bound_batches(spark)
+    assert int(spark.conf.get(common.BATCH_BYTES)) == common.MOST_BYTES
+
+    @F.pandas_udf("long")
+    def lengths(texts: pd.Series) -> pd.Series:
+        return pd.Series([int(texts.str.len().sum())] * len(texts))
+
+    texts = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("word "), 1000).alias("text"))
+    held = texts.select(lengths("text").alias("n")).agg(F.max("n").alias("n")).first()["n"]
+    assert held <= common.MOST_BYTES + 5000
+    spark.conf.set(common.BATCH_BYTES, 12345)
+    common.bound_batches(spark)
+    assert int(spark.conf.get(common.BATCH_BYTES)) == 12345
+    spark.conf.unset(common.BATCH_BYTES)
