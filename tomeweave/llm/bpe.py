@@ -45,6 +45,8 @@ REMEMBERED = 120_000
 LONG_PIECE = 100
 #: Symbols of a row at most, and rows merged together.
 ROW_SYMBOLS, ROWS = 64, 2048
+#: Blanks of any kind. Pieces end at ASCII ones only; a piece that holds another one is split alone, since its words cannot be told from its neighbours'.
+_BLANK = re.compile(r"\s")
 #: Letters of the texts that are handled together.
 TOGETHER = 300_000
 
@@ -309,7 +311,7 @@ class Codec:
         return out
 
     def _other_words(self, pieces: list[str]) -> list[list[str]]:
-        """The same for other pieces without special tokens, by the library in one go; piece by piece where blanks of other kinds blur the ends."""
+        """The same for other pieces without special tokens and blanks of any kind, by the library in one go; piece by piece where their ends blur all the same."""
         each = self.normalise(" ".join(pieces)).split(" ")
         if len(each) != len(pieces):
             return [self.words_of(x) for x in pieces]
@@ -326,7 +328,7 @@ class Codec:
         text = [x.decode() for x in unknown]
         plain, other, slow = [], [], []
         for k, x in enumerate(text):
-            if self.split and self.split.search(x):
+            if (self.split and self.split.search(x)) or _BLANK.search(x):
                 slow.append(k)
             elif self.plain and x.isascii() and x.isprintable():
                 plain.append(k)
