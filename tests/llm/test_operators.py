@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tomeweave.llm import automaton, bpe, components, language, minhash, mixing, near_dup, passages, quality, rangecoder, secrets, tokenfiles, topk, urls
+from tomeweave.llm import automaton, bpe, components, divergence, language, minhash, mixing, near_dup, passages, quality, rangecoder, runs, secrets, tokenfiles, topk, urls
 from tomeweave.llm.common import shared_path
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -472,3 +472,110 @@ def test_deep_paths_branch_and_end(spark):
 
 def test_hashes_are_stable():
     assert hashlib.sha256(minhash.shingles("A b c d e f").tobytes()).hexdigest() == hashlib.sha256(minhash.shingles("a B  c\td e\nf").tobytes()).hexdigest()
+
+
+# Source divergence --------------------------------------------------------------------------------
+
+
+def brute_divergence(rows, least):
+    """From (text, lang, source), by the definition."""
+    texts = [(re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), lang or "", source or "") for t, lang, source in rows]
+    out = []
+    for lang in {x[1] for x in texts}:
+        within = Counter(term for t, own, _ in texts if own == lang for term in set(t))
+        kept = [term for term, n in within.items() if n >= least]
+        groups = sorted({s for _, own, s in texts if own == lang})
+        counts = {g: Counter(term for t, own, s in texts if (own, s) == (lang, g) for term in t if term in set(kept)) for g in groups}
+        counts[None] = sum(counts.values(), Counter())
+        v = len(kept)
+        p = {g: {x: 1 + 10**9 * (c[x] + 2) // (sum(c.values()) + 2 * v) for x in kept} for g, c in counts.items()}
+        f = lambda a, b: (a - b) ** 2 // (a + b)
+        for g in groups:
+            pairs = [(-sum(f(p[g][x], p[h][x]) for x in kept), h.encode()) for h in groups if h != g]
+            terms = [(-f(p[g][x], p[None][x]), x.encode()) for x in kept if counts[g][x] and p[g][x] > p[None][x]]
+            for part, items in (("pair", sorted(pairs)), ("term", sorted(terms)[:10])):
+                out += [(lang, g, part, item.decode(), -value, k + 1) for k, (value, item) in enumerate(items)]
+    return Counter(out)
+
+
+@pytest.mark.parametrize(("rows_", "columns_"), [(32, 1024), (2, 3)])
+def test_divergence_matches_brute_force(spark, empty, monkeypatch, rows_, columns_):
+    monkeypatch.setattr(divergence, "ROWS", rows_)
+    monkeypatch.setattr(divergence, "COLS", columns_)
+    r = random.Random(21)
+    words = ["Été", "été", "中文", "naïve", *"abcdefghijklmnopqrstuvw"]
+    rows = [(" ".join(r.choice(words[k % 5 :]) + r.choice(["", "1", ",", "'s"]) for _ in range(r.randint(0, 30))), r.choice(["en", "en", "fr", None]), r.choice(["a", "b", "c", "d", "é", None])) for k in range(160)]
+    rows += [(None, "en", "nothing"), ("", "xx", "one"), (None, "xx", "two"), ("alone", "yy", "only")] + [("many " * 5000, "en", "a")] * 3
+    frame = spark.createDataFrame(rows, "text string, lang string, source string").withColumns({"term": F.lit("own"), "n": F.lit("own")}).repartition(3)
+    assert Counter(map(tuple, divergence.divergence(frame).collect())) == brute_divergence(rows, 10)
+    assert divergence.divergence(empty).count() == 0
+
+
+def test_joint_leaves_visit_all_cells_of_either_tree():
+    r = np.random.default_rng(5)
+    for _ in range(50):
+        a, b = (r.random((5, 16)) < 0.1 for _ in range(2))
+        trees = [divergence.Tree(*(x.astype(np.int64) for x in np.nonzero(m)), 4) for m in (a, b)]
+        found = set(zip(*(x.tolist() for x in divergence.joint_leaves(*trees, 4, 5, 5, False)), strict=True))
+        assert found == {(i, j, k) for i in range(5) for j in range(5) for k in range(16) if a[i, k] or b[j, k]}
+
+
+# Periodic runs ------------------------------------------------------------------------------------
+
+
+def brute_runs(words, least):
+    """Every maximal stretch with a period, smallest period first."""
+    found, n = {}, len(words)
+    for q in range(1, n // 2 + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            if j > i and j + q - i >= max(least, 2 * q):
+                found.setdefault((i, j + q), q)
+            i = j + 1
+    return sorted(((s, e - s, q) for (s, e), q in found.items()), key=lambda x: (x[0], x[2]))
+
+
+def test_runs_match_brute_force():
+    r = random.Random(22)
+    for _ in range(1500):
+        n, letters = r.randint(0, 60), r.choice([1, 2, 3, 5, 20])
+        words = [str(r.randrange(letters)) for _ in range(n)]
+        if n and r.random() < 0.5:
+            a, p = r.randrange(n), r.randint(1, 9)
+            words = [x if i < a else words[min(a + (i - a) % p, n - 1)] for i, x in enumerate(words)]
+        assert runs.find_runs(words) == brute_runs(words, 12)
+        numbers = {x: k for k, x in enumerate(dict.fromkeys(words))}
+        assert n < 3 or runs.runs_of(np.array([numbers[x] for x in words]), 3) == brute_runs(words, 3)
+
+
+def test_runs_are_collapsed(spark, empty):
+    long = " ".join(f"w{k % 700}" for k in range(3500))
+    rows = [(1, "a b c " * 5, "x"), (2, None, "x"), (3, "", "x"), (4, "a  b", "x"), (4, "a  b", "x"), (5, long, "x"), (None, "no run", "x")]
+    found, at, collapsed = runs.periodic_runs(spark.createDataFrame(rows, "doc_id long, text string, runs string"))
+    assert (at, found.count()) == ("_runs", 7)
+    got = {r["doc_id"]: ([tuple(x) for x in r[at]], r[collapsed]) for r in found.collect()}
+    assert got == {1: ([(0, 15, 3)], "a b c"), 2: ([], None), 3: ([], ""), 4: ([], "a b"), 5: ([(0, 3500, 700)], " ".join(f"w{k}" for k in range(700))), None: ([], "no run")}
+    assert runs.periodic_runs(empty)[0].count() == 0
+
+
+def test_op12_matches_brute_force(spark):
+    from tomeweave.llm.queries_runs import op12_periodic_runs
+
+    sf_dir = "/root/testdata/sf0.001"
+    want = Counter()
+    for doc_id, text in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        h, n = zlib.crc32(str(doc_id).encode()), len(words)
+        if h % 10 == 0 and n:
+            a = h // 10 % n
+            p = 1 + (n - a) // (3 + h // 10 % 8)
+            words = [x if i < a else words[a + (i - a) % p] for i, x in enumerate(words)]
+        found = runs.find_runs(words) if n > 3000 else brute_runs(words, 12)
+        kept = [x for i, x in enumerate(words) if not any(s + q <= i < s + length for s, length, q in found)]
+        best = max(found, key=lambda x: x[1], default=None)
+        digests = [hashlib.sha256(x.encode()).hexdigest() for x in ("".join(f"{s},{length},{q}\n" for s, length, q in found), " ".join(kept))]
+        want[(doc_id, len(found), *(best or (None,) * 3), 1000 * best[1] // best[2] if best else None, *digests)] += 1
+    assert Counter(map(tuple, op12_periodic_runs(spark, sf_dir).collect())) == want
