@@ -1,0 +1,41 @@
+"""op13: ``documents`` joined by the Jaccard similarity of their 4-word shingles."""
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tomeweave.llm import ngram_join
+from tomeweave.llm.common import documents
+
+
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(documents(spark, sf_dir))
+
+
+#: Rows with equal sets are one class ``g``; pairs share a shingle among the first of either set (by hash) that a pair at 0.85 must share.
+SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, [x for x in string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') if x <> ''] AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [hash(array_to_string(w, ' '))]
+    ELSE [hash(array_to_string(w[i:i + 3], ' ')) for i in range(1, len(w) - 2)] END)) AS s FROM words
+), g AS (
+  SELECT row_number() OVER () AS g, s, len(s) AS n, min(doc_id) AS first FROM sets WHERE len(s) > 0 GROUP BY s
+), el AS (
+  SELECT g, n, unnest(s) AS e, unnest(range(1, n + 1)) AS p FROM g
+), pre AS (
+  SELECT g, n, e FROM el WHERE p <= n - ceil(0.85 * n) + 1
+), cand AS (
+  SELECT DISTINCT a.g AS a, b.g AS b FROM pre a JOIN pre b ON a.e = b.e AND a.g < b.g AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+), hit AS (
+  SELECT c.a, c.b, x.n + y.n AS total, count(*) AS i FROM cand c JOIN el x ON x.g = c.a JOIN el z ON z.g = c.b AND z.e = x.e JOIN g y ON y.g = c.b GROUP BY ALL
+), link AS (
+  SELECT a, b FROM hit WHERE 100 * i >= 85 * (total - i)
+), edge AS (
+  SELECT a, b FROM link UNION ALL SELECT b, a FROM link
+), reach(a, b) AS (
+  SELECT g, g FROM g UNION SELECT reach.a, edge.b FROM reach JOIN edge ON edge.a = reach.b
+), comp AS (
+  SELECT a, min(first) AS component_id FROM reach JOIN g ON g.g = reach.b GROUP BY a
+)
+SELECT sets.doc_id, len(sets.s)::BIGINT AS n_shingles, CASE WHEN len(sets.s) = 0 THEN sets.doc_id ELSE component_id END AS component_id
+FROM sets LEFT JOIN g ON g.s = sets.s LEFT JOIN comp ON comp.a = g.g
+"""

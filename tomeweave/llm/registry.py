@@ -1,6 +1,6 @@
 """Queries and DuckDB SQL of the training-data operators."""
 
-from tomeweave.llm import queries_bpe, queries_divergence, queries_language, queries_mixing, queries_near_dup, queries_passages, queries_quality, queries_runs, queries_secrets, queries_tokenfiles, queries_topk, queries_urls
+from tomeweave.llm import queries_bpe, queries_divergence, queries_language, queries_mixing, queries_near_dup, queries_ngram_join, queries_passages, queries_quality, queries_runs, queries_secrets, queries_tokenfiles, queries_topk, queries_urls
 
 QUERIES = {
     "op1_bpe_round_trip": queries_bpe.op1_bpe_round_trip,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_quality_rules": queries_quality.op10_quality_rules,
     "op11_source_divergence": queries_divergence.op11_source_divergence,
     "op12_periodic_runs": queries_runs.op12_periodic_runs,
+    "op13_ngram_jaccard_join": queries_ngram_join.op13_ngram_jaccard_join,
 }
 ORACLE_SQL = {
     "op2_near_duplicates": queries_near_dup.SQL,
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op9_secret_scan": queries_secrets.SQL,
     "op10_quality_rules": queries_quality.SQL,
     "op11_source_divergence": queries_divergence.SQL,
+    "op13_ngram_jaccard_join": queries_ngram_join.SQL,
 }
