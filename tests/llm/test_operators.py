@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tomeweave.llm import automaton, bpe, components, divergence, language, minhash, mixing, near_dup, passages, quality, rangecoder, runs, secrets, tokenfiles, topk, urls
+from tomeweave.llm import automaton, bpe, components, divergence, language, minhash, mixing, near_dup, ngram_join, passages, quality, rangecoder, runs, secrets, tokenfiles, topk, urls
 from tomeweave.llm.common import shared_path
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -579,3 +579,71 @@ def test_op12_matches_brute_force(spark):
         digests = [hashlib.sha256(x.encode()).hexdigest() for x in ("".join(f"{s},{length},{q}\n" for s, length, q in found), " ".join(kept))]
         want[(doc_id, len(found), *(best or (None,) * 3), 1000 * best[1] // best[2] if best else None, *digests)] += 1
     assert Counter(map(tuple, op12_periodic_runs(spark, sf_dir).collect())) == want
+
+
+# N-gram Jaccard join ------------------------------------------------------------------------------
+
+
+def brute_join(rows):
+    sets = []
+    for _, text in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets.append({tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set())
+    forest = components.Forest()
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                forest.join(a, b)
+    groups = {}
+    for k in range(len(rows)):
+        groups.setdefault(forest.find(k), []).append(rows[k][0])
+    least = {g: min((x for x in own if x is not None), default=None) for g, own in groups.items()}
+    return Counter((doc_id, len(own), least[forest.find(k)] if own else doc_id) for k, ((doc_id, _), own) in enumerate(zip(rows, sets, strict=True)))
+
+
+@pytest.mark.parametrize("small_bounds", [False, True])
+def test_ngram_join_matches_brute_force(spark, docs, empty, monkeypatch, small_bounds):
+    """With small bounds: many parts, batches and frequent n-grams, and clusters of several blocks."""
+    if small_bounds:
+        for name, value in {"COUNTERS": 256, "FREQUENT": 6, "BATCH": 3000, "PART": 2500, "BLOCK_SETS": 5}.items():
+            monkeypatch.setattr(ngram_join, name, value)
+    r = random.Random(31)
+    rows = [(d["doc_id"], d["text"]) for d in docs.collect()]
+    passage = text_of(77, 60)
+    for group in range(6):
+        base = text_of(200 + group, 150).split()
+        for k in range(12):
+            copy = base.copy()
+            for _ in range(r.randint(0, 5)):
+                copy[r.randrange(len(copy))] = f"edit{r.random()}"
+            if k % 5 == 4:
+                del copy[: r.randint(0, 25)]
+            rows.append((1000 + group * 20 + k, " ".join(copy).title() if k == 3 else " ".join(copy)))
+    rows += [(2000 + k, f"{text_of(300 + k, 40)} {passage} {text_of(400 + k, r.randint(1, 40))}") for k in range(30)]
+    rows += [(None, text_of(1)), (None, "a null id alone of its kind"), (7, text_of(203, 150)), (3000, "one TWO"), (3001, "two one")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"n": F.lit("own"), "node": F.lit("own")}).repartition(4)
+    assert Counter(map(tuple, ngram_join.jaccard_join(frame).collect())) == brute_join(rows)
+    assert ngram_join.jaccard_join(empty).count() == 0
+
+
+def test_prefix_tree_finds_all_links():
+    r = random.Random(32)
+    for _ in range(200):
+        base = sorted(r.sample(range(80), 30))
+        sets = [np.array(sorted({*r.sample(base, r.randint(24, 30)), *r.sample(range(80), r.randint(0, 4))})) for _ in range(r.randint(1, 12))]
+        sizes = np.array([len(x) + r.randint(0, 3) for x in sets])
+        tree, place = ngram_join.PrefixTree(sets, sizes), np.zeros(80, np.int64)
+        for a, own in enumerate(sets):
+            both = [len(set(own) & set(x)) for x in sets]
+            found = {(k, n) for k, n in tree.linked(own, int(sizes[a]), place) if 100 * n >= 85 * (sizes[a] + sizes[k] - n)}
+            assert found == {(k, n) for k, n in enumerate(both) if 100 * n >= 85 * (sizes[a] + sizes[k] - n)}
+
+
+def test_summary_names_all_frequent_numbers():
+    r = np.random.default_rng(7)
+    summary = ngram_join.Summary(50)
+    numbers = np.concatenate([r.integers(0, 5000, 20_000), np.repeat(np.arange(10_000, 10_010), 600)]).astype(np.uint64)
+    r.shuffle(numbers)
+    for part in np.array_split(numbers, 40):
+        summary.add(part)
+    assert len(summary.keys) <= 50 and set(range(10_000, 10_010)) <= set(summary.keys.tolist())
