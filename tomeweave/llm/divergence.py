@@ -29,38 +29,42 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tomeweave.llm.common import cut, release, small
+from tomeweave.llm.common import SLICE, cut, release, small
 
 #: On the bytes of UTF-8: letters of ASCII and whatever is beyond it.
 TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
 LEAST_DOCUMENTS, TOP = 10, 10
 #: Size of a tile; a task holds ROWS * ROWS * COLS leaves of two tiles at most.
 ROWS, COLS = 32, 1024
-#: Terms that a task counts before it emits them.
-HELD = 300_000
+#: Terms that a task counts before it emits them, and rows that leave it together.
+HELD, OUT = 200_000, 20_000
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(lang, source, term, n, documents) as a task knows them; a null term stands for the group itself."""
     n, within = {}, {}
 
-    def emit() -> pd.DataFrame:
-        rows = [(lang, source, None, 0, 0) for lang, source in n]
-        for (lang, source), counts in n.items():
-            documents = within[lang, source]
-            rows += [(lang, source, term.decode(), k, documents[term]) for term, k in counts.items()]
-        return pd.DataFrame(rows, columns=["lang", "source", "term", "n", "documents"])
-
-    for batch in batches:
-        for lang, source, text in zip(batch["lang"], batch["source"], batch["text"], strict=True):
-            terms = TERM.findall(text.encode().lower())  # bytes.lower() changes A-Z only
-            key = (lang, source)
-            n.setdefault(key, Counter()).update(terms)
-            within.setdefault(key, Counter()).update(set(terms))
-        if sum(map(len, n.values())) > HELD:
-            yield emit()
-            n, within = {}, {}
-    yield emit()
+    def emit() -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame([(lang, source, None, 0, 0) for lang, source in n], columns=["lang", "source", "term", "n", "documents"])
+        for key in list(n):
+            counts, documents = n.pop(key), within.pop(key)
+            names = list(counts)
+            for begin in range(0, len(names), OUT):
+                part = names[begin : begin + OUT]
+                found = {"n": np.fromiter(map(counts.__getitem__, part), np.int64, len(part)), "documents": np.fromiter(map(documents.__getitem__, part), np.int64, len(part))}
+                yield pd.DataFrame({"lang": key[0], "source": key[1], "term": b"\n".join(part).decode().split("\n"), **found})
+
+    for whole in batches:
+        for begin in range(0, len(whole), SLICE):
+            batch = whole.iloc[begin : begin + SLICE]
+            for lang, source, text in zip(batch["lang"], batch["source"], batch["text"], strict=True):
+                terms = TERM.findall(text.encode().lower())  # bytes.lower() changes A-Z only
+                key = (lang, source)
+                n.setdefault(key, Counter()).update(terms)
+                within.setdefault(key, Counter()).update(set(terms))
+            if sum(map(len, n.values())) > HELD:
+                yield from emit()
+    yield from emit()
     release()
 
 
