@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -42,7 +43,9 @@ FULL_MOVES = 1 << 25
 UNKNOWN = "und"
 #: What parts the texts of a language in a sample.
 BETWEEN = "\x1e"
-_NO_LETTERS = re.compile(r"[\W\d_]+")
+#: Word characters that are neither letters nor decimal digits: fractions, circled and Roman numbers (none stands beyond the second plane).
+_NUMBERS = "".join(c for c in map(chr, range(0x20000)) if unicodedata.category(c) in ("No", "Nl"))
+_NO_LETTERS = re.compile(rf"[\W\d_{_NUMBERS}]+")
 
 
 class SuffixAutomaton:
