@@ -2,10 +2,10 @@
 
 A unit is a paragraph (blank lines part them), a line or a sentence of a line, lower-cased and with
 its blanks collapsed; units of fewer than ``UNIT_WORDS`` words are taken together with the ones that follow
-until there are as many, from every unit on, so passages are found wherever they stand in a
-text. Digests are grouped over all documents; the occurrence in the first document (in it, the first one) stays and all
-others are removed, where a run of them has ``RUN_WORDS`` words at least: a short line that many texts share is
-no passage. Kept texts come with the removed spans as offsets into the original.
+until there are as many, from every unit on. A text with fewer words is one unit as a whole. Several kinds may be
+asked for together: lines, and their sentences for passages that begin and end within lines. Digests are grouped over
+all documents; the occurrence in the first document (in it, the first one) stays and all
+others are removed. Kept texts come with the removed spans as offsets into the original.
 
 Documents rank by id (null last), then by the digest of their text. Rows of one id and one text are numbered
 (they are checkpointed for it, and are few in most tables); all but one of them are repeats as a whole.
@@ -13,9 +13,9 @@ Documents rank by id (null last), then by the digest of their text. Rows of one
 Three passes read the texts: digests are counted, then repeats are matched, then texts are
 cut. Only digests and keys of documents are shuffled by digest, pre-aggregated, with one row per document
 and digest however often it repeats there. A digest that very many documents share is one key of that join: AQE parts it.
+Texts move only where there are more digests to remove than ``BROADCAST_DIGESTS``.
 
-Defined cases: a null text stays null and has no units; texts under eight words have
-none; ids may be of any type that orders; an empty table
+Defined cases: a null text stays null and has no units, nor has one without words; ids may be of any type that orders; an empty table
 gives an empty result; added columns give way to columns of the input with the same name.
 """
 
@@ -32,47 +32,51 @@ from pyspark.sql import types as T
 
 from tomeweave.llm.common import cut, small, spare
 
-UNIT_WORDS, RUN_WORDS = 8, 16
+UNIT_WORDS = 8
+#: Digests to remove, over all documents, up to which they are broadcast (16 bytes each, and a key a document).
+BROADCAST_DIGESTS = 1_000_000
 #: What parts the units of each kind.
 KINDS = {"paragraph": re.compile(r"\s*\n\s*\n\s*"), "line": re.compile(r"\s*\n\s*"), "sentence": re.compile(r"\s*\n\s*|(?<=[.!?])\s+")}
 Digest = tuple[int, int]
 
 
-def units(text: str | None, words: int = UNIT_WORDS, kind: str = "sentence") -> list[tuple[Digest, int, int]]:
+def units(text: str | None, kinds: tuple[str, ...], words: int = UNIT_WORDS) -> list[tuple[Digest, int, int]]:
     """(digest, start, end) of every unit, in code points, by start."""
     if not text:
         return []
-    pieces, at = [], 0
-    for gap in KINDS[kind].finditer(text):
-        pieces.append((at, gap.start()))
-        at = gap.end()
-    pieces.append((at, len(text)))
-    plain = [(s, e, x) for s, e in pieces if (x := text[s:e].lower().split())]
-    found = []
-    for i, (start, end, own) in enumerate(plain):
-        j, joined = i, own
-        while len(joined) < words and j + 1 < len(plain):
-            j += 1
-            joined = joined + plain[j][2]
-            end = plain[j][1]
-        if len(joined) < words:
-            break
-        h = xxhash.xxh3_128_intdigest(" ".join(joined))
-        found.append((((h >> 64) - 2**63, (h & 0xFFFFFFFFFFFFFFFF) - 2**63), start, end))
-    return found
-
-
-def repeats(text: str | None, elsewhere: set[Digest], kind: str = "sentence", least: int = RUN_WORDS, whole: bool = False) -> list[tuple[int, int]]:
-    """Spans to remove: units that stand ``elsewhere`` or earlier in the text (all, if it repeats as a ``whole``); touching ones are one span, of ``least`` words or more."""
-    seen, spans = set(), []
-    for digest, start, end in units(text, kind=kind):
-        if whole or digest in elsewhere or digest in seen:
+    found = set()
+    for kind in kinds:
+        pieces, at = [], 0
+        for gap in KINDS[kind].finditer(text):
+            pieces.append((at, gap.start()))
+            at = gap.end()
+        pieces.append((at, len(text.rstrip())))
+        pieces[0] = (len(text) - len(text.lstrip()), pieces[0][1])
+        plain = [(s, e, x) for s, e in pieces if (x := text[s:e].lower().split())]
+        for i, (start, end, own) in enumerate(plain):
+            j, joined = i, own
+            while len(joined) < words and j + 1 < len(plain):
+                j += 1
+                joined = joined + plain[j][2]
+                end = plain[j][1]
+            if len(joined) < words and i:
+                break
+            h = xxhash.xxh3_128_intdigest(" ".join(joined))
+            found.add((start, end, ((h >> 64) - 2**63, (h & 0xFFFFFFFFFFFFFFFF) - 2**63)))
+    return [(digest, start, end) for start, end, digest in sorted(found)]
+
+
+def repeats(text: str | None, elsewhere: set[Digest], kinds: tuple[str, ...], whole: bool = False) -> list[tuple[int, int]]:
+    """Spans to remove: units that stand ``elsewhere`` or earlier in the text (all, if it repeats as a ``whole``); touching ones are one span."""
+    first, spans = {}, []
+    for digest, start, end in units(text, kinds):
+        # A line that is one sentence is the same unit twice, at one place.
+        if whole or digest in elsewhere or first.setdefault(digest, start) < start:
             if spans and (start <= spans[-1][1] or not text[spans[-1][1] : start].strip()):
                 spans[-1] = (spans[-1][0], max(end, spans[-1][1]))
             else:
                 spans.append((start, end))
-        seen.add(digest)
-    return [(s, e) for s, e in spans if len(text[s:e].split()) >= least]
+    return spans
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
@@ -89,22 +93,22 @@ _DIGESTS = T.ArrayType(T.StructType([T.StructField("h", T.LongType()), T.StructF
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
-def _digests(kind: str):
+def _digests(kinds: tuple[str, ...]):
     @F.pandas_udf(_DIGESTS)
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            yield pd.Series([[{"h": h, "l": low} for h, low in {d for d, _, _ in units(x, kind=kind)}] for x in batch], index=batch.index, dtype=object)
+            yield pd.Series([[{"h": h, "l": low} for h, low in {d for d, _, _ in units(x, kinds)}] for x in batch], index=batch.index, dtype=object)
 
     return run.asNondeterministic()
 
 
-def _cut(kind: str, least: int):
+def _cut(kinds: tuple[str, ...]):
     @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("spans", _SPANS)]))
     def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, gone, again in batches:
             rows = []
             for text, digests, whole in zip(texts, gone, again, strict=True):
-                spans = repeats(text, {(x["h"], x["l"]) for x in digests} if digests is not None else set(), kind, least, bool(whole))
+                spans = repeats(text, {(x["h"], x["l"]) for x in digests} if digests is not None else set(), kinds, bool(whole))
                 rows.append((without(text, spans) if spans else text, [{"start": s, "end": e} for s, e in spans]))
             yield pd.DataFrame(rows, columns=["text", "spans"])
 
@@ -127,20 +131,23 @@ def _numbered(docs: DataFrame, key: Column, again: str) -> DataFrame:
 
 
 def drop_repeats(
-    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", kept: str = "kept_text", removed: str = "removed", kind: str = "sentence", least: int = RUN_WORDS
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", kept: str = "kept_text", removed: str = "removed", kinds: tuple[str, ...] = ("line", "sentence")
 ) -> tuple[DataFrame, str, str]:
     """``docs`` with the kept text and an array of removed (start, end); also returns the two columns' names."""
     kept, removed = spare(docs, kept), spare(docs, removed)
     body, own = F.col(f"`{text}`").cast("string"), F.col(f"`{doc_id}`")
     key = F.struct(own.isNull().alias("none"), own.alias("id"), F.xxhash64(body).alias("x"))
-    found = docs.select(key.alias("key"), F.explode(_digests(kind)(body)).alias("u")).select("key", "u.h", "u.l")
+    found = docs.select(key.alias("key"), F.explode(_digests(kinds)(body)).alias("u")).select("key", "u.h", "u.l")
     several = found.groupBy("h", "l").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("last > first").select("h", "l", "first")
     gone = found.join(several, ["h", "l"]).filter("key > first").groupBy("key").agg(F.collect_set(F.struct("h", "l")).alias("gone"))
     again = spare(docs, "again")
     rows = _numbered(docs, key, again)
     at, none, id_, x = (spare(rows, name) for name in ("gone", "none_of", "id_of", "x_of"))
     gone = gone.select(F.col("key.none").alias(none), F.col("key.id").alias(id_), F.col("key.x").alias(x), F.col("gone").alias(at))
+    gone = cut(gone)
+    if (gone.agg(F.sum(F.size(at) + 4)).first()[0] or 0) <= BROADCAST_DIGESTS:
+        gone = F.broadcast(gone)
     joined = rows.join(gone, (F.xxhash64(body) == F.col(x)) & own.eqNullSafe(F.col(id_)), "left")
     both = spare(docs, "cut")
-    result = joined.withColumn(both, _cut(kind, least)(body, F.col(at), F.col(again))).withColumns({kept: F.col(both)["text"], removed: F.col(both)["spans"]})
+    result = joined.withColumn(both, _cut(kinds)(body, F.col(at), F.col(again))).withColumns({kept: F.col(both)["text"], removed: F.col(both)["spans"]})
     return result.drop(both, at, none, id_, x, again), kept, removed
