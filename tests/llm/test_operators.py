@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -297,19 +298,52 @@ def test_token_files(spark, docs, empty, monkeypatch):
 # Passages -----------------------------------------------------------------------------------------
 
 
-def test_repeats_match_a_plain_loop(spark, docs, empty):
+def brute_repeats(rows):
+    """Per row (id, removed spans), by strings: lines and sentences of eight words or more, short ones with what follows."""
+    seen, out = set(), []
+    for doc_id, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        body, own, gone = text or "", [], set()
+        for gap in (r"\n", r"\n|(?<=[.!?])\s"):
+            starts = [0, *(m.end() for m in re.finditer(gap, body))]
+            pieces = [(s, body[s:e]) for s, e in zip(starts, [*starts[1:], len(body)], strict=True) if body[s:e].strip()]
+            for i in range(len(pieces)):
+                taken = next((k for k in range(i + 1, len(pieces) + 1) if len(" ".join(x for _, x in pieces[i:k]).split()) >= 8), None)
+                if taken is None and i:
+                    continue
+                part = pieces[i:taken]
+                start, (last, tail) = part[0][0] + len(part[0][1]) - len(part[0][1].lstrip()), part[-1]
+                own.append((start, last + len(tail.rstrip()), " ".join(" ".join(x for _, x in part).lower().split())))
+        for start, end, unit in own:
+            if unit in seen or any(u == unit and s < start for s, _, u in own):
+                gone |= set(range(start, end))
+        seen |= {u for _, _, u in own}
+        marks = "".join("x" if k in gone else "b" if body[k].isspace() else "." for k in range(len(body)))
+        out.append((doc_id, tuple((m.start(), m.end()) for m in re.finditer(r"x(?:[xb]*x)?", marks))))
+    return Counter(out)
+
+
+def test_repeats_match_brute_force(spark):
+    r = random.Random(41)
+    sentences = [" ".join(r.choice(WORDS) for _ in range(r.randint(1, 14))) + r.choice([".", "!", "", "? "]) for _ in range(40)]
+    rows = [(k, "".join(r.choice(sentences).capitalize() + r.choice([" ", "\n", " \n\n", "  "]) for _ in range(r.randint(0, 9)))) for k in range(60)]
+    rows += [(100, None), (101, ""), (102, " \n"), (103, "five words and no more"), (104, "Five  words\nand no more"), (105, "ten words " * 5), (106, "ten words " * 5), (None, rows[7][1])]
+    for part in (rows, rows[:9]):
+        frame = spark.createDataFrame(part, "doc_id long, text string").repartition(3)
+        got, kept, removed = passages.drop_repeats(frame)
+        found = got.collect()
+        assert Counter((x["doc_id"], tuple((s["start"], s["end"]) for s in x[removed])) for x in found) == brute_repeats(part)
+        for x in found:
+            gone = {k for s in x[removed] for k in range(s["start"], s["end"])}
+            assert x[kept] == (None if x["text"] is None else "".join(c for k, c in enumerate(x["text"]) if k not in gone))
+
+
+def test_repeats_in_frames(spark, docs, empty):
     shared = "This passage of some words stands in several documents. It has a second sentence of its own. And. A third one to end it with."
     rows = [(3, f"Begin here with other words than before. {shared}"), (1, f"{shared}\nEnd of the first of them all, with more words."), (2, f"Hello there my friend and all of the others,\n{shared}"), (4, None), (5, ""), (None, shared)]
     frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"kept_text": F.lit("own"), "gone": F.lit(1)})
-    got, kept, removed = passages.drop_repeats(frame)
+    got, kept, _ = passages.drop_repeats(frame)
     assert kept != "kept_text"
     found = {r["doc_id"]: r for r in got.collect()}
-    seen = set()
-    for d, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
-        spans = passages.repeats(text, seen)
-        seen |= {u for u, _, _ in passages.units(text)}
-        assert [(x["start"], x["end"]) for x in found[d][removed]] == spans
-        assert found[d][kept] == (passages.without(text, spans) if text else text)
     assert found[1][kept] == rows[1][1] and found[2][kept].strip() == "Hello there my friend and all of the others," and found[None][kept] == ""
     assert passages.drop_repeats(empty)[0].count() == 0 and passages.drop_repeats(docs)[0].count() == docs.count()
 
@@ -320,7 +354,7 @@ def test_rows_of_one_id_are_told_apart(spark):
     got, kept, removed = passages.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
     whole = [(r["doc_id"], r[kept]) for r in got.collect() if passage in (r[kept] or "")]
     assert sorted(whole, key=str) == sorted([(3, "of " + passage), (7, passage)], key=str) and got.count() == len(rows)
-    assert all(not r[removed] for r in got.collect() if r["doc_id"] in (8, 9))
+    assert {r["doc_id"]: r[kept] for r in got.collect() if r["doc_id"] in (8, 9)} == {8: "Short line.", 9: ""}
     texts = spark.createDataFrame([("b", passage), ("a", passage)], "doc_id string, text string")
     assert {r["doc_id"]: r[kept] for r in passages.drop_repeats(texts)[0].collect()} == {"a": passage, "b": ""}
 
@@ -410,6 +444,13 @@ def test_lanes_parse_as_the_automaton_does(monkeypatch):
             assert found[k].tolist() == [automaton.phrases(x) for x in texts]
 
 
+def test_only_letters_are_read():
+    for k in range(0x110000):
+        c = chr(k)
+        assert bool(language.plain(c)) == unicodedata.category(c).startswith("L"), hex(k)
+    assert language.plain("½ Ⅷ ① x²Y") == " x y "
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     out = language.held_out(F.col("doc_id"))
