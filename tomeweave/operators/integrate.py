@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tomeweave import lexicon
 from tomeweave.functions.text import merge_key
+from tomeweave.operators.dictionary import dictionary_join
 from tomeweave.operators.lineage import cut
 from tomeweave.operators.simjoin import clusters
 
@@ -207,12 +208,12 @@ def apply_feedback(decided: DataFrame, nodes: DataFrame, messages: DataFrame) ->
     """Decisions after teachers' messages (msg_ord, message): one that names a decision's result node overrides it.
 
     Of several, the last message counts, and its split rule before its keep rule. Only messages with such words
-    are matched; they are one small side, and a name is compared once however many decisions there are.
+    are matched, and a name is looked for once however many decisions there are.
     """
     has = lambda words, c: F.lit(False) if not words else c.rlike("|".join(words))
     asks = messages.withColumns({"keep": has(lexicon.KEEP_WORDS, F.col("message")) | F.lower("message").contains("keep"), "split": has(lexicon.SPLIT_WORDS, F.col("message"))}).filter("keep OR split")
     names = decided.join(nodes.select(F.col("node_id").alias("result_node"), "name"), "result_node").filter("name <> ''").select("decision_id", "name")
-    hits = names.select("name").distinct().join(asks, F.col("message").contains(F.col("name")))
+    hits = dictionary_join(asks, "message", names)
     rule = F.when(F.col("split"), F.concat(F.lit("教师反馈要求拆分该整合决策："), "message")).otherwise(F.concat(F.lit("教师反馈要求保留相关知识点："), "message"))
     said = names.join(hits, "name").groupBy("decision_id").agg(F.max_by(rule, "msg_ord").alias("said"))
     return decided.join(said, "decision_id", "left").withColumns(

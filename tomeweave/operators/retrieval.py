@@ -1,8 +1,7 @@
 """Retrieval over chunks: TF-IDF, BM25 and phrases for batches of questions.
 
-An index (document frequencies and vector norms) is built once by aggregation. Questions come in
-blocks of bounded size; a block's vectors go to all tasks, each task scores the chunks it
-reads, and only sums, maxima or a task's best chunks leave it. No score matrix is shuffled.
+Here are an index as rows (document frequencies and vector norms, by aggregation), the scores of all pairs, and
+answers from ranked chunks. Ranking itself, which keeps no scores, is in ``scan``.
 """
 
 from __future__ import annotations
@@ -14,13 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tomeweave import lexicon
 from tomeweave.functions import text as T
 from tomeweave.functions.grams import ANALYZERS, tokens
-from tomeweave.operators.chunks import RetrievalConfig
 from tomeweave.operators.lineage import cut
 
 #: Questions whose vectors are held by a task at once.
@@ -71,17 +69,6 @@ class Index:
         return self.weights(extra).groupBy(self.key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
 
 
-class PreparedIndex(Index):
-    """An index whose norms are kept; they hold for one kind of fit (with the question or without)."""
-
-    def __init__(self, index: Index, norms: DataFrame):
-        super().__init__(index.n, index.df, index.counts, index.key, index.analyzer)
-        object.__setattr__(self, "kept", norms)
-
-    def norms(self, extra: int = 0) -> DataFrame:
-        return self.kept
-
-
 def build_index(rows: DataFrame, key: str, analyzer: str, text: str = "text") -> Index:
     counts = gram_counts(rows, key, analyzer, text)
     return Index(rows.count(), cut(counts.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))), counts, key, analyzer)
@@ -250,29 +237,14 @@ def _blocks(questions: DataFrame, index: Index, bm25: Bm25, fit_question: bool)
 
 def all_scores(chunks: DataFrame, questions: DataFrame, index: Index, bm25: Bm25, fit_question: bool = False, phrases: bool = True) -> DataFrame:
     """question_id, chunk_id and the three scores of every pair with one above zero; BM25 not yet divided by its maximum."""
-    return _per_block(chunks, questions, index, bm25, fit_question, phrases, None, None)
-
-
-def _per_block(
-    chunks: DataFrame, questions: DataFrame, index: Index, bm25: Bm25, fit_question: bool, phrases: bool, weights: tuple[float, float, float] | None, k: int | None
-) -> DataFrame:
-    """All scores, or with ``weights`` the k best chunks of every task's batches."""
     normed = cut(spread(chunks.select("chunk_id", "text").join(index.norms(int(fit_question)), "chunk_id", "left").na.fill(0.0, ["norm"]), "chunk_id"))
     kind = questions.schema["question_id"].dataType.simpleString()
-    out = None
+    schema = f"question_id {kind}, chunk_id string, tfidf double, bm25 double, phrase double"
+    out = questions.sparkSession.createDataFrame([], schema)
     for block in _blocks(questions, index, bm25, fit_question):
         shared = questions.sparkSession.sparkContext.broadcast(block)
         analyzer = index.analyzer
 
-        def maxima(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            own, most = shared.value, None
-            for batch in batches:
-                for text in batch["text"]:
-                    found = own.bm25(text)
-                    most = found if most is None else np.maximum(most, found)
-            if most is not None:
-                yield pd.DataFrame({"question_id": own.ids, "most": most})
-
         def score(batches: Iterator[pd.DataFrame], shared=shared, analyzer=analyzer) -> Iterator[pd.DataFrame]:
             own = shared.value
             for batch in batches:
@@ -283,45 +255,10 @@ def _per_block(
                     rows = pd.DataFrame({"question_id": np.tile(np.array(own.ids, dtype=object), len(part)), "chunk_id": np.repeat(part["chunk_id"].to_numpy(), len(own.ids)), "tfidf": three[0], "bm25": three[1], "phrase": three[2]})
                     yield rows[(rows["tfidf"] != 0) | (rows["bm25"] != 0) | (rows["phrase"] != 0)]
 
-        def best(batches: Iterator[pd.DataFrame], shared=shared, analyzer=analyzer, top=None) -> Iterator[pd.DataFrame]:
-            own = shared.value
-            for batch in batches:
-                found = [own.scores(x, norm, analyzer, phrases) for x, norm in zip(batch["text"], batch["norm"], strict=True)]
-                if not found:
-                    continue
-                three = [np.stack([f[i] for f in found]) for i in range(3)]
-                total = np.round(weights[0] * three[0] + weights[1] * (three[1] / top) + weights[2] * three[2], 9)
-                names = batch["chunk_id"].to_numpy()
-                for q, qid in enumerate(own.ids):
-                    order = np.lexsort((names, -total[:, q]))[:k]
-                    yield pd.DataFrame({"question_id": [qid] * len(order), "chunk_id": names[order], "score": total[order, q]})
-
-        if weights is None:
-            part = normed.mapInPandas(score, f"question_id {kind}, chunk_id string, tfidf double, bm25 double, phrase double")
-        else:
-            most = {r["question_id"]: r["most"] for r in normed.select("text").mapInPandas(maxima, f"question_id {kind}, most double").groupBy("question_id").agg(F.max("most").alias("most")).collect()}
-            top = np.array([most.get(q) or 1.0 for q in block.ids])
-
-            def best_of(batches, best=best, top=top):
-                return best(batches, top=top)
-
-            part = normed.mapInPandas(best_of, f"question_id {kind}, chunk_id string, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        fields = "tfidf double, bm25 double, phrase double" if weights is None else "score double"
-        out = questions.sparkSession.createDataFrame([], f"question_id {kind}, chunk_id string, {fields}")
+        out = out.unionByName(normed.mapInPandas(score, schema))
     return out
 
 
-def retrieve(chunks: DataFrame, questions: DataFrame, config: RetrievalConfig, fit_question: bool = True, index: Index | None = None, bm25: Bm25 | None = None) -> DataFrame:
-    """question_id, rank, chunk_id, score: each question's best chunks over the least score; ties by chunk_id."""
-    index = index or build_index(chunks, "chunk_id", config.analyzer)
-    bm25 = bm25 or build_bm25(chunks)
-    found = _per_block(chunks, questions, index, bm25, fit_question, config.phrase_rerank, config.weights, config.top_k)
-    rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id"))
-    return found.withColumn("rank", rank).filter((F.col("rank") <= config.top_k) & (F.col("score") > config.min_score)).select("question_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "score")
-
-
 def _any_of(c: Column, words: tuple[str, ...]) -> Column:
     return c.rlike("|".join(words))
 
@@ -348,18 +285,22 @@ def place(row_book: Column, row_chapter: Column, row_page: Column) -> Column:
 def answers(ranked: DataFrame, chunks: DataFrame, questions: DataFrame) -> DataFrame:
     """Per question the answer with its source, the citations in rank order and the source texts; a fixed text where nothing was found."""
     rows = ranked.join(chunks.select("chunk_id", "book_id", "chapter", "page", "text"), "chunk_id").join(questions.select("question_id", "question"), "question_id")
+    return answers_of(rows, questions.select("question_id"))
+
+
+def answers_of(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """The same for ranked chunks with their texts and questions; ``asked`` has the columns that name an answer."""
+    by = asked.columns
     term = F.get(F.filter(query_terms(F.col("question")), lambda t: F.contains(F.col("text"), t)), 0)
     rows = rows.withColumn("term", term).withColumn("sentence", F.when(F.col("term").isNotNull(), best_sentence(F.col("text"), F.col("term"), F.col("question"))).otherwise(F.lit("")))
     source = place(F.col("book_id"), F.col("chapter"), F.col("page"))
     evidence = F.when(F.col("sentence") != "", F.concat(T.clean_answer_text(F.col("sentence")), F.lit(" "), source))
-    rows = rows.select("question_id", "rank", evidence.alias("evidence"), F.concat(F.substring("text", 1, 260), F.lit("... "), source).alias("opening"), F.round("score", 4).alias("relevance"), "book_id", "chapter", "page", "text")
-    each = rows.groupBy("question_id").agg(
+    rows = rows.select(*by, "rank", evidence.alias("evidence"), F.concat(F.substring("text", 1, 260), F.lit("... "), source).alias("opening"), F.round("score", 4).alias("relevance"), "book_id", "chapter", "page", "text")
+    each = rows.groupBy(*by).agg(
         F.min_by("evidence", F.when(F.col("evidence").isNotNull(), F.col("rank"))).alias("evidence"), F.min_by("opening", "rank").alias("opening"),
         F.array_sort(F.collect_list(F.struct("rank", "book_id", "chapter", "page", "relevance", "text"))).alias("found"),
     )
-    joined = questions.select("question_id").join(each, "question_id", "left")
+    joined = asked.join(each, by, "left")
     cited = F.transform("found", lambda x: F.concat_ws("|", x["book_id"], x["chapter"], x["page"].cast("string"), F.format_string("%.4f", x["relevance"])))
     none = F.array().cast("array<string>")
-    return joined.select(
-        "question_id", F.coalesce("evidence", "opening", F.lit(lexicon.NO_ANSWER)).alias("answer"), F.coalesce(cited, none).alias("citations"), F.coalesce(F.transform("found", lambda x: x["text"]), none).alias("source_chunks")
-    )
+    return joined.select(*by, F.coalesce("evidence", "opening", F.lit(lexicon.NO_ANSWER)).alias("answer"), F.coalesce(cited, none).alias("citations"), F.coalesce(F.transform("found", lambda x: x["text"]), none).alias("source_chunks"))

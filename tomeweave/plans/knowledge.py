@@ -10,9 +10,10 @@ from tomeweave.operators import knowledge as G
 from tomeweave.operators import questions as B
 from tomeweave.operators import relations as R
 from tomeweave.operators import terms as K
-from tomeweave.operators.chunks import build_chunks
+from tomeweave.operators.chunks import RetrievalConfig
+from tomeweave.operators.dictionary import dictionary_join
 from tomeweave.operators.lineage import cut
-from tomeweave.operators.retrieval import build_bm25, build_index, retrieve
+from tomeweave.operators.scan import retrieve
 from tomeweave.plans.retrieval import CONFIG, answers_sql, corpus, corpus_sql, questions, ranked_sql
 from tomeweave.plans.tables import chapters, chapters_sql, cjk_sql, projected, projected_sql, strip_sql, table
 from tomeweave.registry import query
@@ -383,10 +384,10 @@ def _expected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages that stand in a document ask for the chapter of the first such document."""
     asked = questions(spark, sf_dir).filter("question <> ''")
     docs = chapters(spark, sf_dir)
-    inside = docs.join(asked, F.contains(F.col("content"), F.col("question")))  # the benchmark's passages are one small side
-    first = inside.groupBy("question_id").agg(F.min(F.struct("chapter_ord", "book_id", "title")).alias("f"))
+    inside = dictionary_join(docs, "content", asked, "question")
+    first = inside.groupBy("question").agg(F.min(F.struct("chapter_ord", "book_id", "title")).alias("f"))
     words = F.slice(F.filter(F.split("question", " "), lambda w: F.length(w) > 5), 1, 3)
-    return asked.join(first, "question_id").select("question_id", "question", F.col("f.book_id").alias("expected_book"), F.col("f.title").alias("expected_chapter"), F.lit("").alias("expected_chunk_id"), words.alias("expected_terms"))
+    return asked.join(first, "question").select("question_id", "question", F.col("f.book_id").alias("expected_book"), F.col("f.title").alias("expected_chapter"), F.lit("").alias("expected_chunk_id"), words.alias("expected_terms"))
 
 
 def _expected_sql() -> str:
@@ -394,9 +395,13 @@ def _expected_sql() -> str:
   SELECT q.question_id, question, c.book_id, c.title, row_number() OVER (PARTITION BY q.question_id ORDER BY chapter_ord) AS nth FROM q JOIN ({chapters_sql()}) c ON question <> '' AND contains(content, question)) WHERE nth = 1)"""
 
 
-_HITS = f"""{answers_sql(False)}, {_expected_sql()},
+def _eval_sql(config: RetrievalConfig = CONFIG) -> str:
+    hits = f"""{answers_sql(False, config)}, {_expected_sql()},
 hit AS (SELECT h.question_id, h.rank, h.chunk_id, length(text) AS n, book_id = expected_book AND chapter = expected_chapter AND len([t for t in terms if contains(text, t)]) > 0 AS hit FROM h JOIN x USING (question_id))"""
-_EVAL = _HITS.replace(ranked_sql(False, True), ranked_sql(False, False))
+    return hits.replace(ranked_sql(False, True, config), ranked_sql(False, False, config))
+
+
+_EVAL = _eval_sql()
 
 
 @query(f"WITH {_EVAL} SELECT question_id, rank, chunk_id, hit FROM hit")
@@ -405,16 +410,30 @@ def b12_chunk_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.chunk_matches(retrieve(chunks, asked.select("question_id", "question"), CONFIG, False), chunks, asked).select("question_id", "rank", "chunk_id", "hit")
 
 
-_METRICS = f"""{_EVAL},
+def _metrics_sql(config: RetrievalConfig = CONFIG) -> str:
+    return f"""{_eval_sql(config)},
 tok AS (SELECT x.question_id, greatest(1, (length(x.question) + 1 + coalesce(sum(n) + 2 * (count(n) - 1), 0)) // 2)::BIGINT AS tokens, min(rank) FILTER (hit) AS rank FROM x LEFT JOIN hit USING (question_id) GROUP BY x.question_id, x.question),
 ans AS (SELECT x.question_id, len([t for t in terms if contains(coalesce(evidence, opening, '{L.NO_ANSWER}'), t)]) > 0 AND contains(coalesce(evidence, opening, '{L.NO_ANSWER}'), expected_book) AS told FROM x LEFT JOIN v USING (question_id)),
-met AS (SELECT 'chunk500_ov100_char_2_5_phrase' AS config_name, round(avg(CASE WHEN rank IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE), 4) AS recall_at_5, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 4) AS mrr, round(avg(told::INTEGER), 4) AS answer_accuracy,
+met AS (SELECT '{B.config_name(config)}' AS config_name, round(avg(CASE WHEN rank IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE), 4) AS recall_at_5, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 4) AS mrr, round(avg(told::INTEGER), 4) AS answer_accuracy,
   round(avg(CASE WHEN rank = 1 THEN 1.0 ELSE 0.0 END::DOUBLE), 4) AS citation_accuracy, round(avg(told::INTEGER), 4) AS evidence_hit_rate, round(avg(tokens), 2) AS avg_context_tokens, sum(tokens)::BIGINT AS estimated_token_cost, count(*) AS question_count FROM tok JOIN ans USING (question_id))"""
 
 
+_METRICS = _metrics_sql()
+
+
 @query(f"WITH {_METRICS} SELECT * FROM met")
 def b13_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.evaluate(corpus(spark, sf_dir), _expected(spark, sf_dir), CONFIG, "chunk500_ov100_char_2_5_phrase")
+    return B.evaluate(corpus(spark, sf_dir), _expected(spark, sf_dir), CONFIG, B.config_name(CONFIG))
+
+
+#: One configuration of each analyzer, each rerank and two ways to cut.
+_SOME = [c for c in B.grid() if B.config_name(c) in ("chunk800_ov60_char_wb_2_4_base", "chunk1200_ov80_char_2_5_phrase", "chunk1200_ov80_char_wb_2_4_phrase")]
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM (WITH {sql} SELECT * FROM met)" for sql in map(_metrics_sql, _SOME)))
+def b13_evaluate_several(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three configurations in one scan."""
+    return B.evaluate_grid(chapters(spark, sf_dir), _expected(spark, sf_dir), _SOME)
 
 
 @query(f"WITH {_METRICS} SELECT question_id, tokens FROM tok")
@@ -443,19 +462,5 @@ def b11_config_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def b15_choose_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best row of the whole grid. A chunking is built once, an index once per analyzer; each chunking's rows go to the shared folder."""
-    asked, pages, out = _expected(spark, sf_dir), chapters(spark, sf_dir), None
-    for size, overlap in dict.fromkeys((c.chunk_size, c.overlap) for c in B.grid()):
-        configs = [c for c in B.grid() if (c.chunk_size, c.overlap) == (size, overlap)]
-        chunks, rows = build_chunks(pages, configs[0]).persist(), None
-        bm25 = build_bm25(chunks)
-        for analyzer in dict.fromkeys(c.analyzer for c in configs):
-            index = build_index(chunks, "chunk_id", analyzer)
-            for c in configs:
-                if c.analyzer == analyzer:
-                    row = B.evaluate(chunks, asked, c, f"chunk{size}_ov{overlap}_{analyzer}_{'phrase' if c.phrase_rerank else 'base'}", index, bm25)
-                    rows = row if rows is None else rows.unionByName(row)
-        rows = cut(rows)
-        chunks.unpersist()
-        out = rows if out is None else out.unionByName(rows)
-    return B.choose_best(out)
+    """The best row of the whole grid: twelve ways to cut, each for two analyzers, each with and without the rerank, in one scan."""
+    return B.choose_best(B.evaluate_grid(chapters(spark, sf_dir), _expected(spark, sf_dir), B.grid()))

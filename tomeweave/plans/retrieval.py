@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tomeweave import lexicon
 from tomeweave.operators import retrieval as V
+from tomeweave.operators import scan as S
 from tomeweave.operators import simjoin as J
 from tomeweave.operators.chunks import RetrievalConfig, build_chunks
 from tomeweave.plans.corpus import chunks_sql
@@ -108,14 +109,15 @@ def v7_query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(V.query_terms(question), " ").alias("terms"))
 
 
-def scores_sql(chinese: bool = False, fit_question: bool = False) -> str:
+def scores_sql(chinese: bool = False, fit_question: bool = False, config: RetrievalConfig = CONFIG) -> str:
     """CTEs up to ``s`` (question_id, chunk_id, tfidf, bm25, phrase) with BM25 as it is, and ``top`` by question."""
     extra = 1 if fit_question else 0
     idf = f"(ln((1.0::DOUBLE + n + {extra}) / (coalesce(df, 0) + 1 + {extra})) + 1)"
     base = f"(ln((1.0::DOUBLE + n + {extra}) / (df + 1)) + 1)"
     known = "" if fit_question else "WHERE df IS NOT NULL"
-    return f"""{index_sql(corpus_sql(chinese))}, q AS MATERIALIZED ({questions_sql(chinese)}),
-qg AS (SELECT question_id, gram, tf, df, tf * {idf} AS w FROM ({grams_sql("SELECT * FROM q", "question_id", "question")}) LEFT JOIN f USING (gram), n {known}),
+    cut_sql = chunks_sql(config.chunk_size, config.overlap, chapters_sql(chinese))
+    return f"""{index_sql(cut_sql, config.analyzer)}, q AS MATERIALIZED ({questions_sql(chinese)}),
+qg AS (SELECT question_id, gram, tf, df, tf * {idf} AS w FROM ({grams_sql("SELECT * FROM q", "question_id", "question", config.analyzer)}) LEFT JOIN f USING (gram), n {known}),
 qn AS (SELECT question_id, sqrt(sum(w * w)) AS qnorm FROM qg GROUP BY ALL),
 dn AS (SELECT chunk_id, sum(tf * tf * {base} * {base}) AS square FROM g JOIN f USING (gram), n GROUP BY ALL),
 co AS (
@@ -142,7 +144,7 @@ ph AS (
 def ranked_sql(chinese: bool = False, fit_question: bool = True, config: RetrievalConfig = CONFIG) -> str:
     """CTEs up to ``r`` (question_id, rank, chunk_id, score)."""
     a, b, c = config.weights
-    return f"""{scores_sql(chinese, fit_question)},
+    return f"""{scores_sql(chinese, fit_question, config)},
 r0 AS (SELECT question_id, chunk_id, {a!r}::DOUBLE * tfidf + {b!r}::DOUBLE * (bm25 / CASE WHEN coalesce(most, 0) = 0 THEN 1 ELSE most END) + {c!r}::DOUBLE * phrase AS raw, round(raw, 9) AS score FROM s JOIN top USING (question_id)),
 r1 AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM r0), r AS MATERIALIZED (SELECT question_id, rank, chunk_id, score FROM r1 WHERE rank <= {config.top_k} AND score > {config.min_score})"""
 
@@ -186,7 +188,7 @@ def v9_hybrid_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {ranked_sql()} SELECT question_id, rank, chunk_id, round(score, 6) AS score FROM r")
 def v10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.retrieve(corpus(spark, sf_dir), questions(spark, sf_dir), CONFIG).withColumn("score", F.round("score", 6))
+    return S.retrieve(corpus(spark, sf_dir), questions(spark, sf_dir), CONFIG).withColumn("score", F.round("score", 6))
 
 
 def _alternatives(words: tuple[str, ...]) -> str:
@@ -210,9 +212,9 @@ def v11_best_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir, True).select("chunk_id", best("红细胞", "红细胞的定义是什么").alias("defined"), best("激素", "激素有哪些").alias("other"))
 
 
-def answers_sql(chinese: bool) -> str:
+def answers_sql(chinese: bool, config: RetrievalConfig = CONFIG) -> str:
     place = "' [' || book_id || ', ' || chapter || ', 第' || page || '页]'"
-    return f"""{ranked_sql(chinese)},
+    return f"""{ranked_sql(chinese, config=config)},
 h AS (SELECT r.*, book_id, chapter, page, text, question, [t for t in {_terms_sql("question")} if contains(text, t)][1] AS term FROM r JOIN src USING (chunk_id) JOIN q USING (question_id)),
 e AS (SELECT *, CASE WHEN term IS NOT NULL THEN {sentence_sql("text", "term", "question")} ELSE '' END AS sentence FROM h),
 v AS (SELECT question_id, arg_min({strip_sql(cjk_sql("sentence"))} || {place}, rank) FILTER (sentence <> '') AS evidence, arg_min(substring(text, 1, 260) || '...' || {place}, rank) AS opening,
@@ -221,7 +223,7 @@ v AS (SELECT question_id, arg_min({strip_sql(cjk_sql("sentence"))} || {place}, r
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks, asked = corpus(spark, sf_dir, True), questions(spark, sf_dir, True)
-    return V.answers(V.retrieve(chunks, asked, CONFIG), chunks, asked)
+    return V.answers(S.retrieve(chunks, asked, CONFIG), chunks, asked)
 
 
 @query(f"WITH {answers_sql(True)} SELECT q.question_id, coalesce(evidence, opening, '{lexicon.NO_ANSWER}') AS answer FROM q LEFT JOIN v USING (question_id)")
