@@ -1,7 +1,9 @@
 """Jobs on small literal tables, and properties that hold for any input."""
 
+import math
 import random
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from tomeweave.functions import grams
 from tomeweave.functions import text as T
 from tomeweave.operators import chapters as P
 from tomeweave.operators import integrate as I
-from tomeweave.operators import knowledge, questions, relations, retrieval, simjoin
+from tomeweave.operators import dictionary, knowledge, questions, relations, retrieval, scan, simjoin
 from tomeweave.operators.chunks import RetrievalConfig, build_chunks, split_text
 from tomeweave.plans.retrieval import CONFIG
 from tomeweave.sources import files
@@ -214,7 +216,7 @@ def test_retrieval_ranks_the_concept_first(spark):
     rows = [(f"chunk_{k}", "生理学", "c", "第十一章 内分泌", 360 + k, noise) for k in range(8)] + [("chunk_8", "生理学", "c", "第十一章 内分泌", 361, "肾上腺 素是肾上腺髓质分泌的激素，肾上腺素主要作用于心血管。")]
     chunks = spark.createDataFrame(rows, CHUNK)
     asked = spark.createDataFrame([(1, "肾上腺素这个概念的核心定义是什么？"), (2, "zzz")], "question_id long, question string")
-    ranked = retrieval.retrieve(chunks, asked, CONFIG)
+    ranked = scan.retrieve(chunks, asked, CONFIG)
     assert ranked.filter("question_id = 1 AND rank = 1").first()["chunk_id"] == "chunk_8"
     found = {r["question_id"]: r for r in retrieval.answers(ranked, chunks, asked).collect()}
     assert found[1]["answer"].endswith("[生理学, 第十一章 内分泌, 第361页]") and "肾上腺素是肾上腺髓质" in found[1]["answer"]
@@ -236,29 +238,83 @@ def test_evaluation(spark):
     assert questions.choose_best(worse).first()["config_name"] == "b"
 
 
-def test_choose_best_evaluates_the_whole_grid(spark, monkeypatch):
-    from tomeweave.plans import knowledge as plan
-
-    seen, built, indexed = [], [], []
-
-    def evaluate(chunks, asked, c, name, index, bm25):
-        seen.append((c, built[-1] == (c.chunk_size, c.overlap), index == c.analyzer))
-        recall = 0.9 if name == "chunk1200_ov60_char_2_5_base" else 0.5
-        return spark.createDataFrame([(name, recall, 0.1, 0.1, 0.1)], "config_name string, recall_at_5 double, citation_accuracy double, answer_accuracy double, mrr double")
-
-    def build(pages, c):
-        built.append((c.chunk_size, c.overlap))
-        return pages
-
-    monkeypatch.setattr(plan, "_expected", lambda *_: None)
-    monkeypatch.setattr(plan, "chapters", lambda *_: spark.range(1))
-    monkeypatch.setattr(plan, "build_chunks", build)
-    monkeypatch.setattr(plan, "build_bm25", lambda chunks: None)
-    monkeypatch.setattr(plan, "build_index", lambda chunks, key, analyzer: indexed.append(analyzer) or analyzer)
-    monkeypatch.setattr(plan.B, "evaluate", evaluate)
-    assert plan.b15_choose_best(spark, "").first()["config_name"] == "chunk1200_ov60_char_2_5_base"
-    assert {c for c, _, _ in seen} == set(plan.B.grid()) and len(seen) == 48 and all(a and b for _, a, b in seen)
-    assert len(built) == 12 and len(indexed) == 24
+def corpus_of(spark, n=40, seed=5):
+    r = random.Random(seed)
+    words = ["细胞膜", "红细胞", "激素", "receptor", "Cell", "membrane", "naïve", "of", "the", "a1"]
+    rows = [(f"book{k % 3}", f"c{k}", k, f"第{k}章 {words[k % 4]}", 30 + k, " ".join(r.choice(words) + r.choice(["", "。", ","]) for _ in range(r.randint(0, 120)))) for k in range(n)]
+    return spark.createDataFrame(rows, "book_id string, chapter_id string, chapter_ord long, title string, page_start long, content string")
+
+
+def plain_scores(texts, asked, analyzer, fit_question):
+    """Cosine and BM25 of every text for a question, by their formulas."""
+    grams_of = grams.ANALYZERS[analyzer]
+    counts, own = [Counter(grams_of(x)) for x in texts], Counter(grams_of(asked))
+    fitted = [*counts, own] if fit_question else counts
+    df = Counter(g for c in fitted for g in c)
+    idf = {g: math.log((1 + len(fitted)) / (1 + n)) + 1 for g, n in df.items()}
+    length = lambda c: math.sqrt(sum((n * idf[g]) ** 2 for g, n in c.items() if g in idf))
+    dots = [sum(c[g] * n * idf[g] ** 2 for g, n in own.items() if g in c) for c in counts]
+    cosine = [d / length(c) / length(own) if d else 0.0 for d, c in zip(dots, counts, strict=True)]
+    words = [grams.tokens(x) for x in texts]
+    found, mean = Counter(g for w in words for g in set(w)), sum(map(len, words)) / len(words)
+    raw = {g: math.log(len(texts) - n + 0.5) - math.log(n + 0.5) for g, n in found.items()}
+    floor = 0.25 * sum(raw.values()) / len(raw)
+    weight = {g: x if x >= 0 else floor for g, x in raw.items()}
+    bm25 = [sum(n * weight[g] * w.count(g) * 2.5 / (w.count(g) + 1.5 * (0.25 + 0.75 * len(w) / mean)) for g, n in Counter(grams.tokens(asked)).items() if g in w) for w in words]
+    return cosine, bm25
+
+
+@pytest.mark.parametrize("by_join", [False, True])
+@pytest.mark.parametrize("fit_question", [False, True])
+def test_scan_matches_the_formulas(spark, monkeypatch, by_join, fit_question):
+    """Every chunk's score under each analyzer; vector lengths come from a broadcast or from a join."""
+    if by_join:
+        monkeypatch.setattr(scan, "BROADCAST_GRAMS", 0)
+    monkeypatch.setattr(scan, "PART_LETTERS", 2000)
+    chunks = build_chunks(corpus_of(spark), RetrievalConfig(120, 20))
+    rows = [(r["chunk_id"], r["text"]) for r in chunks.collect()]
+    asked = [(1, "红细胞的细胞膜是什么"), (2, "Which receptor of the cell membrane"), (3, "zzz"), (4, "")]
+    frame = spark.createDataFrame(asked, "question_id long, question string")
+    configs = [(a, RetrievalConfig(120, 20, 4, a, 0.6, 0.4, 0.0, False, 0.005)) for a in ("char_2_5", "char_wb_2_4")]
+    fitted = scan.fit(chunks.withColumn("way", F.lit("w")), ("char_2_5", "char_wb_2_4"), fit_question)
+    found = {}
+    for r in scan.retrieve_all(fitted, frame, {"w": configs}).orderBy("rank").collect():
+        found.setdefault((r["config_name"], r["question_id"]), []).append((r["chunk_id"], round(r["score"], 7)))
+    for analyzer, _ in configs:
+        for number, question in asked:
+            cosine, bm25 = plain_scores([x for _, x in rows], question, analyzer, fit_question)
+            top = max(bm25) or 1.0
+            best = sorted((-round(0.6 * c + 0.4 * b / top, 9), name) for (name, _), c, b in zip(rows, cosine, bm25, strict=True))[:4]
+            assert found.get((analyzer, number), []) == [(name, round(-x, 7)) for x, name in best if -x > 0.005]
+
+
+def test_grid_equals_single_evaluations(spark):
+    """All configurations in one scan give the rows that each gives alone."""
+    chapters = corpus_of(spark)
+    asked = spark.createDataFrame(
+        [(f"q{k}", q, "book1", f"第{k}章 {w}", "", [w]) for k, (q, w) in enumerate([("红细胞是什么", "细胞膜"), ("细胞膜的receptor", "红细胞"), ("激素 membrane", "激素"), ("none at all", "receptor"), ("Cell naïve", "receptor")])],
+        "question_id string, question string, expected_book string, expected_chapter string, expected_chunk_id string, expected_terms array<string>",
+    )
+    grid = questions.grid()
+    assert len({(c.chunk_size, c.overlap) for c in grid}) == 12 and len(grid) == 48
+    rows = questions.evaluate_grid(chapters, asked, grid)
+    assert rows.count() == 48 and {r["config_name"] for r in rows.collect()} == {questions.config_name(c) for c in grid}
+    together = {r["config_name"]: r.asDict() for r in questions.evaluate_grid(chapters, asked, [grid[0], grid[3], grid[21], grid[46]]).collect()}
+    for c in (grid[0], grid[3], grid[46]):
+        alone = questions.evaluate(build_chunks(chapters, c), asked, c, questions.config_name(c)).first().asDict()
+        assert alone == together[questions.config_name(c)]
+
+
+def test_names_in_texts(spark, monkeypatch):
+    r = random.Random(9)
+    names = ["a", "ab", "abc", "bc", "b b", "", "细胞", "红细胞", "x" * 40, None, "ab"]
+    texts = [None, "", *("".join(r.choice("abc 细胞红x") for _ in range(r.randint(0, 80))) for _ in range(60)), "x" * 200]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    for letters in (4_000_000, 12):
+        monkeypatch.setattr(dictionary, "PART_LETTERS", letters)
+        found = dictionary.dictionary_join(rows, "text", spark.createDataFrame([(x,) for x in names], "name string"))
+        want = Counter((k, n, t.find(n)) for k, t in enumerate(texts) if t is not None for n in {x for x in names if x is not None} if n in t)
+        assert Counter((x["k"], x["name"], x["start"]) for x in found.collect()) == want
 
 
 def test_grams():
