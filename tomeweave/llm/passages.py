@@ -10,10 +10,10 @@ others are removed. Kept texts come with the removed spans as offsets into the o
 Documents rank by id (null last), then by the digest of their text. Rows of one id and one text are numbered
 (they are checkpointed for it, and are few in most tables); all but one of them are repeats as a whole.
 
-Three passes read the texts: digests are counted, then repeats are matched, then texts are
-cut. Only digests and keys of documents are shuffled by digest, pre-aggregated, with one row per document
+Two passes read the texts: their digests are kept in the shared folder, counted and matched, then texts that hold a
+repeat are cut. Digests and keys of documents are shuffled by digest, pre-aggregated, with one row per document
 and digest however often it repeats there. A digest that very many documents share is one key of that join: AQE parts it.
-Texts move only where there are more digests to remove than ``BROADCAST_DIGESTS``.
+The texts meet what goes from them in a join by key.
 
 Defined cases: a null text stays null and has no units, nor has one without words; ids may be of any type that orders; an empty table
 gives an empty result; added columns give way to columns of the input with the same name.
@@ -30,39 +30,47 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tomeweave.llm.common import cut, small, spare
+from tomeweave.llm.common import SLICE, cut, release, slices, small, spare
 
 UNIT_WORDS = 8
-#: Digests to remove, over all documents, up to which they are broadcast (16 bytes each, and a key a document).
-BROADCAST_DIGESTS = 1_000_000
-#: What parts the units of each kind.
+#: Kinds of units, from coarse to fine, each with what parts its units.
 KINDS = {"paragraph": re.compile(r"\s*\n\s*\n\s*"), "line": re.compile(r"\s*\n\s*"), "sentence": re.compile(r"\s*\n\s*|(?<=[.!?])\s+")}
 Digest = tuple[int, int]
 
 
 def units(text: str | None, kinds: tuple[str, ...], words: int = UNIT_WORDS) -> list[tuple[Digest, int, int]]:
-    """(digest, start, end) of every unit, in code points, by start."""
+    """(digest, start, end) of every unit, in code points, by start.
+
+    Words are read once, by the finest kind; a coarser unit is a row of finer ones.
+    """
     if not text:
         return []
+    order = [kind for kind in KINDS if kind in kinds]
+    pieces, at, breaks = [], len(text) - len(text.lstrip()), 2
+    for gap in [*KINDS[order[-1]].finditer(text), None]:
+        end = gap.start() if gap else len(text.rstrip())
+        if own := text[at:end].lower().split():
+            pieces.append((at, end, own, breaks))
+            breaks = 0
+        if gap:
+            breaks, at = max(breaks, min(gap[0].count("\n"), 2)), gap.end()
     found = set()
-    for kind in kinds:
-        pieces, at = [], 0
-        for gap in KINDS[kind].finditer(text):
-            pieces.append((at, gap.start()))
-            at = gap.end()
-        pieces.append((at, len(text.rstrip())))
-        pieces[0] = (len(text) - len(text.lstrip()), pieces[0][1])
-        plain = [(s, e, x) for s, e in pieces if (x := text[s:e].lower().split())]
-        for i, (start, end, own) in enumerate(plain):
-            j, joined = i, own
-            while len(joined) < words and j + 1 < len(plain):
-                j += 1
-                joined = joined + plain[j][2]
-                end = plain[j][1]
-            if len(joined) < words and i:
+    for kind in order:
+        # What opens a unit: two line breaks a paragraph, one a line.
+        least = {"paragraph": 2, "line": 1, "sentence": 0}[kind]
+        firsts = [k for k, piece in enumerate(pieces) if piece[3] >= least]
+        for n, k in enumerate(firsts):
+            start, joined, last = pieces[k][0], [], n
+            while last < len(firsts) and (last == n or len(joined) < words):
+                last += 1
+                stop = firsts[last] if last < len(firsts) else len(pieces)
+                for piece in pieces[k:stop]:
+                    joined += piece[2]
+                k = stop
+            if len(joined) < words and n:
                 break
             h = xxhash.xxh3_128_intdigest(" ".join(joined))
-            found.add((start, end, ((h >> 64) - 2**63, (h & 0xFFFFFFFFFFFFFFFF) - 2**63)))
+            found.add((start, pieces[k - 1][1], ((h >> 64) - 2**63, (h & 0xFFFFFFFFFFFFFFFF) - 2**63)))
     return [(digest, start, end) for start, end, digest in sorted(found)]
 
 
@@ -87,30 +95,42 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[past:]])
 
 
-_DIGESTS = T.ArrayType(T.StructType([T.StructField("h", T.LongType()), T.StructField("l", T.LongType())]))
-
-
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
 def _digests(kinds: tuple[str, ...]):
-    @F.pandas_udf(_DIGESTS)
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
-            yield pd.Series([[{"h": h, "l": low} for h, low in {d for d, _, _ in units(x, kinds)}] for x in batch], index=batch.index, dtype=object)
+    """Of each text its distinct digests, and those that stand in it more than once; two numbers each, one after the other."""
+
+    @F.pandas_udf(T.StructType([T.StructField("all", T.ArrayType(T.LongType())), T.StructField("twice", T.ArrayType(T.LongType()))]))
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in (part for whole in texts for part in slices(whole)):
+            rows = []
+            for text in batch:
+                first, twice = {}, set()
+                for digest, start, _ in units(text, kinds):
+                    if first.setdefault(digest, start) < start:
+                        twice.add(digest)
+                rows.append(([x for digest in first for x in digest], [x for digest in twice for x in digest]))
+            yield pd.DataFrame(rows, columns=["all", "twice"])
+        release()
 
     return run.asNondeterministic()
 
 
+def _pairs(numbers: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.call_function("div", F.size(numbers), F.lit(2)).cast("int") - 1), lambda i: F.struct(F.get(numbers, (2 * i).cast("int")).alias("h"), F.get(numbers, (2 * i + 1).cast("int")).alias("l")))
+
+
 def _cut(kinds: tuple[str, ...]):
     @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("spans", _SPANS)]))
     def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, gone, again in batches:
+        for texts, gone, again in ((x.iloc[k : k + SLICE] for x in whole) for whole in batches for k in range(0, len(whole[0]), SLICE)):
             rows = []
             for text, digests, whole in zip(texts, gone, again, strict=True):
                 spans = repeats(text, {(x["h"], x["l"]) for x in digests} if digests is not None else set(), kinds, bool(whole))
                 rows.append((without(text, spans) if spans else text, [{"start": s, "end": e} for s, e in spans]))
             yield pd.DataFrame(rows, columns=["text", "spans"])
+        release()
 
     return run.asNondeterministic()
 
@@ -137,17 +157,20 @@ def drop_repeats(
     kept, removed = spare(docs, kept), spare(docs, removed)
     body, own = F.col(f"`{text}`").cast("string"), F.col(f"`{doc_id}`")
     key = F.struct(own.isNull().alias("none"), own.alias("id"), F.xxhash64(body).alias("x"))
-    found = docs.select(key.alias("key"), F.explode(_digests(kinds)(body)).alias("u")).select("key", "u.h", "u.l")
+    read = cut(docs.select(key.alias("key"), _digests(kinds)(body).alias("u")).select("key", "u.*").filter(F.size("all") > 0))
+    found = read.select("key", F.explode(_pairs(F.col("all"))).alias("u")).select("key", "u.h", "u.l")
     several = found.groupBy("h", "l").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("last > first").select("h", "l", "first")
     gone = found.join(several, ["h", "l"]).filter("key > first").groupBy("key").agg(F.collect_set(F.struct("h", "l")).alias("gone"))
+    # Texts that hold a unit twice are cut too, if nothing else of them goes.
+    within = read.filter(F.size("twice") > 0).select("key", F.array().cast("array<struct<h: bigint, l: bigint>>").alias("gone"))
+    gone = gone.unionByName(within).groupBy("key").agg(F.max_by("gone", F.size("gone")).alias("gone"))
     again = spare(docs, "again")
     rows = _numbered(docs, key, again)
     at, none, id_, x = (spare(rows, name) for name in ("gone", "none_of", "id_of", "x_of"))
     gone = gone.select(F.col("key.none").alias(none), F.col("key.id").alias(id_), F.col("key.x").alias(x), F.col("gone").alias(at))
-    gone = cut(gone)
-    if (gone.agg(F.sum(F.size(at) + 4)).first()[0] or 0) <= BROADCAST_DIGESTS:
-        gone = F.broadcast(gone)
-    joined = rows.join(gone, (F.xxhash64(body) == F.col(x)) & own.eqNullSafe(F.col(id_)), "left")
+    joined = rows.join(gone.hint("merge"), (F.xxhash64(body) == F.col(x)) & own.eqNullSafe(F.col(id_)), "left")
     both = spare(docs, "cut")
-    result = joined.withColumn(both, _cut(kinds)(body, F.col(at), F.col(again))).withColumns({kept: F.col(both)["text"], removed: F.col(both)["spans"]})
+    touched = F.col(at).isNotNull() | F.col(again)
+    parts = _cut(kinds)(F.when(touched, body), F.col(at), F.col(again))
+    result = joined.withColumn(both, parts).withColumns({kept: F.when(touched, F.col(both)["text"]).otherwise(body), removed: F.col(both)["spans"]})
     return result.drop(both, at, none, id_, x, again), kept, removed
