@@ -338,6 +338,83 @@ def test_files(spark, tmp_path):
         files.read_corpus(spark, str(tmp_path))
 
 
+def test_a_write_that_dies_leaves_the_old_state(spark, tmp_path):
+    path, schema = f"{tmp_path}/state", "book_id string, x long"
+    with pytest.raises(ValueError):
+        files.read_tables(spark, path, ["books"])
+    assert files.read_tables(spark, path, ["books"], {"books": {"x": ("long", 0)}})["books"].count() == 0
+    files.write_tables({"books": spark.createDataFrame([("b1", 1)], schema), "notes": spark.createDataFrame([(1,)], "n long")}, path)
+
+    @F.udf("long")
+    def dies(x):
+        raise RuntimeError("killed")
+
+    broken = spark.createDataFrame([(5,)], "n long").select(dies("n").alias("n"))
+    with pytest.raises(Exception, match="killed"):
+        files.write_tables({"books": spark.createDataFrame([("b2", 2)], schema), "notes": broken}, path)
+    again = files.read_tables(spark, path, ["books", "notes", "marks"], {"books": {"title": ("string", "none"), "x": ("long", 9)}, "marks": {"m": ("int", 0)}})
+    assert [(r["book_id"], r["x"], r["title"]) for r in again["books"].collect()] == [("b1", 1, "none")]
+    assert again["notes"].first()["n"] == 1 and again["marks"].columns == ["m"] and again["marks"].count() == 0
+    files.write_tables({"books": spark.createDataFrame([("b3", 3)], schema)}, path)
+    now = files.read_tables(spark, path, ["books", "notes"], {"notes": {"n": ("long", 0)}})
+    assert now["books"].first()["book_id"] == "b3" and now["notes"].count() == 0
+
+
+def test_a_parser_that_raises_fails_its_row_alone(spark, tmp_path):
+    def parser(text):
+        if "bad" in text:
+            raise ValueError(f"bad text of {len(text)}")
+        if text == "odd":
+            raise KeyError()
+        return text.upper()
+
+    rows = spark.createDataFrame([(1, "a"), (2, "bad"), (3, None), (4, " "), (5, "odd"), (6, "b")], "k long, content string")
+    kept = files.quarantine(files.parsed(rows, parser), f"{tmp_path}/bad")
+    assert sorted((r["k"], r["value"]) for r in kept.collect()) == [(1, "A"), (6, "B")]
+    assert {r["k"]: r["error"] for r in spark.read.parquet(f"{tmp_path}/bad").collect()} == {2: "bad text of 3", 3: "no text", 4: "no text", 5: "KeyError"}
+
+
+def test_lines_of_files_over_several_splits(spark, tmp_path):
+    """A file that falls into many splits gives the chapters that it gives as one value, with bytes that are no UTF-8 anywhere."""
+    r, folder = random.Random(3), tmp_path / "in" / "deep"
+    folder.mkdir(parents=True)
+    texts = {}
+    for k in range(4):
+        rows = [b"# head %d" % i if r.random() < 0.1 else r.choice([b"", "\u597d\u7684 text".encode(), b"\xff\xe5 x", b"line " * r.randint(1, 9)]) for i in range(60 * k)]
+        (folder / f"{k}.md").write_bytes(b"\n".join(rows))
+        texts[f"{k}.md"] = b"\n".join(rows).decode(errors="ignore")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "128")
+    try:
+        assert spark.read.text(str(folder)).rdd.getNumPartitions() > 10
+        lines = files.read_lines(spark, f"{tmp_path}/in")
+        found = {}
+        for x in lines.orderBy("filename", "pos").collect():
+            found.setdefault(x["filename"], []).append((x["pos"], x["line"]))
+        chapters = P.split_line_sections(lines, True)
+        got = {tuple(x) for x in chapters.drop("book_id").collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {k: "\n".join(x for _, x in v).rstrip("\n") for k, v in found.items()} == {k: v.rstrip("\n") for k, v in texts.items() if v}
+    assert all([p for p, _ in v] == list(range(len(v))) for v in found.values())
+    whole = P.split_sections(files.read_corpus(spark, f"{tmp_path}/in").filter("text <> ''"), True)
+    assert got == {tuple(x) for x in whole.drop("book_id").collect()} and len(got) > 3
+
+
+def test_documents_are_parsed_in_the_stream(spark, tmp_path):
+    docs = spark.createDataFrame([(f"b{k}", f"book {k}", "" if k == 3 else f"# one\n{'x' * 700}\n# two\n{k}") for k in range(6)], "book_id string, title string, text string")
+    for half in (docs.filter("book_id < 'b3'"), docs.filter("book_id >= 'b3'")):
+        half.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        rows = intake.arriving(spark, f"{tmp_path}/in", docs.schema)
+        intake.append_documents(rows, f"{tmp_path}/out", f"{tmp_path}/bad", f"{tmp_path}/seen", RetrievalConfig()).awaitTermination(120)
+    columns = ["chunk_id", "book_id", "chapter", "text"]
+    read = lambda: sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").select(columns).collect()))
+    want = sorted(map(tuple, build_chunks(P.split_sections(docs.filter("text <> ''"), True), RetrievalConfig()).select(columns).collect()))
+    assert read() == want and [x["book_id"] for x in spark.read.parquet(f"{tmp_path}/bad").collect()] == ["b3"]
+    # The last batch fails after its write and comes again.
+    intake.write_batch(docs.filter("book_id >= 'b3'"), 1, f"{tmp_path}/out", f"{tmp_path}/bad", RetrievalConfig(), True)
+    assert read() == want and spark.read.parquet(f"{tmp_path}/bad").count() == 1
+
+
 def test_stream_intake(spark, tmp_path):
     chapters = spark.createDataFrame([("b", "c1", 1, "t", 1, "x" * 600)], "book_id string, chapter_id string, chapter_ord long, title string, page_start long, content string")
     for _ in range(2):

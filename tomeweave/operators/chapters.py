@@ -31,7 +31,25 @@ def split_sections(docs: DataFrame, markdown: bool) -> DataFrame:
 
     Sections without text are dropped and take no number; a document without any section is one chapter.
     """
-    rows = docs.select("book_id", "title", F.posexplode(T.lines_of(F.col("text"))).alias("pos", "line"))
+    found = _sections(docs.select("book_id", "title", F.posexplode(T.lines_of(F.col("text"))).alias("pos", "line")), markdown)
+    whole = docs.join(found.select("book_id").distinct(), "book_id", "left_anti").withColumn("content", T.strip(F.col("text")))
+    return _with_pages(found.unionByName(_one_chapter(whole)), F.lit(1), F.lit(1))
+
+
+def split_line_sections(lines: DataFrame, markdown: bool) -> DataFrame:
+    """The same for books that come as lines (book_id, title, pos, line), however large: only what one chapter holds becomes one value."""
+    found = _sections(lines, markdown)
+    left = lines.join(found.select("book_id").distinct(), "book_id", "left_anti")
+    whole = left.groupBy("book_id").agg(F.first("title").alias("title"), T.strip(_joined(F.collect_list(F.struct("pos", F.col("line").alias("text"))))).alias("content"))
+    return _with_pages(found.unionByName(_one_chapter(whole)), F.lit(1), F.lit(1))
+
+
+def _one_chapter(books: DataFrame) -> DataFrame:
+    return books.select("book_id", F.lit("ch_001").alias("chapter_id"), "title", "content")
+
+
+def _sections(rows: DataFrame, markdown: bool) -> DataFrame:
+    """(book_id, chapter_id, title, content) of lines (book_id, title, pos, line)."""
     line = F.regexp_replace("line", r"(?U)\s+$", "")
     rows = rows.withColumn("line", line)
     heading = F.col("line").rlike(MARKDOWN_HEADING) if markdown else T.is_chapter_heading(F.col("line"))
@@ -41,10 +59,7 @@ def split_sections(docs: DataFrame, markdown: bool) -> DataFrame:
     opened = F.max(F.when(F.col("heading"), T.strip(name)))
     sections = rows.groupBy("book_id", "section").agg(F.first("title").alias("stem"), opened.alias("opened"), T.strip(_joined(body)).alias("content"))
     numbered = sections.filter("content <> ''").withColumn("n", F.row_number().over(Window.partitionBy("book_id").orderBy("section")))
-    found = numbered.select("book_id", chapter_id(F.col("n")).alias("chapter_id"), F.coalesce("opened", "stem").alias("title"), "content")
-    whole = docs.join(found.select("book_id").distinct(), "book_id", "left_anti")
-    whole = whole.select("book_id", F.lit("ch_001").alias("chapter_id"), "title", T.strip(F.col("text")).alias("content"))
-    return _with_pages(found.unionByName(whole), F.lit(1), F.lit(1))
+    return numbered.select("book_id", chapter_id(F.col("n")).alias("chapter_id"), F.coalesce("opened", "stem").alias("title"), "content")
 
 
 def _with_pages(chapters: DataFrame, start: Column, end: Column) -> DataFrame:

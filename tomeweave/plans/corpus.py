@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tomeweave import lexicon
@@ -16,7 +16,7 @@ from tomeweave.operators.lineage import shared_folder
 from tomeweave.plans.tables import LINES_SQL, chapters, chapters_sql, cjk_sql, lines, projected, projected_sql, strip_sql, table
 from tomeweave.registry import query
 from tomeweave.sources import files as S
-from tomeweave.streaming.intake import append_chunks, arriving
+from tomeweave.streaming.intake import append_chunks, append_documents, arriving
 
 # Files -------------------------------------------------------------------------------------------
 
@@ -73,13 +73,57 @@ def s1_read_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.read_corpus(spark, path).groupBy("suffix", F.sha1("text").alias("digest")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT 'chapters' AS name, book_id, chapter_id, length(content) AS n FROM ({chapters_sql()}) UNION ALL SELECT 'items', '', item_id::VARCHAR, length(text) FROM benchmark")
+@query(f"""
+SELECT 'chapters' AS name, book_id, chapter_id, length(content) AS n, 1 AS page_end FROM ({chapters_sql()}) WHERE book_id <> 'src0'
+UNION ALL SELECT 'items', '', item_id::VARCHAR, length(text), 0 FROM benchmark
+""")
 def s5_write_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _written(spark, "tables")
-    S.write_tables({"chapters": chapters(spark, sf_dir), "items": table(spark, sf_dir, "benchmark")}, path)
-    again = S.read_tables(spark, path, ["chapters", "items"])
-    own = again["chapters"].select(F.lit("chapters").alias("name"), "book_id", "chapter_id", F.length("content").cast("long").alias("n"))
-    return own.unionByName(again["items"].select(F.lit("items").alias("name"), F.lit("").alias("book_id"), F.col("item_id").cast("string").alias("chapter_id"), F.length("text").cast("long").alias("n")))
+    """A state is written and replaced by another; a column and a table that the state lacks come from their defaults."""
+    path, own = _written(spark, "tables"), chapters(spark, sf_dir).drop("page_end")
+    S.write_tables({"chapters": own}, path)
+    S.write_tables({"chapters": own.filter("book_id <> 'src0'"), "items": table(spark, sf_dir, "benchmark")}, path)
+    again = S.read_tables(spark, path, ["chapters", "items", "nodes"], {"chapters": {"page_end": ("int", 1)}, "nodes": {"book_id": ("string", ""), "name": ("string", "")}})
+    own = again["chapters"].select(F.lit("chapters").alias("name"), "book_id", "chapter_id", F.length("content").cast("long").alias("n"), "page_end")
+    items = again["items"].select(F.lit("items").alias("name"), F.lit("").alias("book_id"), F.col("item_id").cast("string").alias("chapter_id"), F.length("text").cast("long").alias("n"), F.lit(0).alias("page_end"))
+    none = again["nodes"].select(F.lit("nodes").alias("name"), "book_id", F.col("name").alias("chapter_id"), F.lit(0).cast("long").alias("n"), F.lit(0).alias("page_end"))
+    return own.unionByName(items).unionByName(none)
+
+
+#: Texts without a sentence end are what this parser refuses.
+def _strict(text: str) -> str:
+    if "." not in text:
+        raise ValueError(f"no sentence in {len(text)} characters")
+    return text[: text.rindex(".") + 1]
+
+
+@query(rf"""
+SELECT doc_id, CASE WHEN text IS NULL THEN 'no text' WHEN NOT contains(text, '.') THEN 'no sentence in ' || length(text) || ' characters' END AS error,
+  CASE WHEN contains(text, '.') THEN length(regexp_replace(text, '[^.]*$', '')) END::BIGINT AS n FROM documents
+""")
+def s3_parsed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document through a parser that raises; those that fail go to a table of their own, which is read again beside the others."""
+    path = _written(spark, "quarantine")
+    rows = S.parsed(table(spark, sf_dir, "documents").select("doc_id", "text"), _strict, "text")
+    kept = S.quarantine(rows, path)
+    failed = spark.read.parquet(path)
+    return kept.unionByName(failed).select("doc_id", "error", F.length("value").cast("long").alias("n"))
+
+
+@query("""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents)
+SELECT doc_id % 7 AS file, sha1(line) AS digest, count(*) AS n FROM l GROUP BY ALL
+""")
+def s1_read_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven files hold all documents, one after the other; their lines are read with their places."""
+    path = _written(spark, "lines")
+    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") % 7).alias("file"), F.coalesce("text", F.lit("")).alias("value"))
+    docs.repartition(7, "file").write.partitionBy("file").text(path)
+    rows = S.read_lines(spark, path)
+    file = F.regexp_extract("path", r"file=(\d+)", 1).cast("long")
+    # Places from 0 without a gap: a row whose place is another's, or beyond the file's lines, is lost here.
+    size = Window.partitionBy("path")
+    placed = rows.withColumn("lines", F.count(F.lit(1)).over(size)).filter("pos < lines").dropDuplicates(["path", "pos"])
+    return placed.groupBy(file.alias("file"), F.sha1("line").alias("digest")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT source AS book_id, count(*) AS n_chapters, sum(length(coalesce(text, '')))::BIGINT AS n_chars FROM documents GROUP BY source")
@@ -264,8 +308,6 @@ SELECT book_id, part::INTEGER AS k, max(title) || ' 第' || (part + 1) || '部
 FROM (SELECT source AS book_id, source AS title, doc_id AS page_no, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 20 AS part FROM documents) GROUP BY book_id, part
 """)
 def p3_split_pages_evenly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("book_id"), F.col("source").alias("title"), F.col("doc_id").alias("page_no"), F.lit("").alias("text"))
     n = F.row_number().over(Window.partitionBy("book_id").orderBy("page_no"))
     parts = P.split_pages_evenly(docs.withColumn("part", F.floor((n - 1) / P.PAGES_PER_PART).cast("int")))
@@ -322,6 +364,17 @@ def c3_index_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index_status(build_chunks(chapters(spark, sf_dir), RetrievalConfig()))
 
 
+@query(f"SELECT chunk_id, book_id, chapter, text FROM ({chunks_sql(500, 100, 'SELECT * FROM (' + _sections_sql(True) + ')')}) WHERE book_id IN (SELECT doc_id FROM documents WHERE coalesce({strip_sql('text')}, '') <> '')")
+def s7_stream_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents arrive in two writes and are parsed in the stream, a file a batch."""
+    arrived, target, failed, seen = (_written(spark, x) for x in ("documents", "chunks", "failed", "stream"))
+    docs, config = _headed(spark, sf_dir, True), RetrievalConfig()
+    for late in (False, True):
+        docs.filter((F.pmod(F.xxhash64("book_id"), F.lit(2)) == 1) == F.lit(late)).write.mode("append").parquet(arrived)
+        append_documents(arriving(spark, arrived, docs.schema, 1), target, failed, seen, config).awaitTermination()
+    return spark.read.parquet(target).select("chunk_id", "book_id", "chapter", "text")
+
+
 @query(f"SELECT chunk_id, book_id, text FROM ({chunks_sql(500, 100, chapters_sql())})")
 def s7_incremental_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chapters arrive in two writes; a run after each one chunks what is new."""

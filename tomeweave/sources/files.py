@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tomeweave.functions import text as T
@@ -27,6 +32,34 @@ def isolate_failures(books: DataFrame, content: str = "content") -> DataFrame:
     return books.withColumns({"status": F.when(empty, "failed").otherwise("completed"), "error": F.when(empty, "no text")})
 
 
+def parsed(rows: DataFrame, parser: Callable[[str], str | None], content: str = "content", value: str = "value") -> DataFrame:
+    """``rows`` with ``value``, status and error: what ``parser`` makes of each content. Where it raises, only that row fails, with its message.
+
+    A parser that returns nothing, or only blanks, has found no text.
+    """
+
+    @F.pandas_udf("struct<value: string, error: string>")
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in texts:
+            out = []
+            for text in batch:
+                try:
+                    out.append((parser(text) if text is not None else None, None))
+                except Exception as error:  # noqa: BLE001 - whatever a parser raises is the row's own failure
+                    out.append((None, str(error) or type(error).__name__))
+            yield pd.DataFrame(out, columns=["value", "error"], dtype=object)
+
+    read = rows.withColumn("_read", run(F.col(content)))
+    error = F.coalesce(F.col("_read.error"), F.when(F.coalesce(T.strip(F.col("_read.value")), F.lit("")) == "", "no text"))
+    return read.withColumns({value: F.when(error.isNull(), F.col("_read.value")), "error": error, "status": F.when(error.isNull(), "completed").otherwise("failed")}).drop("_read")
+
+
+def quarantine(rows: DataFrame, path: str) -> DataFrame:
+    """Writes the failed rows to the table at ``path``, each with its error, and returns the completed ones."""
+    rows.filter("status = 'failed'").write.mode("append").parquet(path)
+    return completed(rows)
+
+
 def completed(books: DataFrame) -> DataFrame:
     return books.filter("status = 'completed'")
 
@@ -45,15 +78,73 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return flagged.select(F.sha1("path").substr(1, 10).alias("book_id"), "filename", T.infer_title(F.col("filename")).alias("title"), "suffix", text.alias("text"))
 
 
-def write_tables(tables: dict[str, DataFrame], path: str) -> None:
-    """Each table as Parquet below ``path``, by book where it has one; a write replaces the table as a whole."""
-    for name, table in tables.items():
-        writer = table.write.mode("overwrite")
-        (writer.partitionBy("book_id") if "book_id" in table.columns else writer).parquet(f"{path}/{name}")
-
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, book_id, filename, title, suffix, pos, line of text and Markdown files of any size: no file is one value.
 
-def read_tables(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{path}/{name}") for name in names}
+    A split of a file reads its lines in order. Each line knows its file, the split's start and its place among the
+    rows of its task; places in the file are the line's number in its split and the sum of the splits before it. Bytes that are no
+    UTF-8 are dropped. An empty file has no line.
+    """
+    rows = spark.read.option("recursiveFileLookup", "true").text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value"
+    )
+    kind = T.suffix(F.element_at(F.split("path", "/"), -1))
+    wrong = rows.filter(~kind.isin(*MARKDOWN, *PLAIN)).select("path").limit(1).collect()
+    if wrong:
+        raise ValueError(f"unsupported files: {[r['path'].rsplit('/', 1)[-1] for r in wrong]}")
+    # A task may read several splits, whose rows stand one after the other in it.
+    splits = rows.groupBy("path", "block").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("path", "block", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
+    line = F.replace(F.make_valid_utf8(F.col("value")), F.lit("\ufffd"), F.lit(""))
+    name = F.element_at(F.split("path", "/"), -1)
+    return rows.join(splits, ["path", "block"]).select(
+        "path", F.sha1("path").substr(1, 10).alias("book_id"), name.alias("filename"), T.infer_title(name).alias("title"), T.suffix(name).alias("suffix"), (F.col("row") + F.col("shift")).alias("pos"), line.alias("line")
+    )
+
+
+def write_tables(tables: dict[str, DataFrame], path: str) -> str:
+    """Each table as Parquet in a new snapshot below ``path``, by book where it has one; returns the snapshot's name.
+
+    Readers go by the manifest of the highest version, a single file that is written last: until then, and if
+    a write dies on its way, the old state is what they see.
+    """
+    name, spark = uuid.uuid4().hex, next(iter(tables.values())).sparkSession
+    for table_name, table in tables.items():
+        writer = table.write
+        (writer.partitionBy("book_id") if "book_id" in table.columns else writer).parquet(f"{path}/snapshots/{name}/{table_name}")
+    last = _manifest(spark, path)
+    row = (last["version"] + 1 if last else 1, name, sorted(tables))
+    spark.createDataFrame([row], _MANIFEST).coalesce(1).write.mode("append").json(f"{path}/manifests")
+    return name
+
+
+_MANIFEST = "version long, snapshot string, tables array<string>"
+
+
+def _manifest(spark: SparkSession, path: str) -> Row | None:
+    """The newest state, if there is any; of two writers of one version the one whose snapshot's name is last."""
+    try:
+        return spark.read.schema(_MANIFEST).json(f"{path}/manifests").orderBy(F.desc("version"), F.desc("snapshot")).first()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def read_tables(spark: SparkSession, path: str, names: list[str], defaults: dict[str, dict[str, tuple[str, object]]] | None = None) -> dict[str, DataFrame]:
+    """The tables of the newest state. ``defaults`` gives a table's columns with type and value: a column that the state lacks has that value, a table that it lacks is empty."""
+    state, out = _manifest(spark, path), {}
+    for name in names:
+        columns = (defaults or {}).get(name, {})
+        if state and name in state["tables"]:
+            table = spark.read.parquet(f"{path}/snapshots/{state['snapshot']}/{name}")
+            out[name] = table.withColumns({c: F.lit(value).cast(kind) for c, (kind, value) in columns.items() if c not in table.columns})
+        elif columns:
+            out[name] = spark.createDataFrame([], ", ".join(f"`{c}` {kind}" for c, (kind, _) in columns.items()))
+        else:
+            raise ValueError(f"no table {name} at {path}, and no defaults for it")
+    return out
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:
