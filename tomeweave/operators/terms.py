@@ -1,183 +1,205 @@
-"""Terms of chapters and chunks. The rules need match offsets and ordered rewriting, so they run on one text at a
-time inside Arrow batches; everything across texts (counting, ranking, de-duplication) is left to Spark."""
+"""Terms of chapters and chunks, as column expressions: every rule on a name is an ordered rewriting by built-in functions.
+
+Where a rule needs to know where a pattern matched, the matches are marked in the text and the text is split at the
+marks, which gives each match its place. No text passes through Python.
+"""
 
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tomeweave import lexicon as L
-from tomeweave.functions.text import strip
+from tomeweave.functions.text import lines_of, strip
 
 METHODS = ("frequency_term", "heading", "term_annotation", "definition_sentence")
 MOST_FREQUENT, PER_CHAPTER = 32, 10
-LEAST_QUALITY = 0.52
-_CLEANING = [(re.compile(a), b) for a, b in L.NAME_CLEANING]
-_NOISE = re.compile("|".join(f"(?:{p})" for p in L.NOISE_PATTERNS))
-_BAD = re.compile("|".join(L.BAD_FRAGMENTS))
-_VERB = re.compile("|".join(L.VERB_PHRASE_MARKERS))
-_SUFFIX_RUN = re.compile(f"([一-鿿]{{1,10}}(?:{'|'.join(L.CONCEPT_SUFFIXES)}))")
-_TERM_RUN = re.compile(f"([一-鿿]{{1,8}}(?:{'|'.join(sorted(L.TERM_SUFFIXES, key=len, reverse=True))}))")
+#: In hundredths.
+LEAST_QUALITY = 52
+SUFFIX_RUN = f"([一-鿿]{{1,10}}(?:{'|'.join(L.CONCEPT_SUFFIXES)}))"
+TERM_SUFFIXES = sorted(L.TERM_SUFFIXES, key=len, reverse=True)
+TERM_RUN = f"([一-鿿]{{1,8}}(?:{'|'.join(TERM_SUFFIXES)}))"
+KEYWORD = "[一-鿿A-Za-z][一-鿿A-Za-z0-9（）()]{2,12}"
+#: Brackets around remarks, and how long a remark is.
+BRACKETS = (("（", "）", 16), ("(", ")", 24))
+#: What marks a match: before it, between its word and the whole, and after it.
+_OPEN, _MIDDLE, _CLOSE = "\x01", "\x02", "\x03"
 
 
-@dataclass
-class Checked:
-    name: str
-    quality: float
-    warnings: list[str] = field(default_factory=list)
+def let(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(c)``, with ``c`` evaluated once however often it is used."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
 
 
-def trim_to_known_suffix(name: str) -> str:
-    """The longest part that ends with a first occurrence of a known suffix."""
-    ends = [name.find(s) + len(s) for s in L.CONCEPT_SUFFIXES if s in name]
-    best = max(ends, default=0)
-    return name[:best] if 2 <= best < len(name) else name
+# Names --------------------------------------------------------------------------------------------
+
+
+def _regex(pattern: str) -> str:
+    """Blanks and digits are those of all scripts. A head that is cut before a word has a letter at least: where the name begins with that word, it goes up to the next one."""
+    return "(?U)" + pattern.replace("^.*?(?=", "^.+?(?=")
+
+
+def _one_of(c: Column, words) -> Column:
+    return c.rlike("|".join(map(re.escape, words)))
 
 
-def clean_name(raw: str) -> str:
-    name = raw.strip()
-    for pattern, by in _CLEANING:
-        name = pattern.sub(by, name)
-    for opening, closing, most in (("（", "）", 16), ("(", ")", 24)):
-        if opening in name and closing not in name:
-            name = name[: name.index(opening)]
-    for opening, closing, most in (("（", "）", 16), ("(", ")", 24)):
-        if opening in name and closing in name:
-            name = re.sub(rf"{re.escape(opening)}[^{re.escape(closing)}]{{0,{most}}}{re.escape(closing)}", "", name)
-    return re.sub(L.KNOWN_HEADS, "", trim_to_known_suffix(name))
+def _starts(c: Column, words) -> Column:
+    return c.rlike(f"^(?:{'|'.join(map(re.escape, words))})")
 
 
-def score_name(name: str, warnings: int) -> float:
-    score = 0.58 + 0.18 * name.endswith(L.CONCEPT_SUFFIXES) + 0.12 * (name in L.SHORT_CONCEPTS)
-    score += 0.08 * (3 <= len(name) <= 8)
-    return score - 0.22 * bool(re.search(r"\d", name)) - 0.08 * warnings
+def _ends(c: Column, words) -> Column:
+    return c.rlike(f"(?:{'|'.join(map(re.escape, words))})\\z")
 
 
 def trimmed_to_suffix(c: Column) -> Column:
-    """trim_to_known_suffix as a column."""
+    """The longest part that ends with a first occurrence of a known suffix."""
     ends = F.array(*(F.when(F.instr(c, s) > 0, F.instr(c, s) + len(s) - 1) for s in L.CONCEPT_SUFFIXES))
     best = F.coalesce(F.array_max(ends), F.lit(0))
     return F.when((best >= 2) & (best < F.length(c)), F.substring(c, 1, best)).otherwise(c)
 
 
+def clean_name(c: Column) -> Column:
+    c = reduce(lambda x, rule: F.regexp_replace(x, _regex(rule[0]), rule[1]), L.NAME_CLEANING, strip(c))
+    for opening, closing, _ in BRACKETS:  # one that is never closed
+        a, b = re.escape(opening), re.escape(closing)
+        c = F.regexp_replace(c, f"^([^{a}{b}]*){a}[^{b}]*\\z", "$1")
+    for opening, closing, most in BRACKETS:
+        c = F.regexp_replace(c, f"{re.escape(opening)}[^{re.escape(closing)}]{{0,{most}}}{re.escape(closing)}", "")
+    return F.regexp_replace(let(c, trimmed_to_suffix), _regex(L.KNOWN_HEADS), "")
+
+
+def name_points(c: Column, warnings: Column) -> Column:
+    """How good a name is, in hundredths."""
+    part = lambda holds, points: F.when(holds, points).otherwise(0)
+    points = F.lit(58) + part(_ends(c, L.CONCEPT_SUFFIXES), 18) + part(c.isin(*sorted(L.SHORT_CONCEPTS)), 12) + part(F.length(c).between(3, 8), 8)
+    return points - part(c.rlike(_regex(r"\d")), 22) - warnings * 8
+
+
 def name_score(c: Column, warnings: Column) -> Column:
-    """score_name as a column, to three places."""
-    known = c.rlike(f"(?:{'|'.join(L.CONCEPT_SUFFIXES)})\\z")
-    part = lambda holds, points: F.when(holds, points).otherwise(0.0)
-    score = F.lit(0.58) + part(known, 0.18) + part(c.isin(*sorted(L.SHORT_CONCEPTS)), 0.12) + part(F.length(c).between(3, 8), 0.08)
-    return F.round(score - part(c.rlike(r"(?U)\d"), 0.22) - warnings * 0.08, 3)
+    return F.round(name_points(c, warnings) / 100, 3)
+
+
+def _rejected(c: Column) -> Column:
+    """Before loose endings are cut."""
+    noise = reduce(Column.__or__, (c.rlike(_regex(p)) for p in L.NOISE_PATTERNS))
+    latin = c.rlike("[A-Za-z]")
+    return (
+        (c == "") | noise | c.rlike("|".join(L.BAD_FRAGMENTS)) | ~c.rlike(r"^[一-鿿A-Za-z0-9·+\-]+\z") | c.rlike(r"^[A-Za-z0-9+\-]+\z") | ~F.length(c).between(2, 14)
+        | _one_of(c, L.PERSON_NAME_MARKERS) | (_one_of(c, L.PRONOUN_FRAGMENTS) & _one_of(c, L.VERB_PHRASE_MARKERS))
+        | (latin & c.rlike("[一-鿿]")) | (_starts(c, L.BAD_PREFIXES) & ~_ends(c, L.CONCEPT_SUFFIXES))
+    )
+
+
+def _rejected_after(c: Column) -> Column:
+    short = c.isin(*sorted(L.SHORT_CONCEPTS))
+    return (
+        (F.length(c) < 2) | _starts(c, L.REJECTED_STARTS) | _one_of(c, L.REJECTED_PARTS) | (_one_of(c, L.SENTENCE_PARTS) & ~short)
+        | (_one_of(c, L.VERB_PHRASE_MARKERS) & ~_ends(c, L.CONCEPT_SUFFIXES)) | ((F.length(c) <= 2) & ~short & ~_ends(c, L.SHORT_ENDINGS))
+    )
+
+
+def _checked(raw: Column, text: Column) -> Column:
+    """(name, quality, warnings) of a raw name; null if a rule rejects it. A name that ``text`` lacks is worth less."""
+    loose = f"[{re.escape(L.LOOSE_ENDINGS)}]+\\z"
+
+    def graded(name: Column, trimmed: Column) -> Column:
+        missing = (text != "") & ~F.contains(text, name)
+        warnings = F.filter(F.array(F.when(trimmed, "trimmed_fragment"), F.when(missing, "not_in_source")), lambda x: x.isNotNull())
+        one = let(warnings, lambda w: F.struct(name.alias("name"), name_points(name, F.size(w)).alias("points"), w.alias("warnings")))
+        return let(one, lambda x: F.when(x["points"] >= LEAST_QUALITY, F.struct(x["name"], (F.least(F.lit(100), x["points"]) / 100).alias("quality"), x["warnings"])))
+
+    def trimmed(name: Column) -> Column:
+        return let(F.regexp_replace(name, loose, ""), lambda x: F.when(~_rejected_after(x), graded(x, name.rlike(loose))))
+
+    return let(clean_name(raw), lambda x: F.when(~_rejected(x), trimmed(x)))
+
+
+def validated(rows: DataFrame, raw: str, text: str | None = None) -> DataFrame:
+    """``rows`` whose name in ``raw`` passes the rules, with (name, quality, warnings)."""
+    found = F.filter(F.array(_checked(F.col(raw), F.col(text) if text else F.lit(""))), lambda x: x.isNotNull())
+    return rows.select("*", F.inline(found))
+
+
+# Sentences ----------------------------------------------------------------------------------------
+
+
+def matches(c: Column, pattern: str) -> Column:
+    """Array of (word, start, end) of a pattern's matches from left to right: its first group, and where the whole begins and ends (from 0)."""
+    plain = F.translate(c, _OPEN + _MIDDLE + _CLOSE, "   ")
+    marked = F.split(F.regexp_replace(plain, _regex(pattern), f"{_OPEN}$1{_MIDDLE}$0{_CLOSE}"), _OPEN)
+    nothing = F.array().cast("array<struct<word: string, start: int, end: int>>")
+
+    def step(state: Column, x: Column) -> Column:
+        whole = F.substring_index(F.substring_index(x, _CLOSE, 1), _MIDDLE, -1)
+        end = state["at"] + F.length(whole)
+        one = F.struct(F.substring_index(x, _MIDDLE, 1).alias("word"), state["at"].alias("start"), end.alias("end"))
+        return F.struct((end + F.length(F.substring_index(x, _CLOSE, -1))).alias("at"), F.array_append(state["found"], one).alias("found"))
+
+    def placed(pieces: Column) -> Column:
+        first = F.struct(F.length(F.get(pieces, F.lit(0))).alias("at"), nothing.alias("found"))
+        return F.aggregate(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), first, step, lambda state: state["found"])
+
+    return let(marked, placed)
+
+
+def sentence_around(c: Column, start: Column, end: Column) -> Column:
+    """From the last sentence end or line break before ``start`` to the first one from ``end`` on; without one, 181 characters more at most."""
+    left = F.length(F.substring_index(F.translate(F.substring(c, F.lit(1), start), "。；", "\n\n"), "\n", -1))
+    after = F.instr(F.translate(F.substring(c, end + 1, F.length(c)), "。；", "\n\n"), "\n")
+    stop = F.when(after > 0, end + after).otherwise(F.least(F.length(c), end + 180) + 1)
+    return strip(F.substring(c, start - left + 1, stop - start + left))
 
 
 def first_sentence_with(c: Column, word: Column) -> Column:
-    """source_sentence as a column."""
+    """The first sentence of more than eight characters that has the word."""
     sentences = F.transform(F.filter(F.split(c, "[。！？\n]"), lambda s: F.contains(s, word)), strip)
     return F.coalesce(F.get(F.filter(sentences, lambda s: F.length(s) > 8), 0), F.lit(""))
 
 
-def suffix_counts(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, raw, n): the runs that end with a known suffix, twice or more in a text."""
-    runs = F.regexp_extract_all(F.col(text), F.lit(_SUFFIX_RUN.pattern), 1)
-    return rows.select(key, F.explode(runs).alias("raw")).groupBy(key, "raw").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
+# Candidates ---------------------------------------------------------------------------------------
 
 
-def _rejected(name: str) -> bool:
-    """Before loose endings are cut."""
-    known = name.endswith(L.CONCEPT_SUFFIXES)
-    mixed = re.search("[A-Za-z]", name) and re.search("[一-鿿]", name)
-    return bool(
-        not name
-        or _NOISE.search(name)
-        or _BAD.search(name)
-        or not re.fullmatch(r"[一-鿿A-Za-z0-9·+\-]+", name)
-        or re.fullmatch(r"[A-Za-z0-9+\-]+", name)
-        or not 2 <= len(name) <= 14
-        or any(x in name for x in L.PERSON_NAME_MARKERS)
-        or (any(x in name for x in L.PRONOUN_FRAGMENTS) and _VERB.search(name))
-        or mixed
-        or (name.startswith(L.BAD_PREFIXES) and not known)
-    )
-
-
-def _rejected_after(name: str) -> bool:
-    known = name.endswith(L.CONCEPT_SUFFIXES)
-    return bool(
-        len(name) < 2
-        or name.startswith(L.REJECTED_STARTS)
-        or any(x in name for x in L.REJECTED_PARTS)
-        or (any(x in name for x in L.SENTENCE_PARTS) and name not in L.SHORT_CONCEPTS)
-        or (_VERB.search(name) and not known)
-        or (len(name) <= 2 and name not in L.SHORT_CONCEPTS and not name.endswith(L.SHORT_ENDINGS))
-    )
-
-
-def validate(raw: str, text: str = "") -> Checked | None:
-    """The cleaned name with its quality and warnings; None if a rule rejects it."""
-    name, warnings = clean_name(raw), []
-    if _rejected(name):
-        return None
-    if name[-1] in L.LOOSE_ENDINGS:
-        warnings.append("trimmed_fragment")
-        name = name.rstrip(L.LOOSE_ENDINGS)
-    if _rejected_after(name):
-        return None
-    if text and name not in text:
-        warnings.append("not_in_source")
-    quality = score_name(name, len(warnings))
-    return Checked(name, round(min(1.0, quality), 3), warnings) if quality >= LEAST_QUALITY else None
-
-
-def sentence_around(text: str, start: int, end: int) -> str:
-    left = max(text.rfind(x, 0, start) for x in "。\n；")
-    rights = [k for x in "。\n；" if (k := text.find(x, end)) >= 0]
-    return text[left + 1 : min(rights, default=min(len(text), end + 180)) + 1].strip()
-
-
-def source_sentence(text: str, word: str) -> str:
-    return next((s.strip() for s in re.split(r"[。！？\n]", text) if word in s and len(s.strip()) > 8), "")
-
-
-def candidates(text: str) -> Iterator[tuple[Checked, str, str, float]]:
-    """(checked name, source, method, quality) in the order of discovery, of a normalised text."""
-    for pattern in L.GLOSS_PATTERNS:
-        for m in re.finditer(pattern, text):
-            if found := validate(m[1], text):
-                yield found, sentence_around(text, *m.span()), "term_annotation", found.quality + 0.08
-    for m in re.finditer(L.DEFINITION_PATTERN, text):
-        if found := validate(m[1], text):
-            yield found, sentence_around(text, *m.span()), "definition_sentence", found.quality + 0.12
-    for line in text.splitlines():
-        head = line.strip()
-        for pattern in L.ENUMERATION:
-            head = re.sub(pattern, "", head)
-        if 2 <= len(head) <= 18 and (found := validate(head, text)):
-            yield found, line.strip(), "heading", found.quality + 0.04
-    for raw, count in Counter(_SUFFIX_RUN.findall(text)).most_common(MOST_FREQUENT):
-        if count >= 2 and (found := validate(raw, text)):
-            yield found, source_sentence(text, found.name), "frequency_term", found.quality + min(0.16, count * 0.03)
-
-
-CANDIDATES = "book_id string, chapter_id string, cand_ord long, name string, source_text string, method string, quality double, warnings array<string>"
+def suffix_counts(c: Column) -> Column:
+    """Array of (n, first, raw): the runs that end with a known suffix, twice or more in a text, the most frequent first, then as first seen."""
 
+    def counted(runs: Column) -> Column:
+        each = F.transform(F.array_distinct(runs), lambda x, i: F.struct((-F.size(F.filter(runs, lambda y: y == x))).alias("n"), i.alias("first"), x.alias("raw")))
+        return F.array_sort(F.filter(each, lambda x: x["n"] <= -2))
 
-def chapter_candidates(chapters: DataFrame) -> DataFrame:
-    """All candidates of chapters with ``content`` and ``graph_text``, numbered as found."""
+    return let(F.regexp_extract_all(c, F.lit(SUFFIX_RUN), 1), counted)
+
+
+CANDIDATES = ("book_id", "chapter_id", "cand_ord", "name", "source_text", "method", "quality", "warnings")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [
-                (book, chapter, k, c.name, source or source_sentence(content or "", c.name), method, quality, c.warnings)
-                for book, chapter, text, content in zip(batch["book_id"], batch["chapter_id"], batch["graph_text"], batch["content"], strict=True)
-                for k, (c, source, method, quality) in enumerate(candidates(text or ""))
-            ]
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in CANDIDATES.split(", ")])
 
-    return chapters.select("book_id", "chapter_id", "graph_text", "content").mapInPandas(run, CANDIDATES)
+def _raw(method: str, raw: Column, source: Column, bonus: Column) -> Column:
+    return F.struct(F.lit(method).alias("method"), raw.alias("raw"), source.alias("source"), bonus.cast("int").alias("bonus"))
+
+
+def chapter_candidates(chapters: DataFrame) -> DataFrame:
+    """All candidates of chapters with ``content`` and ``graph_text``, in the order of discovery: glosses, definitions, headings, frequent runs."""
+    own = chapters.select("book_id", "chapter_id", *(F.coalesce(c, F.lit("")).alias(c) for c in ("content", "graph_text")))
+    text = F.col("graph_text")
+    nothing = F.lit(None).cast("string")
+    found = [F.transform(matches(text, p), lambda m: _raw("term_annotation", m["word"], sentence_around(text, m["start"], m["end"]), F.lit(8))) for p in L.GLOSS_PATTERNS]
+    found.append(F.transform(matches(text, L.DEFINITION_PATTERN), lambda m: _raw("definition_sentence", m["word"], sentence_around(text, m["start"], m["end"]), F.lit(12))))
+
+    def heading(line: Column) -> Column:
+        head = reduce(lambda x, p: F.regexp_replace(x, _regex(p), ""), L.ENUMERATION, strip(line))
+        return _raw("heading", head, strip(line), F.lit(4))
+
+    found.append(F.filter(F.transform(lines_of(text), heading), lambda x: F.length(x["raw"]).between(2, 18)))
+    found.append(F.transform(F.slice(suffix_counts(text), 1, MOST_FREQUENT), lambda x: _raw("frequency_term", x["raw"], nothing, F.least(F.lit(16), x["n"] * -3))))
+    rows = own.select("*", F.posexplode(F.concat(*found)).alias("k", "c"))
+    rows = validated(rows.select("*", "c.*"), "raw", "graph_text")
+    in_text = F.when(F.col("source").isNull(), first_sentence_with(F.col("graph_text"), F.col("name"))).otherwise(F.col("source"))
+    source = let(in_text, lambda x: F.when(x == "", first_sentence_with(F.col("content"), F.col("name"))).otherwise(x))
+    quality = F.round((F.col("quality") * 100 + F.col("bonus")) / 100, 3)
+    return rows.withColumns({"cand_ord": F.col("k").cast("long"), "source_text": source, "quality": quality}).select(*CANDIDATES)
 
 
 def dedupe_candidates(found: DataFrame) -> DataFrame:
@@ -195,19 +217,9 @@ def rank_candidates(found: DataFrame, most: int = PER_CHAPTER) -> DataFrame:
 
 def keywords(chapters: DataFrame, most: int = 12) -> DataFrame:
     """The most frequent validated tokens of each chapter, ties as first seen."""
-    token = re.compile("[一-鿿A-Za-z][一-鿿A-Za-z0-9（）()]{2,12}")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [
-                (chapter, k, found.name)
-                for chapter, text in zip(batch["chapter_id"], batch["graph_text"], strict=True)
-                for k, raw in enumerate(token.findall(text or ""))
-                if (found := validate(raw, text))
-            ]
-            yield pd.DataFrame(rows, columns=["chapter_id", "pos", "word"])
-
-    counted = chapters.select("chapter_id", "graph_text").mapInPandas(run, "chapter_id string, pos long, word string").groupBy("chapter_id", "word").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos"))
+    found = F.regexp_extract_all(F.coalesce("graph_text", F.lit("")), F.lit(KEYWORD), 0)
+    rows = validated(chapters.select("chapter_id", "graph_text", F.posexplode(found).alias("pos", "raw")), "raw", "graph_text")
+    counted = rows.groupBy("chapter_id", F.col("name").alias("word")).agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos"))
     rank = F.row_number().over(Window.partitionBy("chapter_id").orderBy(F.desc("n"), "pos"))
     return counted.withColumn("rank", rank).filter(F.col("rank") <= most).select("chapter_id", F.col("rank").cast("long").alias("rank"), "word", "n")
 
@@ -215,59 +227,52 @@ def keywords(chapters: DataFrame, most: int = 12) -> DataFrame:
 # Terms of questions --------------------------------------------------------------------------------
 
 
-def normalize_term(term: str) -> str:
-    term = re.sub(L.TERM_LEAD, "", term).strip(L.TERM_EDGES)
-    return re.sub(L.TERM_OPENERS, "", term).strip(L.TERM_EDGES_AGAIN)
+def _edges(c: Column, letters: str) -> Column:
+    own = f"[{re.escape(letters)}]+"
+    return F.regexp_replace(c, f"^{own}|{own}\\z", "")
+
+
+def normalize_term(c: Column) -> Column:
+    return _edges(F.regexp_replace(_edges(F.regexp_replace(c, L.TERM_LEAD, ""), L.TERM_EDGES), L.TERM_OPENERS, ""), L.TERM_EDGES_AGAIN)
+
 
+def is_valid_term(c: Column) -> Column:
+    n = F.length(c)
+    return ~(
+        ~n.between(2, 10) | ~c.rlike(r"^[一-鿿]+\z") | c.isin(*sorted(L.TERM_STOPWORDS)) | c.rlike(L.TERM_BLOCKLIST) | c.rlike(_regex(L.TERM_REFERENCES))
+        | _starts(c, L.TERM_STARTS) | _ends(c, L.TERM_ENDS) | ((n > 6) & F.contains(c, F.lit("的"))) | ((n > 8) & ~_ends(c, L.LONG_TERM_ENDS))
+        | ((n <= 2) & ~_ends(c, L.SHORT_TERM_ENDS) & ~c.isin(*sorted(L.SHORT_TERMS)))
+    )
 
-def is_valid_term(term: str) -> bool:
-    n = len(term)
-    return not (
-        not 2 <= n <= 10
-        or not re.fullmatch("[一-鿿]+", term)
-        or term in L.TERM_STOPWORDS
-        or re.search(L.TERM_BLOCKLIST, term)
-        or re.search(L.TERM_REFERENCES, term)
-        or term.startswith(L.TERM_STARTS)
-        or term.endswith(L.TERM_ENDS)
-        or (n > 6 and "的" in term)
-        or (n > 8 and not term.endswith(L.LONG_TERM_ENDS))
-        or (n <= 2 and not term.endswith(L.SHORT_TERM_ENDS) and term not in L.SHORT_TERMS)
-    )
 
+def looks_like_entity(c: Column) -> Column:
+    none = c.isin(*sorted(L.TERM_STOPWORDS)) | _starts(c, L.ENTITY_STARTS) | _one_of(c, L.ENTITY_PARTS)
+    return ~none & (_ends(c, L.TERM_SUFFIXES) | _one_of(c, L.CONCEPT_KEYWORDS))
 
-def looks_like_entity(term: str) -> bool:
-    if term in L.TERM_STOPWORDS or term.startswith(L.ENTITY_STARTS) or any(x in term for x in L.ENTITY_PARTS):
-        return False
-    return term.endswith(L.TERM_SUFFIXES) or any(x in term for x in L.CONCEPT_KEYWORDS)
 
+#: Of each pattern the group that is the term.
+TERM_GROUPS = ((L.TITLE_TERM, 1), (L.TERM_PATTERNS[0], 1), (L.TERM_PATTERNS[1], 2), (L.TERM_PATTERNS[2], 1), (L.TERM_PATTERNS[3], 1))
 
-def candidate_terms(text: str) -> list[str]:
+
+def candidate_terms(c: Column) -> Column:
     """Valid terms of a text in the order of the patterns, each once."""
-    raw = re.findall(L.TITLE_TERM, text)
-    for pattern in L.TERM_PATTERNS:
-        raw += [m[m.lastindex or 1] for m in re.finditer(pattern, text)]
-    raw += filter(looks_like_entity, _TERM_RUN.findall(text))
-    return list(dict.fromkeys(t for t in map(normalize_term, raw) if is_valid_term(t)))
+    raw = F.concat(*(F.regexp_extract_all(c, F.lit(_regex(p)), g) for p, g in TERM_GROUPS), F.filter(F.regexp_extract_all(c, F.lit(TERM_RUN), 1), looks_like_entity))
+    return F.array_distinct(F.filter(F.transform(raw, normalize_term), is_valid_term))
 
 
-def graph_term(name: str, source: str) -> str:
-    """A node's name as a question term; empty if it cannot be one."""
-    term = normalize_term(name)
-    for suffix in sorted(L.TERM_SUFFIXES, key=len, reverse=True):
-        if suffix in term:
-            term = term[: term.index(suffix) + len(suffix)]
-            break
-    bad = not is_valid_term(term) or (len(term) > 4 and term.startswith(L.GRAPH_TERM_STARTS)) or re.search(L.GRAPH_TERM_PARTS, term) or term in L.GRAPH_TERM_GENERAL
-    return "" if bad or (source and term not in source) else term
+def graph_term(name: Column, source: Column) -> Column:
+    """A node's name as a question term; null if it cannot be one."""
 
+    def to_suffix(term: Column) -> Column:
+        return reduce(lambda c, s: c.when(F.contains(term, F.lit(s)), F.substring(term, F.lit(1), F.instr(term, s) + len(s) - 1)), TERM_SUFFIXES, F.when(F.lit(False), term)).otherwise(term)
 
-def chunk_terms(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, pos, term) of all chunks, pos from 0."""
+    def fit(term: Column) -> Column:
+        bad = ~is_valid_term(term) | ((F.length(term) > 4) & _starts(term, L.GRAPH_TERM_STARTS)) | term.rlike(L.GRAPH_TERM_PARTS) | term.isin(*sorted(L.GRAPH_TERM_GENERAL))
+        return F.when(~bad & ((source == "") | F.contains(source, term)), term)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(c, k, t) for c, text in zip(batch["chunk_id"], batch["text"], strict=True) for k, t in enumerate(candidate_terms(text or ""))]
-            yield pd.DataFrame(rows, columns=["chunk_id", "pos", "term"])
+    return let(let(normalize_term(name), to_suffix), fit)
 
-    return chunks.select("chunk_id", "text").mapInPandas(run, "chunk_id string, pos long, term string")
+
+def chunk_terms(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, pos, term) of all chunks, pos from 0."""
+    return chunks.select("chunk_id", F.posexplode(candidate_terms(F.coalesce("text", F.lit("")))).alias("pos", "term")).withColumn("pos", F.col("pos").cast("long"))

@@ -14,6 +14,7 @@ from tomeweave.operators.chunks import RetrievalConfig
 from tomeweave.operators.dictionary import dictionary_join
 from tomeweave.operators.lineage import cut
 from tomeweave.operators.scan import retrieve
+from tomeweave.plans import terms_sql as Q
 from tomeweave.plans.retrieval import CONFIG, answers_sql, corpus, corpus_sql, questions, ranked_sql
 from tomeweave.plans.tables import chapters, chapters_sql, cjk_sql, projected, projected_sql, strip_sql, table
 from tomeweave.registry import query
@@ -30,10 +31,9 @@ def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PIECES = f"SELECT doc_id, unnest(l) AS piece, unnest(range(len(l)))::INTEGER AS pos FROM (SELECT doc_id, string_split_regex({_ZH}, '[。，\\n]') AS l FROM documents)"
 
 
-@query()
+@query(f"SELECT doc_id, pos, {Q.clean_sql('piece')} AS name FROM ({_PIECES})")
 def k1_clean_candidate_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = F.udf(K.clean_name, "string", useArrow=True)
-    return _terms(spark, sf_dir).select("doc_id", "pos", clean("piece").alias("name"))
+    return _terms(spark, sf_dir).select("doc_id", "pos", K.clean_name(F.col("piece")).alias("name"))
 
 
 _SUFFIXES = ", ".join(f"'{s}'" for s in L.CONCEPT_SUFFIXES)
@@ -47,14 +47,17 @@ def k2_trim_to_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _terms(spark, sf_dir).select("doc_id", "pos", K.trimmed_to_suffix(F.col("piece")).alias("trimmed"))
 
 
-@query()
+@query(f"SELECT doc_id, pos, name, quality, warnings FROM {Q.validated_sql(_PIECES, 'piece', 'piece')}")
 def k3_validate_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def check(piece: str) -> tuple | None:
-        found = K.validate(piece, piece)
-        return (found.name, found.quality, found.warnings) if found else None
+    return K.validated(_terms(spark, sf_dir), "piece", "piece").select("doc_id", "pos", "name", "quality", "warnings")
 
-    checked = F.udf(check, "struct<name: string, quality: double, warnings: array<string>>", useArrow=True)
-    return _terms(spark, sf_dir).withColumn("c", checked("piece")).filter("c IS NOT NULL").select("doc_id", "pos", "c.*")
+
+#: Short names of other kinds, which the warnings of K3 come from, stand in texts that lack them.
+@query(f"SELECT doc_id, pos, name, quality, warnings FROM {Q.validated_sql(f'SELECT *, piece || chr(38656) AS raw FROM ({_PIECES})', 'raw', 'piece')}")
+def k3_validate_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a loose ending behind each piece."""
+    rows = _terms(spark, sf_dir).withColumn("raw", F.concat("piece", F.lit("需")))
+    return K.validated(rows, "raw", "piece").select("doc_id", "pos", "name", "quality", "warnings")
 
 
 _SHORT = ", ".join(f"'{s}'" for s in sorted(L.SHORT_CONCEPTS))
@@ -68,46 +71,55 @@ def k4_score_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _terms(spark, sf_dir).select("doc_id", "pos", K.name_score(F.col("piece"), F.lit(0)).alias("score"))
 
 
+_CANDIDATES = Q.candidates_sql(chapters_sql(True))
+
+
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.chapter_candidates(G.with_graph_text(chapters(spark, sf_dir, True)))
 
 
-def _method(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
-    return _found(spark, sf_dir).filter(F.col("method") == method).select("chapter_id", "cand_ord", "name", "source_text", F.round("quality", 6).alias("quality"))
+def _method(found: DataFrame, method: str) -> DataFrame:
+    return found.filter(F.col("method") == method).select("chapter_id", "cand_ord", "name", "source_text", F.round("quality", 6).alias("quality"))
 
 
-@query()
+def _method_sql(method: str, candidates: str = _CANDIDATES) -> str:
+    return f"WITH {candidates} SELECT chapter_id, cand_ord, name, source_text, round(quality, 6) AS quality FROM cand WHERE method = '{method}'"
+
+
+@query(_method_sql("term_annotation", Q.candidates_sql(f"SELECT * REPLACE (replace(replace(content, '激素', '激素（hormone）'), '神经，', '神经（条件下），') AS content) FROM ({chapters_sql(True)})")))
 def k5_annotated_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _method(spark, sf_dir, "term_annotation")
+    """Terms with a gloss, which the texts get first: they have no brackets."""
+    glossed = F.replace(F.replace("content", F.lit("激素"), F.lit("激素（hormone）")), F.lit("神经，"), F.lit("神经（条件下），"))
+    return _method(K.chapter_candidates(G.with_graph_text(chapters(spark, sf_dir, True).withColumn("content", glossed))), "term_annotation")
 
 
-@query()
+@query(_method_sql("definition_sentence"))
 def k6_definition_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _method(spark, sf_dir, "definition_sentence")
+    return _method(_found(spark, sf_dir), "definition_sentence")
 
 
-@query()
+@query(_method_sql("heading"))
 def k7_heading_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _method(spark, sf_dir, "heading")
+    return _method(_found(spark, sf_dir), "heading")
 
 
-@query()
+@query(_method_sql("frequency_term"))
 def k8_frequency_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _method(spark, sf_dir, "frequency_term")
+    return _method(_found(spark, sf_dir), "frequency_term")
 
 
 @query(f"SELECT doc_id, raw, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({_ZH}, '[一-鿿]{{1,10}}(?:{'|'.join(L.CONCEPT_SUFFIXES)})')) AS raw FROM documents) GROUP BY ALL HAVING count(*) >= 2")
 def k8_suffix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = table(spark, sf_dir, "documents").select("doc_id", projected(F.coalesce("text", F.lit(""))).alias("x"))
-    return K.suffix_counts(text, "doc_id", "x")
+    return text.select("doc_id", F.explode(K.suffix_counts(F.col("x"))).alias("c")).select("doc_id", "c.raw", (-F.col("c.n")).cast("long").alias("n"))
 
 
-@query()
+@query(f"WITH {_CANDIDATES} SELECT chapter_id, name, cand_ord, method, round(quality, 6) AS quality FROM ded")
 def k9_dedupe_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.dedupe_candidates(_found(spark, sf_dir)).select("chapter_id", "name", "cand_ord", "method", F.round("quality", 6).alias("quality"))
 
 
-@query()
+@query(f"WITH {_CANDIDATES} SELECT chapter_id, rank, name, method FROM ranked")
 def k10_rank_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.rank_candidates(K.dedupe_candidates(_found(spark, sf_dir))).select("chapter_id", F.col("rank").cast("long").alias("rank"), "name", "method")
 
@@ -143,10 +155,10 @@ def k10_rank_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("book_id", "chapter_id", F.col("rank").cast("long").alias("rank"), "name", "method")
 
 
-@query()
+@query(f"SELECT doc_id, {Q.around_sql('x', '(pl - 1)', '(pl + 2)')} AS sentence FROM (SELECT *, strpos(x, '红细胞') AS pl FROM (SELECT doc_id, {_ZH} AS x FROM documents)) WHERE pl > 0")
 def k11_sentence_around(spark: SparkSession, sf_dir: str) -> DataFrame:
-    around = F.udf(lambda x: K.sentence_around(x, k, k + 3) if (k := x.find("红细胞")) >= 0 else None, "string", useArrow=True)
-    return table(spark, sf_dir, "documents").select("doc_id", around(projected(F.coalesce("text", F.lit("")))).alias("sentence")).filter("sentence IS NOT NULL")
+    rows = table(spark, sf_dir, "documents").select("doc_id", projected(F.coalesce("text", F.lit(""))).alias("x")).withColumn("at", F.instr("x", "红细胞")).filter("at > 0")
+    return rows.select("doc_id", K.sentence_around(F.col("x"), F.col("at") - 1, F.col("at") + 2).alias("sentence"))
 
 
 @query(f"SELECT doc_id, coalesce([{strip_sql('s')} for s in string_split_regex(x, '[。！？\\n]') if contains(s, '红细胞') AND length({strip_sql('s')}) > 8][1], '') AS sentence FROM (SELECT doc_id, {_ZH} AS x FROM documents)")
@@ -154,7 +166,13 @@ def k12_source_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", K.first_sentence_with(projected(F.coalesce("text", F.lit(""))), F.lit("红细胞")).alias("sentence"))
 
 
-@query()
+_TOKENS = f"regexp_extract_all(gt, '{K.KEYWORD}')"
+
+
+@query(f"""WITH ch AS (SELECT chapter_id, {Q.graph_text_sql('content')} AS gt FROM ({chapters_sql(True)})),
+t AS (SELECT chapter_id, gt, unnest({_TOKENS}) AS raw, unnest(range(len({_TOKENS}))) AS i FROM ch),
+c AS (SELECT chapter_id, name AS word, count(*) AS n, min(i) AS first FROM {Q.validated_sql('SELECT * FROM t', 'raw', 'gt')} GROUP BY ALL)
+SELECT chapter_id, rank, word, n FROM (SELECT *, row_number() OVER (PARTITION BY chapter_id ORDER BY n DESC, first) AS rank FROM c) WHERE rank <= 12""")
 def k13_top_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.keywords(G.with_graph_text(chapters(spark, sf_dir, True)))
 
@@ -166,7 +184,12 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.chapter_nodes(chapters(spark, sf_dir, True))
 
 
-@query()
+_NODES = f"""{_CANDIDATES}, nd AS MATERIALIZED (SELECT 'node_' || substr(sha1(book_id || ':' || chapter_id || ':' || name), 1, 10) AS node_id, book_id, chapter_id, name,
+  CASE WHEN source_text = '' THEN name || ' 是 ' || title || ' 中反复出现的核心知识点。' ELSE substring(source_text, 1, 220) END AS definition, substring(source_text, 1, 260) AS source_text, page_start AS page, method, quality, chapter_ord * 16 + rank AS node_ord
+  FROM ranked JOIN (SELECT chapter_id, title, page_start, chapter_ord FROM ch) USING (chapter_id))"""
+
+
+@query(f"WITH {_NODES} SELECT node_id, book_id, name, definition, page, method AS extraction_method, round(quality, 6) AS quality_score FROM nd")
 def g1_chapter_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nodes(spark, sf_dir).select("node_id", "book_id", "name", "definition", "page", "extraction_method", F.round("quality_score", 6).alias("quality_score"))
 
@@ -323,26 +346,27 @@ def b1_source_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.source_chunks(corpus(spark, sf_dir, True)).select("chunk_id", "page")
 
 
-@query()
+@query(Q.chunk_terms_sql(corpus_sql(True)))
 def b2_candidate_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.chunk_terms(B.V.spread(corpus(spark, sf_dir, True), "chunk_id"))
 
 
-@query()
+@query(f"SELECT doc_id, pos, term, {Q.valid_term_sql('term')} AS valid FROM (SELECT doc_id, pos, {Q.normalize_term_sql('piece')} AS term FROM ({_PIECES}))")
 def b3_valid_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain, valid = F.udf(K.normalize_term, "string", useArrow=True), F.udf(K.is_valid_term, "boolean", useArrow=True)
-    return _terms(spark, sf_dir).select("doc_id", "pos", plain("piece").alias("term")).withColumn("valid", valid("term"))
-
-
-@query()
-def b4_term_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.term_sources(B.source_chunks(corpus(spark, sf_dir, True)))
+    return _terms(spark, sf_dir).select("doc_id", "pos", K.normalize_term(F.col("piece")).alias("term")).withColumn("valid", K.is_valid_term(F.col("term")))
 
 
 _TURNS = f"SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY page, chapter, chunk_id) AS turn FROM ({_SOURCE})"
 _SEEDS = ", ".join(f"'{s}'" for s in L.SEEDS)
 
 
+@query(f"""WITH src AS (SELECT * FROM ({_SOURCE})), own AS (SELECT term, book_id FROM ({Q.chunk_terms_sql('SELECT chunk_id, text FROM src')}) JOIN src USING (chunk_id)),
+seed AS (SELECT book_id, unnest([s for s in [{_SEEDS}] if contains(text, s)]) AS term FROM src)
+SELECT term, count(DISTINCT book_id) AS n_books FROM (SELECT * FROM own UNION ALL SELECT term, book_id FROM seed) GROUP BY term""")
+def b4_term_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.term_sources(B.source_chunks(corpus(spark, sf_dir, True)))
+
+
 @query(f"""
 WITH h AS (SELECT book_id, turn, unnest([i for s, i in [{_SEEDS}] if contains(text, s)]) AS seed FROM ({_TURNS})), f AS (SELECT book_id, seed, min(turn) AS turn FROM h GROUP BY ALL)
 SELECT book_id, [{_SEEDS}][seed] AS term, row_number() OVER (PARTITION BY book_id ORDER BY turn, seed)::INTEGER AS place FROM f
@@ -351,7 +375,7 @@ def b5_seed_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.book_terms(B.seed_hits(B.interleaved(B.source_chunks(corpus(spark, sf_dir, True)))))
 
 
-@query()
+@query(f"WITH {_NODES}, gt0 AS (SELECT DISTINCT book_id, {Q.graph_term_sql('name', 'source_text')} AS term FROM nd) SELECT book_id, term, row_number() OVER (PARTITION BY book_id ORDER BY length(term) DESC, term) AS place FROM gt0 WHERE term IS NOT NULL")
 def b6_graph_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.graph_terms(_nodes(spark, sf_dir)).select("book_id", "term", F.col("place").cast("long").alias("place"))
 
