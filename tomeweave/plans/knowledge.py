@@ -214,7 +214,8 @@ def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _between_sql(a: str, words: tuple[str, int, int], b: str) -> str:
-    return rf"regexp_matches(x, regexp_escape({a}) || '[^。；\n]{{0,{words[1]}}}(?:{words[0]})[^。；\n]{{0,{words[2]}}}' || regexp_escape({b}))"
+    """A pattern that differs by row is compiled for each; not for texts without the words."""
+    return rf"(CASE WHEN regexp_matches(x, '{words[0]}') THEN regexp_matches(x, regexp_escape({a}) || '[^。；\n]{{0,{words[1]}}}(?:{words[0]})[^。；\n]{{0,{words[2]}}}' || regexp_escape({b})) ELSE false END)"
 
 
 _HIERARCHY = "(a <> b AND length(a) < length(b) AND regexp_matches(a, '(" + "|".join(L.GENERAL_SUFFIXES) + ")$') AND right(a, 2) = right(b, 2))"
@@ -225,7 +226,7 @@ def g3_contains_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _evidence(spark, sf_dir).select("doc_id", R.contains_evidence(F.col("a"), F.col("b"), F.col("x")).alias("holds"))
 
 
-_LEARN = r"regexp_matches(x, '(?:理解|掌握|学习)[^。；\n]{0,18}' || regexp_escape(b) || '[^。；\n]{0,28}(?:需要|必须|先)[^。；\n]{0,28}' || regexp_escape(a))"
+_LEARN = r"(CASE WHEN regexp_matches(x, '理解|掌握|学习') THEN regexp_matches(x, '(?:理解|掌握|学习)[^。；\n]{0,18}' || regexp_escape(b) || '[^。；\n]{0,28}(?:需要|必须|先)[^。；\n]{0,28}' || regexp_escape(a)) ELSE false END)"
 
 
 @query(f"SELECT doc_id, {_LEARN} OR {_between_sql('a', L.BASIS_WORDS, 'b')} AS holds FROM ({_EVIDENCE}) WHERE a <> '' AND b <> ''")
@@ -238,14 +239,14 @@ def g6_applies_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _evidence(spark, sf_dir).select("doc_id", R.applies_evidence(F.col("a"), F.col("b"), F.col("x")).alias("holds"))
 
 
-#: Up to three names of the first lines of a document are nodes of its chapter.
+#: Up to three names of a document are nodes of its chapter, with the whole text as their source.
 _ENDS = ("神经", "激素", "系统")
-_TRIO = f"""SELECT source AS book_id, 'ch_' || doc_id AS chapter_id, 'd' || doc_id || '_' || ord AS node_id, doc_id * 16 + ord AS node_ord, name, CASE WHEN doc_id % 3 = 0 THEN 'heading' ELSE 'frequency_term' END AS method, x AS src
-FROM (SELECT *, unnest([{", ".join(f"regexp_extract(x, '[一-鿿]{{1,3}}{e}', 0)" for e in _ENDS)}]) AS name, unnest([1, 2, 3]) AS ord FROM (SELECT doc_id, coalesce(source, '') AS source, substring({_ZH}, 1, 300) AS x FROM documents)) WHERE name <> ''"""
+_TRIO = f"""SELECT source AS book_id, 'ch_' || doc_id AS chapter_id, 'd' || doc_id || '_' || ord AS node_id, doc_id * 16 + ord AS node_ord, name, '' AS definition, CASE WHEN doc_id % 3 = 0 THEN 'heading' ELSE 'frequency_term' END AS method, x AS src
+FROM (SELECT *, unnest([{", ".join(f"regexp_extract(x, '[一-鿿]{{1,3}}{e}', 0)" for e in _ENDS)}]) AS name, unnest([1, 2, 3]) AS ord FROM (SELECT doc_id, coalesce(source, '') AS source, {_ZH} AS x FROM documents)) WHERE name <> ''"""
 
 
 def _trio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.substring(projected(F.coalesce("text", F.lit(""))), 1, 300).alias("x"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), projected(F.coalesce("text", F.lit(""))).alias("x"))
     names = F.array(*(F.regexp_extract("x", f"[一-鿿]{{1,3}}{e}", 0) for e in _ENDS))
     each = rows.select("*", F.posexplode(names).alias("k", "name")).filter("name <> ''").withColumn("ord", F.col("k") + 1)
     return each.select(
@@ -263,7 +264,7 @@ def _inferred_sql(group: str, nodes: str) -> str:
     joined = f"{_between_sql('a', L.AND_WORDS, 'b')} OR {_between_sql('b', L.AND_WORDS, 'a')}".replace("regexp_matches(x,", "regexp_matches(shared,")
     both = lambda t: f"contains({t}, a) AND contains({t}, b)"
     return f"""pr AS (SELECT l.book_id, l.chapter_id, l.node_ord AS i, r.node_ord AS j, l.node_id AS li, r.node_id AS ri, l.name AS a, r.name AS b, l.chapter_id = r.chapter_id AS same, l.method = 'heading' AND r.method = 'heading' AS heads,
-  l.name || '。' || l.src || '。' || r.name || '。' || r.src AS x, l.src || chr(10) || r.src AS shared FROM {nodes} l JOIN {nodes} r ON l.{group} = r.{group} AND l.book_id = r.book_id AND l.node_ord < r.node_ord),
+  concat_ws('。', l.name, nullif(l.definition, ''), nullif(l.src, ''), r.name, nullif(r.definition, ''), nullif(r.src, '')) AS x, l.src || chr(10) || r.src AS shared FROM {nodes} l JOIN {nodes} r ON l.{group} = r.{group} AND l.book_id = r.book_id AND l.node_ord < r.node_ord),
 ru AS (SELECT *, CASE WHEN {_between_sql('a', L.CONTAINS_WORDS, 'b')} OR {_between_sql('b', L.PART_WORDS, 'a')} OR {_HIERARCHY} THEN 0
   WHEN {_between_sql('b', L.CONTAINS_WORDS, 'a')} OR {_between_sql('a', L.PART_WORDS, 'b')} OR {swap(_HIERARCHY)} THEN 1
   WHEN {_LEARN} OR {_between_sql('a', L.BASIS_WORDS, 'b')} THEN 2 WHEN {learn} OR {_between_sql('b', L.BASIS_WORDS, 'a')} THEN 3
@@ -313,18 +314,23 @@ def g12_enriched_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.enrich_relations(nodes, R.chapter_edges(nodes)).select("book_id", "source", "target", "relation_type", "description")
 
 
-@query()
+#: The nodes of chapters, with as many of their pairs' relations as a chapter keeps.
+_REAL = f"""{_NODES}, n AS MATERIALIZED (SELECT book_id, chapter_id, node_id, node_ord, name, definition, method, source_text AS src FROM nd), {_inferred_sql("chapter_id", "n")}"""
+_KEPT = f"""{_REAL}, ed AS MATERIALIZED (SELECT * FROM (SELECT inf.*, row_number() OVER (PARTITION BY chapter_id ORDER BY i, j) AS nth, most FROM inf JOIN (SELECT chapter_id, greatest(4, count(*)) AS most FROM n GROUP BY ALL) USING (chapter_id)) WHERE nth <= most)"""
+
+
+@query(f"WITH {_REAL} SELECT source, target, relation_type, description FROM inf")
 def g8_infer_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = _nodes(spark, sf_dir)
     return R.infer_relations(R.pairs_within(nodes, ["book_id", "chapter_id"])).select("source", "target", "relation_type", "description")
 
 
-@query()
+@query(f"WITH {_KEPT} SELECT source, target, description FROM ed WHERE relation_type = 'parallel'")
 def g7_parallel_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.chapter_edges(_nodes(spark, sf_dir)).filter("relation_type = 'parallel'").select("source", "target", "description")
 
 
-@query()
+@query(f"WITH {_KEPT} SELECT book_id, source, target, relation_type FROM ed")
 def g9_chapter_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.chapter_edges(_nodes(spark, sf_dir)).select("book_id", "source", "target", "relation_type")
 
