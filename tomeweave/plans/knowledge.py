@@ -297,7 +297,6 @@ def g9_edges_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.chapter_edges(_trio(spark, sf_dir))
 
 
-#: Equal on whole tables, but minutes slow there (patterns that differ by row); a test holds the query to it on few documents.
 G12_SQL = f"""
 WITH {_EDGES}, co AS (SELECT book_id, count(DISTINCT relation_type) AS kinds, count(*) FILTER (relation_type = 'parallel') AS parallel, count(*) AS m FROM ed GROUP BY book_id),
 fine AS (SELECT book_id FROM co WHERE kinds >= 3 AND parallel <= greatest(8.0::DOUBLE, m * 0.85::DOUBLE)),
@@ -308,7 +307,7 @@ UNION ALL SELECT book_id, source, target, relation_type, description FROM (SELEC
 """
 
 
-@query()
+@query(G12_SQL)
 def g12_enriched_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = _trio(spark, sf_dir)
     return R.enrich_relations(nodes, R.chapter_edges(nodes)).select("book_id", "source", "target", "relation_type", "description")
