@@ -36,10 +36,10 @@ def with_clusters(grouped: DataFrame, leaders: DataFrame) -> DataFrame:
 
 
 def similar_groups(nodes: DataFrame) -> DataFrame:
-    """Groups by exact name; the singletons left are clustered by similar name and definition."""
-    grouped = exact_name_groups(nodes)
+    """Groups by exact name; the singletons left are clustered by similar name and definition. The rows are kept, as all that follows reads them more than once."""
+    grouped = cut(exact_name_groups(nodes))
     single = grouped.filter("group_size = 1").drop("group_key", "group_size")
-    return grouped if single.isEmpty() else with_clusters(grouped, clusters(single))
+    return grouped if single.isEmpty() else cut(with_clusters(grouped, clusters(single)))
 
 
 def _first_longest(value: str, length: Column) -> Column:
@@ -194,7 +194,7 @@ class Integration:
 
 def run_integration(nodes: DataFrame, edges: DataFrame, original_chars: int, ratio: float = TARGET_RATIO) -> Integration:
     """Groups by name, clusters of similar singletons, merged nodes, decisions, remapped edges; then trimming where the texts are still too long."""
-    grouped = cut(similar_groups(nodes))
+    grouped = similar_groups(nodes)
     merged, mapping = cut(merge_nodes(grouped)), node_map(grouped)
     decided, links = decisions(merged), cut(remap_edges(edges, mapping))
     kept, removed = trim_to_compression(merged, original_chars, ratio)

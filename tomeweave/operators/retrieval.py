@@ -69,8 +69,10 @@ class Index:
         return self.weights(extra).groupBy(self.key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
 
 
-def build_index(rows: DataFrame, key: str, analyzer: str, text: str = "text") -> Index:
+def build_index(rows: DataFrame, key: str, analyzer: str, text: str = "text", keep: bool = False) -> Index:
+    """``keep`` writes the counts to the shared folder, for indexes of short texts whose counts are read several times."""
     counts = gram_counts(rows, key, analyzer, text)
+    counts = cut(counts) if keep else counts
     return Index(rows.count(), cut(counts.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))), counts, key, analyzer)
 
 
