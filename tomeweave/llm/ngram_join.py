@@ -73,9 +73,13 @@ class Summary:
     def add(self, numbers: np.ndarray) -> None:
         self.total += len(numbers)
         keys, counts = np.unique(numbers, return_counts=True)
-        both = np.concatenate([self.keys, keys])
-        self.keys, inverse = np.unique(both, return_inverse=True)
-        self.counts = np.bincount(inverse, np.concatenate([self.counts, counts]), len(self.keys)).astype(np.int64)
+        both, counts = np.concatenate([self.keys, keys]), np.concatenate([self.counts, counts])
+        if not len(both):
+            return
+        order = np.argsort(both, kind="stable")  # two sorted runs are merged
+        both, counts = both[order], counts[order]
+        at = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+        self.keys, self.counts = both[at], np.add.reduceat(counts, at)
         if len(self.keys) > self.counters:
             down = np.partition(self.counts, -self.counters - 1)[-self.counters - 1]
             stay = self.counts > down
@@ -128,6 +132,15 @@ def _planes(numbers: np.ndarray) -> bytes:
     return numbers.astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
+def _places(refs: np.ndarray) -> bytes:
+    """Small numbers in the same way."""
+    return refs.astype(">u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _places_of(planes: bytes) -> np.ndarray:
+    return np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view(">u4").ravel().astype(np.uint32)
+
+
 def _numbers_of(planes: bytes) -> np.ndarray:
     return np.frombuffer(planes, np.uint8).reshape(8, -1).T.copy().view(">u8").ravel().astype(np.uint64)
 
@@ -151,13 +164,13 @@ def _dealt(parts: int, frequent: Broadcast):
             at = np.minimum(np.searchsorted(known, grams), max(len(known) - 1, 0))
             often = known[at] == grams if len(known) else np.zeros(len(grams), bool)
             home = parts + name[0] % max(parts, 1)
-            rows = [(home, name, _planes(grams[often]), refs[often].tobytes(), levels[at[often]].tobytes() if len(known) else b"", nodes, sizes.tobytes())]
+            rows = [(home, name, _planes(grams[often]), _places(refs[often]), levels[at[often]].tobytes() if len(known) else b"", nodes, sizes.tobytes())]
             grams, refs = grams[~often], refs[~often]
             # Parts are ranges of the numbers, which are evenly spread.
             ends = np.searchsorted(grams, np.array([(k << 64) // parts for k in range(1, parts)], np.uint64))
             for part, (g, r) in enumerate(zip(np.split(grams, ends), np.split(refs, ends), strict=True)):
                 if len(g):
-                    rows.append((part, name, _planes(g), r.tobytes(), None, None, None))
+                    rows.append((part, name, _planes(g), _places(r), None, None, None))
             return pd.DataFrame(rows, columns=[x.split(" ")[0] for x in DEALT.split(", ")])
 
         held, waiting = [], 0
@@ -192,7 +205,7 @@ def _shared(rows: pd.DataFrame) -> pd.DataFrame:
         begin += len(own)
         several = level > 0
         if several.any():
-            out.append((name, _planes(own[several]), np.frombuffer(refs, np.uint32)[several].tobytes(), level[several].tobytes(), None, None))
+            out.append((name, _planes(own[several]), _places(_places_of(refs)[several]), level[several].tobytes(), None, None))
     return pd.DataFrame(out, columns=["batch", "grams", "refs", "levels", "nodes", "sizes"])
 
 
@@ -201,7 +214,7 @@ def _ordered(rows: pd.DataFrame) -> pd.DataFrame:
     head = rows[rows["nodes"].notna()].iloc[0]
     sizes = np.frombuffer(head["sizes"], np.int64)
     grams = np.concatenate([_numbers_of(x) for x in rows["grams"]])
-    refs = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["refs"]]).astype(np.int64)
+    refs = np.concatenate([_places_of(x) for x in rows["refs"]]).astype(np.int64)
     levels = np.concatenate([np.frombuffer(x, np.uint8) for x in rows["levels"]])
     alone = sizes - np.bincount(refs, minlength=len(sizes))
     may = alone < prefix(sizes)
