@@ -43,9 +43,11 @@ FULL_MOVES = 1 << 25
 UNKNOWN = "und"
 #: What parts the texts of a language in a sample.
 BETWEEN = "\x1e"
-#: Word characters that are neither letters nor decimal digits: fractions, circled and Roman numbers (none stands beyond the second plane).
-_NUMBERS = "".join(c for c in map(chr, range(0x20000)) if unicodedata.category(c) in ("No", "Nl"))
-_NO_LETTERS = re.compile(rf"[\W\d_{_NUMBERS}]+")
+#: Word characters that are neither letters nor decimal digits: fractions, circled and Roman numbers. None stands beyond the second plane;
+#: those of the second one are blanked first, as a class with them is slow.
+_NUMBERS = [c for c in map(chr, range(0x20000)) if unicodedata.category(c) in ("No", "Nl")]
+_FAR, _FAR_NUMBERS = re.compile("[\U00010000-\U0001ffff]"), {ord(c): " " for c in _NUMBERS if c > "\uffff"}
+_NO_LETTERS = re.compile(rf"[\W\d_{''.join(c for c in _NUMBERS if c <= chr(0xFFFF))}]+")
 
 
 class SuffixAutomaton:
@@ -96,7 +98,10 @@ class SuffixAutomaton:
 
 def plain(text: str | None) -> str:
     """Letters in lower case, a blank between words and at either end; empty without letters."""
-    words = _NO_LETTERS.sub(" ", (text or "").lower()).strip()
+    text = (text or "").lower()
+    if _FAR.search(text):
+        text = text.translate(_FAR_NUMBERS)
+    words = _NO_LETTERS.sub(" ", text).strip()
     return f" {words} " if words else ""
 
 
