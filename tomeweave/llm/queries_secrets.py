@@ -2,6 +2,8 @@
 
 from collections.abc import Callable
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +35,9 @@ def _sql() -> str:
     parts = []
     for n, rule in enumerate(secrets.RULES):
         # Group 1 is the head, 2 or 3 (the head has a group of its own) the part whose length counts.
-        pattern = f"((?i:{rule.head}))({rule.pattern})" if rule.head else f"({rule.pattern})"
+        # Letters of the head in either case, by classes: this dialect's own flag also folds letters beyond ASCII.
+        head = re.sub(r"(?<!\\)[a-z]", lambda m: f"[{m[0].upper()}{m[0]}]", rule.head) if rule.head else ""
+        pattern = f"({head})({rule.pattern})" if rule.head else f"({rule.pattern})"
         body = 3 if rule.head else 1
         parts.append(
             f"SELECT r, {n} AS n, '{rule.kind}' AS kind, {rule.least} AS least, string_split_regex(t, {quoted(pattern)}) AS gaps, "
