@@ -51,20 +51,29 @@ def example_decisions(decided: DataFrame, mapping: DataFrame, original: DataFram
     )
 
 
-def render(one: DataFrame, summary: DataFrame, relations: DataFrame, quality: DataFrame, examples: DataFrame) -> list[str]:
-    """Markdown lines from the report tables, each of a bounded number of rows."""
-    o, q = one.first(), quality.first()
-    by_action, by_status, counts = {}, {}, {r["relation_type"]: r["n"] for r in relations.collect()}
-    for r in summary.collect():
-        by_action[r["action"]] = by_action.get(r["action"], 0) + r["n"]
-        by_status[r["status"]] = by_status.get(r["status"], 0) + r["n"]
-    out = [
-        "# 教材知识整合报告", "", "## 整合概览", "", f"- 原始教材数量：{o['book_count']}", f"- 已构建图谱教材数：{o['graph_count']}", f"- 原始总字数：{o['original_chars']}",
-        f"- 整合后字数：{o['integrated_chars']}", f"- 压缩比：{o['compression_ratio']:.2%}", f"- 压缩目标：不超过 30%，当前{'满足' if o['target_met'] else '未满足'}目标", "", "## 整合决策摘要", "",
-        f"- 合并：{by_action.get('merge', 0)} 项", f"- 保留：{by_action.get('keep', 0)} 项", f"- 删除：{by_action.get('remove', 0)} 项",
-        f"- 有效决策：{by_status.get('active', 0)} 项", f"- 教师覆盖：{by_status.get('overridden', 0)} 项", "", "## 知识图谱统计", "", f"- 平均节点质量分：{q['avg_quality']:.3f}",
-        "- 关系类型分布：" + ("，".join(f"{k} {counts[k]}" for k in RELATIONS if k in counts) or "无"), "", "## 重点整合案例", "",
-    ]
-    for n, r in enumerate(examples.orderBy("decision_id").collect(), start=1):
-        out.append(f"{n}. **{r['action']}** `{r['decision_id']}`：{r['affected']} → {r['result']}，置信度 {r['confidence']:.2f}")
-    return out
+def render(one: DataFrame, summary: DataFrame, relations: DataFrame, quality: DataFrame, examples: DataFrame) -> DataFrame:
+    """The report's Markdown lines (line_no, line), each made from the one row of its table; examples follow by decision."""
+
+    def placed(rows: DataFrame, lines: dict[int, Column]) -> DataFrame:
+        each = F.array(*(F.struct(F.lit(k).alias("line_no"), line.alias("line")) for k, line in lines.items()))
+        return rows.select(F.inline(each))
+
+    said = lambda words, value, end="": F.concat(F.lit(words), value.cast("string"), F.lit(end))
+    fixed = {0: "# 教材知识整合报告", 1: "", 2: "## 整合概览", 3: "", 10: "", 11: "## 整合决策摘要", 12: "", 18: "", 19: "## 知识图谱统计", 20: "", 23: "", 24: "## 重点整合案例", 25: ""}
+    head = placed(one, {
+        **{k: F.lit(line) for k, line in fixed.items()},
+        4: said("- 原始教材数量：", F.col("book_count")), 5: said("- 已构建图谱教材数：", F.col("graph_count")), 6: said("- 原始总字数：", F.col("original_chars")), 7: said("- 整合后字数：", F.col("integrated_chars")),
+        8: F.format_string("- 压缩比：%.2f%%", F.col("compression_ratio") * 100), 9: F.concat(F.lit("- 压缩目标：不超过 30%，当前"), F.when(F.col("target_met"), "满足").otherwise("未满足"), F.lit("目标")),
+    })
+    of = lambda c, value: F.coalesce(F.sum(F.when(F.col(c) == value, F.col("n"))), F.lit(0)).alias(value)
+    counted = summary.agg(*(of("action", x) for x in ("merge", "keep", "remove")), *(of("status", x) for x in ("active", "overridden")))
+    words = {13: ("合并", "merge"), 14: ("保留", "keep"), 15: ("删除", "remove"), 16: ("有效决策", "active"), 17: ("教师覆盖", "overridden")}
+    decided = placed(counted, {k: said(f"- {word}：", F.col(c), " 项") for k, (word, c) in words.items()})
+    place = F.array_position(F.array(*map(F.lit, RELATIONS)), F.col("relation_type"))
+    kinds = F.array_sort(F.collect_list(F.struct(place.alias("p"), F.concat_ws(" ", "relation_type", F.col("n").cast("string")).alias("x"))))
+    linked = relations.filter(place > 0).agg(F.array_join(F.transform(kinds, lambda k: k["x"]), "，").alias("x"))
+    shares = placed(linked, {22: F.concat(F.lit("- 关系类型分布："), F.when(F.col("x") == "", "无").otherwise(F.col("x")))})
+    graded = placed(quality, {21: F.format_string("- 平均节点质量分：%.3f", "avg_quality")})
+    number = F.row_number().over(Window.orderBy("decision_id"))  # five rows
+    shown = examples.withColumn("k", number).select((F.col("k") + 25).alias("line_no"), F.format_string("%d. **%s** `%s`：%s → %s，置信度 %.2f", "k", "action", "decision_id", "affected", "result", "confidence").alias("line"))
+    return head.unionByName(decided).unionByName(graded).unionByName(shares).unionByName(shown)

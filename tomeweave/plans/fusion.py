@@ -14,7 +14,7 @@ from tomeweave.operators.knowledge import book_nodes
 from tomeweave.plans.retrieval import index_sql
 from tomeweave.plans.tables import projected, projected_sql, table
 from tomeweave.sources.files import remove_book
-from tomeweave.registry import query
+from tomeweave.registry import ORACLE_SQL, query
 
 _RELATION = ("prerequisite", "contains", "applies_to", "parallel")
 
@@ -185,8 +185,8 @@ def _document_chars(spark: SparkSession, sf_dir: str) -> int:
     return table(spark, sf_dir, "documents").agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()[0]
 
 
-def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own, links, grouped = nodes(spark, sf_dir), edges(spark, sf_dir), _grouped(spark, sf_dir)
+def _stats(spark: SparkSession, sf_dir: str, grouped: DataFrame | None = None) -> DataFrame:
+    own, links, grouped = nodes(spark, sf_dir), edges(spark, sf_dir), grouped or _grouped(spark, sf_dir)
     merged = I.merge_nodes(grouped)
     return I.stats(own, links, merged, I.remap_edges(links, I.node_map(grouped)), I.decisions(merged), _document_chars(spark, sf_dir))
 
@@ -288,8 +288,8 @@ fb AS (SELECT d.decision_id, action, CASE WHEN said IS NULL THEN d.status ELSE '
 """
 
 
-def _feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merged = I.merge_nodes(_grouped(spark, sf_dir))
+def _feedback(spark: SparkSession, sf_dir: str, grouped: DataFrame | None = None) -> DataFrame:
+    merged = I.merge_nodes(grouped or _grouped(spark, sf_dir))
     return I.apply_feedback(I.decisions(merged), merged, _messages(spark, sf_dir))
 
 
@@ -303,8 +303,12 @@ def i13_apply_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_STATS} SELECT (SELECT count(DISTINCT source) FROM documents) AS book_count, (SELECT count(DISTINCT p_brand) FROM part) AS graph_count, original_chars, integrated_chars, compression_ratio, compression_ratio <= 0.3 AS target_met FROM st")
 def r1_report_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _overview(spark, sf_dir)
+
+
+def _overview(spark: SparkSession, sf_dir: str, grouped: DataFrame | None = None) -> DataFrame:
     books = table(spark, sf_dir, "documents").agg(F.countDistinct("source")).first()[0]
-    return R.overview(_stats(spark, sf_dir), books, table(spark, sf_dir, "part").agg(F.countDistinct("p_brand")).first()[0])
+    return R.overview(_stats(spark, sf_dir, grouped), books, table(spark, sf_dir, "part").agg(F.countDistinct("p_brand")).first()[0])
 
 
 @query(f"""
@@ -332,8 +336,8 @@ def r5_average_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.average_quality(nodes(spark, sf_dir)).select(F.round("avg_quality", 9).alias("avg_quality"))
 
 
-def _examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grouped = _grouped(spark, sf_dir)
+def _examples(spark: SparkSession, sf_dir: str, grouped: DataFrame | None = None) -> DataFrame:
+    grouped = grouped or _grouped(spark, sf_dir)
     merged = I.merge_nodes(grouped)
     return R.example_decisions(I.decisions(merged), I.node_map(grouped), nodes(spark, sf_dir), merged)
 
@@ -348,9 +352,28 @@ def r6_example_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _examples(spark, sf_dir)
 
 
-@query()
+def _report_sql() -> str:
+    of = lambda name: f"({ORACLE_SQL[name]})"
+    fixed = {0: "# 教材知识整合报告", 1: "", 2: "## 整合概览", 3: "", 10: "", 11: "## 整合决策摘要", 12: "", 18: "", 19: "## 知识图谱统计", 20: "", 23: "", 24: "## 重点整合案例", 25: ""}
+    total = lambda c, value: f"coalesce(sum(n) FILTER ({c} = '{value}'), 0)::BIGINT"
+    counts = ", ".join(
+        f"{{'k': {k}, 'x': '- {word}：' || {total(c, value)} || ' 项'}}" for k, word, c, value in
+        ((13, "合并", "action", "merge"), (14, "保留", "action", "keep"), (15, "删除", "action", "remove"), (16, "有效决策", "status", "active"), (17, "教师覆盖", "status", "overridden"))
+    )
+    return f"""
+SELECT u.k::INTEGER AS line_no, u.x AS line FROM (
+  SELECT unnest([{", ".join(f"{{'k': {k}, 'x': '{x}'}}" for k, x in fixed.items())}]) AS u
+  UNION ALL SELECT unnest([{{'k': 4, 'x': '- 原始教材数量：' || book_count}}, {{'k': 5, 'x': '- 已构建图谱教材数：' || graph_count}}, {{'k': 6, 'x': '- 原始总字数：' || original_chars}}, {{'k': 7, 'x': '- 整合后字数：' || integrated_chars}},
+    {{'k': 8, 'x': printf('- 压缩比：%.2f%%', compression_ratio * 100)}}, {{'k': 9, 'x': '- 压缩目标：不超过 30%，当前' || CASE WHEN target_met THEN '满足' ELSE '未满足' END || '目标'}}]) FROM {of("r1_report_overview")}
+  UNION ALL SELECT unnest([{counts}]) FROM {of("r3_decision_summary")}
+  UNION ALL SELECT {{'k': 21, 'x': printf('- 平均节点质量分：%.3f', avg_quality)}} FROM {of("r5_average_quality")}
+  UNION ALL SELECT {{'k': 22, 'x': '- 关系类型分布：' || coalesce(string_agg(relation_type || ' ' || n, '，' ORDER BY position), '无')}} FROM {of("r4_relation_distribution")}
+  UNION ALL SELECT {{'k': 25 + k, 'x': k || '. **' || action || '** `' || decision_id || '`：' || affected || ' → ' || result || '，置信度 ' || printf('%.2f', confidence)}} FROM (SELECT *, row_number() OVER (ORDER BY decision_id) AS k FROM {of("r6_example_decisions")})
+)"""
+
+
+@query(_report_sql())
 def r7_render_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = R.render(
-        r1_report_overview(spark, sf_dir), r3_decision_summary(spark, sf_dir), r4_relation_distribution(spark, sf_dir), r5_average_quality(spark, sf_dir), _examples(spark, sf_dir)
-    )
-    return spark.createDataFrame(list(enumerate(lines)), "line_no int, line string")
+    grouped = _grouped(spark, sf_dir)
+    linked = G.relation_distribution(I.remap_edges(edges(spark, sf_dir), I.node_map(grouped)))
+    return R.render(_overview(spark, sf_dir, grouped), R.decision_summary(_feedback(spark, sf_dir, grouped)), linked, r5_average_quality(spark, sf_dir), _examples(spark, sf_dir, grouped))

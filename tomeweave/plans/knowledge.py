@@ -15,7 +15,7 @@ from tomeweave.operators.dictionary import dictionary_join
 from tomeweave.operators.lineage import cut
 from tomeweave.operators.scan import retrieve
 from tomeweave.plans import terms_sql as Q
-from tomeweave.plans.retrieval import CONFIG, answers_sql, corpus, corpus_sql, questions, ranked_sql
+from tomeweave.plans.retrieval import CONFIG, answers_sql, corpus, corpus_sql, questions, ranked_sql, terms_sql
 from tomeweave.plans.tables import chapters, chapters_sql, cjk_sql, projected, projected_sql, strip_sql, table
 from tomeweave.registry import query
 
@@ -396,7 +396,15 @@ def b8_generate_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.generate_questions(corpus(spark, sf_dir, True), G.book_nodes(nodes), 30)
 
 
-@query()
+_FIRST_TERMS = Q.chunk_terms_sql("SELECT chapter_id AS chunk_id, content AS text FROM fc")
+_FALLBACK_HINT = strip_sql(cjk_sql("CASE WHEN pos > 0 THEN substring(content, greatest(1, pos - 60), 160 + least(pos - 1, 60)) ELSE substring(content, 1, 160) END"))
+
+
+@query(f"""WITH fc AS MATERIALIZED ({chapters_sql(True)}), ft AS (SELECT chunk_id AS chapter_id, term FROM ({_FIRST_TERMS}) WHERE pos = 0),
+fn AS (SELECT fc.*, coalesce(term, ({terms_sql('title')})[1]) AS term FROM fc LEFT JOIN ft USING (chapter_id)),
+fo AS (SELECT *, row_number() OVER (ORDER BY book_id, chapter_ord) AS k, strpos(content, term) AS pos FROM fn WHERE term IS NOT NULL)
+SELECT 'q_' || printf('%03d', k) AS question_id, replace('{L.TEMPLATES["fact"]}', '{{term}}', term) AS question, 'fact' AS kind, book_id AS expected_book, title AS expected_chapter, page_start AS expected_page, '' AS expected_chunk_id,
+  [term] AS expected_terms, {_FALLBACK_HINT} AS answer_hint FROM fo WHERE k <= 30""")
 def b9_fallback_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.fallback_questions(chapters(spark, sf_dir, True), 30)
 

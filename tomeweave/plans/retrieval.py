@@ -91,7 +91,7 @@ def v5_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shape(V.gram_counts(rows, "doc_id", "tokens"), "doc_id")
 
 
-def _terms_sql(question: str) -> str:
+def terms_sql(question: str) -> str:
     """Array of up to eight terms."""
     plain = "x"
     for word in sorted(lexicon.QUESTION_STOPWORDS, key=lambda w: (-len(w), w)):
@@ -103,7 +103,7 @@ def _terms_sql(question: str) -> str:
     return f"[s.t for s in list_sort([{{'n': -length(t), 't': t}} for t in {terms}])][1:8]"
 
 
-@query(f"SELECT doc_id, array_to_string({_terms_sql('q')}, ' ') AS terms FROM (SELECT doc_id, {projected_sql('coalesce(text, chr(32))')} || '的定义是什么' AS q FROM documents)")
+@query(f"SELECT doc_id, array_to_string({terms_sql('q')}, ' ') AS terms FROM (SELECT doc_id, {projected_sql('coalesce(text, chr(32))')} || '的定义是什么' AS q FROM documents)")
 def v7_query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     question = F.concat(projected(F.coalesce("text", F.lit(" "))), F.lit("的定义是什么"))
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(V.query_terms(question), " ").alias("terms"))
@@ -130,7 +130,7 @@ ti0 AS (SELECT gram, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM td, tn), tif AS
 bm AS (
   SELECT question_id, tk.chunk_id, sum(qt.tf * idf * (tk.tf * 2.5::DOUBLE / (tk.tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / mean_dl)))) AS bm25
   FROM ({_tokens_sql("SELECT * FROM q", "question_id", "question")}) qt JOIN tif USING (gram) JOIN tk USING (gram) JOIN tl USING (chunk_id), tn GROUP BY ALL
-), qw AS (SELECT question_id, unnest({_terms_sql("question")}) AS term FROM q),
+), qw AS (SELECT question_id, unnest({terms_sql("question")}) AS term FROM q),
 ph AS (
   SELECT question_id, chunk_id, least(1.0::DOUBLE, sum(least(1.0::DOUBLE, 0.55::DOUBLE + 0.18::DOUBLE * c + 0.03::DOUBLE * least(length(term), 8)))) AS phrase
   FROM (SELECT question_id, chunk_id, term, (length(text) - length(replace(text, term, ''))) // length(term) AS c FROM qw JOIN src ON contains(text, term)) GROUP BY ALL
@@ -215,7 +215,7 @@ def v11_best_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def answers_sql(chinese: bool, config: RetrievalConfig = CONFIG) -> str:
     place = "' [' || book_id || ', ' || chapter || ', 第' || page || '页]'"
     return f"""{ranked_sql(chinese, config=config)},
-h AS (SELECT r.*, book_id, chapter, page, text, question, [t for t in {_terms_sql("question")} if contains(text, t)][1] AS term FROM r JOIN src USING (chunk_id) JOIN q USING (question_id)),
+h AS (SELECT r.*, book_id, chapter, page, text, question, [t for t in {terms_sql("question")} if contains(text, t)][1] AS term FROM r JOIN src USING (chunk_id) JOIN q USING (question_id)),
 e AS (SELECT *, CASE WHEN term IS NOT NULL THEN {sentence_sql("text", "term", "question")} ELSE '' END AS sentence FROM h),
 v AS (SELECT question_id, arg_min({strip_sql(cjk_sql("sentence"))} || {place}, rank) FILTER (sentence <> '') AS evidence, arg_min(substring(text, 1, 260) || '...' || {place}, rank) AS opening,
   list(book_id || '|' || chapter || '|' || page || '|' || printf('%.4f', round(score, 4)) ORDER BY rank) AS citations, list(text ORDER BY rank) AS source_chunks FROM e GROUP BY question_id)"""
