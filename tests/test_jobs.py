@@ -429,3 +429,20 @@ def test_entry_points():
 
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(queries) and len(queries) > 90
+
+
+def test_similar_classes_expand_to_the_pairs(spark):
+    r = random.Random(17)
+    texts = ["red cell membrane", "red cell membranes", "a red cell membrane", "optics of lenses", "thermodynamics", "", "optic of lenses"]
+    rows = [(f"n{k:02}", k, r.choice(["a", "b", "c", None]), r.choice(texts), "") for k in range(60)]
+    nodes = spark.createDataFrame(rows, "node_id string, node_ord long, book_id string, name string, definition string")
+    members, pairs = simjoin.similar_classes(nodes)
+    of = {x["node_id"]: x["class_id"] for x in members.collect()}
+    linked = {(x["a"], x["b"]) for x in pairs.collect()}
+    linked |= {(b, a) for a, b in linked} | {(of[n], of[n]) for n, _, _, t, _ in rows if t}
+    want = {(x["a"], x["b"]) for x in simjoin.similar_pairs(nodes).collect()}
+    expanded = {(x, y) for x, i, book, _, _ in rows for y, j, other, _, _ in rows if i < j and book and other and book != other and (of[x], of[y]) in linked}
+    assert expanded == want and want
+    links = Counter(n for pair in want for n in pair)
+    assert {x["node_id"]: x["n_links"] for x in members.collect()} == {n: links[n] for n, *_ in rows}
+    assert all(of[n] == min(m for m, _, _, u, _ in rows if u == t) for n, _, _, t, _ in rows)

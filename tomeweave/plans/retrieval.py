@@ -260,6 +260,13 @@ def i3_similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.similar_pairs(name_nodes(spark, sf_dir)).withColumn("cosine", F.round("cosine", 6))
 
 
+@query(f"""WITH {_VECTORS}, ends AS (SELECT a AS node_id FROM other UNION ALL SELECT b FROM other), links AS (SELECT node_id, count(*) AS n FROM ends GROUP BY ALL)
+SELECT src.node_id, min(src.node_id) OVER (PARTITION BY text) AS class_id, coalesce(n, 0) AS n_links FROM src LEFT JOIN links USING (node_id)""")
+def i3_similar_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of i3_similar_pairs as classes and numbers of links."""
+    return J.similar_classes(name_nodes(spark, sf_dir))[0]
+
+
 @query()
 def i4_leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.clusters(name_nodes(spark, sf_dir))
