@@ -62,14 +62,22 @@ def trimmed_to_suffix(c: Column) -> Column:
     return F.when((best >= 2) & (best < F.length(c)), F.substring(c, 1, best)).otherwise(c)
 
 
-def clean_name(c: Column) -> Column:
+def _without_remarks(c: Column) -> Column:
     c = reduce(lambda x, rule: F.regexp_replace(x, _regex(rule[0]), rule[1]), L.NAME_CLEANING, strip(c))
     for opening, closing, _ in BRACKETS:  # one that is never closed
         a, b = re.escape(opening), re.escape(closing)
         c = F.regexp_replace(c, f"^([^{a}{b}]*){a}[^{b}]*\\z", "$1")
     for opening, closing, most in BRACKETS:
         c = F.regexp_replace(c, f"{re.escape(opening)}[^{re.escape(closing)}]{{0,{most}}}{re.escape(closing)}", "")
-    return F.regexp_replace(let(c, trimmed_to_suffix), _regex(L.KNOWN_HEADS), "")
+    return c
+
+
+def _known_head(c: Column) -> Column:
+    return F.regexp_replace(c, _regex(L.KNOWN_HEADS), "")
+
+
+def clean_name(c: Column) -> Column:
+    return _known_head(let(_without_remarks(c), trimmed_to_suffix))
 
 
 def name_points(c: Column, warnings: Column) -> Column:
@@ -102,26 +110,26 @@ def _rejected_after(c: Column) -> Column:
     )
 
 
-def _checked(raw: Column, text: Column) -> Column:
-    """(name, quality, warnings) of a raw name; null if a rule rejects it. A name that ``text`` lacks is worth less."""
-    loose = f"[{re.escape(L.LOOSE_ENDINGS)}]+\\z"
-
-    def graded(name: Column, trimmed: Column) -> Column:
-        missing = (text != "") & ~F.contains(text, name)
-        warnings = F.filter(F.array(F.when(trimmed, "trimmed_fragment"), F.when(missing, "not_in_source")), lambda x: x.isNotNull())
-        one = let(warnings, lambda w: F.struct(name.alias("name"), name_points(name, F.size(w)).alias("points"), w.alias("warnings")))
-        return let(one, lambda x: F.when(x["points"] >= LEAST_QUALITY, F.struct(x["name"], (F.least(F.lit(100), x["points"]) / 100).alias("quality"), x["warnings"])))
-
-    def trimmed(name: Column) -> Column:
-        return let(F.regexp_replace(name, loose, ""), lambda x: F.when(~_rejected_after(x), graded(x, name.rlike(loose))))
-
-    return let(clean_name(raw), lambda x: F.when(~_rejected(x), trimmed(x)))
+def _kept(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """``rows`` with a column of values, without those where it is null. Exploded, as a filter would evaluate the expression again for each use."""
+    return rows.withColumn(name, F.explode(F.array_compact(F.array(value))))
 
 
 def validated(rows: DataFrame, raw: str, text: str | None = None) -> DataFrame:
-    """``rows`` whose name in ``raw`` passes the rules, with (name, quality, warnings)."""
-    found = F.filter(F.array(_checked(F.col(raw), F.col(text) if text else F.lit(""))), lambda x: x.isNotNull())
-    return rows.select("*", F.inline(found))
+    """``rows`` whose name in ``raw`` passes the rules, with (name, quality, warnings). A name that ``text`` lacks is worth less.
+
+    Each step is a projection of its own, which is compiled, and whose rejected rows go no further.
+    """
+    loose = f"[{re.escape(L.LOOSE_ENDINGS)}]+\\z"
+    rows = rows.withColumn("_head", _without_remarks(F.col(raw))).withColumn("_full", _known_head(trimmed_to_suffix(F.col("_head"))))
+    rows = _kept(rows, "_name", F.when(~_rejected(F.col("_full")), F.regexp_replace("_full", loose, "")))
+    rows = _kept(rows, "name", F.when(~_rejected_after(F.col("_name")), F.col("_name")))
+    name = F.col("name")
+    missing = F.lit(False) if text is None else (F.col(text) != "") & ~F.contains(F.col(text), name)
+    rows = rows.withColumn("warnings", F.array_compact(F.array(F.when(F.col("_full").rlike(loose), "trimmed_fragment"), F.when(missing, "not_in_source"))))
+    points = name_points(name, F.size("warnings"))
+    rows = _kept(rows, "_points", F.when(points >= LEAST_QUALITY, points))
+    return rows.withColumn("quality", F.least(F.lit(100), F.col("_points")) / 100).drop("_head", "_full", "_name", "_points")
 
 
 # Sentences ----------------------------------------------------------------------------------------

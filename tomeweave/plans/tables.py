@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomeweave.functions.text import CJK, join_cjk
+from tomeweave.operators.retrieval import spread
 
 #: Latin letter groups and the Chinese terms that stand for them, in this order, so that jobs on Chinese text have input.
 PROJECTION = (
@@ -47,6 +48,8 @@ def chapters(spark: SparkSession, sf_dir: str, chinese: bool = False) -> DataFra
     """A source is a book, a document is one of its chapters."""
     docs = table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
+    if chinese:  # a small file is one task, and letters are replaced in many passes
+        docs = spread(docs, "doc_id")
     return docs.select(
         F.col("source").alias("book_id"),
         F.concat(F.lit("ch_"), F.col("doc_id").cast("string")).alias("chapter_id"),
