@@ -6,6 +6,7 @@ import time
 from collections import Counter
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tomeweave.functions import grams
@@ -13,7 +14,8 @@ from tomeweave.functions import text as T
 from tomeweave.operators import chapters as P
 from tomeweave.operators import integrate as I
 from tomeweave.operators import dictionary, knowledge, questions, relations, retrieval, scan, simjoin
-from tomeweave.operators.chunks import RetrievalConfig, build_chunks, split_text
+from tomeweave.operators.chunks import RetrievalConfig, build_chunks, index_status, split_text, write_index
+from tomeweave.operators.places import placed
 from tomeweave.plans.retrieval import CONFIG
 from tomeweave.sources import files
 from tomeweave.streaming import intake
@@ -446,3 +448,50 @@ def test_similar_classes_expand_to_the_pairs(spark):
     links = Counter(n for pair in want for n in pair)
     assert {x["node_id"]: x["n_links"] for x in members.collect()} == {n: links[n] for n, *_ in rows}
     assert all(of[n] == min(m for m, _, _, u, _ in rows if u == t) for n, _, _, t, _ in rows)
+
+
+@pytest.mark.parametrize("n", [0, 1, 500])
+def test_places_equal_a_plain_loop(spark, n):
+    rng = random.Random(n)
+    rows = [(rng.choice(["a", "a", "b", "c", None]), i, rng.randrange(40), rng.choice([None, -2, 1, 3]), "replaced") for i in range(n)]
+    frame = spark.createDataFrame(rows, "g string, i int, o int, v int, place string")
+    found = {r["i"]: (r["place"], r["group_rows"], r["total"]) for r in placed(frame, ["g"], ["o", "i"], {"total": F.col("v")}).collect()}
+    expected, sizes = {}, Counter(r[0] for r in rows)
+    seen, totals = Counter(), Counter()
+    for g, i, _, v, _ in sorted(rows, key=lambda r: (r[2], r[1])):
+        seen[g] += 1
+        totals[g] += v or 0
+        expected[i] = (seen[g], sizes[g], totals[g])
+    assert found == expected
+
+
+def test_a_large_group_lies_in_several_ranges(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("g"), (F.col("id") % 50).cast("string"))).alias("g"), (-F.col("id")).alias("o"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = placed(rows, ["g"], ["o"])
+        ranges = rows.repartitionByRange(F.col("g"), F.col("o")).filter("g = 'hot'").select(F.spark_partition_id()).distinct().count()
+        wrong = out.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("o"))).filter("n <> place").count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert ranges > 1 and wrong == 0 and out.count() == 20_000
+
+
+def test_index_status_has_the_time_of_the_index(spark, tmp_path):
+    path = str(tmp_path / "index")
+    assert index_status(spark, path).collect() == [(0, 0, None)]
+    pages = spark.createDataFrame([("b", "c", "t", 1, "x" * 1200)], "book_id string, chapter_id string, title string, page_start int, content string")
+    write_index(build_chunks(pages, RetrievalConfig()), path, F.lit("2024-05-06 07:08:09").cast("timestamp"))
+    assert [(r[0], r[1], str(r[2])) for r in index_status(spark, path).collect()] == [(1, 3, "2024-05-06 07:08:09")]
+    write_index(build_chunks(pages.limit(0), RetrievalConfig()), path)
+    books, chunks, at = index_status(spark, path).first()
+    assert (books, chunks) == (0, 0) and at is not None
+
+
+def test_states_keep_types_and_empty_tables(spark, tmp_path):
+    path = str(tmp_path / "state")
+    books = spark.createDataFrame([("007", 1), ("010", 2)], "book_id string, n int")
+    files.write_tables({"books": books, "none": books.limit(0)}, path)
+    read = files.read_tables(spark, path, ["books", "none"])
+    assert sorted((r["book_id"], r["n"]) for r in read["books"].collect()) == [("007", 1), ("010", 2)]
+    assert read["none"].collect() == [] and sorted(read["none"].columns) == ["book_id", "n"]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tomeweave import lexicon
 from tomeweave.functions import text as T
+from tomeweave.operators.places import placed
 
 MARKDOWN_HEADING = r"(?U)^\s{0,3}#{1,3}\s+(.+)$"
 PAGES_PER_PART = 20
@@ -73,28 +74,30 @@ def chapters_from_pages(pages: DataFrame) -> DataFrame:
 
     Books with one chapter at most fall into parts of 20 pages. Chapters without text are dropped but take a number.
     """
-    by_page = Window.partitionBy("book_id").orderBy("page_no")
     own = F.filter(F.transform(T.lines_of(F.col("text")), T.strip), lambda x: x != "")
     heading = F.get(F.filter(F.slice(own, 1, HEADING_LINES), T.is_chapter_heading), 0)
-    rows = pages.withColumns({"n": F.row_number().over(by_page), "heading": heading}).withColumn("opens", (F.col("n") > 1) & F.col("heading").isNotNull())
-    rows = rows.withColumns({"chapter": F.sum(F.col("opens").cast("int")).over(by_page), "part": F.floor((F.col("n") - 1) / PAGES_PER_PART).cast("int")})
-    by_heading = rows.groupBy("book_id", F.col("chapter").alias("k")).agg(
-        F.first("title").alias("stem"), F.max(F.when(F.col("opens"), T.normalize_heading(F.col("heading")))).alias("opened"),
+    rows = placed(pages.withColumn("heading", heading), ["book_id"], ["page_no"], {"headings": F.col("heading").isNotNull().cast("int")})
+    opens = (F.col("place") > 1) & F.col("heading").isNotNull()
+    by_heading = rows.groupBy("book_id", F.col("headings").alias("n")).agg(
+        F.first("title").alias("stem"), F.max(F.when(opens, T.normalize_heading(F.col("heading")))).alias("opened"),
         F.min("page_no").alias("page_start"), F.max("page_no").alias("last"), F.collect_list(F.struct("page_no", "text")).alias("pages"),
     )
-    following = F.lead("page_start").over(Window.partitionBy("book_id").orderBy("k"))
-    by_heading = by_heading.withColumn("page_end", F.coalesce(F.greatest(following - 1, F.col("page_start")), F.col("last")))
-    several = by_heading.groupBy("book_id").agg((F.count(F.lit(1)) > 1).alias("several"))
-    headed = by_heading.join(several.filter("several").select("book_id"), "book_id").withColumn("title", F.coalesce("opened", "stem"))
-    parts = split_pages_evenly(rows.join(several.filter("NOT several").select("book_id"), "book_id"))
-    both = headed.select("book_id", "k", "title", "page_start", "page_end", "pages").unionByName(parts)
-    found = both.select("book_id", chapter_id(F.col("k") + 1).alias("chapter_id"), "title", "page_start", "page_end", T.strip(_joined(F.col("pages"))).alias("content"))
+    books = rows.groupBy("book_id").agg(F.min("headings").alias("first"), F.max("headings").alias("final"))
+    # A chapter ends before the next one's first page; the next one is a row of its own, so that no book is a window.
+    nexts = rows.groupBy("book_id", (F.col("headings") - 1).alias("n")).agg(F.min("page_no").alias("following"))
+    headed = by_heading.join(books.filter("first < final"), "book_id").join(nexts, ["book_id", "n"], "left").select(
+        "book_id", (F.col("n") - F.col("first")).alias("k"), F.coalesce("opened", "stem").alias("title"), "page_start",
+        F.coalesce(F.greatest(F.col("following") - 1, F.col("page_start")), F.col("last")).alias("page_end"), "pages",
+    )
+    parts = split_pages_evenly(rows.join(books.filter("first = final").select("book_id"), "book_id"))
+    found = headed.unionByName(parts).select("book_id", chapter_id(F.col("k") + 1).alias("chapter_id"), "title", "page_start", "page_end", T.strip(_joined(F.col("pages"))).alias("content"))
     return _with_pages(found.filter("content <> ''"), F.col("page_start"), F.col("page_end"))
 
 
 def split_pages_evenly(rows: DataFrame) -> DataFrame:
-    """Parts of 20 pages of numbered pages (book_id, title, part, page_no, text)."""
-    parts = rows.groupBy("book_id", F.col("part").alias("k")).agg(
+    """Parts of 20 pages of pages with their ``place`` in the book (book_id, title, place, page_no, text)."""
+    part = F.floor((F.col("place") - 1) / PAGES_PER_PART).cast("int")
+    parts = rows.groupBy("book_id", part.alias("k")).agg(
         F.first("title").alias("stem"), F.min("page_no").alias("page_start"), F.max("page_no").alias("page_end"), F.collect_list(F.struct("page_no", "text")).alias("pages")
     )
     title = F.concat("stem", F.lit(" 第"), (F.col("k") + 1).cast("string"), F.lit("部分"))
@@ -115,9 +118,8 @@ def useful_chapters(chapters: DataFrame) -> DataFrame:
 def representative_chapters(chapters: DataFrame, most: int) -> DataFrame:
     """All useful chapters of a book, or ``most`` of them at even steps. Ids are ranked and chosen; contents join afterwards."""
     useful = useful_chapters(chapters)
-    ids = useful.select("book_id", "chapter_id", "chapter_ord")
-    by_book = Window.partitionBy("book_id")
-    ranked = ids.withColumns({"i": F.row_number().over(by_book.orderBy("chapter_ord")) - 1, "n": F.count(F.lit(1)).over(by_book)})
+    ranked = placed(useful.select("book_id", "chapter_id", "chapter_ord"), ["book_id"], ["chapter_ord", "chapter_id"])
+    ranked = ranked.select("book_id", "chapter_id", (F.col("place") - 1).alias("i"), F.col("group_rows").alias("n"))
     # Row i is chosen if some k < most has floor(k * (n / most)) = i; only these k can, rounding included.
     near = F.ceil(F.col("i") * F.lit(most) / F.col("n"))
     step = F.col("n") / F.lit(float(most))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomeweave.functions.text import strip
+from tomeweave.sources.files import read_tables, write_tables
 
 
 @dataclass(frozen=True)
@@ -59,5 +60,15 @@ def build_chunks(chapters: DataFrame, config: RetrievalConfig) -> DataFrame:
     return each.select(name.alias("chunk_id"), "book_id", "chapter_id", "chapter", "page", "text", F.length("text").cast("long").alias("char_count"), (F.col("i") + 1).cast("long").alias("chunk_ord"))
 
 
-def index_status(chunks: DataFrame) -> DataFrame:
-    return chunks.agg(F.countDistinct("book_id").alias("book_count"), F.count(F.lit(1)).alias("chunk_count"))
+def write_index(chunks: DataFrame, path: str, at: Column | None = None) -> None:
+    """Writes the chunks as the new state at ``path``, with the time at which they were indexed (now). The time is a table of the same state, so it also stands where there is no chunk."""
+    spark = chunks.sparkSession
+    write_tables({"chunks": chunks, "indexed": spark.range(1).select((F.current_timestamp() if at is None else at).alias("indexed_at"))}, path)
+
+
+def index_status(spark: SparkSession, path: str) -> DataFrame:
+    """One row of book_count, chunk_count, indexed_at; the last is null where nothing was indexed."""
+    state = read_tables(spark, path, ["chunks", "indexed"], {"chunks": {"book_id": ("string", None)}, "indexed": {"indexed_at": ("timestamp", None)}})
+    counts = state["chunks"].agg(F.countDistinct("book_id").alias("book_count"), F.count(F.lit(1)).alias("chunk_count"))
+    one = lambda row: row.withColumn("one", F.lit(1))
+    return one(counts).join(one(state["indexed"].agg(F.max("indexed_at").alias("indexed_at"))), "one").drop("one")

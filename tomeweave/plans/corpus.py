@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomeweave import lexicon
 from tomeweave.functions import text as T
 from tomeweave.functions.text import CJK
 from tomeweave.operators import chapters as P
-from tomeweave.operators.chunks import RetrievalConfig, build_chunks, index_status, split_text
+from tomeweave.operators.places import placed
+from tomeweave.operators.chunks import RetrievalConfig, build_chunks, index_status, split_text, write_index
 from tomeweave.operators.lineage import shared_folder
 from tomeweave.plans.tables import LINES_SQL, chapters, chapters_sql, cjk_sql, lines, projected, projected_sql, strip_sql, table
 from tomeweave.registry import query
@@ -309,8 +310,7 @@ FROM (SELECT source AS book_id, source AS title, doc_id AS page_no, (row_number(
 """)
 def p3_split_pages_evenly(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("book_id"), F.col("source").alias("title"), F.col("doc_id").alias("page_no"), F.lit("").alias("text"))
-    n = F.row_number().over(Window.partitionBy("book_id").orderBy("page_no"))
-    parts = P.split_pages_evenly(docs.withColumn("part", F.floor((n - 1) / P.PAGES_PER_PART).cast("int")))
+    parts = P.split_pages_evenly(placed(docs, ["book_id"], ["page_no"]))
     return parts.select("book_id", "k", "title", "page_start", "page_end", F.size("pages").cast("long").alias("n_pages"))
 
 
@@ -359,9 +359,13 @@ def c2_build_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_chunks(chapters(spark, sf_dir), RetrievalConfig())
 
 
-@query(f"SELECT count(DISTINCT book_id) AS book_count, count(*) AS chunk_count FROM ({chunks_sql(500, 100, chapters_sql())})")
+@query(f"SELECT count(DISTINCT book_id) AS book_count, count(*) AS chunk_count, (SELECT strftime(max(ts), '%Y-%m-%d %H:%M:%S') FROM events) AS indexed_at FROM ({chunks_sql(500, 100, chapters_sql())})")
 def c3_index_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index_status(build_chunks(chapters(spark, sf_dir), RetrievalConfig()))
+    """The index is built at the time of the newest event."""
+    path = _written(spark, "index")
+    at = table(spark, sf_dir, "events").agg(F.max("ts").cast("string")).first()[0]
+    write_index(build_chunks(chapters(spark, sf_dir), RetrievalConfig()), path, F.lit(at).cast("timestamp"))
+    return index_status(spark, path).withColumn("indexed_at", F.date_format("indexed_at", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query(f"SELECT chunk_id, book_id, chapter, text FROM ({chunks_sql(500, 100, 'SELECT * FROM (' + _sections_sql(True) + ')')}) WHERE book_id IN (SELECT doc_id FROM documents WHERE coalesce({strip_sql('text')}, '') <> '')")

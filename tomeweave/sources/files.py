@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -9,6 +10,7 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tomeweave.functions import text as T
 
@@ -114,12 +116,13 @@ def write_tables(tables: dict[str, DataFrame], path: str) -> str:
         writer = table.write
         (writer.partitionBy("book_id") if "book_id" in table.columns else writer).parquet(f"{path}/snapshots/{name}/{table_name}")
     last = _manifest(spark, path)
-    row = (last["version"] + 1 if last else 1, name, sorted(tables))
+    row = (last["version"] + 1 if last else 1, name, sorted(tables), {t: table.schema.json() for t, table in tables.items()})
     spark.createDataFrame([row], _MANIFEST).coalesce(1).write.mode("append").json(f"{path}/manifests")
     return name
 
 
-_MANIFEST = "version long, snapshot string, tables array<string>"
+#: The schemas keep the types of partition columns, and the columns of tables without rows.
+_MANIFEST = "version long, snapshot string, tables array<string>, schemas map<string,string>"
 
 
 def _manifest(spark: SparkSession, path: str) -> Row | None:
@@ -138,7 +141,9 @@ def read_tables(spark: SparkSession, path: str, names: list[str], defaults: dict
     for name in names:
         columns = (defaults or {}).get(name, {})
         if state and name in state["tables"]:
-            table = spark.read.parquet(f"{path}/snapshots/{state['snapshot']}/{name}")
+            schema = (state["schemas"] or {}).get(name)
+            reader = spark.read.schema(StructType.fromJson(json.loads(schema))) if schema else spark.read
+            table = reader.parquet(f"{path}/snapshots/{state['snapshot']}/{name}")
             out[name] = table.withColumns({c: F.lit(value).cast(kind) for c, (kind, value) in columns.items() if c not in table.columns})
         elif columns:
             out[name] = spark.createDataFrame([], ", ".join(f"`{c}` {kind}" for c, (kind, _) in columns.items()))
