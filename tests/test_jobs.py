@@ -1,5 +1,6 @@
 """Jobs on small literal tables, and properties that hold for any input."""
 
+import hashlib
 import math
 import random
 import time
@@ -16,6 +17,7 @@ from tomeweave.operators import integrate as I
 from tomeweave.operators import dictionary, knowledge, questions, relations, retrieval, scan, simjoin
 from tomeweave.operators.chunks import RetrievalConfig, build_chunks, index_status, split_text, write_index
 from tomeweave.operators.places import placed
+from tomeweave.plans import corpus
 from tomeweave.plans.retrieval import CONFIG
 from tomeweave.sources import files
 from tomeweave.streaming import intake
@@ -402,6 +404,19 @@ def test_lines_of_files_over_several_splits(spark, tmp_path):
     assert got == {tuple(x) for x in whole.drop("book_id").collect()} and len(got) > 3
 
 
+def test_query_of_lines_matches_its_sql_on_odd_documents(spark, tmp_path):
+    """Carriage returns, a text's own U+FFFD, zeros, and ids that are null or below zero."""
+    texts = [None, "", "\n", "one\ntwo\n", "a\r\nb\rc", "own � and �a", "\0a\0b�\0", "same\nsame", "好 x\n\n "]
+    rows = [(d, texts[k % len(texts)]) for k, d in enumerate([*range(-12, 30), None, None])]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    want = Counter()
+    for d, text in rows:
+        file = None if d is None else int(math.fmod(d, 7))
+        want.update((file, hashlib.sha1(x.encode()).hexdigest()) for x in (text or "").split("\n"))
+    got = corpus.s1_read_lines(spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {(r["file"], r["digest"]): r["n"] for r in got} == want
+
+
 def test_documents_are_parsed_in_the_stream(spark, tmp_path):
     docs = spark.createDataFrame([(f"b{k}", f"book {k}", "" if k == 3 else f"# one\n{'x' * 700}\n# two\n{k}") for k in range(6)], "book_id string, title string, text string")
     for half in (docs.filter("book_id < 'b3'"), docs.filter("book_id >= 'b3'")):
