@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -295,6 +296,22 @@ def test_token_files(spark, docs, empty, monkeypatch):
         assert got == want
 
 
+def test_library_is_asked_for_new_words_only():
+    with open(PATH, encoding="utf-8") as file:
+        own = tokenfiles.LibraryEncoder(file.read())
+    asked, ask = [], own._asked
+    own._asked = lambda texts: asked.append(texts) or ask(texts)
+    odd = ["İstanbul ŉ ſo ÀÉ×÷ª²", "e\u0301 \u0301x o\u0302\u0301, a\u00a0b\x1cc \u2028 d", "it's IT'S ''s 'll_x 12a3", "<|endoftext|> x<|startoftext|>y <|end of|>", "好的ß ΣΑΣ fi\ufb01", "w" * 3000, "\x0b\x0c", "🙂a", "a\0b"]
+    texts = ["Word, word. WORD! word", None, "", " \n", *odd, " ".join(odd)]
+    for _ in range(2):
+        ids, counts = own.encode_all(pa.array(texts).slice(1))
+        assert counts.tolist() == [len(library(x)) for x in texts[1:]] and ids.tolist() == [k for x in texts[1:] for k in library(x)]
+    del asked[:]
+    assert own.encode_all(pa.array(texts[:1]))[0].tolist() == library(texts[0])
+    assert own.encode_all(pa.array(["word (word) Word,word"]))[0].tolist() == library("word (word) Word,word")
+    assert sorted(x for part in asked for x in part) == ["!", "(", ")", ",", ".", "word"]
+
+
 # Passages -----------------------------------------------------------------------------------------
 
 

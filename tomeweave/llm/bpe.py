@@ -389,8 +389,8 @@ class Codec:
             return " ".join([self.tokens[x] for x in ids if x < len(self.tokens) and self.tokens[x] is not None])
 
 
-def _plain_pattern(parsed: dict) -> re.Pattern | None:
-    """The file's word pattern for printable ASCII, where letters and digits need no tables; None if the file's steps are others."""
+def _plain_pattern(parsed: dict, letters: str = "A-Za-z") -> re.Pattern | None:
+    """The file's word pattern for printable ASCII (and more ``letters``), where letters and digits need no tables; None if the file's steps are others."""
     steps = [x["type"] for x in parsed["normalizer"].get("normalizers", [])] if parsed.get("normalizer") else []
     splits = parsed["pre_tokenizer"].get("pretokenizers", []) if parsed.get("pre_tokenizer") else []
     if steps != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in splits] != ["Split", "ByteLevel"]:
@@ -401,7 +401,7 @@ def _plain_pattern(parsed: dict) -> re.Pattern | None:
     pattern = split["pattern"]["Regex"]
     if re.search(r"\\p\{(?![LN]\})", pattern):
         return None
-    inside = lambda x: x[0].replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9")
+    inside = lambda x: x[0].replace(r"\p{L}", letters).replace(r"\p{N}", "0-9")
     return re.compile(re.sub(r"\[[^\]]*\]", inside, pattern))
 
 

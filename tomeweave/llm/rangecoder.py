@@ -31,6 +31,8 @@ _UNIT, _REST = 16, 46
 _LEAST, _MASK = 1 << _REST, (1 << _REST) - 1
 _WEIGHT_BITS, _PRIOR = 12, 16
 _CONTEXTS, _PLACES = 1 << 17, 1 << 18
+#: Bits of ids up to which a block counts them in a table of all.
+_DENSE_BITS = 20
 _SURE = 15
 #: Order 2 is asked in a class only where at least one in this many of its predictions came true.
 _WORTH = 8
@@ -40,6 +42,11 @@ def _bit_length(x: np.ndarray) -> np.ndarray:
     return np.frexp(x.astype(float))[1]
 
 
+def _divided(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whole quotients of numbers that are not negative; without signs they take two thirds of the time."""
+    return (a.view(np.uint64) // b.view(np.uint64)).view(np.int64)
+
+
 def _places(last: np.ndarray, before: np.ndarray) -> np.ndarray:
     return ((last * 0x9E3779B1 + before * 0x85EBCA77) >> 7) & (_PLACES - 1)
 
@@ -53,42 +60,63 @@ def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class _Model:
     """What a block's ids so far say of the next ones. Kinds: 0 to 2 for orders 2 to 0, 3 for none."""
 
-    def __init__(self, bits: int):
-        self.bits, self.known = bits, 0
-        self.guess, self.conf = np.zeros(_PLACES, np.int64), np.zeros(_PLACES, np.int8)
+    def __init__(self, bits: int, reads: bool):
+        """``reads``: ids are found by their places, too."""
+        self.bits, self.known, self.reads = bits, 0, reads
+        # Tables of ids and counts in 32 bits where they fit, as they are read in no order.
+        self.guess, self.conf = np.zeros(_PLACES, np.int32 if bits < 32 else np.int64), np.zeros(_PLACES, np.int8)
+        self.followed, self.context_class = np.zeros(_CONTEXTS, np.int32), np.zeros(_CONTEXTS, np.int8)
+        self.times = np.zeros(1 << bits, np.int32) if bits <= _DENSE_BITS else None
         self.worth = np.zeros((16, 16, 4), np.int64)  # by confidence and order-1 class: ids by the order that knew them
         self.learn(np.empty(0, np.int64))
 
+    def _follow(self, at: np.ndarray, now: np.ndarray) -> None:
+        """Order 2: of equal places the last id stays."""
+        touched, place = (slice(None), at) if len(at) > _PLACES >> 3 else np.unique(at, return_inverse=True)
+        old = self.guess[touched].copy()
+        self.guess[at] = now
+        seen = np.bincount(place, minlength=len(old))
+        wrong = np.bincount(place[self.guess.take(at) != now], minlength=len(old))
+        conf = np.where(wrong > 0, 1, np.minimum(np.where(old == self.guess[touched], self.conf[touched], 0) + seen, _SURE))
+        self.conf[touched] = np.where(seen > 0, conf, self.conf[touched])
+
     def learn(self, ids: np.ndarray) -> None:
         """A round's end: ``ids`` are all of the block so far."""
-        n, new = len(ids), len(ids) - self.known
-        last, before = np.concatenate([[0], ids[:-1]]), np.concatenate([[0, 0], ids[:-2]])[:n]
-        if new:
-            at, now = _places(last[self.known : n], before[self.known :]), ids[self.known :]
-            old = self.guess.copy()
-            self.guess[at] = now  # of equal places the last one stays
-            seen = np.bincount(at, minlength=_PLACES)
-            wrong = np.bincount(at[self.guess[at] != now], minlength=_PLACES)
-            conf = np.where(wrong > 0, 1, np.minimum(np.where(old == self.guess, self.conf, 0) + seen, _SURE))
-            self.conf = np.where(seen > 0, conf, self.conf).astype(np.int8)
-        self.known = n
-        context = last[:n] & (_CONTEXTS - 1)
-        keys = np.sort((context << self.bits) | ids)
-        begin, count = _runs(keys)
-        self.pairs = keys[begin]
-        plain = np.sort(ids)
-        begin0, count0 = _runs(plain)
-        self.singles = plain[begin0]
+        n, old = len(ids), self.known
+        last = np.concatenate([[0], ids[:-1]])[:n]
+        context, self.known = last & (_CONTEXTS - 1), n
+        if n > old:
+            new = context[old:]
+            self._follow(_places(last[old:], np.concatenate([[0, 0], ids[:-2]])[old:n]), ids[old:])
+            if len(new) < _CONTEXTS >> 2:
+                np.add.at(self.followed, new, 1)
+            else:
+                self.followed += np.bincount(new, minlength=_CONTEXTS).astype(np.int32)
+                new = slice(None)
+            self.context_class[new] = np.minimum(_bit_length(self.followed[new]), 15)
+        context <<= self.bits
+        context |= ids
+        context.sort()
+        begin, count = _runs(context)
+        self.pairs = context[begin]
+        if self.times is None:
+            plain = np.sort(ids)
+            begin0, count0 = _runs(plain)
+            self.singles = plain[begin0]
+        else:
+            self.times += np.bincount(ids[old:], minlength=len(self.times)).astype(np.int32)
+            self.singles = np.flatnonzero(self.times)
+            count0 = self.times[self.singles]
+            begin0 = count0.cumsum() - count0
         self.n_pairs = len(self.pairs)
-        # Slots: order 1 by context and id, then order 0 by id, then one for what needs none.
-        both = np.concatenate([count, count0, [1]])
-        self.pair_at = np.repeat(np.arange(len(both), dtype=np.int32), both)
-        self.id_of = np.concatenate([self.pairs & ((1 << self.bits) - 1), self.singles, [0]])
-        self.start_of = np.concatenate([begin, begin0 + n, [2 * n]])
-        self.count_of = both
-        self.followed = np.bincount(context, minlength=_CONTEXTS)
-        self.first_slot = self.followed.cumsum() - self.followed
-        self.context_class = np.minimum(_bit_length(self.followed), 15).astype(np.int64)
+        self.first_slot = (self.followed.cumsum() - self.followed).astype(np.int32)
+        # Entries: order 1 by context and id, then order 0 by id, then one for what needs none; an entry's start is counted from its context's, or order 0's, first.
+        begin -= self.first_slot.take(self.pairs >> self.bits)
+        self.start_of = np.concatenate([begin, begin0, [0]]).astype(np.int32)
+        self.count_of = np.concatenate([count, count0, [1]]).astype(np.int32)
+        if self.reads:
+            self.pair_at = np.repeat(np.arange(len(self.count_of), dtype=np.int32), self.count_of)
+            self.id_of = np.concatenate([self.pairs & ((1 << self.bits) - 1), self.singles, [0]])
         self.total = np.array([1, 0, max(n, 1), 1 << min(self.bits, 16)], np.int64)
         self.base = np.array([2 * n, 0, n, 0], np.int64)
         self._weigh()
@@ -134,7 +162,7 @@ class _Model:
     def find_singles(self, ids: np.ndarray) -> np.ndarray:
         if not len(self.singles):
             return np.full(len(ids), -1)
-        if self.bits <= 20:
+        if self.times is not None:
             table = np.full(1 << self.bits, -1)
             table[self.singles] = np.arange(len(self.singles))
             return table.take(ids)
@@ -144,30 +172,37 @@ class _Model:
     def look(self, last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Order 1's context, order 2's guess and the class of confidence."""
         place, context = _places(last, before), last & (_CONTEXTS - 1)
-        return context, self.guess.take(place), self.conf.take(place) * np.int64(16) + self.context_class.take(context)
+        classes = self.conf.take(place).astype(np.int64)
+        classes <<= 4
+        classes += self.context_class.take(context)
+        return context, self.guess.take(place), classes
 
     def count(self, classes: np.ndarray, first: np.ndarray) -> None:
         self.worth += np.bincount(classes * 4 + first, minlength=1024).reshape(16, 16, 4)
 
     def intervals(self, ids: np.ndarray, last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Per id the start and size of its order's weight, the order's total, and the id's start and count in it; what the ids say is counted."""
+        """Per id the place of its order's weight, the order's total, and the id's start and count in it, and where no order knows it; what the ids say is counted."""
         context, guess, classes = self.look(last, before)
-        pair, single = self.find_pairs((context << self.bits) | ids), self.find_singles(ids)
         right = (classes >= 16) & (guess == ids)
-        lower = np.where(pair >= 0, 1, np.where(single >= 0, 2, 3))
-        kind = np.where(right & (self.weight[:, 0] > 0).take(classes), 0, lower)
-        entry = np.where(kind == 1, pair, self.n_pairs + single)
-        total, base = self.total.take(kind), self.base.take(kind)
-        first = np.flatnonzero(kind == 1)
-        total[first], base[first] = self.followed.take(context[first]), self.first_slot.take(context[first])
+        entry, single = self.find_pairs((context << self.bits) | ids), self.find_singles(ids)
+        first = entry >= 0
+        kind = np.where(single >= 0, np.int8(2), np.int8(3))
+        kind[first] = 1
+        own = (classes << 2) + kind
+        self.worth += np.bincount(np.where(right, classes << 2, own), minlength=1024).reshape(16, 16, 4)
+        used = np.flatnonzero(right & (self.weight[:, 0] > 0).take(classes))
+        kind[used] = 0
+        own[used] = classes[used] << 2
+        total = self.total.take(kind)
+        np.copyto(total, self.followed.take(context), where=kind == 1)
+        single += self.n_pairs
+        np.copyto(entry, single, where=~first)
         plain = kind == 3
-        entry[plain | (kind == 0)] = len(self.id_of) - 1
-        start, count = self.start_of.take(entry) - base, self.count_of.take(entry)
-        start[plain], count[plain] = ids[plain] >> max(self.bits - 16, 0), 1
-        at = classes * 4 + kind
-        out = self.weight_start.ravel().take(at), self.weight.ravel().take(at), total, start, count, plain
-        self.count(classes, np.where(right, 0, lower))
-        return out
+        entry[plain | (kind == 0)] = len(self.count_of) - 1
+        start, count = self.start_of.take(entry), self.count_of.take(entry)
+        if plain.any():
+            start[plain] = ids[plain] >> max(self.bits - 16, 0)
+        return own.astype(np.int16), total, start, count, plain
 
 
 def _rounds(n: int):
@@ -181,9 +216,10 @@ def _rounds(n: int):
 
 def _grid(values: np.ndarray, steps: int, lanes: int, fill: int) -> np.ndarray:
     """A round's values by step and lane."""
-    out = np.full(steps * lanes, fill, np.int64)
-    out[: len(values)] = values
-    return np.ascontiguousarray(out.reshape(lanes, steps).T)
+    short = steps * lanes - len(values)
+    if short:
+        values = np.concatenate([values, np.full(short, fill, values.dtype)])
+    return np.ascontiguousarray(values.reshape(lanes, steps).T)
 
 
 class _Writer:
@@ -207,7 +243,7 @@ class _Writer:
         low = self.low[:n]
         low += part * weight_start
         part *= weight
-        part //= total
+        part = _divided(part, total)
         low += part * start
         part *= count
         self.range[:n] = part
@@ -235,19 +271,21 @@ class _Writer:
 def _encode_block(ids: np.ndarray, bits: int) -> tuple[int, np.ndarray, np.ndarray]:
     n, rounds = len(ids), list(_rounds(len(ids)))
     lanes = max(r[3] for r in rounds)
-    model, out = _Model(bits), _Writer(lanes, 3 * sum(r[2] for r in rounds) + 4)
+    model, out = _Model(bits, False), _Writer(lanes, 3 * sum(r[2] for r in rounds) + 4)
     last, before = np.concatenate([[0], ids[:-1]]), np.concatenate([[0, 0], ids[:-2]])[:n]
     for begin, end, steps, used in rounds:
         place = np.arange(end - begin) % steps
         a, b = np.where(place > 0, last[begin:end], 0), np.where(place > 1, before[begin:end], 0)
         *found, plain = model.intervals(ids[begin:end], a, b)
-        grids = [_grid(x, steps, used, fill) for x, fill in zip(found, (0, 1, 1, 0, 1), strict=True)]
+        grids = [_grid(x, steps, used, fill) for x, fill in zip(found, (0, 1, 0, 1), strict=True)]
+        weight, weight_start = model.weight.ravel(), model.weight_start.ravel()
         short = used * steps - (end - begin)  # steps that the last lane does not have
         low_bits = max(bits - 16, 0)
         raw = _grid(np.where(plain, ids[begin:end] & ((1 << low_bits) - 1), -1), steps, used, -1) if low_bits and plain.any() else None
         for step in range(steps):
             m = used - 1 if step >= steps - short else used
-            out.put(m, *(g[step, :m] for g in grids))
+            own, *rest = (g[step, :m] for g in grids)
+            out.put(m, weight_start.take(own), weight.take(own), *rest)
             if raw is not None and len(at := np.flatnonzero(raw[step, :m] >= 0)):
                 out.put_bits(at, raw[step, at], low_bits)
         if end < n:
@@ -283,7 +321,7 @@ class _Reader:
 
 
 def _decode_block(n: int, bits: int, used_units: np.ndarray, units: np.ndarray) -> np.ndarray:
-    ids, model, source = np.empty(n, np.int64), _Model(bits), _Reader(used_units, units)
+    ids, model, source = np.empty(n, np.int64), _Model(bits, True), _Reader(used_units, units)
     low_bits = max(bits - 16, 0)
     for begin, end, steps, used in _rounds(n):
         found, classes = np.zeros((steps, used), np.int64), np.zeros((steps, used), np.int64)
@@ -300,25 +338,27 @@ def _decode_block(n: int, bits: int, used_units: np.ndarray, units: np.ndarray)
             context, guess, own = model.look(a, b)
             part = source.range[:m] >> _WEIGHT_BITS
             code = source.code[:m]
-            value = code // part
-            kind = (value >= ends[0].take(own)).astype(np.int64)
-            kind += value >= ends[1].take(own)
-            kind += value >= ends[2].take(own)
-            at = own * 4 + kind
+            value = _divided(code, part)
+            at = own * 4
+            for bound in ends:
+                at += value >= bound.take(own)
+            kind = at & 3
             code -= part * weight_start.take(at)
             part *= weight.take(at)
             first = kind == 1
-            total = np.where(first, model.followed.take(context), model.total.take(kind))
-            base = np.where(first, model.first_slot.take(context), model.base.take(kind))
-            part //= total
-            value = np.minimum(code // part, total - 1)
+            total = model.total.take(kind)
+            np.copyto(total, model.followed.take(context), where=first)
+            base = model.base.take(kind)
+            np.copyto(base, model.first_slot.take(context), where=first)
+            part = _divided(part, total)
+            value = np.minimum(_divided(code, part), total - 1)
             plain = np.flatnonzero(kind == 3)
             slot = base + value
             if len(plain):
                 slot[plain] = model.base[0]
             entry = model.pair_at.take(slot)
-            start, count = model.start_of.take(entry) - base, model.count_of.take(entry)
-            now = np.where(kind == 0, guess, model.id_of.take(entry))
+            start, count, now = model.start_of.take(entry), model.count_of.take(entry), model.id_of.take(entry)
+            np.copyto(now, guess, where=kind == 0)
             if len(plain):
                 start[plain], count[plain], now[plain] = value[plain], 1, value[plain] << low_bits
             code -= part * start

@@ -6,8 +6,8 @@ a segment alone), coded by ``rangecoder`` in independent, checksummed blocks. Th
 segments, so any store that Spark reaches will do. ``read`` gives every segment its
 place by a prefix sum over ranges and over a range's segments, and decodes the segments independently.
 
-Ids come from the tokenizers library. Blanks part its words, so it is asked once for each distinct piece
-between ASCII blanks that a task has not seen lately, for many at a time; a token's offset tells its piece.
+Ids come from the tokenizers library. Blanks part its words, so it is asked once for each distinct word
+that a process has not seen lately (tasks that follow each other in it share this memory, which is bounded), for many at a time.
 
 Defined cases: ids of documents are whole numbers (others are cast to them, and a cast that fails raises); a null or empty text has only the end id; a null id comes first; rows of equal id are
 ordered by text (and equal rows are equal in the file, too); an empty table gives an empty file set.
@@ -15,63 +15,149 @@ ordered by text (and equal rows are equal in the file, too); an empty table give
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tomeweave.llm import rangecoder
-from tomeweave.llm.bpe import LONG_PIECE, Recent, share
-from tomeweave.llm.common import release, slices, small
+from tomeweave.llm.bpe import LONG_PIECE, Recent, _plain_pattern, share
+from tomeweave.llm.common import release, small
 
 SEGMENT_IDS = 8_000_000
-#: Pieces in each of a task's two generations of memory.
+#: Words in each of a process's two generations of memory.
 REMEMBERED = 250_000
+#: Bytes of the texts that are handled together; a longer text is handled alone.
+TOGETHER = 16_000_000
 SEGMENTS = "part int, segment int, n_ids long, doc_ids array<long>, lengths array<long>, data binary"
+#: Letters beyond ASCII that no letter beside them composes with, and whose lower case is one letter.
+LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſ"
+
+
+def joined(starts: np.ndarray, lengths: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """The stretches of ``data`` that begin at ``starts``, one after the other."""
+    shift = (starts - (lengths.cumsum() - lengths)).astype(np.int32 if len(data) < 1 << 31 else np.int64)
+    at = np.repeat(shift, lengths)
+    at += np.arange(len(at), dtype=at.dtype)
+    return data.take(at)
+
+
+def sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The sums of consecutive stretches that end at ``ends``."""
+    return np.diff(np.concatenate([[0], values.cumsum()])[ends], prepend=0)
 
 
 class LibraryEncoder:
-    """Packed ids by the tokenizers library, which is asked for many new pieces at a time, blanks between them."""
+    """Ids by the tokenizers library, which is asked for many new words, or pieces between blanks, at a time, blanks between them.
+
+    Pieces of plain letters and signs are parted into words by the file's own pattern, as fewer words are new than pieces;
+    the last id of a word tells its end. Other pieces are asked for whole.
+    """
 
     ASKED = 1000
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_str(spec)
+        self.library, parsed = Tokenizer.from_str(spec), json.loads(spec)
         self.library.no_truncation()
         self.library.no_padding()
-        self.seen = Recent(REMEMBERED)
-
-    def resolve(self, unknown: list[bytes]) -> dict[bytes, bytes]:
-        found = {}
-        for begin in range(0, len(unknown), self.ASKED):
-            part = unknown[begin : begin + self.ASKED]
-            texts = [x.decode() for x in part]
-            got = self.library.encode(" ".join(texts), add_special_tokens=False)
-            ends = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-            cuts = np.searchsorted(np.array([start for start, _ in got.offsets], np.int64), ends.cumsum()).tolist()
-            data, at = np.array(got.ids, "<u4").tobytes(), 0
-            for piece, cut in zip(part, cuts, strict=True):
-                found[piece] = data[4 * at : 4 * cut]
-                at = cut
-        return found
-
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        plain = lambda x: self.library.encode(x, add_special_tokens=False).ids
+        if any(plain(a + blank + b) != plain(a) + plain(b) for blank in " \t\n" for a, b in (("a", "b"), ("1", "2"), ("!", "?"), ("a.", "b"), ("a", "."))):
+            raise ValueError("this tokenizer file's words may reach over a blank")
+        self.seen, self.words = Recent(REMEMBERED), self._words(parsed)
+        special = "|".join(re.escape(x["content"]) for x in parsed["added_tokens"])
+        self.other = f"[^!-~{LETTERS}]" + (f"|{special}" if special else "")
+
+    def _words(self, parsed: dict) -> re.Pattern | None:
+        """The pattern of words and line ends; None where the file is of another kind, or the library disagrees on a letter."""
+        words, model = _plain_pattern(parsed, LETTERS), parsed["model"]
+        suffix = model.get("end_of_word_suffix")
+        byte_letters = {x for x in model["vocab"] if len(x) == 1}
+        if not words or not suffix or model["type"] != "BPE" or len(byte_letters) != 256 or any(x + suffix not in model["vocab"] for x in byte_letters):
+            return None
+        letters = "".join(x for x in map(chr, range(0x180)) if re.match(f"[!-~{LETTERS}]", x))
+        own, split = self.library.normalizer.normalize_str(letters), self.library.pre_tokenizer.pre_tokenize_str
+        if own != letters.lower() or any(len(split(x)) != 1 for x in own) or [own[a:b] for _, (a, b) in split(own)] != words.findall(own):
+            return None
+        self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+        self.ends[[k for x, k in model["vocab"].items() if x.endswith(suffix)]] = True
+        return re.compile(words.pattern + "|\n")
+
+    def _asked(self, texts: list[str]) -> list[list[int]]:
+        """The ids of the texts, each part of them joined by blanks."""
+        parts = [" ".join(texts[k : k + self.ASKED]) for k in range(0, len(texts), self.ASKED)]
+        return [x.ids for x in self.library.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _ids_of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words, and how many each has."""
         self.seen.turn()
-        pieces = [(x or "").encode().split() for x in texts]
-        unknown = self.seen.missing(set().union(*pieces))
+        fresh = self.seen.missing(set(words))
         known = self.seen.young
-        known.update(self.resolve(unknown))
-        out = [b"".join(map(known.__getitem__, own)) for own in pieces]
-        for piece in unknown:
-            if len(piece) > LONG_PIECE:
-                del known[piece]
-        return out
+        if fresh:
+            ids = np.concatenate([np.array(x, "<u4") for x in self._asked(fresh)])
+            stops = np.flatnonzero(self.ends.take(ids)) + 1
+            if len(stops) != len(fresh):
+                raise ValueError("the library parts a word")
+            data, start = ids.tobytes(), 0
+            for word, stop in zip(fresh, (4 * stops).tolist(), strict=True):
+                known[word] = data[start:stop]
+                start = stop
+        packed = list(map(known.__getitem__, words))
+        for word in fresh:
+            if len(word) > LONG_PIECE:
+                del known[word]
+        return np.frombuffer(b"".join(packed), "<u4"), np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+
+    def _ids_of_others(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for pieces of any kind; a token's place tells its piece."""
+        ids, counts = [np.empty(0, "<u4")], [np.empty(0, np.int64)]
+        for begin in range(0, len(pieces), self.ASKED):
+            part = pieces[begin : begin + self.ASKED]
+            got = self.library.encode(" ".join(part), add_special_tokens=False)
+            ends = np.fromiter(map(len, part), np.int64, len(part)) + 1
+            cuts = np.searchsorted(np.array([start for start, _ in got.offsets], np.int64), ends.cumsum())
+            ids.append(np.array(got.ids, "<u4"))
+            counts.append(np.diff(cuts, prepend=0))
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _ids_of_plain(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if not len(pieces):
+            return self._ids_of_others([])
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(pieces)], pa.int32()), pieces), "\n")[0].as_py()
+        found = self.words.findall(text.lower() + "\n")
+        number = dict.fromkeys(found)
+        words = list(number)
+        number.update(zip(words, range(len(words)), strict=True))
+        at, end = np.fromiter(map(number.__getitem__, found), np.int32, len(found)), number["\n"]
+        data, lengths = self._ids_of_words(words[:end] + words[end + 1 :])
+        lengths = np.insert(lengths, end, 0)  # a line end has no ids
+        starts = lengths.cumsum() - lengths
+        own = lengths.take(at)
+        return joined(starts.take(at), own, data), sums(own, np.flatnonzero(at == end) + 1)
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each has."""
+        pieces = pc.ascii_split_whitespace(texts.fill_null(""))
+        coded = pieces.flatten().dictionary_encode()
+        distinct = coded.dictionary
+        other = pc.match_substring_regex(distinct, self.other).to_numpy(zero_copy_only=False) if self.words else np.ones(len(distinct), bool)
+        plain, others = np.flatnonzero(~other), np.flatnonzero(other)
+        first, n_first = self._ids_of_plain(distinct.take(pa.array(plain)))
+        second, n_second = self._ids_of_others(distinct.take(pa.array(others)).to_pylist())
+        lengths, starts = np.zeros((2, len(distinct)), np.int64)
+        lengths[plain], starts[plain] = n_first, n_first.cumsum() - n_first
+        lengths[others], starts[others] = n_second, n_second.cumsum() - n_second + len(first)
+        at = coded.indices.to_numpy()
+        own = lengths.take(at)
+        return joined(starts.take(at), own, np.concatenate([first, second])), sums(own, pieces.offsets.to_numpy()[1:] - pieces.offsets[0].as_py())
 
 
 @lru_cache(maxsize=2)
@@ -79,44 +165,58 @@ def library_encoder(spec: str) -> LibraryEncoder:
     return LibraryEncoder(spec)
 
 
+def parts_of(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """First and last row (exclusive) of the texts that are handled together."""
+    upto = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64).cumsum()
+    begin = 0
+    while begin < len(upto):
+        end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + TOGETHER, "right")))
+        yield begin, end
+        begin = end
+
+
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, text: str = "text", doc_id: str = "doc_id") -> None:
     """Writes the segments of all documents to ``path``."""
     spec = share(docs.sparkSession, tokenizer)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         own, part, segment = library_encoder(spec.value), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
         ids, doc_ids, lengths, held = [], [], [], 0
+        schema = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("data", pa.binary())])
 
-        def emit() -> pd.DataFrame:
-            data = rangecoder.compress(np.frombuffer(b"".join(ids), "<u4"))
-            return pd.DataFrame([{"part": part, "segment": segment, "n_ids": held, "doc_ids": doc_ids, "lengths": lengths, "data": data}])
+        def emit() -> pa.RecordBatch:
+            whole = np.concatenate(ids)
+            ids.clear()
+            return pa.RecordBatch.from_pylist([{"part": part, "segment": segment, "n_ids": held, "doc_ids": doc_ids, "lengths": lengths, "data": rangecoder.compress(whole)}], schema)
 
         for batch in batches:
-            for texts in slices(batch["t"]):
-                for d, packed in zip(batch["d"].loc[texts.index], own.encode_all(texts.tolist()), strict=True):
-                    n = len(packed) // 4 + 1
+            for begin, end in parts_of(batch["t"]):
+                coded, counts = own.encode_all(batch["t"].slice(begin, end - begin))
+                coded = np.insert(coded, counts.cumsum(), np.uint32(end_id))  # after each document
+                at = taken = 0
+                for d, n in zip(batch["d"].slice(begin, end - begin).to_pylist(), (counts + 1).tolist(), strict=True):
                     if doc_ids and held + n > SEGMENT_IDS:
+                        ids.append(coded[taken:at])
                         yield emit()
-                        segment += 1
-                        ids, doc_ids, lengths, held = [], [], [], 0
-                    ids += (packed, end)
-                    doc_ids.append(None if pd.isna(d) else int(d))
+                        segment, taken = segment + 1, at
+                        doc_ids, lengths, held = [], [], 0
+                    doc_ids.append(d)
                     lengths.append(n)
                     held += n
+                    at += n
+                ids.append(coded[taken:])
         if doc_ids:
             yield emit()
-        own.seen.clear()
         release()
 
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("d"), F.col(f"`{text}`").cast("string").alias("t"))
     order = [F.col("d").asc_nulls_first(), F.xxhash64("t"), F.col("t")]
     # The hash keeps rows of one id from being one range; numbers of partitions come from the session.
     ranged = rows.repartitionByRange(F.col("d").asc_nulls_first(), F.xxhash64("t")).sortWithinPartitions(*order)
-    ranged.mapInPandas(run, SEGMENTS).write.parquet(path)
+    ranged.mapInArrow(run, SEGMENTS).write.parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -130,17 +230,18 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         .join(parts, "part").select("part", "segment", (F.col("part_start") + F.col("inner_start")).alias("start"))
     )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        library_encoder.cache_clear()  # what a process remembers from writing
         for batch in batches:
-            for row in batch.itertuples():
-                ids, at, out = rangecoder.expand(row.data), 0, []
-                for d, n in zip(row.doc_ids, row.lengths, strict=True):
-                    n = int(n)
-                    out.append((None if pd.isna(d) else int(d), row.start + at, n, ids[at : at + n].tobytes()))
-                    at += n
-                yield pd.DataFrame(out, columns=["doc_id", "start", "n_tokens", "ids"]).astype({"doc_id": "Int64"})
+            for row in batch.to_pylist():
+                ids, lengths = rangecoder.expand(row["data"]), np.array(row["lengths"], np.int64)
+                ends = np.append(0, 4 * lengths.cumsum())
+                packed = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(ids)]).cast(pa.binary())
+                own = [pa.array(row["doc_ids"], pa.int64()), pa.array(row["start"] + ends[:-1] // 4), pa.array(lengths), packed]
+                yield pa.RecordBatch.from_arrays(own, ["doc_id", "start", "n_tokens", "ids"])
+        release()
 
-    return segments.join(small(starts), ["part", "segment"]).mapInPandas(run, "doc_id long, start long, n_tokens long, ids binary")
+    return segments.join(small(starts), ["part", "segment"]).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def checksum(rows: DataFrame) -> DataFrame:
