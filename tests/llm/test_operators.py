@@ -312,6 +312,27 @@ def test_library_is_asked_for_new_words_only():
     assert sorted(x for part in asked for x in part) == ["!", "(", ")", ",", ".", "word"]
 
 
+def test_plain_words_are_parted_as_the_library_parts_them():
+    with open(PATH, encoding="utf-8") as file:
+        own, lib = tokenfiles.LibraryEncoder(file.read()), Tokenizer.from_file(PATH)
+    r = np.random.default_rng(5)
+    some = [*"strvemldSTRVEMLDaxé90.,-  \n\t", "'ll", "'RE", "'v", "Ÿ", "ſ", "×"]
+    texts = ["".join(r.choice(some, r.integers(0, 30))) for _ in range(2000)]
+    odd = [x + str(r.choice(["\u0301", "İ", "\u00a0", "<|endoftext|>", "\0", "好", "'"])) + y for x, y in zip(texts, texts[1:], strict=False)]
+    for given in (texts, odd, [*texts, *odd]):
+        ids, counts = own.encode_all(pa.array(given))
+        want = [lib.encode(x, add_special_tokens=False).ids for x in given]
+        assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [k for x in want for k in x]
+
+
+def test_plain_words_need_the_model_alone():
+    with open(PATH, encoding="utf-8") as file:
+        own = tokenfiles.LibraryEncoder(file.read())
+    own.library = None  # its normaliser and splitter would run over all words again
+    text = "It's PLAIN, isn't it? Été 2024"
+    assert own.encode_all(pa.array([text]))[0].tolist() == library(text)
+
+
 # Passages -----------------------------------------------------------------------------------------
 
 

@@ -57,68 +57,66 @@ def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin, np.diff(np.append(begin, len(ordered)))
 
 
+def _ranks(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of up to ``bits`` bits in order, and each key's place among them."""
+    room = len(keys).bit_length()
+    if bits + room < 64:  # each with its number in its low bits
+        packed = keys << room
+        packed |= np.arange(len(keys))
+        packed.sort()
+        ordered, number = packed >> room, packed & ((1 << room) - 1)
+    else:
+        number = np.argsort(keys)
+        ordered = keys[number]
+    begin, count = _runs(ordered)
+    rank = np.empty(len(keys), np.int32)
+    rank[number] = np.repeat(np.arange(len(begin), dtype=np.int32), count)
+    return ordered[begin], rank
+
+
+def _add(counts: np.ndarray, at: np.ndarray) -> None:
+    if len(at) < len(counts) >> 3:
+        np.add.at(counts, at, 1)
+    else:
+        counts += np.bincount(at, minlength=len(counts)).astype(counts.dtype)
+
+
 class _Model:
-    """What a block's ids so far say of the next ones. Kinds: 0 to 2 for orders 2 to 0, 3 for none."""
-
-    def __init__(self, bits: int, reads: bool):
-        """``reads``: ids are found by their places, too."""
-        self.bits, self.known, self.reads = bits, 0, reads
-        # Tables of ids and counts in 32 bits where they fit, as they are read in no order.
-        self.guess, self.conf = np.zeros(_PLACES, np.int32 if bits < 32 else np.int64), np.zeros(_PLACES, np.int8)
-        self.followed, self.context_class = np.zeros(_CONTEXTS, np.int32), np.zeros(_CONTEXTS, np.int8)
-        self.times = np.zeros(1 << bits, np.int32) if bits <= _DENSE_BITS else None
+    """What a block's ids so far say of the next ones, but for the counts of orders 1 and 0. Kinds: 0 to 2 for orders 2 to 0, 3 for none.
+
+    What is asked for together stands in one number, as tables are read in no order: ``two`` holds a guess and its confidence (4 bits),
+    ``after`` a context's first slot, its ids so far (26 bits) and its class (4 bits).
+    """
+
+    def __init__(self, bits: int):
+        self.bits, self.known = bits, 0
+        self.two = np.zeros(_PLACES, np.int32 if bits < 27 else np.int64)
+        self.followed, self.after = np.zeros(_CONTEXTS, np.int32), np.zeros(_CONTEXTS, np.int64)
         self.worth = np.zeros((16, 16, 4), np.int64)  # by confidence and order-1 class: ids by the order that knew them
-        self.learn(np.empty(0, np.int64))
+        self._weigh()
 
     def _follow(self, at: np.ndarray, now: np.ndarray) -> None:
         """Order 2: of equal places the last id stays."""
         touched, place = (slice(None), at) if len(at) > _PLACES >> 3 else np.unique(at, return_inverse=True)
-        old = self.guess[touched].copy()
-        self.guess[at] = now
+        old = self.two[touched].copy()
+        self.two[at] = now << 4
+        new = self.two[touched] >> 4
         seen = np.bincount(place, minlength=len(old))
-        wrong = np.bincount(place[self.guess.take(at) != now], minlength=len(old))
-        conf = np.where(wrong > 0, 1, np.minimum(np.where(old == self.guess[touched], self.conf[touched], 0) + seen, _SURE))
-        self.conf[touched] = np.where(seen > 0, conf, self.conf[touched])
-
-    def learn(self, ids: np.ndarray) -> None:
-        """A round's end: ``ids`` are all of the block so far."""
-        n, old = len(ids), self.known
-        last = np.concatenate([[0], ids[:-1]])[:n]
-        context, self.known = last & (_CONTEXTS - 1), n
-        if n > old:
-            new = context[old:]
-            self._follow(_places(last[old:], np.concatenate([[0, 0], ids[:-2]])[old:n]), ids[old:])
-            if len(new) < _CONTEXTS >> 2:
-                np.add.at(self.followed, new, 1)
-            else:
-                self.followed += np.bincount(new, minlength=_CONTEXTS).astype(np.int32)
-                new = slice(None)
-            self.context_class[new] = np.minimum(_bit_length(self.followed[new]), 15)
-        context <<= self.bits
-        context |= ids
-        context.sort()
-        begin, count = _runs(context)
-        self.pairs = context[begin]
-        if self.times is None:
-            plain = np.sort(ids)
-            begin0, count0 = _runs(plain)
-            self.singles = plain[begin0]
-        else:
-            self.times += np.bincount(ids[old:], minlength=len(self.times)).astype(np.int32)
-            self.singles = np.flatnonzero(self.times)
-            count0 = self.times[self.singles]
-            begin0 = count0.cumsum() - count0
-        self.n_pairs = len(self.pairs)
-        self.first_slot = (self.followed.cumsum() - self.followed).astype(np.int32)
-        # Entries: order 1 by context and id, then order 0 by id, then one for what needs none; an entry's start is counted from its context's, or order 0's, first.
-        begin -= self.first_slot.take(self.pairs >> self.bits)
-        self.start_of = np.concatenate([begin, begin0, [0]]).astype(np.int32)
-        self.count_of = np.concatenate([count, count0, [1]]).astype(np.int32)
-        if self.reads:
-            self.pair_at = np.repeat(np.arange(len(self.count_of), dtype=np.int32), self.count_of)
-            self.id_of = np.concatenate([self.pairs & ((1 << self.bits) - 1), self.singles, [0]])
-        self.total = np.array([1, 0, max(n, 1), 1 << min(self.bits, 16)], np.int64)
-        self.base = np.array([2 * n, 0, n, 0], np.int64)
+        wrong = np.bincount(place[self.two.take(at) >> 4 != now], minlength=len(old))
+        conf = np.where(wrong > 0, 1, np.minimum(np.where(old >> 4 == new, old & 15, 0) + seen, _SURE))
+        self.two[touched] = np.where(seen > 0, new << 4 | conf, old)
+
+    def learn(self, ids: np.ndarray, last: np.ndarray, before: np.ndarray) -> None:
+        """A round's end: its ids, and the ones before each."""
+        self.known += len(ids)
+        self._follow(_places(last, before), ids)
+        _add(self.followed, last & (_CONTEXTS - 1))
+        self.after = self.followed.cumsum()
+        self.after -= self.followed
+        self.after <<= 26
+        self.after |= self.followed
+        self.after <<= 4
+        self.after |= np.minimum(_bit_length(self.followed), 15)
         self._weigh()
 
     def _weigh(self) -> None:
@@ -140,69 +138,112 @@ class _Model:
         room = (1 << _WEIGHT_BITS) - 4
         scaled = np.where(mixed > 0, 1 + mixed * room // mixed.sum(axis=2, keepdims=True), 0)
         scaled[:, :, 3] += (1 << _WEIGHT_BITS) - scaled.sum(axis=2)
-        self.weight = scaled.reshape(-1, 4)
-        self.weight_start = self.weight.cumsum(axis=1) - self.weight
-
-    def find_pairs(self, keys: np.ndarray) -> np.ndarray:
-        """The place of each key among the pairs, or -1. Keys are asked in order, each with its number in its low bits where they have room."""
-        if not self.n_pairs:
-            return np.full(len(keys), -1)
-        room = len(keys).bit_length()
-        if self.bits + 17 + room < 64:
-            packed = np.sort((keys << room) | np.arange(len(keys)))
-            asked, number = packed >> room, packed & ((1 << room) - 1)
-        else:
-            number = np.argsort(keys)
-            asked = keys[number]
-        at = np.minimum(np.searchsorted(self.pairs, asked), self.n_pairs - 1)
-        out = np.empty(len(keys), np.int64)
-        out[number] = np.where(self.pairs.take(at) == asked, at, -1)
-        return out
-
-    def find_singles(self, ids: np.ndarray) -> np.ndarray:
-        if not len(self.singles):
-            return np.full(len(ids), -1)
-        if self.times is not None:
-            table = np.full(1 << self.bits, -1)
-            table[self.singles] = np.arange(len(self.singles))
-            return table.take(ids)
-        at = np.minimum(np.searchsorted(self.singles, ids), len(self.singles) - 1)
-        return np.where(self.singles.take(at) == ids, at, -1)
+        start = scaled.cumsum(axis=2) - scaled
+        self.asks, self.bounds = scaled[:, :, 0].ravel() > 0, [np.ascontiguousarray(start[:, :, k]).ravel() for k in (1, 2, 3)]
+        self.share, self.share_start = scaled.ravel(), start.ravel()
 
     def look(self, last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Order 1's context, order 2's guess and the class of confidence."""
-        place, context = _places(last, before), last & (_CONTEXTS - 1)
-        classes = self.conf.take(place).astype(np.int64)
-        classes <<= 4
-        classes += self.context_class.take(context)
-        return context, self.guess.take(place), classes
-
-    def count(self, classes: np.ndarray, first: np.ndarray) -> None:
-        self.worth += np.bincount(classes * 4 + first, minlength=1024).reshape(16, 16, 4)
-
-    def intervals(self, ids: np.ndarray, last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Per id the place of its order's weight, the order's total, and the id's start and count in it, and where no order knows it; what the ids say is counted."""
-        context, guess, classes = self.look(last, before)
+        """What is known of order 1's context, order 2's guess and the class of confidence."""
+        two, after = self.two.take(_places(last, before)), self.after.take(last & (_CONTEXTS - 1))
+        classes = (two & 15) << 4
+        return after, two >> 4, classes | (after & 15)
+
+    def count(self, own: np.ndarray, right: np.ndarray) -> None:
+        """``own``: the class of an id, and in the two lowest bits the order below 2 that knew it first; ``right``: where order 2 did."""
+        self.worth += np.bincount(np.where(right, own & ~3, own), minlength=1024).reshape(16, 16, 4)
+
+
+class _Slots:
+    """The counts of orders 1 and 0 as the reader asks for them: a slot for each id so far by context and id, then by id, then one for what needs none.
+
+    A slot tells where its id's slots begin, counted from the first of the context's, or order 0's, their number, and the id.
+    """
+
+    def __init__(self, ids: np.ndarray, bits: int):
+        n = len(ids)
+        pairs = np.concatenate([[0], ids[:-1]])[:n] & (_CONTEXTS - 1)
+        contexts = np.bincount(pairs, minlength=_CONTEXTS)
+        pairs <<= bits
+        pairs |= ids
+        pairs.sort()
+        begin, count = _runs(pairs)
+        pairs = pairs[begin]
+        begin -= (contexts.cumsum() - contexts).take(pairs >> bits)
+        if bits <= _DENSE_BITS:
+            times = np.bincount(ids)
+            single = np.flatnonzero(times)
+            count0 = times[single]
+            begin0 = count0.cumsum() - count0
+        else:
+            single = np.sort(ids)
+            begin0, count0 = _runs(single)
+            single = single[begin0]
+        start, count = np.concatenate([begin, begin0, [0]]), np.concatenate([count, count0, [1]])
+        each = np.concatenate([pairs & ((1 << bits) - 1), single, [0]])
+        self.wide = bits > _DENSE_BITS or n > BLOCK_IDS
+        self.room = 31 if self.wide else 22
+        span = start << self.room | count
+        self.ids = np.repeat(each, count) if self.wide else None
+        self.spans = np.repeat(span if self.wide else span << _DENSE_BITS | each, count)
+        # By kind, as ``after``: the first slot, and how many.
+        self.of_kind = np.array([2 * n << 26 | 1, 0, n << 26 | max(n, 1), 1 << min(bits, 16)], np.int64)
+        self.none = 2 * n
+
+    def read(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, count and id."""
+        span = self.spans.take(slots)
+        if self.wide:
+            ids = self.ids.take(slots)
+        else:
+            ids = span & ((1 << _DENSE_BITS) - 1)
+            span >>= _DENSE_BITS
+        return span >> self.room, span & ((1 << self.room) - 1), ids
+
+
+class _Counts:
+    """The same as the writer asks for them, who knows which pairs and ids the block will have."""
+
+    def __init__(self, ids: np.ndarray, last: np.ndarray, bits: int):
+        self.bits = bits
+        self.keys, self.pair = _ranks((last & (_CONTEXTS - 1)) << bits | ids, bits + 17)
+        self.single, n = (ids, 1 << bits) if bits <= _DENSE_BITS else (lambda keys, rank: (rank, len(keys)))(*_ranks(ids, bits))
+        self.pairs, self.singles = np.zeros(len(self.keys) + 1, np.int32), np.zeros(n, np.int32)  # the last pair never comes
+
+    def learn(self, begin: int, end: int) -> None:
+        _add(self.pairs, self.pair[begin:end])
+        _add(self.singles, self.single[begin:end])
+
+    def intervals(self, model: _Model, ids: np.ndarray, last: np.ndarray, before: np.ndarray, begin: int, heads: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Per id of a round the place of its order's weight, the order's total, and the id's start and count in it, and where no order knows it; what the ids say is counted. ``heads``: ids without context."""
+        after, guess, classes = model.look(last, before)
+        pair, single = self.pair[begin : begin + len(ids)].copy(), self.single[begin : begin + len(ids)]
+        wanted = ids[heads]
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        pair[heads] = np.where(self.keys[at] == wanted, at, len(self.keys))
+        count, count0 = self.pairs.take(pair), self.singles.take(single)
+        first, plain = count > 0, count0 == 0
+        own = classes << 2
+        own += np.where(plain, np.int8(3), np.int8(2))
+        own[first] &= ~2  # the first order that knows an id: a pair's id is a single, too
+        own[first] |= 1
         right = (classes >= 16) & (guess == ids)
-        entry, single = self.find_pairs((context << self.bits) | ids), self.find_singles(ids)
-        first = entry >= 0
-        kind = np.where(single >= 0, np.int8(2), np.int8(3))
-        kind[first] = 1
-        own = (classes << 2) + kind
-        self.worth += np.bincount(np.where(right, classes << 2, own), minlength=1024).reshape(16, 16, 4)
-        used = np.flatnonzero(right & (self.weight[:, 0] > 0).take(classes))
-        kind[used] = 0
-        own[used] = classes[used] << 2
-        total = self.total.take(kind)
-        np.copyto(total, self.followed.take(context), where=kind == 1)
-        single += self.n_pairs
-        np.copyto(entry, single, where=~first)
-        plain = kind == 3
-        entry[plain | (kind == 0)] = len(self.count_of) - 1
-        start, count = self.start_of.take(entry), self.count_of.take(entry)
+        model.count(own, right)
+        right &= model.asks.take(classes)
+        start = self.pairs.cumsum(dtype=np.int32)
+        start -= self.pairs
+        start = start.take(pair) - (after >> 30)
+        start0 = self.singles.cumsum(dtype=np.int32)
+        start0 -= self.singles
+        np.copyto(start, start0.take(single), where=~first)
+        total = np.where(first, (after >> 4) & ((1 << 26) - 1), max(model.known, 1))
+        np.copyto(count, count0, where=~first)
+        plain &= ~right
         if plain.any():
-            start[plain] = ids[plain] >> max(self.bits - 16, 0)
-        return own.astype(np.int16), total, start, count, plain
+            total[plain], count[plain], start[plain] = 1 << min(self.bits, 16), 1, ids[plain] >> max(self.bits - 16, 0)
+        np.copyto(own, own & ~3, where=right)
+        for values, sure in ((total, 1), (count, 1), (start, 0)):
+            np.copyto(values, sure, where=right)
+        return own, total, start.astype(np.int32), count, plain
 
 
 def _rounds(n: int):
@@ -271,25 +312,25 @@ class _Writer:
 def _encode_block(ids: np.ndarray, bits: int) -> tuple[int, np.ndarray, np.ndarray]:
     n, rounds = len(ids), list(_rounds(len(ids)))
     lanes = max(r[3] for r in rounds)
-    model, out = _Model(bits, False), _Writer(lanes, 3 * sum(r[2] for r in rounds) + 4)
     last, before = np.concatenate([[0], ids[:-1]]), np.concatenate([[0, 0], ids[:-2]])[:n]
+    model, counts, out = _Model(bits), _Counts(ids, last, bits), _Writer(lanes, 3 * sum(r[2] for r in rounds) + 4)
     for begin, end, steps, used in rounds:
-        place = np.arange(end - begin) % steps
-        a, b = np.where(place > 0, last[begin:end], 0), np.where(place > 1, before[begin:end], 0)
-        *found, plain = model.intervals(ids[begin:end], a, b)
+        a, b = last[begin:end].copy(), before[begin:end].copy()
+        a[::steps] = b[::steps] = b[1::steps] = 0  # a lane begins without context
+        *found, plain = counts.intervals(model, ids[begin:end], a, b, begin, np.arange(0, end - begin, steps))
         grids = [_grid(x, steps, used, fill) for x, fill in zip(found, (0, 1, 0, 1), strict=True)]
-        weight, weight_start = model.weight.ravel(), model.weight_start.ravel()
         short = used * steps - (end - begin)  # steps that the last lane does not have
         low_bits = max(bits - 16, 0)
         raw = _grid(np.where(plain, ids[begin:end] & ((1 << low_bits) - 1), -1), steps, used, -1) if low_bits and plain.any() else None
         for step in range(steps):
             m = used - 1 if step >= steps - short else used
             own, *rest = (g[step, :m] for g in grids)
-            out.put(m, weight_start.take(own), weight.take(own), *rest)
+            out.put(m, model.share_start.take(own), model.share.take(own), *rest)
             if raw is not None and len(at := np.flatnonzero(raw[step, :m] >= 0)):
                 out.put_bits(at, raw[step, at], low_bits)
         if end < n:
-            model.learn(ids[:end])
+            counts.learn(begin, end)
+            model.learn(ids[begin:end], last[begin:end], before[begin:end])
     return lanes, *out.done()
 
 
@@ -321,59 +362,60 @@ class _Reader:
 
 
 def _decode_block(n: int, bits: int, used_units: np.ndarray, units: np.ndarray) -> np.ndarray:
-    ids, model, source = np.empty(n, np.int64), _Model(bits, True), _Reader(used_units, units)
+    ids, model, source = np.empty(n, np.int64), _Model(bits), _Reader(used_units, units)
     low_bits = max(bits - 16, 0)
     for begin, end, steps, used in _rounds(n):
-        found, classes = np.zeros((steps, used), np.int64), np.zeros((steps, used), np.int64)
-        right = np.zeros((steps, used), bool)
-        kinds = np.full((steps, used), 3, np.int64)
+        slots = _Slots(ids[:begin], bits)
+        found = np.zeros((steps, used), np.int64)
+        owns, guesses = np.zeros((2, steps, used), np.int64) if end < n else (None, None)
         short = used * steps - (end - begin)
         a = b = np.zeros(used, np.int64)
-        weight, weight_start = model.weight.ravel(), model.weight_start.ravel()
-        ends = [np.ascontiguousarray(model.weight_start[:, k]) for k in (1, 2, 3)]
         for step in range(steps):
             m = used - 1 if step >= steps - short else used
             if m < len(a):
                 a, b = a[:m], b[:m]
-            context, guess, own = model.look(a, b)
+            after, guess, own = model.look(a, b)
             part = source.range[:m] >> _WEIGHT_BITS
             code = source.code[:m]
             value = _divided(code, part)
-            at = own * 4
-            for bound in ends:
+            at = own << 2
+            for bound in model.bounds:
                 at += value >= bound.take(own)
             kind = at & 3
-            code -= part * weight_start.take(at)
-            part *= weight.take(at)
-            first = kind == 1
-            total = model.total.take(kind)
-            np.copyto(total, model.followed.take(context), where=first)
-            base = model.base.take(kind)
-            np.copyto(base, model.first_slot.take(context), where=first)
+            code -= part * model.share_start.take(at)
+            part *= model.share.take(at)
+            room = slots.of_kind.take(kind)
+            after >>= 4
+            np.copyto(room, after, where=kind == 1)
+            total = room & ((1 << 26) - 1)
             part = _divided(part, total)
-            value = np.minimum(_divided(code, part), total - 1)
+            total -= 1
+            value = np.minimum(_divided(code, part), total)
+            room >>= 26
+            room += value
             plain = np.flatnonzero(kind == 3)
-            slot = base + value
             if len(plain):
-                slot[plain] = model.base[0]
-            entry = model.pair_at.take(slot)
-            start, count, now = model.start_of.take(entry), model.count_of.take(entry), model.id_of.take(entry)
+                room[plain] = slots.none
+            start, count, now = slots.read(room)
             np.copyto(now, guess, where=kind == 0)
             if len(plain):
-                start[plain], count[plain], now[plain] = value[plain], 1, value[plain] << low_bits
+                start[plain], now[plain] = value[plain], value[plain] << low_bits
             code -= part * start
             part *= count
             source.range[:m] = part
             source.renew(np.flatnonzero(part < _LEAST))
             if low_bits and len(plain):
                 now[plain] |= source.bits(plain, low_bits)
-            found[step, :m], classes[step, :m], kinds[step, :m], right[step, :m] = now, own, kind, (own >= 16) & (guess == now)
+            found[step, :m] = now
+            if end < n:
+                owns[step, :m], guesses[step, :m] = at, guess
             a, b = now, a
         flat = lambda x: x.T.ravel()[: end - begin]
         ids[begin:end] = flat(found)
         if end < n:
-            model.count(flat(classes), np.where(flat(right), 0, flat(kinds)))
-            model.learn(ids[:end])
+            own, guess, last = flat(owns), flat(guesses), np.append(0, ids[max(begin - 1, 0) : end - 1])[-(end - begin) :]
+            model.count(own, (own >= 64) & (guess == ids[begin:end]))
+            model.learn(ids[begin:end], last, np.concatenate([[0, 0], ids[max(begin - 2, 0) : end - 2]])[-(end - begin) :])
     return ids.astype("<u4")
 
 

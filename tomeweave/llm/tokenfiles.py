@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tomeweave.llm import rangecoder
-from tomeweave.llm.bpe import LONG_PIECE, Recent, _plain_pattern, share
+from tomeweave.llm.bpe import LONG_PIECE, _plain_pattern, share
 from tomeweave.llm.common import release, small
 
 SEGMENT_IDS = 8_000_000
 #: Words in each of a process's two generations of memory.
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 #: Bytes of the texts that are handled together; a longer text is handled alone.
 TOGETHER = 16_000_000
 SEGMENTS = "part int, segment int, n_ids long, doc_ids array<long>, lengths array<long>, data binary"
@@ -54,17 +54,100 @@ def sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([[0], values.cumsum()])[ends], prepend=0)
 
 
+#: Kinds of bytes. Bytes beyond ASCII are OTHER until they are found to be of ``LETTERS``.
+BLANK, LETTER, DIGIT, SIGN, OTHER = range(5)
+
+
+def _kind(x: int) -> int:
+    if x in b" \t\n\x0b\x0c\r":
+        return BLANK
+    return OTHER if not 0x21 <= x <= 0x7E else LETTER if chr(x).isalpha() else DIGIT if chr(x).isdigit() else SIGN
+
+
+KINDS = bytes(map(_kind, range(256)))
+LOWER = bytes(range(256)).lower()
+#: The lower case of the letters of ``LETTERS`` that take two bytes, by their number; 0 for what is none of them.
+TWO_BYTES = np.array([ord(chr(x).lower()) if x >= 0x80 and re.match(f"[{LETTERS}]", chr(x)) else 0 for x in range(0x180)])
+#: The file's pattern of words that ``words`` follows.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def words(text: bytes, special: re.Pattern | None, whole: bool) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The words of a text that begins and ends with a line end, where they begin, and which of them are pieces between blanks that were left whole.
+
+    Those are the pieces that hold other letters or special tokens (``whole``: all pieces); the other ones are parted by the pattern in lower case.
+    """
+    raw, kind = np.frombuffer(text, np.uint8), np.frombuffer(text.translate(KINDS), np.uint8).copy()
+    lower = np.frombuffer(text.translate(LOWER), np.uint8).copy()
+    odd = np.flatnonzero(kind == OTHER)
+    if len(odd):
+        at = odd[(raw[odd] >= 0xC3) & (raw[odd] <= 0xC5)]
+        own = TWO_BYTES.take(((raw[at] & 0x1F).astype(np.int64) << 6) | (raw[at + 1] & 0x3F))
+        at, own = at[own > 0], own[own > 0]
+        kind[at] = kind[at + 1] = LETTER
+        lower[at], lower[at + 1] = 0xC0 | (own >> 6), 0x80 | (own & 0x3F)
+        odd = odd[kind[odd] == OTHER]
+    if special:
+        odd = np.append(odd, np.array([x.start() for x in special.finditer(text)], np.int64))
+    if whole:
+        np.copyto(kind, OTHER, where=kind != BLANK)
+        lower = raw
+    elif len(odd):
+        blanks = np.flatnonzero(kind == BLANK)
+        piece = np.unique(np.searchsorted(blanks, odd))
+        first, size = blanks[piece - 1] + 1, blanks[piece] - blanks[piece - 1] - 1
+        at = np.repeat(first - (size.cumsum() - size), size) + np.arange(size.sum())
+        kind[at], lower[at] = OTHER, raw[at]
+    edge = kind[1:] != kind[:-1]
+    edge |= kind[1:] == DIGIT  # each by itself
+    runs = np.flatnonzero(edge) + 1
+    of_word = kind.take(runs) != BLANK
+    starts, ends = runs[of_word], np.append(runs[1:], len(kind))[of_word]
+    # A lone apostrophe takes the letters that the pattern names from the word after it.
+    lone = np.flatnonzero((lower.take(starts) == ord("'")) & (ends - starts == 1))
+    lone = lone[(kind[starts[lone]] == SIGN) & (kind[ends[lone]] == LETTER)]
+    one, two = lower[ends[lone]].astype(np.int64), lower[ends[lone] + 1].astype(np.int64)
+    taken = np.where(np.isin(one, list(b"stmd")), 1, np.where(np.isin(one << 8 | two, [int.from_bytes(x) for x in (b"re", b"ve", b"ll")]), 2, 0))
+    ends[lone] += taken
+    starts[lone + 1] += taken
+    if taken.any():
+        left = ends > starts
+        starts, ends = starts[left], ends[left]
+    offsets = np.append(0, (ends - starts).cumsum()).astype(np.int32)
+    data = lower[kind != BLANK]
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]), starts, kind.take(starts) == OTHER
+
+
+class Words:
+    """Distinct words with the place and number of their ids."""
+
+    def __init__(self, words: pa.Array, lengths: np.ndarray, data: np.ndarray):
+        self.words, self.lengths, self.data = words, lengths, data
+        self.starts = lengths.cumsum() - lengths
+
+    def chosen(self, at: np.ndarray) -> Words:
+        lengths = self.lengths.take(at)
+        return Words(self.words.take(pa.array(at)), lengths, joined(self.starts.take(at), lengths, self.data))
+
+    def with_more(self, more: Words) -> Words:
+        return Words(pa.concat_arrays([self.words, more.words]), np.append(self.lengths, more.lengths), np.append(self.data, more.data))
+
+
+def no_words() -> Words:
+    return Words(pa.array([], pa.binary()), np.empty(0, np.int64), np.empty(0, "<u4"))
+
+
 class LibraryEncoder:
     """Ids by the tokenizers library, which is asked for many new words, or pieces between blanks, at a time, blanks between them.
 
-    Pieces of plain letters and signs are parted into words by the file's own pattern, as fewer words are new than pieces;
-    the last id of a word tells its end. Other pieces are asked for whole.
+    Pieces of plain letters and signs are parted into words over whole arrays of bytes, as the file's own pattern does, and the
+    library's model is asked for these; the last id of a word tells its end. Other pieces are asked for whole, with all of the library's steps.
     """
 
     ASKED = 1000
 
     def __init__(self, spec: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library, parsed = Tokenizer.from_str(spec), json.loads(spec)
         self.library.no_truncation()
@@ -72,49 +155,46 @@ class LibraryEncoder:
         plain = lambda x: self.library.encode(x, add_special_tokens=False).ids
         if any(plain(a + blank + b) != plain(a) + plain(b) for blank in " \t\n" for a, b in (("a", "b"), ("1", "2"), ("!", "?"), ("a.", "b"), ("a", "."))):
             raise ValueError("this tokenizer file's words may reach over a blank")
-        self.seen, self.words = Recent(REMEMBERED), self._words(parsed)
+        # The same model for words that are normalised and parted already.
+        self.model = Tokenizer(self.library.model)
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.young, self.old, self.parted = no_words(), no_words(), self._parted(parsed)
         special = "|".join(re.escape(x["content"]) for x in parsed["added_tokens"])
-        self.other = f"[^!-~{LETTERS}]" + (f"|{special}" if special else "")
+        self.special = re.compile(special.encode()) if special else None
 
-    def _words(self, parsed: dict) -> re.Pattern | None:
-        """The pattern of words and line ends; None where the file is of another kind, or the library disagrees on a letter."""
-        words, model = _plain_pattern(parsed, LETTERS), parsed["model"]
-        suffix = model.get("end_of_word_suffix")
+    def _parted(self, parsed: dict) -> bool:
+        """Whether words may be parted here; not where the file is of another kind, or the library disagrees on a letter."""
+        model, suffix = parsed["model"], parsed["model"].get("end_of_word_suffix")
         byte_letters = {x for x in model["vocab"] if len(x) == 1}
-        if not words or not suffix or model["type"] != "BPE" or len(byte_letters) != 256 or any(x + suffix not in model["vocab"] for x in byte_letters):
-            return None
+        if not _plain_pattern(parsed) or parsed["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] != PATTERN:
+            return False
+        if not suffix or model["type"] != "BPE" or len(byte_letters) != 256 or any(x + suffix not in model["vocab"] for x in byte_letters):
+            return False
         letters = "".join(x for x in map(chr, range(0x180)) if re.match(f"[!-~{LETTERS}]", x))
         own, split = self.library.normalizer.normalize_str(letters), self.library.pre_tokenizer.pre_tokenize_str
-        if own != letters.lower() or any(len(split(x)) != 1 for x in own) or [own[a:b] for _, (a, b) in split(own)] != words.findall(own):
-            return None
+        mine = [x.decode() for x in words(f"\n{letters}\n".encode(), None, False)[0].to_pylist()]
+        if own != letters.lower() or any(len(split(x)) != 1 for x in own) or [own[a:b] for _, (a, b) in split(own)] != mine:
+            return False
+        if self._asked(mine) != [self.library.encode(" ".join(mine), add_special_tokens=False).ids]:
+            return False
         self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
         self.ends[[k for x, k in model["vocab"].items() if x.endswith(suffix)]] = True
-        return re.compile(words.pattern + "|\n")
+        return True
 
     def _asked(self, texts: list[str]) -> list[list[int]]:
-        """The ids of the texts, each part of them joined by blanks."""
+        """The ids of the words, each part of them joined by blanks."""
         parts = [" ".join(texts[k : k + self.ASKED]) for k in range(0, len(texts), self.ASKED)]
-        return [x.ids for x in self.library.encode_batch_fast(parts, add_special_tokens=False)]
+        return [x.ids for x in self.model.encode_batch_fast(parts, add_special_tokens=False)]
 
     def _ids_of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of distinct words, and how many each has."""
-        self.seen.turn()
-        fresh = self.seen.missing(set(words))
-        known = self.seen.young
-        if fresh:
-            ids = np.concatenate([np.array(x, "<u4") for x in self._asked(fresh)])
-            stops = np.flatnonzero(self.ends.take(ids)) + 1
-            if len(stops) != len(fresh):
-                raise ValueError("the library parts a word")
-            data, start = ids.tobytes(), 0
-            for word, stop in zip(fresh, (4 * stops).tolist(), strict=True):
-                known[word] = data[start:stop]
-                start = stop
-        packed = list(map(known.__getitem__, words))
-        for word in fresh:
-            if len(word) > LONG_PIECE:
-                del known[word]
-        return np.frombuffer(b"".join(packed), "<u4"), np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        """The ids of words, and how many each has."""
+        if not words:
+            return np.empty(0, "<u4"), np.empty(0, np.int64)
+        ids = np.concatenate([np.array(x, "<u4") for x in self._asked(words)])
+        stops = np.flatnonzero(self.ends.take(ids)) + 1
+        if len(stops) != len(words):
+            raise ValueError("the library parts a word")
+        return ids, np.diff(stops, prepend=0)
 
     def _ids_of_others(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The same for pieces of any kind; a token's place tells its piece."""
@@ -128,36 +208,41 @@ class LibraryEncoder:
             counts.append(np.diff(cuts, prepend=0))
         return np.concatenate(ids), np.concatenate(counts)
 
-    def _ids_of_plain(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if not len(pieces):
-            return self._ids_of_others([])
-        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(pieces)], pa.int32()), pieces), "\n")[0].as_py()
-        found = self.words.findall(text.lower() + "\n")
-        number = dict.fromkeys(found)
-        words = list(number)
-        number.update(zip(words, range(len(words)), strict=True))
-        at, end = np.fromiter(map(number.__getitem__, found), np.int32, len(found)), number["\n"]
-        data, lengths = self._ids_of_words(words[:end] + words[end + 1 :])
-        lengths = np.insert(lengths, end, 0)  # a line end has no ids
-        starts = lengths.cumsum() - lengths
-        own = lengths.take(at)
-        return joined(starts.take(at), own, data), sums(own, np.flatnonzero(at == end) + 1)
+    def _ids_of(self, distinct: pa.Array, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and number of the ids of each word, and the ids that these are places in; ``whole``: which words are whole pieces."""
+        if len(self.young.words) >= REMEMBERED:
+            self.young, self.old = no_words(), self.young
+        found = [pc.index_in(distinct, value_set=x.words).fill_null(-1).to_numpy() for x in (self.young, self.old)]
+        again = np.flatnonzero((found[0] < 0) & (found[1] >= 0))
+        new = np.flatnonzero((found[0] < 0) & (found[1] < 0))
+        parts, others = new[~whole[new]], new[whole[new]]
+        text = lambda at: distinct.take(pa.array(at)).cast(pa.string()).to_pylist()
+        first, n_first = self._ids_of_words(text(parts))
+        second, n_second = self._ids_of_others(text(others))
+        fresh = Words(distinct.take(pa.array(np.append(parts, others))), np.append(n_first, n_second), np.append(first, second))
+        recent = self.old.chosen(found[1].take(again)).with_more(fresh)
+        all_ = self.young.with_more(recent)
+        place = found[0].astype(np.int64)
+        place[np.concatenate([again, parts, others])] = np.arange(len(self.young.words), len(all_.words))
+        out = all_.starts.take(place), all_.lengths.take(place), all_.data
+        size = pc.binary_length(recent.words).to_numpy()
+        self.young = self.young.with_more(recent.chosen(np.flatnonzero(size <= LONG_PIECE))) if len(size) and size.max() > LONG_PIECE else all_
+        return out
 
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and how many each has."""
-        pieces = pc.ascii_split_whitespace(texts.fill_null(""))
-        coded = pieces.flatten().dictionary_encode()
-        distinct = coded.dictionary
-        other = pc.match_substring_regex(distinct, self.other).to_numpy(zero_copy_only=False) if self.words else np.ones(len(distinct), bool)
-        plain, others = np.flatnonzero(~other), np.flatnonzero(other)
-        first, n_first = self._ids_of_plain(distinct.take(pa.array(plain)))
-        second, n_second = self._ids_of_others(distinct.take(pa.array(others)).to_pylist())
-        lengths, starts = np.zeros((2, len(distinct)), np.int64)
-        lengths[plain], starts[plain] = n_first, n_first.cumsum() - n_first
-        lengths[others], starts[others] = n_second, n_second.cumsum() - n_second + len(first)
+        texts, edge = texts.fill_null(""), pa.array([""], texts.type)
+        own = pa.concat_arrays([edge, texts, edge])  # line ends around each text
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own), "\n")[0].as_buffer().to_pybytes()
+        found, starts, whole = words(text, self.special, not self.parted)
+        coded = found.dictionary_encode()
         at = coded.indices.to_numpy()
-        own = lengths.take(at)
-        return joined(starts.take(at), own, np.concatenate([first, second])), sums(own, pieces.offsets.to_numpy()[1:] - pieces.offsets[0].as_py())
+        wholes = np.zeros(len(coded.dictionary), bool)
+        wholes[at[whole]] = True
+        begins, lengths, data = self._ids_of(coded.dictionary, wholes)
+        own_lengths = lengths.take(at)
+        upto = np.searchsorted(starts, 1 + (pc.binary_length(texts).to_numpy().astype(np.int64) + 1).cumsum())
+        return joined(begins.take(at), own_lengths, data), sums(own_lengths, upto)
 
 
 @lru_cache(maxsize=2)
