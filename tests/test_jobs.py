@@ -184,6 +184,33 @@ def test_copies_meet_once_and_cluster_as_if_listed(spark, monkeypatch):
     assert all(n <= 3 * 17 and m < len(got) / 4 for n, m in seen)
 
 
+def test_clusters_list_no_pairs_and_equal_the_plain_loop(spark, monkeypatch):
+    """Blocks of a few nodes and grams: leaders claim nodes of their own block, of later ones, and nodes of their own book stay."""
+    r = random.Random(23)
+    words = ["alpha", "beta", "gamma", "delta"]
+    rows = [(f"n{k:03}", k, r.choice(["a", "b", "c", None]), " ".join(r.choice(words) for _ in range(3)), r.choice(["", "text"])) for k in range(120)] + [("n999", 999, "a", "", "")]
+    nodes = spark.createDataFrame(rows, "node_id string, node_ord long, book_id string, name string, definition string")
+    want = {x["node_id"]: x["leader_id"] for x in simjoin.leader_clusters(nodes, simjoin.similar_pairs(nodes)).collect()}
+
+    def listed(*_):
+        raise AssertionError("all pairs are listed")
+
+    monkeypatch.setattr(simjoin, "_pairs_of", listed)
+    for most, grams in ((16, 2_000_000), (4096, 900)):
+        monkeypatch.setattr(simjoin, "BLOCK_NODES", most)
+        monkeypatch.setattr(simjoin, "BLOCK_GRAMS", grams)
+        assert {x["node_id"]: x["leader_id"] for x in simjoin.clusters(nodes).collect()} == want
+    assert len(set(want.values())) < 100
+
+
+def test_remapped_edges_are_dealt_out_once_for_either_end(spark):
+    edges = spark.createDataFrame([("n0", "n1", "contains", 4), ("n0", "n2", "contains", 2), ("n0", "n2", "contains", 1), ("n1", "n2", "parallel", 3), ("n1", "gone", "parallel", 5)], "source string, target string, relation_type string, edge_ord long")
+    mapping = spark.createDataFrame([("n0", "m"), ("n1", "n1"), ("n2", "n1")], "node_id string, integrated_id string")
+    found = I.remap_edges(edges, mapping)
+    assert [tuple(x) for x in found.collect()] == [("m", "n1", "contains", 1)]
+    with_joins = found._jdf.queryExecution().optimizedPlan().toString()
+    assert with_joins.count("Aggregate") == 1
+
 def test_integration_queries_group_similar_singletons(spark, monkeypatch):
     from tomeweave.plans import fusion
 

@@ -97,9 +97,9 @@ def first_edges(edges: DataFrame) -> DataFrame:
 def remap_edges(edges: DataFrame, mapping: DataFrame) -> DataFrame:
     """Edges between integrated nodes; ends without a node, loops and repeated edges go.
 
-    Edges that share both ends are made one before the joins, which a hot node then meets with few rows.
+    Each edge is dealt out once for either end and aggregated where it then lies. Few edges share both ends before
+    they are mapped, so making these one first would deal out all of them once more.
     """
-    edges = first_edges(edges)
     at = lambda end: mapping.select(F.col("node_id").alias(end), F.col("integrated_id").alias("new_" + end))
     joined = edges.join(at("source"), "source").join(at("target"), "target").filter("new_source <> new_target")
     return first_edges(joined.drop("source", "target").withColumnsRenamed({"new_source": "source", "new_target": "target"}))
