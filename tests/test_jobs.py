@@ -537,3 +537,56 @@ def test_states_keep_types_and_empty_tables(spark, tmp_path):
     read = files.read_tables(spark, path, ["books", "none"])
     assert sorted((r["book_id"], r["n"]) for r in read["books"].collect()) == [("007", 1), ("010", 2)]
     assert read["none"].collect() == [] and sorted(read["none"].columns) == ["book_id", "n"]
+
+
+def test_tokens_as_numbers_are_those_of_one_text():
+    r = random.Random(31)
+    texts = ["".join(r.choice("abzAZ09 .,-\n血液细胞İKß一鿿龥") for _ in range(r.randrange(40))) for _ in range(300)] + ["", " "]
+    rows, numbers = scan.Numbers()(scan.TOKENS, texts)
+    names: dict = {}
+    for k, text in enumerate(texts):
+        want, got = Counter(grams.tokens(text)), Counter(numbers[rows == k].tolist())
+        assert sorted(want.values()) == sorted(got.values())
+        for token in want:
+            alone = scan.Numbers()(scan.TOKENS, [token])[1].tolist()
+            assert set(alone) <= set(got) and names.setdefault(tuple(sorted(alone)), token) == token
+
+
+@pytest.mark.parametrize("kind", ["char_2_5", "char_wb_2_4", scan.TOKENS])
+def test_tallies_are_sums_over_texts(kind, monkeypatch):
+    """Grams of each text, and texts of each gram however often a task writes what it holds."""
+    import pandas as pd
+
+    r = random.Random(37)
+    texts = ["".join(r.choice("ab c\n血") for _ in range(r.randrange(30))) for _ in range(60)] + ["", "a"]
+    make = scan.Numbers()
+    want = Counter((n, t) for t, n in zip(*(x.tolist() for x in make(kind, texts)), strict=True))
+    numbers, rows, often = make.tallied(kind, texts)
+    assert Counter(dict(zip(zip(numbers.tolist(), rows.tolist(), strict=True), often.tolist(), strict=True))) == want and len(numbers) == len(want)
+    monkeypatch.setattr(scan, "BATCH_LETTERS", 100)
+    for pending, held in ((4_000_000, 4_000_000), (50, 60)):
+        monkeypatch.setattr(scan, "PENDING", pending)
+        monkeypatch.setattr(scan, "HELD", held)
+        frame = pd.DataFrame({"way": ["v", "w"] * 31, "chunk_id": [f"c{k}" for k in range(62)], "text": texts})
+        found, total = Counter(), 0
+        for part in scan._counting((kind,), 3)(iter([frame])):
+            total += part["total"].sum()
+            for way, packed, counts in zip(part["way"], part["numbers"], part["counts"], strict=True):
+                found.update(dict(zip(((way, x) for x in scan._unpacked(packed).tolist()), scan.np.frombuffer(counts, scan.np.int64).tolist(), strict=True)))
+        assert found == Counter(("vw"[t % 2], n) for n, t in want) and total == sum(want.values())
+
+
+def test_frequencies_are_broadcast_in_groups_of_ways(monkeypatch):
+    monkeypatch.setattr(scan, "BROADCAST_GRAMS", 10)
+    together, alone = scan._runs([("a", 0, 4), ("b", 0, 3), ("b", 1, 3), ("c", 0, 2), ("d", 0, 6), ("d", 1, 4), ("d", 2, 5)])
+    assert together == [["a", "b"], ["c"]] and alone == {"d": [(0, 1), (2, 2)]}
+
+
+def test_ranked_rows_meet_their_texts_without_dealing_out_chunks(spark, monkeypatch):
+    ranked = spark.createDataFrame([(1, 1, "c1"), (1, 2, "c2"), (2, 1, "c1")], "question_id long, rank long, chunk_id string")
+    chunks = spark.createDataFrame([("c1", "x"), ("c2", "y"), ("c3", "z")], "chunk_id string, text string")
+    for most in (3, 2):
+        monkeypatch.setattr(retrieval, "BROADCAST_ROWS", most)
+        found = retrieval.with_texts(ranked, chunks, ["chunk_id"], ["text"])
+        assert {(x["question_id"], x["rank"], x["text"]) for x in found.collect()} == {(1, 1, "x"), (1, 2, "y"), (2, 1, "x")}
+        assert ("broadcast" in found._jdf.queryExecution().logical().toString()) == (most == 3)
