@@ -590,3 +590,14 @@ def test_ranked_rows_meet_their_texts_without_dealing_out_chunks(spark, monkeypa
         found = retrieval.with_texts(ranked, chunks, ["chunk_id"], ["text"])
         assert {(x["question_id"], x["rank"], x["text"]) for x in found.collect()} == {(1, 1, "x"), (1, 2, "y"), (2, 1, "x")}
         assert ("broadcast" in found._jdf.queryExecution().logical().toString()) == (most == 3)
+
+
+def test_expected_passages_are_looked_for_once(spark, monkeypatch):
+    from tomeweave.plans import knowledge as plans
+
+    monkeypatch.setattr(plans, "questions", lambda *_: spark.createDataFrame([(1, "red cell"), (2, "no such words")], "question_id long, question string"))
+    docs = [("a", "ch_2", 2, "Two", "a red cell membrane"), ("b", "ch_1", 1, "One", "the red cell")]
+    monkeypatch.setattr(plans, "chapters", lambda *_: spark.createDataFrame(docs, "book_id string, chapter_id string, chapter_ord long, title string, content string"))
+    found = plans._expected(spark, "")
+    assert [(x["question_id"], x["expected_chapter"]) for x in found.collect()] == [(1, "One")]
+    assert "ArrowEvalPython" not in found._jdf.queryExecution().optimizedPlan().toString()
