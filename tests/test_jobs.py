@@ -601,3 +601,13 @@ def test_expected_passages_are_looked_for_once(spark, monkeypatch):
     found = plans._expected(spark, "")
     assert [(x["question_id"], x["expected_chapter"]) for x in found.collect()] == [(1, "One")]
     assert "ArrowEvalPython" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_each_document_is_a_file_in_one_folder(spark, tmp_path, monkeypatch):
+    docs = [(1, "a\nb"), (2, ""), (3, None), (4, "a\nb"), (5, "c\n")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(corpus, "_written", lambda *_: f"{tmp_path}/corpus")
+    found = {(x["suffix"], x["digest"]): x["n"] for x in corpus.s1_read_corpus(spark, str(tmp_path)).collect()}
+    assert found == Counter((".txt", hashlib.sha1(((text or "") + "\n").encode()).hexdigest()) for _, text in docs)
+    files = [x for x in (tmp_path / "corpus").rglob("part-*.txt") if x.stat().st_size]  # a task without rows may leave an empty file, which holds no document
+    assert len(files) == 5 and all(x.parent == tmp_path / "corpus" for x in files)
